@@ -49,8 +49,15 @@ def prompt_line() -> Column:
     return F.concat(F.lit("ID:"), F.col("i").cast("string"), F.lit("|T:"), F.coalesce(F.col("Title"), F.lit("")), F.lit("|A:"), F.coalesce(F.col("Author"), F.lit("Unknown")))
 
 
-def reasons(author_read: Column, subjects: Column, genres: dict[str, str], default: str) -> Column:
-    """Why an item is shown: an author read before, and genre words found in its subjects, joined by a bullet."""
-    found = F.array(F.when(author_read, F.lit("Same author as in your history")), *[F.when(F.lower(F.coalesce(subjects, F.lit(""))).contains(word), F.lit(label)) for word, label in genres.items()])
-    text = F.concat_ws(" • ", F.filter(found, lambda x: x.isNotNull()))
+def reasons(author: Column, subjects: Column, titles: Column, genres: tuple[tuple[tuple[str, ...], str], ...], default: str) -> Column:
+    """Why an item is shown: its author named in a title of the history, and genre words found in its subjects, joined by a bullet."""
+    a, s = F.lower(F.coalesce(author, F.lit(""))), F.lower(F.coalesce(subjects, F.lit("")))
+    named = (a != "") & F.exists(titles, lambda t: F.lower(t).contains(a))
+    parts = [F.when(named, F.concat(F.lit("You have read "), author))]
+    for words, label in genres:
+        found = s.contains(words[0])
+        for w in words[1:]:
+            found = found | s.contains(w)
+        parts.append(F.when(found, F.lit(label)))
+    text = F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), " • ")
     return F.when(text == "", F.lit(default)).otherwise(text)

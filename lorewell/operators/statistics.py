@@ -83,6 +83,20 @@ def cumulative_share(counts: DataFrame, key: str) -> DataFrame:
     return placed.select(key, "count", position.alias("position"), ((F.col("sum_before") + F.col("own") * F.col("count")) / F.col("total")).alias("cum_share"), (position / F.col("n")).alias("cdf"))
 
 
+def share_landmarks(shares: DataFrame, fractions=(0.01, 0.05, 0.1, 0.2)) -> DataFrame:
+    """(fraction, share): what the first int(n x fraction) keys of a cumulative share hold; none where that is no key."""
+    n = shares.agg(F.count("*").alias("n"))
+    marked = shares.join(F.broadcast(n)).withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
+    return marked.where(F.col("position") == F.floor(F.col("n") * F.col("fraction"))).select("fraction", F.col("cum_share").alias("share"))
+
+
+def frame_profile(df: DataFrame) -> DataFrame:
+    """(column, type, n_rows, n_filled) of every column."""
+    filled = df.agg(F.count("*").alias("n_rows"), *[F.count(c).alias(c) for c in df.columns]).unpivot("n_rows", df.columns, "column", "n_filled")
+    types = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])
+    return filled.select("column", types[F.col("column")].alias("type"), "n_rows", "n_filled")
+
+
 def top_coverage(counts: DataFrame, key: str, ns=(10, 50, 100, 500, 1000)) -> DataFrame:
     """(n, coverage): the share of all rows that the n most frequent keys hold, for n up to their number."""
     order = Window.orderBy(F.desc("count"), key)

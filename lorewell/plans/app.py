@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from lorewell.functions.scalar import dot, unit
 from lorewell.functions.text import reasons
 
-GENRES = {"histoire": "History", "roman": "Novel", "science": "Science", "economy": "Economy", "standard": "Standard"}
+# Words in an item's subjects, and what they are taken to show.
+GENRES = ((("fiction",), "Matches your taste for fiction"), (("science",), "A science subject you like"), (("history", "histoire"), "A historical subject you follow"))
 
 
 def user_history(interactions: DataFrame, items: DataFrame, u: int, n: int = 10) -> DataFrame:
@@ -58,15 +59,15 @@ def cap_authors(ranked: DataFrame, n: int) -> DataFrame:
 
 
 def recommend(predictions: DataFrame, interactions: DataFrame, items: DataFrame, u: int, k: int = 10, hide_read: bool = True, per_author: int | None = 2) -> DataFrame:
-    """(rank, i, score, Title, Author, reason) for one user, from 2 k predictions: read items out, authors capped, the first k, explained."""
+    """(rank, i, score, Title, Author, reason) for one user, from 2 k predictions: read items out, authors capped, the first k, explained by the titles of the history."""
     own = predictions.where((F.col("u") == u) & (F.col("rank") <= 2 * k)).join(items, "i", "left")
     read = interactions.where(F.col("u") == u).select("i").distinct()
-    authors = read.join(items.select("i", F.col("Author").alias("A")), "i").where("A IS NOT NULL").select(F.col("A").alias("Author")).distinct().withColumn("known", F.lit(True))
+    titles = read.join(items.select("i", F.col("Title").alias("read_title")), "i").agg(F.collect_set("read_title").alias("titles"))
     if hide_read:
         own = own.join(read, "i", "left_anti")
     if per_author:
         own = cap_authors(own, per_author)
-    out = own.join(authors, "Author", "left").withColumn("reason", reasons(F.coalesce("known", F.lit(False)), F.col("Subjects"), GENRES, "Recommended for you"))
+    out = own.join(F.broadcast(titles)).withColumn("reason", reasons(F.col("Author"), F.col("Subjects"), F.col("titles"), GENRES, "Recommended for you"))
     return out.withColumn("rank", F.row_number().over(Window.orderBy("rank"))).where(F.col("rank") <= k).select("rank", "i", "score", "Title", "Author", "reason")
 
 

@@ -263,17 +263,30 @@ def cumulative_share(spark, d):
     return S.cumulative_share(S.value_counts(I.order_interactions(spark, d), "i"), "i").withColumns({"cum_share": F.round("cum_share", 9), "cdf": F.round("cdf", 9)})
 
 
-@query(f"WITH {IX}, c AS (SELECT u, i, count(*) AS count FROM ix GROUP BY u, i) SELECT k::INT AS k, round(avg((count <= k)::INT), 9) AS ratio FROM c, (VALUES (1), (2), (3), (5), (10)) AS v(k) GROUP BY k")
+@query(f"WITH {IX}, c AS (SELECT i, count(*) AS count FROM ix GROUP BY i), s AS (SELECT row_number() OVER o AS position, sum(count) OVER (o ROWS UNBOUNDED PRECEDING) / sum(count) OVER () AS share, count(*) OVER () AS n FROM c WINDOW o AS (ORDER BY count DESC, i)) SELECT f::DOUBLE AS fraction, round(share, 9) AS share FROM s, (VALUES (0.01), (0.05), (0.1), (0.2)) AS v(f) WHERE position = floor(n * f::DOUBLE)")
+def share_landmarks(spark, d):
+    shares = S.cumulative_share(S.value_counts(I.order_interactions(spark, d), "i"), "i")
+    return S.share_landmarks(shares).withColumn("share", F.round("share", 9))
+
+
+@query(f"WITH {EV}, a AS (SELECT u, count(*) AS c FROM ix GROUP BY u), b AS (SELECT i, count(*) AS c FROM ix GROUP BY i) SELECT k::INT AS k, round((SELECT avg((c <= k)::INT) FROM a), 9) AS ratio_users, round((SELECT avg((c <= k)::INT) FROM b), 9) AS ratio_items FROM (VALUES (1), (2), (3), (5), (10)) AS v(k)")
 def ratio_leq(spark, d):
-    return S.ratio_at_most(S.pair_counts(I.order_interactions(spark, d))).withColumn("ratio", F.round("ratio", 9))
+    ix = I.event_interactions(spark, d)
+    users, items = (S.ratio_at_most(S.value_counts(ix, c)).withColumn("ratio", F.round("ratio", 9)) for c in ("u", "i"))
+    return users.withColumnRenamed("ratio", "ratio_users").join(items.withColumnRenamed("ratio", "ratio_items"), "k")
+
+
+@query("SELECT 'item_id' AS \"column\", count(*) AS n_rows, count(item_id) AS n_filled FROM benchmark UNION ALL SELECT 'text', count(*), count(text) FROM benchmark")
+def frame_profile(spark, d):
+    return S.frame_profile(spark.read.parquet(f"{d}/benchmark.parquet")).select("column", "n_rows", "n_filled")
 
 
 _BINS = " UNION ALL ".join(f"SELECT {k}::INT AS ordinal, '{label}' AS label, {lo} AS lo, {'NULL' if hi is None else hi}::BIGINT AS hi" for k, (lo, hi, label) in enumerate(S.BINS, 1))
 
 
-@query(f"WITH {EV}, c AS (SELECT u, i, count(*) AS count FROM ix GROUP BY u, i), b AS ({_BINS}) SELECT ordinal, label, count(c.count) AS n, round(count(c.count) / (SELECT count(*) FROM c), 9) AS share FROM b LEFT JOIN c ON c.count > lo AND (hi IS NULL OR c.count <= hi) GROUP BY ordinal, label")
+@query(f"WITH {EV}, c AS (SELECT u, count(*) AS count FROM ix GROUP BY u), b AS ({_BINS}) SELECT ordinal, label, count(c.count) AS n, round(count(c.count) / (SELECT count(*) FROM c), 9) AS share FROM b LEFT JOIN c ON c.count > lo AND (hi IS NULL OR c.count <= hi) GROUP BY ordinal, label")
 def bins_users(spark, d):
-    return S.binned(S.pair_counts(I.event_interactions(spark, d))).withColumn("share", F.round("share", 9))
+    return S.binned(S.value_counts(I.event_interactions(spark, d), "u")).withColumn("share", F.round("share", 9))
 
 
 @query(f"WITH {IX}, c AS (SELECT u, count(*) AS count FROM ix GROUP BY u), e AS (SELECT min(count) AS lo, max(count) AS hi FROM c) SELECT (CASE WHEN hi = lo THEN 1 ELSE least(floor((count - lo) / ((hi - lo) / 50.0)) + 1, 50) END)::INT AS bin, count(*) AS n FROM c, e GROUP BY 1")
@@ -461,6 +474,15 @@ def popular_items(spark, d):
     return app.popular_items(I.order_interactions(spark, d))
 
 
+@query(f"WITH {IX}, {SPLIT}, {USERS}, {ITEMS}, {weights_sql(250)}, {TFIDF}, {COSINE}, {SCORES}, {dense_top()} SELECT top.i, Title, Author, rank FROM top LEFT JOIN items USING (i) WHERE u = 7")
+def recommendation_list(spark, d):
+    """One user's list as it is downloaded; the user is chosen before scoring."""
+    data = _data(spark, d)
+    one = Data(data.train, data.users.where("u = 7"), data.items, data.metadata)
+    one.n_users = data.n_users
+    return models.CosineRecommender(250).fit(one).predict(10).join(data.metadata, "i", "left").select("i", "Title", "Author", "rank")
+
+
 @query()
 def recommend_user(spark, d):
     data = _data(spark, d)

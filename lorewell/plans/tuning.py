@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from lorewell.operators.evaluation import map_at_k
 from lorewell.plans.models import Data, EnsembleRecommender, Recommender
 
-ALPHAS, WEIGHTS = (0.3, 0.5, 0.7, 0.9), ((0.5, 0.5), (0.7, 0.3), (0.3, 0.7))
-REBUYS, POPS = (0.0, 0.5, 1.0, 1.5), (0.0, 0.1, 0.2, 0.5)
+# The grid that is searched by default.
+ALPHAS, WEIGHTS = (0.4, 0.5, 0.6, 0.7), ((0.5, 0.5), (0.6, 0.4), (0.8, 0.2))
+REBUYS, POPS = (0.5, 1.0, 1.5, 2.0), (0.0, 0.05, 0.1, 0.2)
 
 
 def grid_search(data: Data, truth: DataFrame, alphas: Iterable[float] = ALPHAS, weights: Iterable[tuple] = WEIGHTS, rebuys: Iterable[float] = REBUYS, pops: Iterable[float] = POPS, k: int = 10, **fixed) -> DataFrame:
