@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Odd 64-bit multiplier of the byte polynomial, and its inverse modulo 2^64.
@@ -174,3 +174,28 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
             break
         before = state
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
+
+
+#: Buckets that ids are hashed to before wide rows are shuffled: the broadcast side holds a number for each at most.
+ID_BUCKETS = 1 << 18
+
+
+def _buckets(ids: DataFrame, key: str) -> tuple[Column, DataFrame]:
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(ID_BUCKETS))
+    return bucket, F.broadcast(ids.select(bucket.alias("_lorewell_bucket")).distinct())
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among `ids`; only rows that share a bucket with one of them are shuffled."""
+    bucket, some = _buckets(ids, key)
+    near = rows.withColumn("_lorewell_bucket", bucket).join(some, "_lorewell_bucket", "left_semi").drop("_lorewell_bucket")
+    return near.join(ids, key, "left_semi").select(rows.columns)
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among `ids` (a null key never is); rows in buckets without any of these stay where they are."""
+    bucket, some = _buckets(ids, key)
+    marked = rows.withColumn("_lorewell_bucket", bucket)
+    far = marked.join(some, "_lorewell_bucket", "left_anti").select(rows.columns)
+    near = marked.join(some, "_lorewell_bucket", "left_semi").select(rows.columns)
+    return far.unionByName(near.join(ids, key, "left_anti").select(rows.columns))

@@ -12,14 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import components, gram_hashes, lower_ascii, mixed, span_hashes, spans, text_slices, written
+from lorewell.llm._shared import components, gram_hashes, lower_ascii, mixed, span_hashes, spans, text_slices, with_ids, written
 
 #: Words of a shingle, and the threshold in hundredths.
 SHINGLE, PERCENT = 5, 80
 #: Largest set size that the cost model may call small (subsets grow as binomials).
 MOST_SMALL = 24
-#: Shingles of a block of postings; documents of a tile; bins of the difference filter; counters of the frequency sketch.
-BLOCK, TILE, BINS, COUNTERS = 4_000_000, 1024, 512, 1 << 18
+#: Shingles of a block of postings; members of a tile of a list; bits of the difference filter; counters of the frequency sketch.
+BLOCK, TILE, BITS, COUNTERS = 4_000_000, 1024, 1024, 1 << 18
 #: A posting that several documents of its block share.
 SHARED = 0xFFFF
 
@@ -195,13 +195,24 @@ def _with_shared_shingles(rows: DataFrame, n_docs: int, k: int, percent: int) ->
     )
 
 
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """For each of BITS bins of the hash whether an odd number of shingles falls in it: where two sets' bits differ their bins hold a shingle of only one, so the distance is at most the sets' difference."""
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1).astype(bool))
+
+
+def may_reach(na: np.ndarray, nb, distance: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes, whose difference is at least `distance`, may reach the threshold."""
+    both = na + nb
+    return (np.minimum(na, nb) * 100 >= percent * np.maximum(na, nb)) & (distance <= both - 2 * -(-percent * both // (100 + percent)))
+
+
 def _sets(rows: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column("text"), k))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], ["rep", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array([parity_bits(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "n", "bits", "shingles"])
 
-    return rows.mapInArrow(run, "rep long, n long, shingles binary")
+    return rows.mapInArrow(run, "rep long, n long, bits binary, shingles binary")
 
 
 def _frequency_sketch(sets: DataFrame) -> np.ndarray:
@@ -252,13 +263,12 @@ def _small_links(sets: DataFrame, most: int, percent: int) -> DataFrame:
     return keyed.join(centre, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
 
 
-def _candidate_groups(sets: DataFrame, most: int, sketch: np.ndarray, percent: int) -> DataFrame:
-    """(id, component): sets that are connected through inverted lists of their rarest shingles.
+def _inverted_lists(sets: DataFrame, most: int, sketch: np.ndarray, percent: int) -> DataFrame:
+    """(h, rep, a, c): postings of shingles that several sets list, with the smallest rep and the length of each list.
 
     Each large set, and each small set near the boundary, is listed under its
     prefix in a fixed order (rare before frequent by the sketch, then by hash): sets
-    that reach the threshold meet in a list.
-    """
+    that reach the threshold meet in a list."""
     level = np.floor(np.log2(np.maximum(sketch / max(1.0, 4 * float(sketch.mean())), 1))).astype(np.int64)
     rank = sets.sparkSession.sparkContext.broadcast(level)
     least = -(-percent * (most + 1) // 100)
@@ -275,63 +285,90 @@ def _candidate_groups(sets: DataFrame, most: int, sketch: np.ndarray, percent: i
             if hashes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(reps))], ["h", "rep"])
 
-    lists = written(sets.where(F.col("n") >= least).mapInArrow(run, "h long, rep long"), "inverted-lists")
-    first = lists.groupBy("h").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1").select("h", "a")
-    return components(lists.join(first, "h").where("rep <> a").select("a", F.col("rep").alias("b")), "candidates")
-
-
-def tile_links(left: list[tuple[int, np.ndarray]], right: list[tuple[int, np.ndarray]] | None, most: int, percent: int) -> list[tuple[int, int]]:
-    """Links that connect all sets of a tile (or of two tiles, across) which links connect.
-
-    Every pair that is not yet connected is tested: by size, by the least possible
-    difference (counts of shingles in bins), then exactly."""
-    items = sorted([(len(s), 0, r, s) for r, s in left] + [(len(s), 1, r, s) for r, s in right or []], key=lambda x: x[:3])
-    n = np.array([x[0] for x in items], np.int64)
-    side = np.array([x[1] for x in items])
-    bins = np.zeros((len(items), BINS), np.int16)
-    for k, x in enumerate(items):
-        bins[k] = np.minimum(np.bincount((x[3] >> np.uint64(20)).astype(np.int64) & (BINS - 1), minlength=BINS), 30000)
-    label = np.arange(len(items))
-    stop = np.searchsorted(n, n * 100 // percent, "right")
-    links = []
-    for i in range(len(items)):
-        more = np.arange(i + 1, stop[i])
-        more = more[(label[more] != label[i]) & (n[more] > most)]
-        if right is not None:
-            more = more[side[more] != side[i]]
-        for part in np.array_split(more, max(1, len(more) // 512)):
-            apart = np.abs(bins[part] - bins[i]).sum(axis=1, dtype=np.int64)
-            both = n[part] + n[i]
-            for j in part[apart <= both - 2 * -(-percent * both // (100 + percent))].tolist():
-                if label[j] == label[i]:
-                    continue
-                same = len(np.intersect1d(items[i][3], items[j][3], assume_unique=True))
-                if 100 * same >= percent * (n[i] + n[j] - same):
-                    links.append((items[i][2], items[j][2]))
-                    label[label == label[j]] = label[i]
-    return links
+    postings = written(sets.where(F.col("n") >= least).select("rep", "shingles").mapInArrow(run, "h long, rep long"), "postings")
+    heads = postings.groupBy("h").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1")
+    return written(postings.join(heads, "h"), "inverted-lists")
+
+
+def _words(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITS // 64)
+
 
+def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parity bits allow."""
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
 
-def _large_links(sets: DataFrame, groups: DataFrame, most: int, percent: int) -> DataFrame:
-    """Links within candidate groups; a group of more than TILE sets is tested tile against tile in many tasks."""
-    sizes = groups.groupBy("component").agg(F.count("*").alias("m"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = _words(batch.column("bitsa").to_pylist()), _words(batch.column("bitsb").to_pylist())
+                ok = may_reach(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), percent)
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(100 * same >= percent * (len(x) + len(y) - same))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _large_links(sets: DataFrame, lists: DataFrame, most: int, percent: int) -> DataFrame:
+    """Links that connect all sets of the inverted lists which links connect.
+
+    First each list's members are tested with its first member; these links' components
+    are labels.  Then lists are scanned for pairs with different labels only, so a
+    large family of copies costs no square of its size; a list of more than TILE
+    members is scanned tile against tile in many tasks.  Pairs are sieved by size and
+    parity bits before the sets themselves are joined for the exact test."""
+    heads = _may_link(lists.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), sets, percent)
+    first = written(_verified(heads, sets, percent), "first-links")
+    labels = components(first, "labels")
+    labelled = lists.join(labels, F.col("rep") == F.col("id"), "left").select("h", "rep", "c", F.coalesce("component", "rep").alias("label"))
+    mixed_lists = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
+    open_lists = written(labelled.join(mixed_lists, "h", "left_semi"), "open-lists")
+    groups = max(1, -(-open_lists.count() // 8192))
     placed = (
-        groups.join(sizes, "component")
-        .withColumn("g", F.ceil(F.col("m") / TILE))
-        .withColumn("t", F.pmod(F.xxhash64("id"), F.col("g")))
+        open_lists.withColumn("g", F.ceil(F.col("c") / TILE))
+        .withColumn("t", F.pmod(F.xxhash64("rep"), F.col("g")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-        .select(F.col("id").alias("rep"), "component", "t", F.least("t", "other").alias("lo"), F.greatest("t", "other").alias("hi"))
+        .select("rep", "label", "t", F.least("t", "other").alias("lo"), F.xxhash64("h", F.least("t", "other"), F.greatest("t", "other")).alias("key"))
+        .join(sets.select("rep", "n", "bits"), "rep")
+        .withColumn("part", F.pmod("key", F.lit(groups)))
     )
 
-    def test(table: pa.Table) -> pa.Table:
-        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
-        sides: tuple[list, list] = ([], [])
-        for r, x, t in zip(table["rep"].to_pylist(), table["shingles"].to_pylist(), table["t"].to_pylist(), strict=True):
-            sides[int(t != lo)].append((r, np.frombuffer(x, np.uint64)))
-        links = tile_links(sides[0], None if lo == hi else sides[1], most, percent)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
-
-    return placed.join(sets, "rep").groupBy("component", "lo", "hi").applyInArrow(test, "a long, b long")
+    def scan(table: pa.Table) -> pa.Table:
+        key, rep, n, label = (table[c].to_numpy() for c in ("key", "rep", "n", "label"))
+        second = table["t"].to_numpy() != table["lo"].to_numpy()
+        bits = _words(table["bits"].to_pylist())
+        order = np.argsort(key, kind="stable")
+        found: set[tuple[int, int]] = set()
+        for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            across = second[rows].any() and not second[rows].all()
+            for k, i in enumerate(rows[:-1].tolist()):
+                others = rows[k + 1 :]
+                others = others[(label[others] != label[i]) & (np.maximum(n[others], n[i]) > most)]
+                if across:
+                    others = others[second[others] != second[i]]
+                if len(others):
+                    others = others[may_reach(n[others], n[i], np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1, dtype=np.int64), percent)]
+                    found.update((min(rep[i], x), max(rep[i], x)) for x in rep[others].tolist())
+        pairs = sorted(found)
+        return pa.table({"a": pa.array([int(x) for x, _ in pairs], pa.int64()), "b": pa.array([int(x) for _, x in pairs], pa.int64())})
+
+    rest = placed.groupBy("part").applyInArrow(scan, "a long, b long").distinct()
+    return first.unionByName(_verified(rest, sets, percent))
 
 
 def jaccard_join(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT, text: str = "text") -> DataFrame:
@@ -355,16 +392,15 @@ def jaccard_join(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
     several = classes.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("hi", "lo", "rep")
     members = written(classes.join(several, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "members")
     shared = _with_shared_shingles(rows, classes.count(), k, percent)
-    reps = shared.join(members, "doc_id").select("rep").distinct()
-    kept = rows.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    reps = written(shared.join(members, "doc_id").select(F.col("rep").alias("doc_id")).distinct(), "candidates")
+    kept = with_ids(rows, reps, "doc_id")
     sets = written(_sets(kept, k).dropDuplicates(["rep"]), "shingle-sets")
 
     histogram = {r["n"]: r["c"] for r in sets.where(F.col("n") <= 4 * MOST_SMALL).groupBy("n").agg(F.count("*").alias("c")).collect()}
     sketch = _frequency_sketch(sets)
     used = sketch[sketch > 0]
     most = boundary(histogram, min(float(used.mean()) if len(used) else 0.0, 64.0), percent)
-    groups = _candidate_groups(sets, most, sketch, percent)
-    links = _large_links(sets, groups, most, percent)
+    links = _large_links(sets, _inverted_lists(sets, most, sketch, percent), most, percent)
     if most:
         links = links.unionByName(_small_links(sets, most, percent))
     found = components(links, "links")
