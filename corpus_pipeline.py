@@ -7,10 +7,9 @@ of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from lorewell.llm._shared import written
+from lorewell.llm._shared import with_ids, without_ids, written
 from lorewell.llm.best_fit_packing import best_fit_packing
 from lorewell.llm.decontamination import decontaminate
 from lorewell.llm.jaccard_join import jaccard_join
@@ -24,15 +23,17 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents: the one with the smallest doc_id, once where its row is repeated (rows without a doc_id stay)."""
-    gone = jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return docs.join(gone, "doc_id", "left_anti").withColumn("_nth_row", nth).where("doc_id IS NULL OR _nth_row = 1").select(docs.columns)
+    found = written(jaccard_join(docs).select("doc_id", "component_id"), "jaccard-groups")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = without_ids(docs, gone.union(again).distinct(), "doc_id")
+    return once.unionByName(with_ids(docs, again, "doc_id").dropDuplicates(["doc_id"]))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
+    return without_ids(docs, written(hit.select("doc_id").distinct(), "contaminated"), "doc_id")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
