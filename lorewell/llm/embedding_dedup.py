@@ -26,34 +26,66 @@ def tables_for(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int,
     return bits, ceil(log(miss) / log(1 - meet))
 
 
-def _keys(vectors: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """(tab, label, code, rep): the sign codes of each vector in every table."""
+def _coded(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
+    """The classes with the sign code of each vector in every table, packed."""
+    kind = code_type(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
-            reps, labels = batch.column("rep").to_numpy(), batch.column("label").to_numpy()
             sizes = np.asarray(pc.list_value_length(batch.column("embedding")))
+            packed = np.zeros((batch.num_rows, tables), kind)
             for d in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == d)
                 x = np.asarray(batch.column("embedding").take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), d)
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, d]).standard_normal((d, bits * tables))
                 signs = (x @ planes[d] > 0).reshape(len(rows), tables, bits)
-                codes = signs @ (1 << np.arange(bits, dtype=np.int64)) * 65536 + d % 65536
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables), len(rows))), pa.array(np.repeat(labels[rows], tables).astype(np.int64)), pa.array(codes.ravel()), pa.array(np.repeat(reps[rows], tables))], ["tab", "label", "code", "rep"])
+                packed[rows] = (signs @ (1 << np.arange(bits, dtype=np.int64))).astype(kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary())], ["rep", "label", "embedding", "m", "codes"])
 
-    return vectors.select("rep", "label", "embedding").mapInArrow(run, "tab long, label long, code long, rep long")
+    return classes.select("rep", "label", "embedding", "m").mapInArrow(run, "rep long, label long, embedding array<double>, m long, codes binary")
 
 
-def pair_links(reps: np.ndarray, unit: np.ndarray, other: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (within `unit`, or with `other` marking the second side, across) whose cosine reaches the threshold."""
-    if other is None:
-        i, j = np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
-        return reps[i], reps[j]
-    a, b = np.flatnonzero(~other), np.flatnonzero(other)
+def code_type(bits: int) -> type:
+    """The narrowest unsigned type that holds a code."""
+    return np.uint16 if bits <= 16 else np.uint32 if bits <= 32 else np.uint64
+
+
+def _keys(coded: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(tab, label, d, code, rep): a row for each vector and table."""
+    kind = code_type(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), kind).astype(np.int64)
+                again = lambda c: pa.array(np.repeat(batch.column(c).to_numpy().astype(np.int64), tables))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables), batch.num_rows)), again("label"), again("d"), pa.array(codes), again("rep")], ["tab", "label", "d", "code", "rep"])
+
+    return coded.select("rep", "label", F.size("embedding").cast("long").alias("d"), "codes").mapInArrow(run, "tab long, label long, d long, code long, rep long")
+
+
+def near_pairs(unit: np.ndarray, second: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose cosine reaches the threshold: pairs within `unit`, or with `second` marking the other side, across."""
+    if second is None:
+        return np.nonzero(np.triu(unit @ unit.T >= cosine, 1))
+    a, b = np.flatnonzero(~second), np.flatnonzero(second)
     i, j = np.nonzero(unit[a] @ unit[b].T >= cosine)
-    return reps[a[i]], reps[b[j]]
+    return a[i], b[j]
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n vertices the smallest one that edges a-b connect it with."""
+    label = np.arange(n)
+    while len(a):
+        before = label.copy()
+        np.minimum.at(label, a, before[b])
+        np.minimum.at(label, b, before[a])
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
 
 
 def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, miss: float = MISS, seed: int = 20260101) -> DataFrame:
@@ -63,7 +95,9 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, miss: float =
     Each class is hashed by the signs of random projections in several tables (bits
     and tables follow from the largest label and the allowed chance of a miss);
     classes that share a key are compared exactly in double precision, tile against
-    tile where a bucket is large, so no task holds an unbounded bucket.
+    tile where a bucket is large, so no task holds an unbounded bucket.  A pair counts
+    in the first table where it meets, so tasks return sums of links and a spanning
+    forest (a row for each vector at most), never the pairs themselves.
 
     A null label, and a vector that is null, empty, zero or holds null or non-finite
     components, links with nothing; vectors of different dimension do not link;
@@ -74,47 +108,53 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, miss: float =
     fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0.0)
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fit, F.lit(False))
     classes = rows.where(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-    # one name for a class: rows that repeat a vec_id under another vector are told apart by their vector
     classes = written(classes, "vector-classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = tables_for(largest, cosine, miss)
-    keyed = written(_keys(classes, bits, tables, seed), "sign-codes")
-    sizes = keyed.groupBy("tab", "label", "code").agg(F.count("*").alias("c")).where("c > 1")
-    groups = max(1, -(-classes.count() * tables // GROUP))
+    kind = code_type(bits)
+    coded = written(_coded(classes, bits, tables, seed), "sign-codes")
+    keyed = _keys(coded, bits, tables)
+    sizes = keyed.groupBy("tab", "label", "d", "code").agg(F.count("*").alias("c")).where("c > 1")
+    groups = max(1, -(-coded.count() * tables // GROUP))
+    low, high = F.least("t", "other"), F.greatest("t", "other")
     placed = (
-        keyed.join(sizes, ["tab", "label", "code"])
+        keyed.join(sizes, ["tab", "label", "d", "code"])
         .withColumn("g", F.ceil(F.col("c") / TILE))
         .withColumn("t", F.pmod(F.xxhash64("rep"), F.col("g")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-        .select("rep", "t", F.least("t", "other").alias("lo"), F.xxhash64("tab", "label", "code", F.least("t", "other"), F.greatest("t", "other")).alias("key"), (F.col("other") == F.col("t")).alias("own"))
+        .select("rep", "tab", "t", low.alias("lo"), F.xxhash64("tab", "label", "d", "code", low, high).alias("key"))
         .withColumn("part", F.pmod("key", F.lit(groups)))
     )
 
     def test(table: pa.Table) -> pa.Table:
-        key, reps = table["key"].to_numpy(), table["rep"].to_numpy()
+        key, tab, weight = table["key"].to_numpy(), table["tab"].to_numpy(), table["m"].to_numpy()
+        names, own = np.unique(table["rep"].to_numpy(), return_inverse=True)
         second = table["t"].to_numpy() != table["lo"].to_numpy()
-        order = np.argsort(key, kind="stable")
-        begins = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        codes = np.frombuffer(b"".join(table["codes"].to_pylist()), kind).reshape(-1, tables)
         vectors = table["embedding"].combine_chunks()
-        left, right = [], []
-        for rows in np.split(order, begins[1:]):
+        order = np.argsort(key, kind="stable")
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             if len(rows) < 2:
                 continue
             x = np.asarray(vectors.take(pa.array(rows)).flatten(), np.float64).reshape(len(rows), -1)
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            a, b = pair_links(reps[rows], x, second[rows] if second[rows].any() and not second[rows].all() else None, cosine)
-            left.append(np.minimum(a, b))
-            right.append(np.maximum(a, b))
-        if not left:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    links = written(placed.join(classes.select("rep", "embedding"), "rep").groupBy("part").applyInArrow(test, "a long, b long").where("a <> b").distinct(), "cosine-links")
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(classes.select(F.col("rep").alias("b"), "m"), "b").groupBy("a").agg(F.sum("m").alias("others"))
-    groups_of = components(links, "vectors")
+            i, j = near_pairs(x, second[rows] if second[rows].any() and not second[rows].all() else None, cosine)
+            i, j, first = rows[i], rows[j], tab[rows[0]]
+            # a pair counts in the first table where it meets
+            fresh = ~(codes[i, :first] == codes[j, :first]).any(axis=1)
+            left.append(i[fresh])
+            right.append(j[fresh])
+        i, j = np.concatenate(left), np.concatenate(right)
+        linked = np.bincount(own[i], weights=weight[j], minlength=len(names)) + np.bincount(own[j], weights=weight[i], minlength=len(names))
+        label = forest(len(names), own[i], own[j])
+        some = linked > 0
+        return pa.table({"a": names[some], "b": names[label[some]], "linked": linked[some].astype(np.int64)})
+
+    links = written(placed.join(coded.select("rep", "embedding", "m", "codes"), "rep").groupBy("part").applyInArrow(test, "a long, b long, linked long"), "cosine-links")
+    others = links.groupBy("a").agg(F.sum("linked").alias("others"))
+    groups_of = components(links.select("a", "b"), "vectors")
     found = (
         classes.join(others, F.col("rep") == F.col("a"), "left")
         .join(groups_of, F.col("rep") == F.col("id"), "left")
