@@ -55,6 +55,24 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of an Arrow batch between Spark and Python while whole texts or sets travel in it.
+BATCH_ROWS = 1024
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session sends at most BATCH_ROWS rows to Python at once, which bounds a worker's memory."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all intermediate tables and files of this subpackage, once no result that reads them is needed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/lorewell")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows [i, j) of a string array with their UTF-8 bytes and, relative to these, the row offsets; null is empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -177,7 +195,7 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
 
 
 #: Buckets that ids are hashed to before wide rows are shuffled: the broadcast side holds a number for each at most.
-ID_BUCKETS = 1 << 18
+ID_BUCKETS = 1 << 20
 
 
 def _buckets(ids: DataFrame, key: str) -> tuple[Column, DataFrame]:
