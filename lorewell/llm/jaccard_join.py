@@ -12,14 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import components, gram_hashes, lower_ascii, mixed, span_hashes, spans, text_slices, with_ids, written
+from lorewell.llm._shared import components, gram_hashes, lower_ascii, mixed, small_batches, span_hashes, spans, text_slices, with_ids, written
 
 #: Words of a shingle, and the threshold in hundredths.
 SHINGLE, PERCENT = 5, 80
 #: Largest set size that the cost model may call small (subsets grow as binomials).
 MOST_SMALL = 24
 #: Shingles of a block of postings; members of a tile of a list; bits of the difference filter; counters of the frequency sketch.
-BLOCK, TILE, BITS, COUNTERS = 4_000_000, 1024, 1024, 1 << 18
+BLOCK, TILE, BITS, COUNTERS = 2_000_000, 1024, 1024, 1 << 18
 #: A posting that several documents of its block share.
 SHARED = 0xFFFF
 
@@ -222,14 +222,12 @@ def _frequency_sketch(sets: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for x in batch.column("shingles").to_pylist():
-                total += np.bincount((np.frombuffer(x, np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS) if len(x) > COUNTERS else 0
-                if len(x) <= COUNTERS:
-                    np.add.at(total, (np.frombuffer(x, np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_pydict({"part": list(range(parts)), "counts": [p.tobytes() for p in np.split(total, parts)]})
+            flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+            total += np.bincount((flat & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        yield pa.RecordBatch.from_pydict({"part": list(range(parts)), "counts": [p.astype("<u4").tobytes() for p in np.split(total, parts)]})
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()), np.zeros(COUNTERS // parts, np.int64))
+        total = sum((np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist()), np.zeros(COUNTERS // parts, np.int64))
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     rows = sets.select("shingles").mapInArrow(run, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").orderBy("part").collect()
@@ -269,8 +267,7 @@ def _inverted_lists(sets: DataFrame, most: int, sketch: np.ndarray, percent: int
     Each large set, and each small set near the boundary, is listed under its
     prefix in a fixed order (rare before frequent by the sketch, then by hash): sets
     that reach the threshold meet in a list."""
-    level = np.floor(np.log2(np.maximum(sketch / max(1.0, 4 * float(sketch.mean())), 1))).astype(np.int64)
-    rank = sets.sparkSession.sparkContext.broadcast(level)
+    rank = sets.sparkSession.sparkContext.broadcast(sketch)
     least = -(-percent * (most + 1) // 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,7 +317,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * same >= percent * (len(x) + len(y) - same))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+    pairs = written(pairs, "pairs")
+    side = lambda x: with_ids(sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")), pairs.select(x).distinct(), x)
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -387,7 +386,7 @@ def jaccard_join(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
     rows.  Returns doc_id, n_shingles, component_id (the smallest doc_id reachable by
     links, itself included).
     """
-    rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents[text].alias("text"))
+    rows = small_batches(documents).select(documents["doc_id"].cast("long").alias("doc_id"), documents[text].alias("text"))
     classes = written(_classes(rows, k), "classes")
     several = classes.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("hi", "lo", "rep")
     members = written(classes.join(several, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "members")
