@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import written
+from lorewell.llm._shared import small_batches, written
 from lorewell.llm._tokens import encoded, tokenizer_path
 
 #: Production tokenizer, end id and capacity.
@@ -39,7 +39,7 @@ def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACI
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents[text].alias("text"))
+    rows = small_batches(documents).select(documents["doc_id"].cast("long").alias("doc_id"), documents[text].alias("text"))
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

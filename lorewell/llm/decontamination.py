@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import lower_ascii, span_hashes, spans, text_slices, written
+from lorewell.llm._shared import lower_ascii, small_batches, span_hashes, spans, text_slices, written
 
 #: Words of a window, and words between two documents of a shard (at least a window, so that no phrase runs across).
 WINDOW, GAP = 10, 16
 #: Text of a shard of the index.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 #: Largest benchmark text that is broadcast as queries; a larger benchmark is searched in parts of this size.
 QUERY_BYTES = 64 << 20
 
@@ -127,7 +127,7 @@ def build_index(documents: DataFrame, vocabulary: np.ndarray | None = None, text
                     schema=pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("terms", pa.binary()), ("begins", pa.binary()), ("postings", pa.binary())]),
                 )
 
-    rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents[text].alias("text"))
+    rows = small_batches(documents).select(documents["doc_id"].cast("long").alias("doc_id"), documents[text].alias("text"))
     return rows.mapInArrow(index, INDEX)
 
 

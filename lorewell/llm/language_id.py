@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import text_slices
+from lorewell.llm._shared import small_batches, text_slices
 
 #: Units of each direction, and bytes after which the state starts anew.
 UNITS, SPAN = 8, 96
@@ -208,7 +208,7 @@ def predict(documents: DataFrame, model: ByteTagger, text: str = "text") -> Data
             best, score = labelled(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[best].tolist(), pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    rows = documents.select(documents["doc_id"].alias("doc_id"), (fold(documents["doc_id"]) == 2).alias("held_out"), documents[text].alias("text"))
+    rows = small_batches(documents).select(documents["doc_id"].alias("doc_id"), (fold(documents["doc_id"]) == 2).alias("held_out"), documents[text].alias("text"))
     kind = dict(documents.dtypes)["doc_id"]
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
@@ -227,7 +227,7 @@ def keep_languages(documents: DataFrame, keep: Callable[[str, float], bool], doc
             best, score = labelled(batch.column(place), model)
             yield batch.filter(pa.array([keep(names[b], float(s)) for b, s in zip(best.tolist(), score.tolist(), strict=True)], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return small_batches(documents).mapInArrow(run, documents.schema)
 
 
 def language_id(documents: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lorewell.llm._shared import text_slices
+from lorewell.llm._shared import small_batches, text_slices
 from lorewell.llm._tokens import cache_for, chunks, load, special_strings, tokenizer_path
 
 #: Production tokenizer file and limit.
@@ -167,5 +167,5 @@ def token_count(documents: DataFrame, path: str | None = None, limit: int = LIMI
                             n_tokens[i + k] = len(load(path).encode(own.decode("utf-8", "replace"), add_special_tokens=False).ids)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    rows = documents.select("doc_id", documents[text].alias("text"))
+    rows = small_batches(documents).select("doc_id", documents[text].alias("text"))
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import scratch_path, written
+from lorewell.llm._shared import scratch_path, small_batches, written
 from lorewell.llm._tokens import encoded, tokenizer_path
 
 #: Production tokenizer, end id, zstandard level, and ids after which a frame is closed.
@@ -142,7 +142,7 @@ def write_token_files(documents: DataFrame, folder: str | None = None, path: str
             out.close()
             yield pa.RecordBatch.from_pydict({"ordinal": [TaskContext.get().partitionId()], "file": [name], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]})
 
-    rows = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents[text].alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = small_batches(documents).select(documents["doc_id"].cast("long").alias("doc_id"), documents[text].alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     manifest = written(dealt.mapInArrow(write, "ordinal long, file string, n_docs long, n_tokens long"), "token-manifest")
     return manifest.withColumn("folder", F.lit(folder))
