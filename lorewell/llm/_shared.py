@@ -55,15 +55,16 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of an Arrow batch between Spark and Python while whole texts or sets travel in it.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch between Spark and Python while whole texts or sets travel in it.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """The same rows; from now on the session sends at most BATCH_ROWS rows to Python at once, which bounds a worker's memory."""
+    """The same rows; from now on the session sends at most BATCH_ROWS rows and BATCH_BYTES (or one row) to Python at once, which bounds a worker's memory."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

@@ -18,7 +18,9 @@ import pyarrow as pa
 from lorewell.llm._shared import ragged, span_hashes, spans, text_slices
 
 #: Chunks kept by a worker before the cache starts anew.
-CACHE_CHUNKS = 1_500_000
+CACHE_CHUNKS = 1_000_000
+#: Chunks encoded at a time (the library's results are large while they live).
+ENCODED = 8192
 #: Single-token words sent to the library as one text.
 JOINED = 256
 
@@ -78,8 +80,11 @@ class ChunkCache:
         at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
         new = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), bool)
         if new.any():
-            data = raw.tobytes()
-            flat, lengths = self.encode([data[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            data, parts = raw.tobytes(), []
+            places = list(zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True))
+            for k in range(0, len(places), ENCODED):
+                parts.append(self.encode([data[s:e].decode("utf-8", "replace") for s, e in places[k : k + ENCODED]]))
+            flat, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
             if self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(flat), len(self.flat)), np.uint32)])
             self.flat[self.used : self.used + len(flat)] = flat

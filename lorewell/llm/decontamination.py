@@ -15,7 +15,7 @@ from lorewell.llm._shared import lower_ascii, small_batches, span_hashes, spans,
 #: Words of a window, and words between two documents of a shard (at least a window, so that no phrase runs across).
 WINDOW, GAP = 10, 16
 #: Text of a shard of the index.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 #: Largest benchmark text that is broadcast as queries; a larger benchmark is searched in parts of this size.
 QUERY_BYTES = 64 << 20
 
@@ -162,7 +162,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         by_window = np.argsort(of_window, kind="stable")
         item_begin = np.searchsorted(of_window[by_window], np.arange(len(lengths) + 1))
         for batch in batches:
-            for row in batch.to_pylist():
+            for nth in range(batch.num_rows):
+                row = batch.slice(nth, 1).to_pylist()[0]
                 shard = Shard(row["doc_ids"], row["first"], row["terms"], row["begins"], row["postings"])
                 n = len(shard.doc_ids)
                 cover = np.zeros(int(shard.first[-1]) + 1, np.int32)
