@@ -18,7 +18,7 @@ import pyarrow as pa
 from lorewell.llm._shared import ragged, span_hashes, spans, text_slices
 
 #: Chunks kept by a worker before the cache starts anew.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
 #: Chunks encoded at a time (the library's results are large while they live).
 ENCODED = 8192
 #: Single-token words sent to the library as one text.
