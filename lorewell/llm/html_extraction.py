@@ -33,6 +33,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 
@@ -70,7 +71,6 @@ def parse(page: str) -> Node:
     root = Node("#root")
     stack = [root]
     at = 0
-    lowered = None
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
@@ -97,9 +97,8 @@ def parse(page: str) -> Node:
         node = Node(tag, _marks(tag, m[3]))
         stack[-1].kids.append(node)
         if tag in RAW:
-            lowered = page.lower() if lowered is None else lowered
-            end = lowered.find(f"</{tag}", at)
-            end = len(page) if end < 0 or len(lowered) != len(page) else end
+            closing = _RAW_END[tag].search(page, at)
+            end = closing.start() if closing else len(page)
             node.kids.append(Node("", text=page[at:end]))
             at = page.find(">", end) + 1 or len(page)
         elif tag not in VOID and not m[3].endswith("/"):

@@ -87,6 +87,13 @@ def test_html_never_crashes():
 
 
 # ---- 4
+def test_html_raw_elements_end_where_lower_case_is_longer():
+    from lorewell.llm.html_extraction import extract
+
+    page = "<html><head><TITLE>İstanbul</Title><style>p{}</STYLE></head><body><article><p>İlk söz.</p><script>a()</Script><p>Son söz.</p></article></body></html>"
+    assert extract([page]) == ["İlk söz.\n\nSon söz."]
+
+
 def test_packing_is_whole_and_tight(spark, tokenizer):
     from lorewell.llm.best_fit_packing import best_fit_packing
 
