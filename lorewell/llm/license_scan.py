@@ -67,21 +67,26 @@ RULES = (
     ("Proprietary", ("rights-reserved",)),
 )
 
-#: A sentence ends after . ! or ? and white space (a colon too), and at a line end unless the next line goes on in lower case.
-UNWRAP, ENDS, NOISE = r"\r?\n[ \t]*(?=[a-z(\"])", r"[.!?:]\s+|[\r\n]+", r"[^a-z0-9]+"
+#: A sentence ends after . ! ? : or ; and white space, and at a line end unless the next line goes on in lower case; END marks it (texts are lower case by then).
+UNWRAP, ENDS, NOISE, END = r"\r?\n[ \t]*(?=[a-z(\"])", r"[.!?:;]\s+|[\r\n]+", r"[^a-z0-9X]+", "X"
+#: A known sentence starts and ends at marks and may run over others (wrapped lines, comment marks, colons, "v. 2.0"); of those from one start the shortest.
+KNOWN = f"(?<={END} )(?:" + "|".join(s.replace(" ", f"(?: {END})* ") for s in sorted(SENTENCES, key=len)) + f")(?= {END})"
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case, every run of other characters than a-z and 0-9 one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(sentence), NOISE, " "))
+def marked(text: Column) -> Column:
+    """Lower case, END between the sentences and around all, every run of other characters than a-z and 0-9 one space."""
+    ended = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), UNWRAP, " ")), ENDS, f" {END} ")
+    return F.regexp_replace(F.concat(F.lit(f"{END} "), ended, F.lit(f" {END}")), NOISE, " ")
 
 
 def license_scan(documents: DataFrame, text: str = "text") -> DataFrame:
     """Licences of whole texts, by sentence identifiers matched against ordered rules.
 
-    Each text is cut into sentences, these are normalised and looked up among the
-    known licence sentences, and the identifiers found, in text order, are matched
-    against the ordered rules (a rule's identifiers must stand next to one another).
+    Each text is normalised with the ends of its sentences marked, the known licence
+    sentences are sought from mark to mark, and the identifiers found, in text order,
+    are matched against the ordered rules (a rule's identifiers must stand next to one
+    another).  A known sentence may be wrapped in any way, over comment marks and
+    blank lines too; the SQL knows only those within one of its sentences.
     Where a longer rule matches, the shorter rules it contains still count as the
     same licence; BSD-2-Clause is dropped where BSD-3-Clause matches.  Null and
     empty texts have no sentences and no licence; repeated sentences repeat their
@@ -90,13 +95,8 @@ def license_scan(documents: DataFrame, text: str = "text") -> DataFrame:
     One narrow pass, no shuffle: whole rows are kept and nothing is broadcast.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    found = documents.select(
-        "doc_id",
-        F.filter(
-            F.transform(F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), UNWRAP, " "), ENDS), lambda s: F.try_element_at(known, normalised(s))),
-            lambda s: s.isNotNull(),
-        ).alias("ids"),
-    )
+    sentences = F.regexp_extract_all(marked(F.col(text)), F.lit(KNOWN), F.lit(0))
+    found = documents.select("doc_id", F.transform(sentences, lambda s: F.try_element_at(known, F.replace(s, F.lit(f" {END}"), F.lit("")))).alias("ids"))
     line = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
     hit = [F.when(line.contains(" " + " ".join(ids) + " "), F.lit(name)) for name, ids in RULES]
     names = F.array_sort(F.array_distinct(F.filter(F.array(*hit), lambda x: x.isNotNull())))

@@ -59,6 +59,76 @@ def test_license_rules(spark):
 
 
 # ---- 3
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_license_canonical_texts(spark):
+    from lorewell.llm.license_scan import license_scan
+
+    whole = [(MIT, "MIT", 3), (APACHE, "Apache-2.0", 5), (GPL.format(":", ",", 3), "GPL-3.0-or-later", 3), (GPL.format(";", ";", 2), "GPL-2.0-or-later", 3), (MPL, "MPL-2.0", 2), (BSD, "BSD-3-Clause", 4)]
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "".join(f"# {x}\n" for x in t.splitlines()), lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\n"]
+    cases = [(form("Some prose\n\n" + t), name, n) for t, name, n in whole for form in forms]
+    cases += [("It is not licensed under the MIT License.", "", 0), ("Licensed under the Apache License, Version 2.0.\nThe License.", "Apache-2.0", 1), ("It is not\nlicensed under the MIT License.", "", 0)]
+    got = license_scan(docs(spark, [t for t, *_ in cases])).orderBy("doc_id").collect()
+    assert [(r["licenses"], r["n_sentences"]) for r in got] == [(name, n) for _, name, n in cases]
+
+
 PAGE = '<!DOCTYPE html><html><head><title>t{0}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header><h2>Site</h2></header><nav><ul><li><a href=x>Menu {0}</a></li></ul></nav><div class="ad-box">Buy {0}</div>{1}<div id="comments"><p>nice {0}</p></div><aside>side {0}</aside><div class="cookie-notice">We use cookies</div><footer>&copy; {0}</footer></body></html>'
 
 
