@@ -145,15 +145,26 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("score", F.round("score", 6) + F.lit(0.0)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("u", "i", "rank", "score")
 
 
-def padded(top: DataFrame, users: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Top lists filled up to k with items that have no score (0), smallest id first.
+def padded(top: DataFrame, users: DataFrame, items: DataFrame, k: int, seen: DataFrame | None = None) -> DataFrame:
+    """Top lists filled up to k with items that have no score (0), smallest id first; with `seen`, items of (u, i) there come after all others, at -inf.
 
-    Only the first k items and as many more as a user may already have can be
-    needed, so the filling side is at most 2 k items; zeros outrank negative scores."""
-    filling = F.broadcast(items.select("i").distinct().orderBy("i").limit(2 * k))
+    Only the first k items and as many more as a user may already have (in the list,
+    or in `seen`) can be needed, so a user is filled from the first 2 k items and one
+    more for each seen item; zeros outrank negative scores."""
+    items = items.select("i").distinct()
     short = users.select("u").distinct().join(top.groupBy("u").agg(F.sum((F.col("score") >= 0).cast("int")).alias("n")), "u", "left").where(F.coalesce("n", F.lit(0)) < k).select("u")
-    zeros = short.join(filling).join(top.select("u", "i"), ["u", "i"], "left_anti").withColumn("score", F.lit(0.0)).select("u", "i", "score")
-    return top_k(top.select("u", "i", "score").unionByName(zeros), k)
+    if seen is None:
+        filling = F.broadcast(items.orderBy("i").limit(2 * k))
+        zeros = short.join(filling).join(top.select("u", "i"), ["u", "i"], "left_anti").withColumn("score", F.lit(0.0)).select("u", "i", "score")
+        return top_k(top.select("u", "i", "score").unionByName(zeros), k)
+    own = seen.select("u", "i").distinct().join(items, "i", "left_semi").join(short, "u", "left_semi")
+    need = short.join(own.groupBy("u").agg(F.count("*").alias("hidden")), "u", "left").select("u", F.coalesce("hidden", F.lit(0)).alias("hidden"))
+    most = need.agg(F.max("hidden")).first()[0] or 0
+    first = items.orderBy("i").limit(2 * k + most).withColumn("place", F.row_number().over(Window.orderBy("i")))
+    zeros = need.join(F.broadcast(first), F.col("place") <= F.col("hidden") + 2 * k).select("u", "i", F.lit(0.0).alias("score"))
+    zeros = zeros.join(top.select("u", "i"), ["u", "i"], "left_anti").join(own, ["u", "i"], "left_anti")
+    last = own.join(need.where(F.col("hidden") > items.count() - k), "u", "left_semi").select("u", "i", F.lit(float("-inf")).alias("score"))
+    return top_k(top.select("u", "i", "score").unionByName(zeros).unionByName(last), k)
 
 
 def join_scores(profile: DataFrame, links: DataFrame, score: str = "s") -> DataFrame:
@@ -186,5 +197,4 @@ def collaborative_top_k(users: DataFrame, items: DataFrame, profile: DataFrame,
     scores = join_scores(profile, similar)
     if seen is not None:
         scores = scores.join(seen.select("u", "i").distinct(), ["u", "i"], "left_anti")
-        return padded(top_k(scores, k), users, items.join(seen.select("i").distinct(), "i", "left_anti"), k)
-    return padded(top_k(scores, k), users, items, k)
+    return padded(top_k(scores, k), users, items, k, seen)

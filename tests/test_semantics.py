@@ -98,6 +98,20 @@ def test_block_and_join_scores_agree(spark):
     assert blocks == joins and len(blocks) == data.n_users * 5
 
 
+@pytest.mark.parametrize("k", [5, 11])
+def test_block_and_join_scores_agree_with_seen_items(spark, monkeypatch, k):
+    data, full = _data(spark)
+    sparse = ix(spark, [(20, 0, 1), (20, 1, 2), *[(21, i, i) for i in range(9)]])
+    data = models.Data(data.train.unionByName(sparse), full.unionByName(sparse).unionByName(ix(spark, [(22, 0, 0)])), full)
+    m = models.HistoryFilterRecommender(30).fit(data)
+    listed = lambda df: sorted((r["u"], r["rank"], r["i"], r["score"]) for r in df.collect())
+    blocks = listed(m.predict(k))
+    monkeypatch.setattr(scoring, "cosine_side", lambda *a, **b: None)
+    assert listed(m.predict(k)) == blocks and len(blocks) == data.n_users * k
+    assert [r[2] for r in blocks if r[0] == 22][:3] == [0, 1, 2]
+    assert [r[2] for r in blocks if r[0] == 21 and r[3] > -math.inf] == [9, 10] or k == 11
+
+
 def test_production_score_against_dense_arithmetic(spark):
     import numpy as np
 
