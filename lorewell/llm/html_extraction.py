@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lorewell.llm._shared import small_batches
 
-#: Pages of a host that are aligned together; constant text must stand in so many different pages, and in this share of them.
+#: Pages of a host that are aligned together (up to twice as many, so that no small rest is left); constant text must stand in so many different pages, and in this share of them.
 GROUP, LEAST_PAGES, CONSTANT_SHARE = 32, 4, 0.9
 #: Longest child lists aligned by dynamic programming; beyond it (product of lengths) children are paired by tag in order.
 MOST_CELLS = 40_000
@@ -353,9 +353,10 @@ def extract(pages: list[str | None]) -> list[str]:
 def html_extraction(pages: DataFrame) -> DataFrame:
     """Main text of whole pages.
 
-    Pages are dealt by range of (host, a hash of the page) and sorted by it, so a hot
-    host spreads over many tasks, and each task cuts a host's run of pages into groups
-    of at most GROUP.  In a group the DOM trees of the different pages are aligned by
+    The pages of a host are one group, those of a host with 2 GROUP pages or more are
+    dealt into groups of GROUP to 2 GROUP in the mean by a hash of the page, and groups
+    are dealt by range of (host, group), so a hot host spreads over many tasks and a
+    group stays whole whatever the number of tasks.  In a group the DOM trees of the different pages are aligned by
     simple tree matching into a wrapper; blocks whose text is the same in nearly all of
     at least LEAST_PAGES different pages are template and go, as do menus, headers,
     footers, sidebars, notices, adverts, forms, hidden elements, scripts, styles and
@@ -364,11 +365,14 @@ def html_extraction(pages: DataFrame) -> DataFrame:
 
     Null and empty html gives an empty text; a null url is a host of its own; repeated
     rows are repeated pages; an empty table gives no rows.  Returns page_id, url, text,
-    n_chars.  One shuffle of the pages; a task holds a batch and a group of them.
+    n_chars.  One shuffle of the pages, one pass over the urls before it,
+    whose large hosts are broadcast; a task holds a batch and a group of pages.
     """
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    large = pages.groupBy(host.alias("host")).count().where(F.col("count") >= 2 * GROUP).select("host", F.floor(F.col("count") / GROUP).alias("parts"))
     rows = small_batches(pages).select("page_id", "url", "html").withColumn("host", host).withColumn("tie", F.xxhash64("page_id", "url"))
-    dealt = rows.repartitionByRange("host", "tie").sortWithinPartitions("host", "tie").select("page_id", "url", "html", "host")
+    rows = rows.join(F.broadcast(large), "host", "left").withColumn("part", F.pmod("tie", F.coalesce("parts", F.lit(1))))
+    dealt = rows.repartitionByRange("host", "part").sortWithinPartitions("host", "part", "tie").select("page_id", "url", "html", "host", "part")
     kind = dict(pages.dtypes)["page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,9 +386,11 @@ def html_extraction(pages: DataFrame) -> DataFrame:
 
         for batch in batches:
             id_type = batch.schema.field("page_id").type
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host")), strict=True):
-                if held and (len(held) == GROUP or held[0][3] != row[3]):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "part")), strict=True):
+                if held and held[0][3:] != row[3:]:
                     yield finished(len(held))
+                elif len(held) == 2 * GROUP:
+                    yield finished(GROUP)
                 held.append(row)
         if held:
             yield finished(len(held))

@@ -164,6 +164,16 @@ def test_html_raw_elements_end_where_lower_case_is_longer():
     assert extract([page]) == ["İlk söz.\n\nSon söz."]
 
 
+def test_html_template_goes_from_every_page_of_a_host(spark):
+    from lorewell.llm.html_extraction import html_extraction
+
+    page = "<html><body><article><h1>Title {0}</h1><p>Story {0} is told here.</p><p>All stories are made up.</p></article></body></html>"
+    rows = [(1000 * n + k, f"https://h{n}.example/{k}", page.format(1000 * n + k)) for n in (5, 33, 35, 66, 131) for k in range(n)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r["page_id"]: r["text"] for r in html_extraction(df).collect()}
+    assert got == {k: f"Title {k}\n\nStory {k} is told here." for k, _, _ in rows}
+
+
 def test_packing_is_whole_and_tight(spark, tokenizer):
     from lorewell.llm.best_fit_packing import best_fit_packing
 
