@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +16,10 @@ from lorewell.llm._shared import small_batches
 
 #: Pages of a host that are aligned together (up to twice as many, so that no small rest is left); constant text must stand in so many different pages, and in this share of them.
 GROUP, LEAST_PAGES, CONSTANT_SHARE = 32, 4, 0.9
-#: Longest child lists aligned by dynamic programming; beyond it (product of lengths) children are paired by tag in order.
+#: Largest table (product of the lengths of two child lists) of the dynamic programme; beyond it the lists are halved first (Hirschberg).
 MOST_CELLS = 40_000
+#: Texts of a block that are kept as they are; a longer one is kept by its digest.
+SHORT_TEXT = 64
 
 # HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -151,33 +155,59 @@ def align(left: list, right: list) -> list[tuple[int, int]]:
         n, m = n - 1, m - 1
         tail.append((n, m))
     if n > a and m > a:
-        rows, columns = n - a, m - a
-        if rows * columns <= MOST_CELLS:
-            weight = [[0] * (columns + 1) for _ in range(rows + 1)]
-            gain = [[_matches(left[a + i], right[a + j]) for j in range(columns)] for i in range(rows)]
-            for i in range(rows):
-                for j in range(columns):
-                    weight[i + 1][j + 1] = max(weight[i][j + 1], weight[i + 1][j], weight[i][j] + gain[i][j])
-            middle, i, j = [], rows, columns
-            while i and j:
-                if gain[i - 1][j - 1] and weight[i][j] == weight[i - 1][j - 1] + gain[i - 1][j - 1]:
-                    middle.append((a + i - 1, a + j - 1))
-                    i, j = i - 1, j - 1
-                elif weight[i][j] == weight[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
-            pairs += middle[::-1]
+        x, y = left[a:n], right[a:m]
+        if len(x) * len(y) <= MOST_CELLS:
+            middle = _programme([[_matches(p, q) for q in y] for p in x])
         else:
-            j = a
-            for i in range(a, n):
-                k = next((k for k in range(j, m) if _alike(left[i], right[k])), None)
-                if k is not None:
-                    pairs.append((i, k))
-                    j = k + 1
+            shapes: dict[tuple, int] = {}
+            xs, ys = (np.array([_shape(k, shapes) for k in kids]) for kids in (x, y))
+            (kinds, first, of_x), (others, second, of_y) = (np.unique(k, return_index=True, return_inverse=True) for k in (xs, ys))
+            table = np.array([[_matches(x[i], y[j]) for j in second] for i in first], np.int64)
+            middle = _halved(table, of_x, of_y)
+        pairs += [(a + i, a + j) for i, j in middle]
     return pairs + tail[::-1]
 
 
+def _programme(gain: list[list[int]]) -> list[tuple[int, int]]:
+    """Pairs in order with the largest sum of gains."""
+    rows, columns = len(gain), len(gain[0]) if gain else 0
+    weight = [[0] * (columns + 1) for _ in range(rows + 1)]
+    for i in range(rows):
+        for j in range(columns):
+            weight[i + 1][j + 1] = max(weight[i][j + 1], weight[i + 1][j], weight[i][j] + gain[i][j])
+    pairs, i, j = [], rows, columns
+    while i and j:
+        if gain[i - 1][j - 1] and weight[i][j] == weight[i - 1][j - 1] + gain[i - 1][j - 1]:
+            pairs.append((i - 1, j - 1))
+            i, j = i - 1, j - 1
+        elif weight[i][j] == weight[i - 1][j]:
+            i -= 1
+        else:
+            j -= 1
+    return pairs[::-1]
+
+
+def _halved(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """The same for long lists of kinds, whose gains are in a table: the left list is halved where both halves together gain most."""
+    if len(x) <= 1 or len(x) * len(y) <= MOST_CELLS:
+        return _programme(table[x][:, y].tolist())
+
+    def gains(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        row = np.zeros(len(y) + 1, np.int64)
+        for k in x:
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + table[k][y]))
+        return row
+
+    i = len(x) // 2
+    j = int(np.argmax(gains(x[:i], y) + gains(x[i:][::-1], y[::-1])[::-1]))
+    return _halved(table, x[:i], y[:j]) + [(i + p, j + q) for p, q in _halved(table, x[i:], y[j:])]
+
+
+def _shape(node, shapes: dict[tuple, int]) -> int:
+    """The number of a subtree's shape: nodes of one shape match any other node equally well."""
+    return shapes.setdefault((node.tag, node.marks & (FURNITURE | MAIN), *(_shape(k, shapes) for k in node.kids if k.tag)), len(shapes))
+
+
 def _matches(a, b) -> int:
     """Nodes matched below and including two nodes."""
     if not _alike(a, b):
@@ -221,7 +251,9 @@ class Wrapper:
         length = 0
         for k in node.kids:
             length += self._into(k.slot, k) if k.tag else len(k.text)
-        text = _SPACE.sub(" ", node.content()).strip() if node.tag in BLOCK and length < 2000 and not any(k.tag in BLOCK for k in elements) else ""
+        text = _SPACE.sub(" ", node.content()).strip() if node.tag in BLOCK and not any(k.tag in BLOCK for k in elements) else ""
+        if len(text) > SHORT_TEXT:
+            text = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if text:
             slot.texts[text] = slot.texts.get(text, 0) + 1
         slot.length += length

@@ -174,6 +174,24 @@ def test_html_template_goes_from_every_page_of_a_host(spark):
     assert got == {k: f"Title {k}\n\nStory {k} is told here." for k, _, _ in rows}
 
 
+def test_html_long_notices_and_long_child_lists():
+    from lorewell.llm.html_extraction import MOST_CELLS, Node, _halved, _matches, _programme, align, extract
+
+    notice = "This notice is long. " * 200
+    pages = [f"<html><body><article><p>Story {k} is told here.</p><p>{notice}</p></article></body></html>" for k in range(6)]
+    assert extract(pages) == [f"Story {k} is told here." for k in range(6)]
+
+    left, right = [Node("h2"), *[Node("p") for _ in range(250)]], [Node("h3"), *[Node("p") for _ in range(250)], Node("h2")]
+    assert len(left) * len(right) > MOST_CELLS and len(align(left, right)) == 250
+    rng = np.random.default_rng(0)
+    a, b = ([Node("ph"[k]) for k in rng.integers(0, 2, n)] for n in (330, 290))
+    table = np.array([[_matches(p, q) for q in (Node("p"), Node("h"))] for p in (Node("p"), Node("h"))])
+    x, y = (np.array(["ph".index(n.tag) for n in nodes]) for nodes in (a, b))
+    pairs = _halved(table, x, y)
+    assert len(pairs) == len(_programme(table[x][:, y].tolist())) and all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:], strict=False))
+    assert all(x[i] == y[j] for i, j in pairs)
+
+
 def test_packing_is_whole_and_tight(spark, tokenizer):
     from lorewell.llm.best_fit_packing import best_fit_packing
 
