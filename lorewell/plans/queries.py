@@ -203,7 +203,7 @@ def topk_ease(spark, d):
 
 @query()
 def topk_hybrid(spark, d):
-    return models.semantic_hybrid(factors=50).fit(_data(spark, d, I.event_interactions, vectors=True)).predict(10)
+    return models.semantic_hybrid().fit(_data(spark, d, I.event_interactions, vectors=True)).predict(10)
 
 
 @query()
@@ -236,15 +236,14 @@ def map_at_10(spark, d):
 def grid_search(spark, d):
     data = _data(spark, d, I.event_interactions, vectors=True)
     truth = loading.validation_part(I.event_interactions(spark, d)).persist()
-    return tuning.grid_search(data, truth, alphas=(0.5, 0.7), weights=((0.5, 0.5),), rebuys=(0.0, 0.5), pops=(0.2,), half_lives=(1, 250), factors=20)
+    return tuning.grid_search(data, truth)
 
 
 @query()
 def experiments(spark, d):
     data = _data(spark, d, I.event_interactions, vectors=True)
     truth = loading.validation_part(I.event_interactions(spark, d)).persist()
-    chosen = {k: models.MODELS[k] for k in ("bm25", "sequential", "ease", "svd", "popularity")}
-    return tuning.run_experiments(chosen, data, truth)
+    return tuning.run_experiments(models.MODELS, data, truth)
 
 
 # ---- statistics

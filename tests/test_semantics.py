@@ -230,3 +230,21 @@ def test_encoder_is_unit_and_deterministic(spark):
     items = spark.createDataFrame([(1, "été rouge"), (2, "")], "i long, s string")
     got = {r["i"]: r["e"] for r in encode(items, F.col("s")).collect()}
     assert sum(x * x for x in got[1]) == pytest.approx(1.0) and not any(got[2])
+
+
+def test_tuning_queries_run_the_whole_grid_and_all_models(spark, monkeypatch):
+    from lorewell.plans import queries, tuning
+
+    calls = []
+    monkeypatch.setattr(queries, "_data", lambda *a, **b: None)
+    monkeypatch.setattr(queries.loading, "validation_part", lambda ix: spark.range(0))
+    monkeypatch.setattr(queries.I, "event_interactions", lambda *a: None)
+    monkeypatch.setattr(queries.tuning, "grid_search", lambda data, truth, **changes: calls.append(changes))
+    monkeypatch.setattr(queries.tuning, "run_experiments", lambda chosen, data, truth: calls.append(chosen))
+    monkeypatch.setattr(models.EnsembleRecommender, "fit", lambda self, data: calls.append(self.factors) or self)
+    monkeypatch.setattr(models.EnsembleRecommender, "predict", lambda self, k=10: None)
+    queries.grid_search(spark, "")
+    queries.experiments(spark, "")
+    queries.topk_hybrid(spark, "")
+    assert calls == [{}, models.MODELS, 100]
+    assert len(tuning.ALPHAS) * len(tuning.WEIGHTS) * len(tuning.REBUYS) * len(tuning.POPS) == 192
