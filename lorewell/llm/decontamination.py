@@ -16,7 +16,7 @@ from lorewell.llm._shared import lower_ascii, small_batches, span_hashes, spans,
 WINDOW, GAP = 10, 16
 #: Text of a shard of the index.
 SHARD_BYTES = 2 << 20
-#: Largest benchmark text that is broadcast as queries; a larger benchmark is searched in parts of this size.
+#: Largest benchmark text that is broadcast at once; a larger benchmark is searched in parts of this size (an item is in one part).
 QUERY_BYTES = 64 << 20
 
 INDEX = "shard long, doc_ids array<long>, first array<long>, terms binary, begins binary, postings binary"
@@ -131,6 +131,20 @@ def build_index(documents: DataFrame, vocabulary: np.ndarray | None = None, text
     return rows.mapInArrow(index, INDEX)
 
 
+def _parts(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """The (item_id, text) rows of a benchmark, in parts of at most QUERY_BYTES of text or one item; one part at least."""
+    part: list[tuple] = []
+    size = 0
+    for item, text in benchmark.select("item_id", "text").toLocalIterator():
+        own = len(text.encode()) if text else 0
+        if part and size + own > QUERY_BYTES:
+            yield part
+            part, size = [], 0
+        part.append((None if item is None else str(item), text))
+        size += own
+    yield part
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
     """What of each document occurs in the benchmark, by exact windows of words.
 
@@ -139,7 +153,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     in shards; each shard intersects the offset-adjusted posting lists of every
     window from its rarest term on.  The index holds the words of the benchmark
     (no other word can take part in an answer).  The benchmark's windows go to
-    all tasks; its size is checked, and a larger benchmark than QUERY_BYTES raises.
+    all tasks, those of a larger benchmark than QUERY_BYTES in parts: a task holds
+    one part at a time and joins what the parts cover and the items they hit.
 
     Null and empty texts have no words.  Equal item texts are hit together; rows
     with the same item_id are one item; items with a null id count as one, which the
@@ -147,49 +162,61 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     items_sha256, contaminated.
     """
     spark = documents.sparkSession
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > QUERY_BYTES:
-        raise ValueError(f"the benchmark holds {size} bytes of text; search it in parts of at most {QUERY_BYTES}")
-    items = [(None if r[0] is None else str(r[0]), r[1]) for r in benchmark.select("item_id", "text").collect()]
-    table, lengths, of_window, of_item = query_windows(items, window)
-    vocabulary = np.unique(table[np.arange(table.shape[1]) < lengths[:, None]])
+    vocabulary, queries = np.zeros(0, np.uint64), []
+    for items in _parts(benchmark):
+        table, lengths, of_window, of_item = query_windows(items, window)
+        vocabulary = np.union1d(vocabulary, table[np.arange(table.shape[1]) < lengths[:, None]])
+        queries.append(spark.sparkContext.broadcast((table, lengths, of_window, of_item, [i for i, _ in items])))
     index = written(build_index(documents, vocabulary, text), "positional-index")
-    names = [i for i, _ in items]
-    queries = spark.sparkContext.broadcast((table, lengths, of_window, of_item, names))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, lengths, of_window, of_item, names = queries.value
-        by_window = np.argsort(of_window, kind="stable")
-        item_begin = np.searchsorted(of_window[by_window], np.arange(len(lengths) + 1))
         for batch in batches:
-            for nth in range(batch.num_rows):
-                row = batch.slice(nth, 1).to_pylist()[0]
-                shard = Shard(row["doc_ids"], row["first"], row["terms"], row["begins"], row["postings"])
-                n = len(shard.doc_ids)
-                cover = np.zeros(int(shard.first[-1]) + 1, np.int32)
-                hits: dict[int, set] = {}
-                for k in range(len(lengths)):
-                    found = shard.phrase(table[k, : lengths[k]])
-                    if len(found):
-                        np.add.at(cover, found, 1)
-                        np.add.at(cover, found + lengths[k], -1)
-                        own = {names[x] for x in of_item[by_window[item_begin[k] : item_begin[k + 1]]].tolist()}
-                        for d in np.unique(np.searchsorted(shard.first, found, "right") - 1).tolist():
-                            hits.setdefault(d, set()).update(own)
-                n_words = np.diff(shard.first) - GAP
-                inside = np.concatenate([[0], np.cumsum(np.cumsum(cover) > 0)])
-                n_hit = inside[shard.first[1:]] - inside[shard.first[:-1]]
-                n_items = np.zeros(n, np.int64)
-                empty = hashlib.sha256(b"").hexdigest()
-                digest = [empty] * n
-                for d, own in hits.items():
-                    n_items[d] = len(own)
-                    digest[d] = hashlib.sha256(",".join(sorted(own - {None})).encode()).hexdigest()
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(digest), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            # parts are read anew for each step, so several parts take a batch of shards at once
+            step = 1 if len(queries) == 1 else max(batch.num_rows, 1)
+            for nth in range(0, batch.num_rows, step):
+                shards = [Shard(r["doc_ids"], r["first"], r["terms"], r["begins"], r["postings"]) for r in batch.slice(nth, step).to_pylist()]
+                covers = [np.zeros(int(shard.first[-1]) + 1, np.int32) for shard in shards]
+                hits: list[dict[int, set]] = [{} for _ in shards]
+                for part in queries:
+                    _search(part.value, shards, covers, hits)
+                    if len(queries) > 1:
+                        vars(part).pop("_value", None)
+                for shard, cover, own in zip(shards, covers, hits, strict=True):
+                    yield _found(shard, cover, own)
 
     return index.mapInArrow(search, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
+def _search(query: tuple, shards: list[Shard], covers: list[np.ndarray], hits: list[dict[int, set]]) -> None:
+    """Adds what one part of the benchmark covers of each shard, and the items it hits there."""
+    table, lengths, of_window, of_item, names = query
+    by_window = np.argsort(of_window, kind="stable")
+    item_begin = np.searchsorted(of_window[by_window], np.arange(len(lengths) + 1))
+    for shard, cover, hit in zip(shards, covers, hits, strict=True):
+        for k in range(len(lengths)):
+            found = shard.phrase(table[k, : lengths[k]])
+            if len(found):
+                np.add.at(cover, found, 1)
+                np.add.at(cover, found + lengths[k], -1)
+                own = {names[x] for x in of_item[by_window[item_begin[k] : item_begin[k + 1]]].tolist()}
+                for d in np.unique(np.searchsorted(shard.first, found, "right") - 1).tolist():
+                    hit.setdefault(d, set()).update(own)
+
+
+def _found(shard: Shard, cover: np.ndarray, hits: dict[int, set]) -> pa.RecordBatch:
+    """The rows of a shard's documents."""
+    n = len(shard.doc_ids)
+    n_words = np.diff(shard.first) - GAP
+    inside = np.concatenate([[0], np.cumsum(np.cumsum(cover) > 0)])
+    n_hit = inside[shard.first[1:]] - inside[shard.first[:-1]]
+    n_items = np.zeros(n, np.int64)
+    digest = [hashlib.sha256(b"").hexdigest()] * n
+    for d, own in hits.items():
+        n_items[d] = len(own)
+        digest[d] = hashlib.sha256(",".join(sorted(own - {None})).encode()).hexdigest()
+    return pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(n_words), pa.array(n_hit), pa.array(n_items), pa.array(digest), pa.array(n_hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
+
 ORACLE_SQL = """
 WITH dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents

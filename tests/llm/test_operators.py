@@ -278,6 +278,18 @@ def test_decontamination_against_brute_force(spark):
 
 
 # ---- 6
+def test_decontamination_searches_a_large_benchmark_in_parts(spark, monkeypatch):
+    from lorewell.llm import decontamination as D
+
+    items = [" ".join(f"w{(7 * k + j) % 90}" for j in range(14)) for k in range(12)]
+    texts = [None, "", items[3], "a " + items[5] + " b " + items[11], " ".join(items), "nothing of it"]
+    bench = spark.createDataFrame([(k % 9, t) for k, t in enumerate(items)] + [(None, items[0]), (20, None)], "item_id long, text string")
+    whole = sorted(map(tuple, D.decontaminate(docs(spark, texts), bench).collect()))
+    monkeypatch.setattr(D, "QUERY_BYTES", 100)
+    assert len(list(D._parts(bench))) > 5
+    assert sorted(map(tuple, D.decontaminate(docs(spark, texts), bench).collect())) == whole and sum(r[5] for r in whole) == 3
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
