@@ -13,12 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Odd 64-bit multiplier of the byte polynomial, and its inverse modulo 2^64.
-PRIME = 0x9E6C63D0876A9A47
-INVERSE = pow(PRIME, -1, 1 << 64)
 #: Bytes of text that are split and hashed at a time (a longer text is taken alone).
 SLICE_BYTES = 2 << 20
 #: One odd multiplier for each word of a shingle.
@@ -26,11 +24,12 @@ GRAM = np.random.default_rng(20260101).integers(1, 1 << 63, 64, dtype=np.uint64)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir, which only a local session may leave unset (its one machine shares everything)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "lorewell-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
@@ -128,19 +127,6 @@ def spans(inside: np.ndarray, offsets: np.ndarray, cut: np.ndarray | None = None
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n + 1:
-        size = max(n + 1, SLICE_BYTES + 1)
-        for k, base in enumerate((PRIME, INVERSE)):
-            table = np.full(size, np.uint64(base))
-            table[0] = 1
-            _powers[k] = np.cumprod(table)
-    return _powers[0], _powers[1]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (murmur's finaliser)."""
     h = h ^ (h >> np.uint64(33))
@@ -151,13 +137,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def distinct_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct byte strings of ascending, disjoint spans, compared byte by byte, and for each span the place of its own."""
+    if not len(starts):
+        return [], np.zeros(0, np.int32)
+    edge = np.zeros(len(raw) + 1, np.int8)
+    edge[starts] += 1
+    edge[ends] -= 1
+    data = raw[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    own = coded.dictionary
+    bounds, held = np.frombuffer(own.buffers()[1], np.int64, len(own) + 1).tolist(), own.buffers()[2].to_pybytes()
+    return [held[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], coded.indices.to_numpy()
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes: equal bytes, equal hash, wherever they stand."""
-    up, down = _power_tables(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mixed(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    """The xxh3 of each span's bytes (64 bits): equal bytes, equal hash, wherever they stand."""
+    words, at = distinct_spans(raw, starts, ends)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[at]
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -180,22 +178,45 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - before, lengths)
 
 
+#: A key is frequent where it holds more than one in FREQUENT rows: there are fewer than FREQUENT such keys, so a list of them may be broadcast.
+FREQUENT = 1000
+
+
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], spread: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """`rows` (any number for a key) joined with `values` (one row for a key), frequent keys split.
+
+    The rows of a frequent key are dealt by a hash of column `spread` to parts of at
+    most one in FREQUENT rows in the mean, and its value goes to each of them; all
+    values together are copied fewer than 2 FREQUENT times.  `counts` (keys, n) may
+    give the rows of each key, `total` those of all, where they are known."""
+    if counts is None:
+        counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = max(1, rows.count() if total is None else total)
+    many = F.broadcast(counts.where(F.col("n") * FREQUENT > total).select(*keys, F.ceil(F.col("n") * FREQUENT / total).cast("long").alias("_lorewell_parts")))
+    left = rows.join(many, keys, "left").withColumn("_lorewell_part", F.pmod(F.xxhash64(spread), F.coalesce("_lorewell_parts", F.lit(1).cast("long")))).drop("_lorewell_parts")
+    parts = F.sequence(F.lit(0).cast("long"), F.coalesce("_lorewell_parts", F.lit(1).cast("long")) - 1)
+    right = values.join(many, keys, "left").withColumn("_lorewell_part", F.explode(parts)).drop("_lorewell_parts")
+    return left.join(right, [*keys, "_lorewell_part"], how).drop("_lorewell_part")
+
+
 def components(edges: DataFrame, tag: str) -> DataFrame:
     """Connected components by alternating large-star and small-star rounds.
 
     `edges` has long columns a and b.  Returns (id, component): for each vertex of
     an edge the smallest vertex reachable from it.  Each round is two shuffles of
-    the edges with partial aggregation; the edge table is written to the shared
+    the edges with partial aggregation, a hub's edges split; the edge table is written to the shared
     folder between rounds, and no vertex list ever reaches the driver."""
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{tag}-edges")
     before = None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.greatest("v", "m").alias("x"), "m").union(least.select(F.col("u").alias("x"), "m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both.where("v > u"), least.drop("n"), ["u"], "v", counts=least, total=2 * e.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, f"{tag}-stars")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, least.drop("n"), ["u"], "v", counts=least).select(F.greatest("v", "m").alias("x"), "m").union(least.select(F.col("u").alias("x"), "m"))
         new = written(small.where("x <> m").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), f"{tag}-edges")
+        drop_written(large)
         drop_written(e)
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         e = new

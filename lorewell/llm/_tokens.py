@@ -15,10 +15,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from lorewell.llm._shared import ragged, span_hashes, spans, text_slices
+from lorewell.llm._shared import distinct_spans, ragged, spans, text_slices
 
-#: Chunks kept by a worker before the cache starts anew.
-CACHE_CHUNKS = 500_000
+#: Chunks, and bytes of chunks, kept by a worker before the cache starts anew.
+CACHE_CHUNKS, CACHE_BYTES = 250_000, 8 << 20
 #: Chunks encoded at a time (the library's results are large while they live).
 ENCODED = 8192
 #: Single-token words sent to the library as one text.
@@ -61,41 +61,37 @@ def chunks(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class ChunkCache:
-    """From chunk hash to what `encode` gives for the chunk: its ids, laid out flat."""
+    """From the bytes of a chunk to what `encode` gives for it: its ids, laid out flat."""
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.place: dict[bytes, int] = {}
+        self.held = 0
         self.flat, self.used, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def lookup(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The cache row of each chunk; unseen ones are encoded first."""
-        hashes = span_hashes(raw, starts, ends)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE_CHUNKS:
+        if not len(starts):
+            return np.zeros(0, np.int64)
+        if len(self.place) > CACHE_CHUNKS or self.held > CACHE_BYTES:
             self.clear()
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
-        new = self.keys[at] != distinct if len(self.keys) else np.ones(len(distinct), bool)
-        if new.any():
-            data, parts = raw.tobytes(), []
-            places = list(zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True))
-            for k in range(0, len(places), ENCODED):
-                parts.append(self.encode([data[s:e].decode("utf-8", "replace") for s, e in places[k : k + ENCODED]]))
+        distinct, back = distinct_spans(raw, starts, ends)
+        new = [w for w in distinct if w not in self.place]
+        if new:
+            parts = [self.encode([w.decode("utf-8", "replace") for w in new[k : k + ENCODED]]) for k in range(0, len(new), ENCODED)]
             flat, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
             if self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(flat), len(self.flat)), np.uint32)])
             self.flat[self.used : self.used + len(flat)] = flat
-            rows = len(self.starts) + np.arange(len(lengths))
+            self.place.update(zip(new, range(len(self.starts), len(self.starts) + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.used += len(flat)
-            where = np.searchsorted(self.keys, distinct[new])
-            self.keys, self.rows = np.insert(self.keys, where, distinct[new]), np.insert(self.rows, where, rows)
-            at = np.searchsorted(self.keys, distinct)
-        return self.rows[at][back]
+            self.held += sum(map(len, new))
+        return np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[back]
 
 
 def _one_word(w: str) -> bool:

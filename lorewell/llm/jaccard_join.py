@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import components, gram_hashes, lower_ascii, mixed, small_batches, span_hashes, spans, text_slices, with_ids, written
+from lorewell.llm._shared import components, gram_hashes, lower_ascii, mixed, small_batches, span_hashes, spans, spread_join, text_slices, with_ids, written
 
 #: Words of a shingle, and the threshold in hundredths.
 SHINGLE, PERCENT = 5, 80
@@ -20,6 +20,8 @@ SHINGLE, PERCENT = 5, 80
 MOST_SMALL = 24
 #: Shingles of a block of postings; members of a tile of a list; bits of the difference filter; counters of the frequency sketch.
 BLOCK, TILE, BITS, COUNTERS = 2_000_000, 1024, 1024, 1 << 18
+#: Bytes of a posting, and of a bucket of them (as many buckets as the shingles of all documents need).
+POSTING, BUCKET_BYTES = 6, 8 << 20
 #: A posting that several documents of its block share.
 SHARED = 0xFFFF
 
@@ -83,14 +85,14 @@ def _classes(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, hi long, lo long")
 
 
-def _with_shared_shingles(rows: DataFrame, n_docs: int, k: int, percent: int) -> DataFrame:
+def _with_shared_shingles(rows: DataFrame, n_shingles: int, k: int, percent: int) -> DataFrame:
     """doc_ids of documents enough of whose shingles occur in other documents too (a superset of all that link).
 
     Postings go packed, by ranges of the hash: a block of documents sends each of
     its shingles once, without a document where several of the block hold it, so
     a shingle of a third of all rows costs a posting for each block.
     """
-    bits = min(17, max(4, (n_docs // 2000).bit_length()))
+    bits = min(32, max(4, (POSTING * n_shingles // BUCKET_BYTES).bit_length()))
     schema = "bucket long, block long, rest binary, docs binary, doc_ids binary, lack binary"
     names = ["bucket", "block", "rest", "docs", "doc_ids", "lack"]
 
@@ -238,6 +240,7 @@ def _small_links(sets: DataFrame, most: int, percent: int) -> DataFrame:
     """Links of small sets with small sets: sets that hold the same subset of the needed size, around one of the smaller size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choices: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             reps, keys, less = [], [], []
             for row in batch.to_pylist():
@@ -247,18 +250,21 @@ def _small_links(sets: DataFrame, most: int, percent: int) -> DataFrame:
                     c = needed(n, s, percent)
                     if s > most or c > n:
                         continue
+                    if (n, c) not in choices:
+                        choices[n, c] = np.array(list(combinations(range(n), c)), np.uint8)
                     a, b = min(n, s), max(n, s)
                     salt = mixed(np.array([a << 32 | b], np.uint64))[0]
-                    for sub in combinations(range(n), c):
-                        h = mixed(np.bitwise_xor.reduce(mixed(own[list(sub)] ^ salt), keepdims=True) + salt)
-                        keys.append(int(h[0]) - (1 << 63))
-                        reps.append(row["rep"])
-                        less.append(n == a)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(reps, pa.int64()), pa.array(less, pa.bool_())], ["key", "rep", "less"])
+                    h = mixed(np.bitwise_xor.reduce(mixed(own ^ salt)[choices[n, c]], axis=1) + salt)
+                    keys.append(h.view(np.int64))
+                    reps.append(np.full(len(h), row["rep"]))
+                    less.append(np.full(len(h), n == a))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, reps, less)], ["key", "rep", "less"])
 
     keyed = sets.where(F.col("n") <= most).mapInArrow(run, "key long, rep long, less boolean")
-    centre = keyed.groupBy("key").agg(F.min(F.when(F.col("less"), F.col("rep"))).alias("a"), F.count("*").alias("c")).where("c > 1 AND a IS NOT NULL").select("key", "a")
-    return keyed.join(centre, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    centre = written(keyed.groupBy("key").agg(F.min(F.when(F.col("less"), F.col("rep"))).alias("a"), F.count("*").alias("n")).where("n > 1 AND a IS NOT NULL"), "subset-centres")
+    total = centre.agg(F.sum("n")).first()[0] or 0
+    return spread_join(keyed, centre.drop("n"), ["key"], "rep", counts=centre, total=total).where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
 
 
 def _inverted_lists(sets: DataFrame, most: int, sketch: np.ndarray, percent: int) -> DataFrame:
@@ -283,8 +289,8 @@ def _inverted_lists(sets: DataFrame, most: int, sketch: np.ndarray, percent: int
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(reps))], ["h", "rep"])
 
     postings = written(sets.where(F.col("n") >= least).select("rep", "shingles").mapInArrow(run, "h long, rep long"), "postings")
-    heads = postings.groupBy("h").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1")
-    return written(postings.join(heads, "h"), "inverted-lists")
+    heads = written(postings.groupBy("h").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1"), "list-heads")
+    return written(spread_join(postings, heads, ["h"], "rep", counts=heads.withColumnRenamed("c", "n")), "inverted-lists")
 
 
 def _words(bits: list[bytes]) -> np.ndarray:
@@ -302,7 +308,10 @@ def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok = may_reach(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), percent)
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
+    pairs = written(pairs, "list-pairs")
+    total = pairs.count()
+    both = spread_join(spread_join(pairs, side("a"), ["a"], "b", counts=pairs.groupBy("a").agg(F.count("*").alias("n")), total=total), side("b"), ["b"], "a", counts=pairs.groupBy("b").agg(F.count("*").alias("n")), total=total)
+    return both.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -319,7 +328,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     pairs = written(pairs, "pairs")
     side = lambda x: with_ids(sets.select(F.col("rep").alias(x), F.col("shingles").alias(f"s{x}")), pairs.select(x).distinct(), x)
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    total = pairs.count()
+    both = spread_join(spread_join(pairs, side("a"), ["a"], "b", counts=pairs.groupBy("a").agg(F.count("*").alias("n")), total=total), side("b"), ["b"], "a", counts=pairs.groupBy("b").agg(F.count("*").alias("n")), total=total)
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -335,8 +345,8 @@ def _large_links(sets: DataFrame, lists: DataFrame, most: int, percent: int) ->
     first = written(_verified(heads, sets, percent), "first-links")
     labels = components(first, "labels")
     labelled = lists.join(labels, F.col("rep") == F.col("id"), "left").select("h", "rep", "c", F.coalesce("component", "rep").alias("label"))
-    mixed_lists = labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-    open_lists = written(labelled.join(mixed_lists, "h", "left_semi"), "open-lists")
+    mixed_lists = written(labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y"), "mixed-lists")
+    open_lists = written(spread_join(labelled, mixed_lists.select("h"), ["h"], "rep", "left_semi", counts=mixed_lists, total=lists.count()), "open-lists")
     groups = max(1, -(-open_lists.count() // 8192))
     placed = (
         open_lists.withColumn("g", F.ceil(F.col("c") / TILE))
@@ -388,9 +398,11 @@ def jaccard_join(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
     """
     rows = small_batches(documents).select(documents["doc_id"].cast("long").alias("doc_id"), documents[text].alias("text"))
     classes = written(_classes(rows, k), "classes")
-    several = classes.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("hi", "lo", "rep")
-    members = written(classes.join(several, ["hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "members")
-    shared = _with_shared_shingles(rows, classes.count(), k, percent)
+    n_docs, n_shingles = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    several = written(classes.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1"), "equal-sets")
+    copies = spread_join(classes, several.select("hi", "lo", "rep"), ["hi", "lo"], "doc_id", "left", counts=several.withColumnRenamed("c", "n"), total=n_docs)
+    members = written(copies.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "members")
+    shared = _with_shared_shingles(rows, n_shingles, k, percent)
     reps = written(shared.join(members, "doc_id").select(F.col("rep").alias("doc_id")).distinct(), "candidates")
     kept = with_ids(rows, reps, "doc_id")
     sets = written(_sets(kept, k).dropDuplicates(["rep"]), "shingle-sets")
@@ -403,7 +415,9 @@ def jaccard_join(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
     if most:
         links = links.unionByName(_small_links(sets, most, percent))
     found = components(links, "links")
-    return members.join(found, F.col("rep") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    sizes = several.groupBy("rep").agg(F.sum("c").alias("n"))
+    whole = spread_join(members, found.withColumnRenamed("id", "rep"), ["rep"], "doc_id", "left", counts=sizes, total=n_docs)
+    return whole.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
 
 
 ORACLE_SQL = """
