@@ -8,7 +8,7 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -178,6 +178,32 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - before, lengths)
 
 
+#: Counters of a slice of an array that is summed over tasks.
+SLICE = 1 << 16
+
+
+def sum_arrays(rows: DataFrame, add: Callable[[pa.RecordBatch, np.ndarray], None], length: int) -> np.ndarray:
+    """The sum over all tasks of int64 arrays of a fixed length, to which `add` adds each batch; slices are summed on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(length, np.int64)
+        for batch in batches:
+            add(batch, total)
+        for k in range(0, length, SLICE):
+            if total[k : k + SLICE].any():
+                yield pa.RecordBatch.from_pydict({"slice": [k], "counts": [total[k : k + SLICE].tobytes()]})
+
+    def summed(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.int64) for x in table["counts"].to_pylist()], axis=0)
+        return pa.table({"slice": table["slice"].slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(length, np.int64)
+    for r in rows.mapInArrow(run, "slice long, counts binary").groupBy("slice").applyInArrow(summed, "slice long, counts binary").collect():
+        own = np.frombuffer(r["counts"], np.int64)
+        out[r["slice"] : r["slice"] + len(own)] = own
+    return out
+
+
 #: A key is frequent where it holds more than one in FREQUENT rows: there are fewer than FREQUENT such keys, so a list of them may be broadcast.
 FREQUENT = 1000
 

@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import lower_ascii, small_batches, span_hashes, spans, text_slices, written
+from lorewell.llm._shared import gram_hashes, lower_ascii, mixed, ragged, small_batches, span_hashes, spans, sum_arrays, text_slices, written
 
-#: Words of a window, and words between two documents of a shard (at least a window, so that no phrase runs across).
-WINDOW, GAP = 10, 16
+#: Words of a window, and positions left free between two documents of a shard (a phrase needs a word at each, so none runs across).
+WINDOW, GAP = 10, 1
 #: Text of a shard of the index.
 SHARD_BYTES = 2 << 20
 #: Largest benchmark text that is broadcast at once; a larger benchmark is searched in parts of this size (an item is in one part).
-QUERY_BYTES = 64 << 20
+QUERY_BYTES = 8 << 20
+#: Places of rarest terms that are followed at a time.
+PLACES = 1 << 20
 
-INDEX = "shard long, doc_ids array<long>, first array<long>, terms binary, begins binary, postings binary"
+INDEX = "doc_ids array<long>, first array<long>, terms binary, begins binary, postings binary"
 
 
 def words(texts: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -31,106 +34,187 @@ def words(texts: pa.Array, limit: int) -> Iterator[tuple[int, int, np.ndarray, n
         yield i, j, span_hashes(low, starts, ends), first
 
 
-def query_windows(rows: list[tuple], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct windows of the benchmark: their words (padded), lengths, and the (window, item) pairs."""
-    index: dict[bytes, int] = {}
-    of_window, of_item, shapes = [], [], []
-    if rows:
-        texts = pa.array([t for _, t in rows], pa.string())
-        for i, j, hashes, first in words(texts, QUERY_BYTES):
-            for k in range(j - i):
-                own = hashes[first[k] : first[k + 1]]
-                size = min(window, len(own))
-                for a in range(len(own) - size + 1 if size else 0):
-                    w = own[a : a + size]
-                    key = w.tobytes()
-                    if key not in index:
-                        index[key] = len(index)
-                        shapes.append(w)
-                    of_window.append(index[key])
-                    of_item.append(i + k)
-    lengths = np.fromiter(map(len, shapes), np.int64, len(shapes))
-    table = np.zeros((len(shapes), window), np.uint64)
-    for k, w in enumerate(shapes):
-        table[k, : len(w)] = w
-    return table, lengths, np.array(of_window, np.int64), np.array(of_item, np.int64)
+@dataclass
+class Queries:
+    """The distinct windows of one part of the benchmark, dealt by their rarest terms.
+
+    A window is words[start : start + size].  `order` holds the places of its words
+    from the rarest to the most frequent of the corpus; `terms` are the rarest terms,
+    the windows of term k are own[begin[k] : begin[k + 1]].  The items that hold window w
+    are items[item_begin[w] : item_begin[w + 1]], positions in `names`."""
+
+    words: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    items: np.ndarray
+    item_begin: np.ndarray
+    names: list
+    order: np.ndarray | None = None
+    terms: np.ndarray | None = None
+    begin: np.ndarray | None = None
+    own: np.ndarray | None = None
+
+    def rank(self, vocabulary: np.ndarray, counts: np.ndarray) -> Queries:
+        """Orders the words of every window by their count in the corpus."""
+        longest = int(self.size.max(initial=1))
+        place = np.arange(longest)
+        at = np.minimum(self.start[:, None] + place, max(len(self.words) - 1, 0))
+        count = np.zeros(at.shape, np.int64) if not at.size else counts[np.searchsorted(vocabulary, self.words)][at]
+        count[place >= self.size[:, None]] = np.iinfo(np.int64).max
+        self.order = np.argsort(count, axis=1, kind="stable").astype(np.uint8 if longest <= 256 else np.int64)
+        rarest = self.words[self.start + self.order[:, 0]] if len(self.start) else self.words[:0]
+        self.own = np.argsort(rarest, kind="stable")
+        self.terms, self.begin = np.unique(rarest[self.own], return_index=True)
+        self.begin = np.append(self.begin, len(self.own))
+        return self
+
+
+def query_windows(rows: list[tuple], window: int = WINDOW) -> Queries:
+    """The distinct windows of (item_id, text) rows; an item of fewer words than `window`, but some, is one window."""
+    hashes, lengths = [], []
+    for _, _, own, first in words(pa.array([t for _, t in rows], pa.string()), QUERY_BYTES):
+        hashes.append(own)
+        lengths.append(np.diff(first))
+    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    lengths = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
+    names = list(dict.fromkeys(n for n, _ in rows))
+    number = {n: k for k, n in enumerate(names)}
+    of_row = np.array([number[n] for n, _ in rows], np.int64)
+    begin = np.cumsum(lengths) - lengths
+    sizes = np.minimum(lengths, window)
+    n_windows = np.where(lengths > 0, lengths - sizes + 1, 0)
+    start, size, item = ragged(begin, n_windows), np.repeat(sizes, n_windows), np.repeat(of_row, n_windows)
+    keys = np.zeros((len(start), 2), np.uint64)
+    for n in np.unique(size).tolist():
+        some = size == n
+        for side, salt in enumerate((0, 0x9E3779B97F4A7C15)):
+            keys[some, side] = gram_hashes(mixed(flat ^ np.uint64(salt)), n)[start[some]]
+    _, first, back = np.unique(np.column_stack([keys, size.astype(np.uint64)]), axis=0, return_index=True, return_inverse=True) if len(start) else (None, start, start)
+    pairs = np.unique(np.column_stack([back.ravel(), item]), axis=0)
+    return Queries(flat, start[first], size[first], pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1)), names)
 
 
 class Shard:
-    """One shard of the index: postings (ascending positions) of each indexed term."""
+    """One shard of the index: postings (ascending positions) of each term that its documents hold."""
 
     def __init__(self, doc_ids, first, terms: bytes, begins: bytes, postings: bytes):
         self.doc_ids, self.first = doc_ids, np.asarray(first, np.int64)
-        self.terms, self.begins, self.postings = np.frombuffer(terms, np.uint64), np.frombuffer(begins, np.uint32), np.frombuffer(postings, np.uint32).astype(np.int64)
-
-    def postings_of(self, term: np.uint64) -> np.ndarray:
-        at = int(np.searchsorted(self.terms, term))
-        if at == len(self.terms) or self.terms[at] != term:
-            return self.postings[:0]
-        return self.postings[self.begins[at] : self.begins[at + 1]]
-
-    def phrase(self, window: np.ndarray) -> np.ndarray:
-        """Positions where the window's words stand one after the other: offset-adjusted lists, rarest term first."""
-        lists = [(len(p), k, p) for k, p in enumerate(map(self.postings_of, window))]
-        lists.sort(key=lambda x: x[:2])
-        if not lists or not lists[0][0]:
-            return self.postings[:0]
-        found = lists[0][2] - lists[0][1]
-        for size, k, p in lists[1:]:
-            if not len(found):
-                break
-            at = np.minimum(np.searchsorted(p, found + k), size - 1)
-            found = found[p[at] == found + k]
-        return found
-
-    def near(self, window: np.ndarray, within: int) -> np.ndarray:
-        """Positions of the rarest of the words that have all the others within so many words, in any order, in the same document."""
-        lists = sorted((self.postings_of(w) for w in np.unique(window)), key=len)
-        if not lists or not len(lists[0]):
-            return self.postings[:0]
-        found = lists[0]
-        doc = np.searchsorted(self.first, found, "right")
-        for p in lists[1:]:
-            if not len(p):
-                return self.postings[:0]
-            at = np.searchsorted(p, found)
-            ok = np.zeros(len(found), bool)
-            for side in (np.maximum(at - 1, 0), np.minimum(at, len(p) - 1)):
-                ok |= (np.abs(p[side] - found) <= within) & (np.searchsorted(self.first, p[side], "right") == doc)
-            found, doc = found[ok], doc[ok]
-        return found
-
-
-def build_index(documents: DataFrame, vocabulary: np.ndarray | None = None, text: str = "text") -> DataFrame:
-    """Postings of whole texts in shards of documents; with a sorted `vocabulary` of word hashes, of these words only.
-
-    Every document is in exactly one shard with all its words counted; a shard's
-    postings are sorted by term, then position.
+        self.terms, self.begins, self.postings = np.frombuffer(terms, np.uint64), np.frombuffer(begins, np.uint32).astype(np.int64), np.frombuffer(postings, np.uint32).astype(np.int64)
+        #: every posting with the number of its term before it: ascending, so one search finds a position in any term's list
+        self.places = np.repeat(np.arange(len(self.terms), dtype=np.int64), np.diff(self.begins)) << 32 | self.postings
+
+    def documents_of(self, positions: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, positions, "right") - 1
+
+    def numbers_of(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each term, or -1 where the shard does not hold it."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
+
+    def rarest(self, q: Queries) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, position of its rarest term) for every posting of a rarest term: only terms that both sides hold cost anything."""
+        if len(q.terms) <= len(self.terms):
+            number = self.numbers_of(q.terms)
+            mine = np.flatnonzero(number >= 0)
+            number = number[mine]
+        else:
+            at = np.minimum(np.searchsorted(q.terms, self.terms), max(len(q.terms) - 1, 0))
+            number = np.flatnonzero(q.terms[at] == self.terms) if len(q.terms) else at[:0]
+            mine = at[number]
+        listed, windows = np.diff(self.begins)[number], np.diff(q.begin)[mine]
+        # a row for each window of a found term; of a long list a stretch at a time
+        window = q.own[ragged(q.begin[mine], windows)]
+        begin, length = np.repeat(self.begins[number], windows), np.repeat(listed, windows)
+        done = 0
+        while done < len(window):
+            total = np.cumsum(length[done:])
+            stop = done + max(1, int(np.searchsorted(total, PLACES, "right")))
+            yield np.repeat(window[done:stop], length[done:stop]), self.postings[ragged(begin[done:stop], length[done:stop])]
+            done = stop
+
+    def phrases(self, q: Queries) -> tuple[np.ndarray, np.ndarray]:
+        """(window, position) where a window's words stand one after the other: offset-adjusted lists, from the rarest term on."""
+        windows, positions = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for window, position in self.rarest(q):
+            start = position - q.order[window, 0]
+            for k in range(1, q.order.shape[1]):
+                going = np.flatnonzero(k < q.size[window])
+                if not len(going):
+                    break
+                offset = q.order[window[going], k].astype(np.int64)
+                number = self.numbers_of(q.words[q.start[window[going]] + offset])
+                wish = number << 32 | (start[going] + offset)
+                at = np.minimum(np.searchsorted(self.places, wish), len(self.places) - 1)
+                keep = np.ones(len(window), bool)
+                keep[going] = (number >= 0) & (start[going] + offset >= 0) & (self.places[at] == wish)
+                window, start = window[keep], start[keep]
+            windows.append(window)
+            positions.append(start)
+        return np.concatenate(windows), np.concatenate(positions)
+
+    def near(self, q: Queries, within: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, position of its rarest term) where all its words stand within so many words of it, in any order, in the same document."""
+        windows, positions = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for window, position in self.rarest(q):
+            for k in range(1, q.order.shape[1]):
+                going = np.flatnonzero(k < q.size[window])
+                if not len(going):
+                    break
+                number = self.numbers_of(q.words[q.start[window[going]] + q.order[window[going], k]])
+                wish, doc = number << 32 | position[going], self.documents_of(position[going])
+                at = np.searchsorted(self.places, wish)
+                ok = np.zeros(len(going), bool)
+                for side in (np.maximum(at - 1, 0), np.minimum(at, len(self.places) - 1)):
+                    there = self.places[side]
+                    ok |= (there >> 32 == number) & (np.abs(there - wish) <= within) & (self.documents_of(there & 0xFFFFFFFF) == doc)
+                keep = np.ones(len(window), bool)
+                keep[going] = ok
+                window, position = window[keep], position[keep]
+            windows.append(window)
+            positions.append(position)
+        return np.concatenate(windows), np.concatenate(positions)
+
+
+def build_index(documents: DataFrame, text: str = "text") -> DataFrame:
+    """Postings of all words of whole texts, in shards of documents.
+
+    Every document is in exactly one shard; a shard's postings are sorted by term,
+    then position.
     """
-    known = documents.sparkSession.sparkContext.broadcast(vocabulary) if vocabulary is not None else None
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs = batch.column("doc_id").to_pylist()
             for i, j, hashes, first in words(batch.column("text"), SHARD_BYTES):
                 position = np.arange(len(hashes)) + np.repeat(np.arange(j - i), np.diff(first)) * GAP
-                if known is not None:
-                    v = known.value
-                    at = np.minimum(np.searchsorted(v, hashes), max(len(v) - 1, 0))
-                    keep = v[at] == hashes if len(v) else np.zeros(len(hashes), bool)
-                    hashes, position = hashes[keep], position[keep]
                 order = np.argsort(hashes, kind="stable")
                 terms, begin = np.unique(hashes[order], return_index=True)
                 begins = np.append(begin, len(order)).astype(np.uint32)
                 yield pa.RecordBatch.from_pydict(
-                    {"shard": [i], "doc_ids": [docs[i:j]], "first": [(first + np.arange(j - i + 1) * GAP).tolist()], "terms": [terms.tobytes()], "begins": [begins.tobytes()], "postings": [position[order].astype(np.uint32).tobytes()]},
-                    schema=pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("terms", pa.binary()), ("begins", pa.binary()), ("postings", pa.binary())]),
+                    {"doc_ids": [docs[i:j]], "first": [(first + np.arange(j - i + 1) * GAP).tolist()], "terms": [terms.tobytes()], "begins": [begins.tobytes()], "postings": [position[order].astype(np.uint32).tobytes()]},
+                    schema=pa.schema([("doc_ids", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("terms", pa.binary()), ("begins", pa.binary()), ("postings", pa.binary())]),
                 )
 
     rows = small_batches(documents).select(documents["doc_id"].cast("long").alias("doc_id"), documents[text].alias("text"))
     return rows.mapInArrow(index, INDEX)
 
 
+def corpus_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each word of a sorted vocabulary (the benchmark's) occurs in the whole corpus, from the index alone."""
+    known = index.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        for terms, begins in zip(batch.column("terms").to_pylist(), batch.column("begins").to_pylist(), strict=True):
+            own, sizes = np.frombuffer(terms, np.uint64), np.diff(np.frombuffer(begins, np.uint32).astype(np.int64))
+            at = np.minimum(np.searchsorted(known.value, own), len(known.value) - 1)
+            mine = known.value[at] == own
+            total[at[mine]] += sizes[mine]
+
+    return sum_arrays(index.select("terms", "begins"), count, len(vocabulary))
+
+
 def _parts(benchmark: DataFrame) -> Iterator[list[tuple]]:
     """The (item_id, text) rows of a benchmark, in parts of at most QUERY_BYTES of text or one item; one part at least."""
     part: list[tuple] = []
@@ -145,29 +229,39 @@ def _parts(benchmark: DataFrame) -> Iterator[list[tuple]]:
     yield part
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """What of each document occurs in the benchmark, by exact windows of words.
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", within: int | None = None, index: DataFrame | None = None) -> DataFrame:
+    """What of each document occurs in the benchmark, by exact windows of words and, on request, by words near one another.
 
     A window is `window` consecutive words of an item (all its words if it has
-    fewer, but some).  The index of the documents is written to the shared folder
-    in shards; each shard intersects the offset-adjusted posting lists of every
-    window from its rarest term on.  The index holds the words of the benchmark
-    (no other word can take part in an answer).  The benchmark's windows go to
-    all tasks, those of a larger benchmark than QUERY_BYTES in parts: a task holds
-    one part at a time and joins what the parts cover and the items they hit.
+    fewer, but some).  The positional index holds all words of all documents and is
+    written to the shared folder (or given as `index`, from build_index, for many
+    benchmarks).  Windows are dealt by their rarest term in the whole corpus; a shard
+    follows only the postings of rarest terms that it holds, and intersects them with
+    the offset-adjusted lists of the other words, so the work follows the corpus and
+    the places found, not windows times shards.  The windows go to all tasks, those
+    of a larger benchmark than QUERY_BYTES in parts: a task holds one part at a time
+    and joins what the parts cover and the items they hit.
 
     Null and empty texts have no words.  Equal item texts are hit together; rows
     with the same item_id are one item; items with a null id count as one, which the
-    digest leaves out; repeated rows are repeated documents.  Returns doc_id, n_words, n_hit, n_items,
-    items_sha256, contaminated.
+    digest leaves out; repeated rows are repeated documents; an empty table of
+    documents gives no rows, an empty benchmark hits nothing.  Returns doc_id,
+    n_words, n_hit, n_items, items_sha256, contaminated; with `within` also
+    near_items, the sorted ids of items with a window all of whose words stand within
+    so many words of its rarest one, in any order.
     """
     spark = documents.sparkSession
-    vocabulary, queries = np.zeros(0, np.uint64), []
+    index = written(build_index(documents, text), "positional-index") if index is None else index
+    parts, vocabulary = [], np.zeros(0, np.uint64)
     for items in _parts(benchmark):
-        table, lengths, of_window, of_item = query_windows(items, window)
-        vocabulary = np.union1d(vocabulary, table[np.arange(table.shape[1]) < lengths[:, None]])
-        queries.append(spark.sparkContext.broadcast((table, lengths, of_window, of_item, [i for i, _ in items])))
-    index = written(build_index(documents, vocabulary, text), "positional-index")
+        own = query_windows(items, window)
+        parts.append(spark.sparkContext.broadcast(own))
+        vocabulary = np.union1d(vocabulary, own.words)
+    counts = corpus_counts(index, vocabulary) if len(vocabulary) else np.zeros(0, np.int64)
+    queries = []
+    for part in parts:
+        queries.append(spark.sparkContext.broadcast(part.value.rank(vocabulary, counts)))
+        part.destroy()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,30 +271,31 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                 shards = [Shard(r["doc_ids"], r["first"], r["terms"], r["begins"], r["postings"]) for r in batch.slice(nth, step).to_pylist()]
                 covers = [np.zeros(int(shard.first[-1]) + 1, np.int32) for shard in shards]
                 hits: list[dict[int, set]] = [{} for _ in shards]
+                close: list[dict[int, set]] = [{} for _ in shards]
                 for part in queries:
-                    _search(part.value, shards, covers, hits)
+                    q = part.value
+                    for shard, cover, hit, by in zip(shards, covers, hits, close, strict=True):
+                        found, at = shard.phrases(q)
+                        np.add.at(cover, at, 1)
+                        np.add.at(cover, at + q.size[found], -1)
+                        _name(shard, q, found, at, hit)
+                        if within is not None:
+                            _name(shard, q, *shard.near(q, within), by)
                     if len(queries) > 1:
                         vars(part).pop("_value", None)
-                for shard, cover, own in zip(shards, covers, hits, strict=True):
-                    yield _found(shard, cover, own)
-
-    return index.mapInArrow(search, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
-
-
-def _search(query: tuple, shards: list[Shard], covers: list[np.ndarray], hits: list[dict[int, set]]) -> None:
-    """Adds what one part of the benchmark covers of each shard, and the items it hits there."""
-    table, lengths, of_window, of_item, names = query
-    by_window = np.argsort(of_window, kind="stable")
-    item_begin = np.searchsorted(of_window[by_window], np.arange(len(lengths) + 1))
-    for shard, cover, hit in zip(shards, covers, hits, strict=True):
-        for k in range(len(lengths)):
-            found = shard.phrase(table[k, : lengths[k]])
-            if len(found):
-                np.add.at(cover, found, 1)
-                np.add.at(cover, found + lengths[k], -1)
-                own = {names[x] for x in of_item[by_window[item_begin[k] : item_begin[k + 1]]].tolist()}
-                for d in np.unique(np.searchsorted(shard.first, found, "right") - 1).tolist():
-                    hit.setdefault(d, set()).update(own)
+                for shard, cover, hit, by in zip(shards, covers, hits, close, strict=True):
+                    out = _found(shard, cover, hit)
+                    yield out if within is None else out.append_column("near_items", pa.array([sorted(by.get(d, set()) - {None}) for d in range(len(shard.doc_ids))], pa.list_(pa.string())))
+
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    return index.mapInArrow(search, schema if within is None else f"{schema}, near_items array<string>")
+
+
+def _name(shard: Shard, q: Queries, windows: np.ndarray, positions: np.ndarray, hits: dict[int, set]) -> None:
+    """Adds the items of found windows to the documents where they were found."""
+    pairs = np.unique(np.column_stack([shard.documents_of(positions), windows]), axis=0)
+    for d, w in pairs.tolist():
+        hits.setdefault(d, set()).update(q.names[x] for x in q.items[q.item_begin[w] : q.item_begin[w + 1]].tolist())
 
 
 def _found(shard: Shard, cover: np.ndarray, hits: dict[int, set]) -> pa.RecordBatch:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import components, gram_hashes, lower_ascii, mixed, small_batches, span_hashes, spans, spread_join, text_slices, with_ids, written
+from lorewell.llm._shared import components, gram_hashes, lower_ascii, mixed, small_batches, span_hashes, spans, spread_join, sum_arrays, text_slices, with_ids, written
 
 #: Words of a shingle, and the threshold in hundredths.
 SHINGLE, PERCENT = 5, 80
@@ -219,21 +219,12 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
 
 def _frequency_sketch(sets: DataFrame) -> np.ndarray:
     """Counters of how often shingles occur, by low bits of the hash: of fixed size, summed on the executors."""
-    parts = 16
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
-            total += np.bincount((flat & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_pydict({"part": list(range(parts)), "counts": [p.astype("<u4").tobytes() for p in np.split(total, parts)]})
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist()), np.zeros(COUNTERS // parts, np.int64))
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+        total += np.bincount((flat & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
 
-    rows = sets.select("shingles").mapInArrow(run, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary").orderBy("part").collect()
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows]) if rows else np.zeros(COUNTERS, np.int64)
+    return sum_arrays(sets.select("shingles"), add, COUNTERS)
 
 
 def _small_links(sets: DataFrame, most: int, percent: int) -> DataFrame:

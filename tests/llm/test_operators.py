@@ -257,7 +257,7 @@ def brute_decontamination(texts, items, window=10):
 
 
 def test_decontamination_against_brute_force(spark):
-    from lorewell.llm.decontamination import Shard, build_index, decontaminate
+    from lorewell.llm.decontamination import decontaminate
 
     rng = np.random.default_rng(0)
     vocab = ["The", "the", "été", "Zoo", "a1", "x"]
@@ -269,12 +269,55 @@ def test_decontamination_against_brute_force(spark):
     assert got == brute_decontamination(texts, items)
     assert decontaminate(df.limit(0), bench).count() == 0
     assert not any(r["n_hit"] for r in decontaminate(df, bench.limit(0)).collect())
-    row = build_index(docs(spark, ["one two three four", "four one"]).coalesce(1)).first()
-    shard = Shard(row["doc_ids"], row["first"], row["terms"], row["begins"], row["postings"])
-    from lorewell.llm.decontamination import query_windows
+    near = [r["near_items"] for r in decontaminate(docs(spark, ["one two three four", "four x one", "one", None, "x four " + "y " * 9 + "one"]), spark.createDataFrame([(7, "One four"), (8, "four")], "item_id long, text string"), within=3).orderBy("doc_id").collect()]
+    assert near == [["7", "8"], ["7", "8"], [], [], ["8"]]
 
-    w = query_windows([("q", "one four")])[0][0][:2]
-    assert len(shard.near(w, 3)) == 2 and len(shard.near(w, 1)) == 1 and len(shard.phrase(w)) == 0
+
+@pytest.mark.parametrize("within", [2, 6])
+def test_proximity_against_brute_force(spark, monkeypatch, within):
+    from lorewell.llm import decontamination as D
+
+    monkeypatch.setattr(D, "PLACES", 7)
+    rng = np.random.default_rng(within)
+    say = lambda n: " ".join(rng.choice(list("abcdefgh"), n))
+    items, texts = [(k, say(int(rng.integers(1, 5)))) for k in range(8)], [say(int(rng.integers(0, 25))) for _ in range(25)]
+    got = D.decontaminate(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), window=3, within=within).orderBy("doc_id").collect()
+    assert [tuple(r)[1:6] for r in D.decontaminate(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), window=3).orderBy("doc_id").collect()] == brute_decontamination(texts, items, 3)
+    count = {w: sum(t.split().count(w) for t in texts) for w in "abcdefgh"}
+    for r, t in zip(got, texts, strict=True):
+        w, want = t.split(), set()
+        for item, it in items:
+            x = it.split()
+            for a in range(max(1, len(x) - 2)):
+                own = x[a : a + 3]
+                rare = min(own, key=lambda v: count[v])
+                if any(v == rare and all(o in w[max(0, p - within) : p + within + 1] for o in own) for p, v in enumerate(w)):
+                    want.add(str(item))
+        assert r["near_items"] == sorted(want)
+
+
+def test_decontamination_follows_matches():
+    """Ten times the windows, none of them met: the places followed stay as few as the shared rarest terms give."""
+    import pyarrow as pa
+
+    from lorewell.llm import decontamination as D
+
+    def followed(n):
+        q = D.query_windows([(str(k), " ".join(f"q{k}x{j} common" for j in range(8))) for k in range(n)])
+        hashes = np.concatenate([h for _, _, h, _ in D.words(pa.array(["q0x0 common " * 5 + "common text " * 500]), 1 << 20)])
+        order = np.argsort(hashes, kind="stable")
+        terms, begin = np.unique(hashes[order], return_index=True)
+        shard = D.Shard([1], [0, len(hashes) + 1], terms.tobytes(), np.append(begin, len(order)).astype(np.uint32).tobytes(), order.astype(np.uint32).tobytes())
+        vocabulary = np.unique(q.words)
+        counts = np.zeros(len(vocabulary), np.int64)
+        at = np.searchsorted(vocabulary, terms)
+        ok = (at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == terms)
+        counts[at[ok]] = np.diff(np.append(begin, len(order)))[ok]
+        q.rank(vocabulary, counts)
+        assert not len(shard.phrases(q)[0])
+        return sum(len(w) for w, _ in shard.rarest(q))
+
+    assert followed(1000) <= followed(100) <= 5 * 8
 
 
 # ---- 6
