@@ -38,10 +38,14 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/lorewell/{tag}-{uuid.uuid4().hex}"
 
 
+#: Row group of intermediate tables: what a task holds of one while it writes or reads (rows may be large).
+ROW_GROUP = 16 << 20
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` written once to the shared folder and read back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

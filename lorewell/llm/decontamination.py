@@ -11,16 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import gram_hashes, lower_ascii, mixed, ragged, small_batches, span_hashes, spans, sum_arrays, text_slices, written
+from lorewell.llm._shared import give_back, gram_hashes, lower_ascii, mixed, ragged, small_batches, span_hashes, spans, sum_arrays, text_slices, written
 
 #: Words of a window, and positions left free between two documents of a shard (a phrase needs a word at each, so none runs across).
 WINDOW, GAP = 10, 1
 #: Text of a shard of the index.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Largest benchmark text that is broadcast at once; a larger benchmark is searched in parts of this size (an item is in one part).
 QUERY_BYTES = 8 << 20
 #: Places of rarest terms that are followed at a time.
-PLACES = 1 << 20
+PLACES = 1 << 18
 
 INDEX = "doc_ids array<long>, first array<long>, terms binary, begins binary, postings binary"
 
@@ -286,6 +286,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                 for shard, cover, hit, by in zip(shards, covers, hits, close, strict=True):
                     out = _found(shard, cover, hit)
                     yield out if within is None else out.append_column("near_items", pa.array([sorted(by.get(d, set()) - {None}) for d in range(len(shard.doc_ids))], pa.list_(pa.string())))
+            give_back()
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
     return index.mapInArrow(search, schema if within is None else f"{schema}, near_items array<string>")
