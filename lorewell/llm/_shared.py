@@ -45,7 +45,7 @@ ROW_GROUP = 16 << 20
 def written(df: DataFrame, tag: str) -> DataFrame:
     """`df` written once to the shared folder and read back: cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,7 @@ from lorewell.llm._shared import give_back, gram_hashes, lower_ascii, mixed, rag
 #: Words of a window, and positions left free between two documents of a shard (a phrase needs a word at each, so none runs across).
 WINDOW, GAP = 10, 1
 #: Text of a shard of the index.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Largest benchmark text that is broadcast at once; a larger benchmark is searched in parts of this size (an item is in one part).
 QUERY_BYTES = 8 << 20
 #: Places of rarest terms that are followed at a time.
