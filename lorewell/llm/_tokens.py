@@ -18,7 +18,7 @@ import pyarrow as pa
 from lorewell.llm._shared import distinct_spans, ragged, spans, text_slices
 
 #: Chunks, and bytes of chunks, kept by a worker before the cache starts anew.
-CACHE_CHUNKS, CACHE_BYTES = 250_000, 8 << 20
+CACHE_CHUNKS, CACHE_BYTES = 400_000, 8 << 20
 #: Chunks encoded at a time (the library's results are large while they live).
 ENCODED = 8192
 #: Single-token words sent to the library as one text.

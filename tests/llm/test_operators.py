@@ -234,6 +234,53 @@ def test_crossover_keeps_every_piece():
     assert len(p.fills(population[0])) <= len(p.fills(p.fresh(0.0)))
 
 
+def triples(n, capacity, seed=1):
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n // 3):
+        a = int(rng.integers(int(capacity * 0.38), int(capacity * 0.49) + 1))
+        b = int(rng.integers(capacity // 4, (capacity - a) // 2))
+        out += [a, b, capacity - a - b]
+    return np.sort(np.array(out))[::-1].copy()
+
+
+@pytest.mark.parametrize("n", [120, 501, 3000])
+def test_genetic_packing_beats_best_fit_on_triples(n):
+    from lorewell.llm.best_fit_packing import EPOCHS, GENERATIONS, POPULATION, Packer
+
+    p = Packer(triples(n, 4096), 4096, np.random.default_rng(0))
+    assert p.bound == n // 3
+    population = []
+    for _ in range(EPOCHS):
+        population = p.evolve(population, GENERATIONS, POPULATION)
+    for bins in population:
+        assert (bins >= 0).all() and p.fills(bins).max() <= 4096 and p.fills(bins).min() > 0
+    assert len(p.fills(population[0])) <= n // 3 + 1 and len(p.fills(p.fresh(0.0))) > 1.05 * n // 3
+
+
+def test_least_bins_bounds_every_packing():
+    from lorewell.llm.best_fit_packing import Packer, least_bins
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        lengths = np.sort(rng.integers(1, 100, int(rng.integers(0, 40))))[::-1].copy()
+        p = Packer(lengths, 100, rng)
+        for noise in (0.0, 1.0):
+            assert -(-int(lengths.sum()) // 100) <= least_bins(lengths, 100) <= len(p.fills(p.fresh(noise)))
+    assert least_bins(np.array([60, 60, 60, 10]), 100) == 3 and least_bins(np.array([51, 51, 50, 50, 50]), 100) == 4
+
+
+def test_packing_pools_over_blocks(spark, monkeypatch):
+    from lorewell.llm import best_fit_packing as B
+
+    monkeypatch.setattr(B, "BLOCK", 40)
+    lengths = triples(240, 4096)
+    df = docs(spark, ["the " * (int(n) - 1) for n in lengths])
+    rows = B.best_fit_packing(df).select("sequence_id", "length").collect()
+    assert sum(r["length"] for r in rows) == lengths.sum() and len({r["sequence_id"] for r in rows}) <= 82
+    alone = B.best_fit_packing(docs(spark, ["the " * 2500] * 90)).select("sequence_id").distinct().count()
+    assert alone == 90
+
+
 # ---- 5
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
