@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from lorewell.llm._shared import distinct_spans, ragged, spans, text_slices
+from lorewell.llm._shared import distinct_spans, lower_ascii, ragged, spans, text_slices
 
 #: Chunks, and bytes of chunks, kept by a worker before the cache starts anew.
 CACHE_CHUNKS, CACHE_BYTES = 400_000, 8 << 20
@@ -141,6 +141,12 @@ def cache_for(kind: str, path: str, make: Callable[[str], Callable]) -> ChunkCac
     return _caches[kind, path]
 
 
+def folded(raw: np.ndarray, path: str) -> np.ndarray:
+    """The bytes with A-Z lowered where the tokenizer lowers all letters itself: fewer distinct chunks, the same ids."""
+    normalizer = load(path).normalizer
+    return lower_ascii(raw) if normalizer is not None and normalizer.normalize_str("AbZ") == "abz" else raw
+
+
 def special_strings(path: str) -> list[bytes]:
     return [t.content.encode() for t in load(path).get_added_tokens_decoder().values()]
 
@@ -151,7 +157,7 @@ def encoded(texts: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.nd
     special = special_strings(path)
     for i, j, raw, offsets in text_slices(texts):
         starts, ends, first = chunks(raw, offsets)
-        rows = cache.lookup(raw, starts, ends)
+        rows = cache.lookup(folded(raw, path), starts, ends)
         lens = cache.lengths[rows]
         flat = cache.flat[ragged(cache.starts[rows], lens)]
         bounds = np.concatenate([[0], np.cumsum(lens)])[first]

@@ -18,8 +18,8 @@ from lorewell.llm._tokens import encoded, tokenizer_path
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 1, 4096
 #: Pieces of a block, islands of a block, epochs between migrations, generations of an epoch, packings of an island.
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 3, 300, 5
-#: Generations after which a packing with the least possible number of bins is left alone, and displaced pieces that a repair takes at once.
-POLISH, POOL = 5, 360
+#: Displaced pieces that a repair takes at once.
+POOL = 360
 
 
 def pieces(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text") -> DataFrame:
@@ -146,10 +146,9 @@ class Packer:
         fills = self.fills(bins)
         return -len(fills), float((fills / self.capacity) ** 2 @ np.ones(len(fills)))
 
-    def done(self, bins: np.ndarray, generation: int = 0) -> bool:
-        """Whether no fewer bins are possible and, for some generations, all but one are full."""
-        fills = self.fills(bins)
-        return len(fills) <= self.bound and (generation >= POLISH or int((fills < self.capacity).sum()) <= 1)
+    def done(self, bins: np.ndarray) -> bool:
+        """Whether no packing has fewer bins."""
+        return int(bins.max(initial=-1)) + 1 <= self.bound
 
     def crossover(self, into: np.ndarray, donor: np.ndarray) -> np.ndarray:
         """Injects whole well-filled bins of `donor`, removes the bins of `into` that hold their pieces as well as
@@ -194,9 +193,9 @@ class Packer:
             if self.done(population[-1]):
                 break
         worths = [self.worth(p) for p in population]
-        for g in range(generations):
+        for _ in range(generations):
             best = max(range(len(population)), key=worths.__getitem__)
-            if len(population) < 2 or self.done(population[best], g):
+            if len(population) < 2 or self.done(population[best]):
                 break
             a, b = self.rng.choice(len(population), 2, replace=False).tolist()
             child = self.crossover(population[a], population[b])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lorewell.llm._shared import small_batches, text_slices
-from lorewell.llm._tokens import cache_for, chunks, load, special_strings, tokenizer_path
+from lorewell.llm._tokens import cache_for, chunks, folded, load, special_strings, tokenizer_path
 
 #: Production tokenizer file and limit.
 TOKENIZER, LIMIT = "word_bpe_49k.json", 2048
@@ -155,7 +155,7 @@ def token_count(documents: DataFrame, path: str | None = None, limit: int = LIMI
             n_bytes, n_tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, j, raw, offsets in text_slices(batch.column("text")):
                 starts, ends, first = chunks(raw, offsets)
-                rows = cache.lookup(raw, starts, ends)
+                rows = cache.lookup(folded(raw, path), starts, ends)
                 each = cache.flat[cache.starts[rows]].astype(np.int64)
                 n_tokens[i:j] = np.diff(np.concatenate([[0], np.cumsum(each)])[first])
                 n_bytes[i:j] = np.diff(offsets)
