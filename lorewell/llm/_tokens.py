@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from lorewell.llm._shared import distinct_spans, lower_ascii, ragged, spans, text_slices
+from lorewell.llm._shared import distinct_spans, ragged, spans, text_slices
 
 #: Chunks, and bytes of chunks, kept by a worker before the cache starts anew.
 CACHE_CHUNKS, CACHE_BYTES = 400_000, 8 << 20
@@ -142,9 +142,15 @@ def cache_for(kind: str, path: str, make: Callable[[str], Callable]) -> ChunkCac
 
 
 def folded(raw: np.ndarray, path: str) -> np.ndarray:
-    """The bytes with A-Z lowered where the tokenizer lowers all letters itself: fewer distinct chunks, the same ids."""
+    """The bytes with A-Z lowered where the tokenizer lowers all letters itself: fewer distinct chunks, the same ids.
+
+    A letter before a byte of another script stays: a mark there may combine with the small letter, but not with the capital."""
     normalizer = load(path).normalizer
-    return lower_ascii(raw) if normalizer is not None and normalizer.normalize_str("AbZ") == "abz" else raw
+    if normalizer is None or normalizer.normalize_str("AbZ") != "abz" or not len(raw):
+        return raw
+    capital = (raw >= 65) & (raw <= 90)
+    capital[:-1] &= raw[1:] < 128
+    return raw + capital.astype(np.uint8) * np.uint8(32)
 
 
 def special_strings(path: str) -> list[bytes]:

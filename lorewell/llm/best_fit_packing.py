@@ -17,7 +17,7 @@ from lorewell.llm._tokens import encoded, tokenizer_path
 #: Production tokenizer, end id and capacity.
 TOKENIZER, END_ID, CAPACITY = "word_bpe_49k.json", 1, 4096
 #: Pieces of a block, islands of a block, epochs between migrations, generations of an epoch, packings of an island.
-BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 3, 300, 5
+BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 8192, 2, 3, 200, 4
 #: Displaced pieces that a repair takes at once.
 POOL = 360
 

@@ -276,7 +276,7 @@ def test_packing_pools_over_blocks(spark, monkeypatch):
     lengths = triples(240, 4096)
     df = docs(spark, ["the " * (int(n) - 1) for n in lengths])
     rows = B.best_fit_packing(df).select("sequence_id", "length").collect()
-    assert sum(r["length"] for r in rows) == lengths.sum() and len({r["sequence_id"] for r in rows}) <= 82
+    assert sum(r["length"] for r in rows) == lengths.sum() and 80 <= len({r["sequence_id"] for r in rows}) <= 85 < len(set(B.Packer(lengths, 4096, None).fresh(0.0).tolist()))
     alone = B.best_fit_packing(docs(spark, ["the " * 2500] * 90)).select("sequence_id").distinct().count()
     assert alone == 90
 
