@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +18,12 @@ from lorewell.llm._shared import small_batches
 
 #: Pages of a host that are aligned together (up to twice as many, so that no small rest is left); constant text must stand in so many different pages, and in this share of them.
 GROUP, LEAST_PAGES, CONSTANT_SHARE = 32, 4, 0.9
-#: Largest table (product of the lengths of two child lists) of the dynamic programme; beyond it the lists are halved first (Hirschberg).
-MOST_CELLS = 40_000
+#: Largest table (product of the lengths of two child lists) of the dynamic programme; beyond it the lists are halved first (Hirschberg), with the same sum.
+MOST_CELLS = 1 << 20
+#: Share of a slot's varying text that one child must hold to be the content; share of link text that makes a recurring slot a menu.
+HOLDS, LINKS = 0.7, 0.6
+#: Open elements below which further ones become siblings, as in browsers (their text stays in place).
+DEPTH = 512
 #: Texts of a block that are kept as they are; a longer one is kept by its digest.
 SHORT_TEXT = 64
 
@@ -34,8 +40,10 @@ SCOPE = frozenset("html body article section div main ul ol dl table td th block
 FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav aside footer cookie cookies consent gdpr notice notices popup modal overlay alert comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar masthead copyright contentinfo complementary dialog form skip tracking widget".split())
 MAIN = frozenset("article main content post entry story body text page".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("html body main article section div center table tbody tr td ul ol dl blockquote".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_END_OR_QUOTE = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _SPACE = re.compile(r"\s+")
@@ -45,13 +53,13 @@ _WORD = re.compile(r"[a-z]+")
 class Node:
     """An element (with its tag and marks) or, with tag '', a piece of text."""
 
-    __slots__ = ("tag", "marks", "kids", "text", "slot", "_size")
+    __slots__ = ("tag", "marks", "kids", "text", "slot", "shape")
 
     def __init__(self, tag: str, marks: frozenset = frozenset(), text: str = ""):
         self.tag, self.marks, self.text = tag, marks, text
         self.kids: list[Node] = []
         self.slot: Slot | None = None
-        self._size = 0
+        self.shape = -1
 
     def content(self) -> str:
         return self.text if not self.tag else "".join(k.content() for k in self.kids)
@@ -73,197 +81,274 @@ def _marks(tag: str, attributes: str) -> frozenset:
 def parse(page: str) -> Node:
     """A forgiving DOM: comments and declarations go, raw elements keep their text, unclosed elements end where HTML says or at their parent's end."""
     root = Node("#root")
-    stack = [root]
-    at = 0
+    stack, opened = [root], Counter()
+    at, last_end = 0, page.rfind(">")
+
+    def close(k: int) -> None:
+        opened.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
+    def add(node: Node) -> None:
+        if len(stack) <= DEPTH:
+            stack[-1].kids.append(node)
+        elif node.tag:
+            stack[DEPTH - 1].kids.append(node)
+        else:  # a sibling like the element that it stands in
+            holder = Node(stack[-1].tag, stack[-1].marks)
+            holder.kids.append(node)
+            stack[DEPTH - 1].kids.append(holder)
+
     while True:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+        m = _OPEN.search(page, at)
+        end = -1
+        if m:
+            if m[1]:
+                end = page.find("-->", m.end())
+                end = len(page) if end < 0 else end + 3
+            elif m[2]:
+                end = page.find(">", m.end()) + 1 or len(page)
+            else:
+                end = _tag_end(page, m.end(), last_end)
+        text = page[at : m.start() if end >= 0 else len(page)]
         if text:
-            stack[-1].kids.append(Node("", text=html.unescape(text) if "&" in text else text))
-        if not m:
+            add(Node("", text=html.unescape(text) if "&" in text else text))
+        if end < 0:
             return root
-        at = m.end()
-        if m[2] is None:
+        at = end
+        if m[1] or m[2]:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+        tag = m[4].lower()
+        if m[3]:
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPE and tag not in SCOPE:
                     break
             continue
-        if tag in CLOSES_P:
-            _close(stack, {"p"})
-        if tag in CLOSED_BY:
-            _close(stack, CLOSED_BY[tag])
-        node = Node(tag, _marks(tag, m[3]))
-        stack[-1].kids.append(node)
+        for closed in ({"p"} if tag in CLOSES_P else None, CLOSED_BY.get(tag)):
+            if closed and any(opened[x] > 0 for x in closed):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in closed:
+                        close(k)
+                        break
+                    if stack[k].tag in SCOPE:
+                        break
+        node = Node(tag, _marks(tag, page[m.end() : end - 1]))
+        add(node)
         if tag in RAW:
             closing = _RAW_END[tag].search(page, at)
-            end = closing.start() if closing else len(page)
-            node.kids.append(Node("", text=page[at:end]))
-            at = page.find(">", end) + 1 or len(page)
-        elif tag not in VOID and not m[3].endswith("/"):
+            stop = closing.start() if closing else len(page)
+            node.kids.append(Node("", text=page[at:stop]))
+            at = page.find(">", stop) + 1 or len(page)
+        elif tag not in VOID:  # in HTML a trailing slash does not close
             stack.append(node)
-        elif tag not in VOID:
-            stack.append(node)  # in HTML a trailing slash does not close
+            opened[tag] += 1
 
 
-def _close(stack: list[Node], tags: set[str]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in SCOPE:
-            return
+def _tag_end(page: str, at: int, last_end: int) -> int:
+    """Behind the > that ends a tag: the first outside quotes, or just the first where a quote is never closed; -1 where there is none."""
+    while at <= last_end:
+        m = _END_OR_QUOTE.search(page, at)
+        if m[0] == ">":
+            return m.end()
+        closing = page.find(m[0], m.end())
+        if closing < 0:
+            return page.find(">", m.end()) + 1 or -1
+        at = closing + 1
+    return -1
 
 
 class Slot:
-    """A node of the wrapper: how many pages have it, and the texts seen there."""
+    """A node of the wrapper: how many pages have it, the texts seen there, and the varying running text and all link text and text below it."""
 
-    __slots__ = ("tag", "marks", "kids", "seen", "texts", "length")
+    __slots__ = ("tag", "marks", "kids", "seen", "texts", "running", "linked", "total", "shape")
 
     def __init__(self, tag: str, marks: frozenset):
         self.tag, self.marks = tag, marks
         self.kids: list[Slot] = []
-        self.seen, self.texts, self.length = 0, {}, 0
+        self.seen, self.texts, self.shape = 0, {}, -1
+        self.running = self.linked = self.total = 0
 
     def constant(self, pages: int) -> bool:
         """Whether nearly all different pages have the same text here: template, not content."""
         return pages >= LEAST_PAGES and bool(self.texts) and max(self.texts.values()) >= CONSTANT_SHARE * pages
 
+    def menu(self, pages: int) -> bool:
+        """Whether the text here is links on page after page."""
+        return pages >= LEAST_PAGES and self.tag in CONTAINERS and self.seen >= 0.5 * pages and self.linked > LINKS * self.total
 
-def _alike(a, b) -> bool:
-    return a.tag == b.tag and (a.marks == b.marks or not (a.marks ^ b.marks) & (FURNITURE | MAIN))
-
-
-def align(left: list, right: list) -> list[tuple[int, int]]:
-    """Pairs of children in order: simple tree matching, the most matched nodes.
-
-    Equal ends are paired at once; between them the classic dynamic programme runs
-    over the children, its weights the matches below them."""
-    n, m = len(left), len(right)
-    pairs = []
-    a = 0
-    while a < n and a < m and _alike(left[a], right[a]):
-        pairs.append((a, a))
-        a += 1
-    tail = []
-    while n > a and m > a and _alike(left[n - 1], right[m - 1]):
-        n, m = n - 1, m - 1
-        tail.append((n, m))
-    if n > a and m > a:
-        x, y = left[a:n], right[a:m]
-        if len(x) * len(y) <= MOST_CELLS:
-            middle = _programme([[_matches(p, q) for q in y] for p in x])
-        else:
-            shapes: dict[tuple, int] = {}
-            xs, ys = (np.array([_shape(k, shapes) for k in kids]) for kids in (x, y))
-            (kinds, first, of_x), (others, second, of_y) = (np.unique(k, return_index=True, return_inverse=True) for k in (xs, ys))
-            table = np.array([[_matches(x[i], y[j]) for j in second] for i in first], np.int64)
-            middle = _halved(table, of_x, of_y)
-        pairs += [(a + i, a + j) for i, j in middle]
-    return pairs + tail[::-1]
-
-
-def _programme(gain: list[list[int]]) -> list[tuple[int, int]]:
-    """Pairs in order with the largest sum of gains."""
-    rows, columns = len(gain), len(gain[0]) if gain else 0
-    weight = [[0] * (columns + 1) for _ in range(rows + 1)]
-    for i in range(rows):
-        for j in range(columns):
-            weight[i + 1][j + 1] = max(weight[i][j + 1], weight[i + 1][j], weight[i][j] + gain[i][j])
-    pairs, i, j = [], rows, columns
+
+class Matcher:
+    """Simple tree matching over the shapes of subtrees: equal subtrees have one number, and each pair of numbers is matched once.
+
+    Nodes of one tag match: two points where their class, id and role words are
+    equal, else one; children match in order, so as to gain most points."""
+
+    def __init__(self):
+        self.numbers: dict[tuple, int] = {}
+        self.shapes: list[tuple] = []
+        self.gains: dict[tuple[int, int], int] = {}
+
+    def number(self, node) -> int:
+        """The number of a subtree's shape (kept until a slot grows)."""
+        if node.shape < 0:
+            key = (node.tag, node.marks, *(self.number(k) for k in node.kids if k.tag))
+            node.shape = self.numbers.setdefault(key, len(self.shapes))
+            if node.shape == len(self.shapes):
+                self.shapes.append(key)
+        return node.shape
+
+    def gain(self, a: int, b: int) -> int:
+        """The points of two subtrees matched at their roots; 0 for different tags."""
+        found = self.gains.get((a, b))
+        if found is None:
+            x, y = self.shapes[a], self.shapes[b]
+            if x[0] != y[0]:
+                found = 0
+            else:
+                found = 1 + (x[1] == y[1]) + sum(self.gain(x[2 + i], y[2 + j]) for i, j in self.align(x[2:], y[2:]))
+            self.gains[a, b] = found
+        return found
+
+    def align(self, left, right) -> list[tuple[int, int]]:
+        """Pairs of children (numbers of shapes) in order with the most points; equal ends cannot do better than with each other."""
+        n, m, a = len(left), len(right), 0
+        while a < n and a < m and left[a] == right[a]:
+            a += 1
+        tail = 0
+        while n - tail > a and m - tail > a and left[n - 1 - tail] == right[m - 1 - tail]:
+            tail += 1
+        pairs = [(k, k) for k in range(a)]
+        if n - tail > a and m - tail > a:
+            kinds, x = np.unique(np.array(left[a : n - tail]), return_inverse=True)
+            others, y = np.unique(np.array(right[a : m - tail]), return_inverse=True)
+            table = np.array([[self.gain(p, q) for q in others.tolist()] for p in kinds.tolist()], np.int64)
+            pairs += [(a + i, a + j) for i, j in _best_pairs(table, x, y)]
+        return pairs + [(n - k, m - k) for k in range(tail, 0, -1)]
+
+
+def _rows(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
+    """For each end of x, from none on, the most points with every end of y."""
+    row = np.zeros(len(y) + 1, np.int64)
+    yield row
+    for k in x:
+        new = np.zeros_like(row)
+        new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + table[k][y]))
+        row = new
+        yield row
+
+
+def _best_pairs(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs in order of two lists of kinds with the most points, which are in a table; a long left list is halved where both halves gain most."""
+    if len(x) > 1 and len(x) * len(y) > MOST_CELLS:
+        i = len(x) // 2
+        *_, ahead = _rows(table, x[:i], y)
+        *_, back = _rows(table, x[i:][::-1], y[::-1])
+        j = int(np.argmax(ahead + back[::-1]))
+        return _best_pairs(table, x[:i], y[:j]) + [(i + p, j + q) for p, q in _best_pairs(table, x[i:], y[j:])]
+    rows = list(_rows(table, x, y))
+    pairs, i, j = [], len(x), len(y)
     while i and j:
-        if gain[i - 1][j - 1] and weight[i][j] == weight[i - 1][j - 1] + gain[i - 1][j - 1]:
+        gain = table[x[i - 1], y[j - 1]]
+        if gain and rows[i][j] == rows[i - 1][j - 1] + gain:
             pairs.append((i - 1, j - 1))
             i, j = i - 1, j - 1
-        elif weight[i][j] == weight[i - 1][j]:
+        elif rows[i][j] == rows[i - 1][j]:
             i -= 1
         else:
             j -= 1
     return pairs[::-1]
 
 
-def _halved(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """The same for long lists of kinds, whose gains are in a table: the left list is halved where both halves together gain most."""
-    if len(x) <= 1 or len(x) * len(y) <= MOST_CELLS:
-        return _programme(table[x][:, y].tolist())
-
-    def gains(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        row = np.zeros(len(y) + 1, np.int64)
-        for k in x:
-            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + table[k][y]))
-        return row
-
-    i = len(x) // 2
-    j = int(np.argmax(gains(x[:i], y) + gains(x[i:][::-1], y[::-1])[::-1]))
-    return _halved(table, x[:i], y[:j]) + [(i + p, j + q) for p, q in _halved(table, x[i:], y[j:])]
-
-
-def _shape(node, shapes: dict[tuple, int]) -> int:
-    """The number of a subtree's shape: nodes of one shape match any other node equally well."""
-    return shapes.setdefault((node.tag, node.marks & (FURNITURE | MAIN), *(_shape(k, shapes) for k in node.kids if k.tag)), len(shapes))
-
-
-def _matches(a, b) -> int:
-    """Nodes matched below and including two nodes."""
-    if not _alike(a, b):
-        return 0
-    x, y = [k for k in a.kids if k.tag], [k for k in b.kids if k.tag]
-    return 1 + sum(_matches(x[i], y[j]) for i, j in align(x, y)) if x and y else 1
-
-
 class Wrapper:
     """The template that a group of pages shares, grown page by page by partial tree alignment."""
 
     def __init__(self):
-        self.root, self.pages = Slot("#root", frozenset()), 0
+        self.root, self.pages, self.matcher = Slot("#root", frozenset()), 0, Matcher()
+        self.content: list[Slot] = []
 
     def learn(self, page: Node) -> None:
         self.pages += 1
         self._into(self.root, page)
 
-    def _into(self, slot: Slot, node: Node) -> int:
+    def _into(self, slot: Slot, node: Node) -> bool:
+        """Aligns a node with its slot; whether the slot grew."""
         slot.seen += 1
         node.slot = slot
+        number = self.matcher.number
         elements = [k for k in node.kids if k.tag]
-        pairs = align(slot.kids, elements)
-        taken = dict((j, i) for i, j in pairs)
-        placed, kids = 0, slot.kids
-        if len(taken) < len(elements):
-            # unmatched children become new slots where they stand
-            merged: list[Slot] = []
-            for j, e in enumerate(elements):
-                if j in taken:
-                    merged += kids[placed : taken[j] + 1]
-                    placed = taken[j] + 1
-                    e.slot = kids[taken[j]]
-                else:
-                    e.slot = Slot(e.tag, e.marks)
-                    merged.append(e.slot)
-            slot.kids = merged + kids[placed:]
-        else:
-            for j, i in taken.items():
-                elements[j].slot = kids[i]
-        length = 0
-        for k in node.kids:
-            length += self._into(k.slot, k) if k.tag else len(k.text)
-        text = _SPACE.sub(" ", node.content()).strip() if node.tag in BLOCK and not any(k.tag in BLOCK for k in elements) else ""
-        if len(text) > SHORT_TEXT:
-            text = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if text:
-            slot.texts[text] = slot.texts.get(text, 0) + 1
-        slot.length += length
-        return length
+        kids = slot.kids
+        taken = {j: i for i, j in self.matcher.align(tuple(map(number, kids)), tuple(map(number, elements)))}
+        grown = len(taken) < len(elements)
+        # unmatched children become new slots where they stand
+        merged, placed = [], 0
+        for j, e in enumerate(elements):
+            if j in taken:
+                merged += kids[placed : taken[j] + 1]
+                placed = taken[j] + 1
+            else:
+                merged.append(Slot(e.tag, e.marks))
+            e.slot = merged[-1]
+        slot.kids = merged + kids[placed:]
+        for e in elements:
+            grown |= self._into(e.slot, e)
+        if grown:
+            slot.shape = -1
+        if node.tag in BLOCK and not any(k.tag in BLOCK for k in elements):
+            text = _SPACE.sub(" ", node.content()).strip()
+            if len(text) > SHORT_TEXT:
+                text = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if text:
+                slot.texts[text] = slot.texts.get(text, 0) + 1
+        return grown
+
+    def measure(self, node: Node, linked: bool = False, constant: bool = False) -> tuple[int, int, int]:
+        """Adds a learned page's varying running text, link text and text to its slots."""
+        if not node.tag:
+            n = len(node.text.strip())
+            return 0 if constant else n * (-1 if linked else 1), n if linked else 0, n
+        if node.tag in NEVER or "*hidden" in node.marks:
+            return 0, 0, 0
+        slot = node.slot
+        own = [self.measure(k, linked or k.tag == "a", constant or slot.constant(self.pages)) for k in node.kids]
+        running, links, total = (sum(x) for x in zip(*own, strict=True)) if own else (0, 0, 0)
+        slot.running, slot.linked, slot.total = slot.running + running, slot.linked + links, slot.total + total
+        return running, links, total
+
+    def induce(self) -> None:
+        """The path of slots to the content: down the slot that holds nearly all varying running text, as long as there is one.
+
+        Names decide only between slots that vary: one that is named an advert, a
+        comment or the like is not the content while another one varies."""
+        at, self.content = self.root, []
+        while self.pages >= LEAST_PAGES:
+            kids = [k for k in at.kids if k.tag not in NEVER and "*hidden" not in k.marks]
+            plain = [k for k in kids if not _named_furniture(k) and k.running > 0]
+            rest = sum(k.running for k in kids if k not in plain and _named_furniture(k)) if plain else 0
+            best = max(plain or kids, key=lambda k: k.running, default=None)
+            if best is None or best.tag not in CONTAINERS or best.running <= 0 or best.running < HOLDS * (at.running - rest):
+                return
+            self.content.append(best)
+            at = best
+
+    def content_of(self, page: Node) -> tuple[Node, bool]:
+        """The node of a learned page that stands in the content slot (or the last one on the way), and whether it is the content."""
+        at = page
+        for slot in self.content:
+            below = next((k for k in at.kids if k.tag and k.slot is slot), None)
+            if below is None:
+                return at, False
+            at = below
+        return at, bool(self.content) and at.tag not in ("html", "body")
+
+
+def _named_furniture(node) -> bool:
+    return bool(node.marks & FURNITURE) and node.tag not in ("html", "body", "article", "main") and not {"article", "main"} & node.marks
 
 
 def _furniture(node: Node) -> bool:
-    if node.tag in NEVER or "*hidden" in node.marks:
-        return True
-    return bool(node.marks & FURNITURE) and node.tag not in ("html", "body", "article", "main") and not {"article", "main"} & node.marks
+    return node.tag in NEVER or "*hidden" in node.marks or _named_furniture(node)
 
 
 def _weight(node: Node, linked: bool = False) -> tuple[int, int]:
@@ -281,7 +366,7 @@ def _weight(node: Node, linked: bool = False) -> tuple[int, int]:
 
 
 def _main(node: Node) -> Node:
-    """The element that holds the main text: article or main if there is one with text, else down the varying elements that hold nearly all running text."""
+    """Where no wrapper tells: article or main if there is one with text, else down the elements that hold nearly all running text."""
     best, most = None, 0
     todo = [node]
     while todo:
@@ -343,7 +428,7 @@ def _blocks(node: Node, pages: int, out: list[str], held: list[str], top: bool =
                 _blocks(k, pages, out, held, False)
         close()
         return
-    if not top and node.slot is not None and node.tag not in HEADINGS and node.slot.constant(pages):
+    if not top and node.slot is not None and (node.slot.constant(pages) or node.slot.menu(pages)):
         close()
         return
     block = node.tag in BLOCK
@@ -355,11 +440,12 @@ def _blocks(node: Node, pages: int, out: list[str], held: list[str], top: bool =
         close()
 
 
-def main_text(page: Node, pages: int = 0) -> str:
-    """The main text of a parsed page, aligned in a wrapper learned from so many different pages."""
+def main_text(page: Node, wrapper: Wrapper | None = None) -> str:
+    """The main text of a parsed page, by the wrapper that was learned from it and others."""
     out: list[str] = []
     held: list[str] = []
-    _blocks(_main(page), pages, out, held)
+    top, decided = (page, False) if wrapper is None else wrapper.content_of(page)
+    _blocks(top if decided else _main(top), 0 if wrapper is None else wrapper.pages, out, held)
     if held:
         text = _SPACE.sub(" ", "".join(held)).strip()
         if text:
@@ -367,18 +453,18 @@ def main_text(page: Node, pages: int = 0) -> str:
     return "\n\n".join(out)
 
 
-def extract(pages: list[str | None]) -> list[str]:
-    """The main texts of pages of one host."""
-    trees = [parse(p) if p else None for p in pages]
-    wrapper, known = Wrapper(), set()
-    for tree, p in zip(trees, pages, strict=True):
-        if tree is not None and p not in known:
-            known.add(p)
+def extract(pages: list[str | None], induce: bool = True) -> list[str]:
+    """The main texts of pages of one host; without `induce` of each page alone."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))
+    trees: dict[str, Node] = {p: parse(p) for p in pages if p}
+    wrapper = Wrapper() if induce else None
+    if wrapper:
+        for tree in trees.values():
             wrapper.learn(tree)
-    texts = {}
-    for tree, p in zip(trees, pages, strict=True):
-        if tree is not None and p not in texts:
-            texts[p] = main_text(tree, wrapper.pages)
+        for tree in trees.values():
+            wrapper.measure(tree)
+        wrapper.induce()
+    texts = {p: main_text(tree, wrapper) for p, tree in trees.items()}
     return [texts[p] if p else "" for p in pages]
 
 
@@ -388,12 +474,15 @@ def html_extraction(pages: DataFrame) -> DataFrame:
     The pages of a host are one group, those of a host with 2 GROUP pages or more are
     dealt into groups of GROUP to 2 GROUP in the mean by a hash of the page, and groups
     are dealt by range of (host, group), so a hot host spreads over many tasks and a
-    group stays whole whatever the number of tasks.  In a group the DOM trees of the different pages are aligned by
-    simple tree matching into a wrapper; blocks whose text is the same in nearly all of
-    at least LEAST_PAGES different pages are template and go, as do menus, headers,
-    footers, sidebars, notices, adverts, forms, hidden elements, scripts, styles and
-    comments; the varying slots of the element that holds the running text are the
-    content.
+    group stays whole whatever the number of tasks.  In a group the DOM trees of the
+    different pages are aligned by simple tree matching into a wrapper.  Slots whose
+    text is the same in nearly all of at least LEAST_PAGES different pages are template
+    and go; so do recurring slots of links; the content is the slot on whose way down
+    nearly all varying running text lies.  Elements that HTML itself sets apart (nav,
+    header, footer, aside, form, script, ...) and hidden ones go.  Class, id and role
+    words only break ties between slots that vary (adverts, reader comments), and
+    where too few pages of a host are at hand, article and main elements and the
+    share of link text take the wrapper's place.
 
     Null and empty html gives an empty text; a null url is a host of its own; repeated
     rows are repeated pages; an empty table gives no rows.  Returns page_id, url, text,

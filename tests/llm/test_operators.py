@@ -175,21 +175,65 @@ def test_html_template_goes_from_every_page_of_a_host(spark):
 
 
 def test_html_long_notices_and_long_child_lists():
-    from lorewell.llm.html_extraction import MOST_CELLS, Node, _halved, _matches, _programme, align, extract
+    from lorewell.llm.html_extraction import extract
 
     notice = "This notice is long. " * 200
     pages = [f"<html><body><article><p>Story {k} is told here.</p><p>{notice}</p></article></body></html>" for k in range(6)]
     assert extract(pages) == [f"Story {k} is told here." for k in range(6)]
 
-    left, right = [Node("h2"), *[Node("p") for _ in range(250)]], [Node("h3"), *[Node("p") for _ in range(250)], Node("h2")]
-    assert len(left) * len(right) > MOST_CELLS and len(align(left, right)) == 250
-    rng = np.random.default_rng(0)
-    a, b = ([Node("ph"[k]) for k in rng.integers(0, 2, n)] for n in (330, 290))
-    table = np.array([[_matches(p, q) for q in (Node("p"), Node("h"))] for p in (Node("p"), Node("h"))])
-    x, y = (np.array(["ph".index(n.tag) for n in nodes]) for nodes in (a, b))
-    pairs = _halved(table, x, y)
-    assert len(pairs) == len(_programme(table[x][:, y].tolist())) and all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:], strict=False))
-    assert all(x[i] == y[j] for i, j in pairs)
+
+def random_tree(rng, depth):
+    from lorewell.llm.html_extraction import Node
+
+    node = Node("abc"[rng.integers(0, 2)], frozenset(["x", "y"][: int(rng.integers(0, 2))]))
+    if depth:
+        node.kids = [random_tree(rng, depth - 1) for _ in range(int(rng.integers(0, 5)))]
+    return node
+
+
+def brute_gain(a, b):
+    if a.tag != b.tag:
+        return 0
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids):
+        for j, y in enumerate(b.kids):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_gain(x, y))
+    return 1 + (a.marks == b.marks) + best[-1][-1]
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 4])
+def test_html_tree_matching_against_brute_force(monkeypatch, cells):
+    from lorewell.llm import html_extraction as H
+
+    monkeypatch.setattr(H, "MOST_CELLS", cells)
+    rng, m = np.random.default_rng(cells), H.Matcher()
+    for _ in range(150):
+        a, b = random_tree(rng, 3), random_tree(rng, 3)
+        assert m.gain(m.number(a), m.number(b)) == brute_gain(a, b)
+        pairs = m.align([m.number(k) for k in a.kids], [m.number(k) for k in b.kids])
+        assert all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_html_wrapper_decides_without_telling_names():
+    from lorewell.llm.html_extraction import extract
+
+    page = "<html><body><div class=k1><div class=k2>The daily something, since 1900</div><div class=k3><h1>All the news</h1><a href=/{0}>Other {0}</a> <a href=/b>More of it {0}</a></div><div class=k4><h2>Title {0}</h2><p>It was told {0} times, and at some length.<p>Sign up for our letter today.<div>One, {0}, end.</div></div><div class=k5><p>Terms apply to all readers of this site, wherever they may be and whatever they read.</p></div></div></body></html>"
+    pages = [page.format(k) for k in range(7)]
+    want = [f"Title {k}\n\nIt was told {k} times, and at some length.\n\nOne, {k}, end." for k in range(7)]
+    assert extract(pages) == want and extract(pages, induce=False) != want
+    assert extract(pages[:2]) == extract(pages[:2], induce=False)
+
+
+def test_html_deep_and_unclosed_pages_are_fast():
+    import time
+
+    from lorewell.llm.html_extraction import extract
+
+    began = time.time()
+    assert extract(["<div>" * 10_000 + f"deep {k}" + "</div>" * 10_000 + f"<p>after {k}" for k in range(5)]) == [f"deep {k}\n\nafter {k}" for k in range(5)]
+    assert extract(["<a " * 200_000])[0].startswith("<a <a") and extract(["<b '" * 50_000 + '<i "' * 50_000]) is not None
+    nested = [("<div><ul><li>" * d) + "x" + ("<p>y" * k) for k, d in enumerate((20, 21, 24, 30))]
+    assert len(extract(nested)) == 4 and time.time() - began < 20
 
 
 def test_packing_is_whole_and_tight(spark, tokenizer):
