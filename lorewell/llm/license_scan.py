@@ -26,12 +26,35 @@ SENTENCES = {
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
     "see the gnu general public license for more details": "gpl-details",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-only",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl3-only",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "lgpl-warranty",
+    "see the gnu lesser general public license for more details": "lgpl-details",
+    "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below": "lgpl3-text",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "see the gnu affero general public license for more details": "agpl-details",
     "licensed under cc by nc 4 0": "cc-by-nc4-ref",
     "licensed under cc by 4 0": "cc-by4-ref",
     "licensed under cc by sa 4 0": "cc-by-sa4-ref",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by4-ref",
     "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc4-ref",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa4-ref",
+    "this work is licensed under the creative commons attribution 4 0 international license": "cc-by4-ref",
+    "this work is licensed under the creative commons attribution noncommercial 4 0 international license": "cc-by-nc4-ref",
+    "this work is licensed under the creative commons attribution sharealike 4 0 international license": "cc-by-sa4-ref",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "cc-by-nc-sa4-ref",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd4-ref",
+    "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": "cc-by-nc-nd4-ref",
+    "licensed under cc0 1 0": "cc0-ref",
+    "the laws of most jurisdictions throughout the world automatically confer exclusive copyright and related rights defined below upon the creator and subsequent owner s each and all an owner of an original work of authorship and or a database each a work": "cc0-text",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl2-notice",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html": "epl1-notice",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liable",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed": "artistic2-text",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
@@ -53,11 +76,26 @@ RULES = (
     ("Apache-2.0", ("apache2-license", "apache2-compliance")),
     ("GPL-3.0-or-later", ("gpl3-later", "gpl-warranty", "gpl-details")),
     ("GPL-3.0", ("gpl3-ref",)),
+    ("GPL-3.0", ("gpl3-only",)),
     ("GPL-2.0-or-later", ("gpl2-later", "gpl-warranty", "gpl-details")),
     ("GPL-2.0", ("gpl2-ref",)),
+    ("GPL-2.0", ("gpl2-only",)),
+    ("LGPL-2.1-or-later", ("lgpl21-later", "lgpl-warranty", "lgpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl3-later", "gpl-warranty", "lgpl-details")),
+    ("LGPL-3.0", ("lgpl3-text",)),
+    ("AGPL-3.0-or-later", ("agpl3-later", "gpl-warranty", "agpl-details")),
     ("CC-BY-NC-4.0", ("cc-by-nc4-ref",)),
     ("CC-BY-4.0", ("cc-by4-ref",)),
     ("CC-BY-SA-4.0", ("cc-by-sa4-ref",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa4-ref",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd4-ref",)),
+    ("CC-BY-NC-ND-4.0", ("cc-by-nc-nd4-ref",)),
+    ("CC0-1.0", ("cc0-ref",)),
+    ("CC0-1.0", ("cc0-text",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("EPL-1.0", ("epl1-notice",)),
+    ("Zlib", ("zlib-warranty", "zlib-liable", "zlib-grant")),
+    ("Artistic-2.0", ("artistic2-text",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD", ("bsd-ref",)),
@@ -88,9 +126,11 @@ def license_scan(documents: DataFrame, text: str = "text") -> DataFrame:
     another).  A known sentence may be wrapped in any way, over comment marks and
     blank lines too; the SQL knows only those within one of its sentences.
     Where a longer rule matches, the shorter rules it contains still count as the
-    same licence; BSD-2-Clause is dropped where BSD-3-Clause matches.  Null and
-    empty texts have no sentences and no licence; repeated sentences repeat their
-    identifier.  Returns doc_id, sentence_ids (space-joined identifiers, in order),
+    same licence; BSD-2-Clause is dropped where BSD-3-Clause matches, Proprietary where
+    any other licence does (open notices reserve all other rights too).  Null and
+    empty texts have no sentences and no licence, an empty table gives no rows;
+    repeated sentences repeat their identifier, repeated rows are scanned alike; a
+    text of any length is scanned whole.  Returns doc_id, sentence_ids (space-joined identifiers, in order),
     licenses (distinct names, sorted, comma-joined), n_sentences (long, known ones).
     One narrow pass, no shuffle: whole rows are kept and nothing is broadcast.
     """
@@ -101,6 +141,7 @@ def license_scan(documents: DataFrame, text: str = "text") -> DataFrame:
     hit = [F.when(line.contains(" " + " ".join(ids) + " "), F.lit(name)) for name, ids in RULES]
     names = F.array_sort(F.array_distinct(F.filter(F.array(*hit), lambda x: x.isNotNull())))
     names = F.when(F.array_contains(names, "BSD-3-Clause"), F.array_remove(names, "BSD-2-Clause")).otherwise(names)
+    names = F.when(F.size(names) > 1, F.array_remove(names, "Proprietary")).otherwise(names)
     return found.select("doc_id", F.array_join("ids", " ").alias("sentence_ids"), F.array_join(names, ",").alias("licenses"), F.size("ids").cast("long").alias("n_sentences"))
 
 
@@ -120,7 +161,7 @@ WITH cut AS (
   SELECT doc_id, ids, list_sort(list_distinct(list_filter([{rules}], lambda x: x IS NOT NULL))) AS names FROM lines
 )
 SELECT doc_id, array_to_string(ids, ' ') AS sentence_ids,
-  array_to_string(CASE WHEN list_contains(names, 'BSD-3-Clause') THEN list_filter(names, lambda x: x <> 'BSD-2-Clause') ELSE names END, ',') AS licenses,
+  array_to_string(list_filter(names, lambda x: NOT (x = 'BSD-2-Clause' AND list_contains(names, 'BSD-3-Clause')) AND NOT (x = 'Proprietary' AND len(names) > 1)), ',') AS licenses,
   len(ids)::BIGINT AS n_sentences
 FROM hits
 """

@@ -53,7 +53,7 @@ def test_license_rules(spark):
     apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n"
     texts = [None, "", "Prose. Released under the MIT License. More.", "Licensed under the Apache License, Version 2.0.\nLicensed under CC BY-NC 4.0.", "released under the  mit\nlicense", "All Rights Reserved! " * 2, apache, "the MIT licence is nice"]
     got = [r["licenses"] for r in license_scan(docs(spark, texts)).orderBy("doc_id").collect()]
-    assert got[:6] == ["", "", "MIT", "Apache-2.0,CC-BY-NC-4.0", "MIT", "Proprietary"] and got[7] == ""
+    assert got == ["", "", "MIT", "Apache-2.0,CC-BY-NC-4.0", "MIT", "Proprietary", "Apache-2.0", ""]
     assert license_scan(docs(spark, texts)).where("doc_id = 5").first()["n_sentences"] == 2
     assert license_scan(docs(spark, []).limit(0)).count() == 0
 
@@ -118,6 +118,67 @@ modification, are permitted provided that the following conditions are met:
 """
 
 
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+"""
+ISC = """Copyright (c) 2004, Someone
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.
+"""
+CC = """This work is licensed under a Creative Commons
+Attribution{0} 4.0 International License.
+"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented.
+"""
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+"""
+
+
+def wrapped(text, width):
+    import textwrap
+
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n")) + "\n"
+
+
+def test_license_texts_wrapped_and_in_capitals(spark):
+    from lorewell.llm.license_scan import license_scan
+
+    rights = "Copyright (c) 2020, Someone\nAll rights reserved.\n\n"
+    affero = GPL.format(":", ",", 3).replace("GNU General", "GNU Affero General").replace("GNU\nGeneral", "GNU Affero\nGeneral")
+    lesser = GPL.format(":", ",", 3).replace("GNU General", "GNU Lesser General")
+    whole = [
+        (MIT, "MIT"), (APACHE, "Apache-2.0"), (GPL.format(":", ",", 3), "GPL-3.0-or-later"), (GPL.format(";", ";", 2), "GPL-2.0-or-later"), (LGPL, "LGPL-2.1-or-later"), (lesser, "LGPL-3.0-or-later"), (affero, "AGPL-3.0-or-later"),
+        (rights + BSD, "BSD-3-Clause"), (rights + BSD[: BSD.index("3. Neither")], "BSD-2-Clause"), (MPL, "MPL-2.0"), (ISC, "ISC"), (ZLIB, "Zlib"), (EPL, "EPL-2.0"),
+        (CC.format(""), "CC-BY-4.0"), (CC.format("-ShareAlike"), "CC-BY-SA-4.0"), (CC.format("-NonCommercial"), "CC-BY-NC-4.0"), (CC.format("-NonCommercial-ShareAlike"), "CC-BY-NC-SA-4.0"), (CC.format("-NoDerivatives"), "CC-BY-ND-4.0"),
+        ("x. This License establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed.", "Artistic-2.0"), ("Licensed under CC0 1.0.", "CC0-1.0"),
+    ]
+    forms = [lambda t: t, str.upper, *(lambda t, n=n: wrapped(t, n) for n in (40, 60, 72, 200)), lambda t: wrapped(t.upper(), 50)]
+    cases = [(form(t), name) for t, name in whole for form in forms] + [("word " * 300_000 + "\n\n" + MIT, "MIT"), (rights, "Proprietary"), (rights.upper(), "Proprietary")]
+    got = [r["licenses"] for r in license_scan(docs(spark, [t for t, _ in cases])).orderBy("doc_id").collect()]
+    assert [(g, t[:60]) for (t, name), g in zip(cases, got, strict=True) if g != name] == []
+
+
 def test_license_canonical_texts(spark):
     from lorewell.llm.license_scan import license_scan
 
