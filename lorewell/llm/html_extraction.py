@@ -85,7 +85,8 @@ def parse(page: str) -> Node:
     at, last_end = 0, page.rfind(">")
 
     def close(k: int) -> None:
-        opened.subtract(x.tag for x in stack[k:])
+        for x in stack[k:]:
+            opened[x.tag] -= 1
         del stack[k:]
 
     def add(node: Node) -> None:
@@ -213,6 +214,8 @@ class Matcher:
 
     def align(self, left, right) -> list[tuple[int, int]]:
         """Pairs of children (numbers of shapes) in order with the most points; equal ends cannot do better than with each other."""
+        if not left or not right:
+            return []
         n, m, a = len(left), len(right), 0
         while a < n and a < m and left[a] == right[a]:
             a += 1
@@ -221,13 +224,20 @@ class Matcher:
             tail += 1
         pairs = [(k, k) for k in range(a)]
         if n - tail > a and m - tail > a:
-            kinds, x = np.unique(np.array(left[a : n - tail]), return_inverse=True)
-            others, y = np.unique(np.array(right[a : m - tail]), return_inverse=True)
-            table = np.array([[self.gain(p, q) for q in others.tolist()] for p in kinds.tolist()], np.int64)
-            pairs += [(a + i, a + j) for i, j in _best_pairs(table, x, y)]
+            (kinds, x), (others, y) = _kinds(left[a : n - tail]), _kinds(right[a : m - tail])
+            table = np.array([[self.gain(p, q) for q in others] for p in kinds], np.int64)
+            if table.any():
+                pairs += [(a + i, a + j) for i, j in _best_pairs(table, x, y)]
         return pairs + [(n - k, m - k) for k in range(tail, 0, -1)]
 
 
+def _kinds(numbers) -> tuple[list[int], np.ndarray]:
+    """The distinct numbers of a list, and the place of each of its numbers among them."""
+    places: dict[int, int] = {}
+    at = [places.setdefault(k, len(places)) for k in numbers]
+    return list(places), np.array(at)
+
+
 def _rows(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
     """For each end of x, from none on, the most points with every end of y."""
     row = np.zeros(len(y) + 1, np.int64)
@@ -277,8 +287,7 @@ class Wrapper:
         slot.seen += 1
         node.slot = slot
         number = self.matcher.number
-        elements = [k for k in node.kids if k.tag]
-        kids = slot.kids
+        elements, kids = [k for k in node.kids if k.tag], slot.kids
         taken = {j: i for i, j in self.matcher.align(tuple(map(number, kids)), tuple(map(number, elements)))}
         grown = len(taken) < len(elements)
         # unmatched children become new slots where they stand
