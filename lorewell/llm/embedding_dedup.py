@@ -11,12 +11,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import components, written
+from lorewell.llm._shared import components, spread_join, written
 
 #: Production threshold, and the chance to miss a pair just at it (a closer pair is missed more rarely still).
 COSINE, MISS = 0.93, 1e-4
 #: Vectors wished for in a bucket, rows of a tile, and rows of a task group.
-BUCKET, TILE, GROUP = 32, 1024, 8192
+BUCKET, TILE, GROUP = 512, 1024, 8192
 
 
 def tables_for(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
@@ -44,7 +44,7 @@ def _coded(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
                 packed[rows] = (signs @ (1 << np.arange(bits, dtype=np.int64))).astype(kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary())], ["rep", "label", "embedding", "m", "codes"])
 
-    return classes.select("rep", "label", "embedding", "m").mapInArrow(run, "rep long, label long, embedding array<double>, m long, codes binary")
+    return classes.select("rep", "label", "embedding", "m").mapInArrow(run, f"rep long, label long, embedding {dict(classes.dtypes)['embedding']}, m long, codes binary")
 
 
 def code_type(bits: int) -> type:
@@ -104,8 +104,12 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, miss: float =
     repeated rows are linked copies; an empty table gives no rows.  Returns vec_id,
     n_links, component_id, kept.
     """
-    rows = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), embeddings["embedding"].cast("array<double>").alias("embedding"), embeddings["label"].cast("long").alias("label"))
+    kept = "array<float>" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "array<double>"  # compared in double precision either way
+    rows = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), embeddings["embedding"].cast(kept).alias("embedding"), embeddings["label"].cast("long").alias("label"))
     fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0.0)
+    # -0.0 equals 0.0, and so must its hash
+    plain = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0).cast(kept[6:-1])).otherwise(x))
+    name = {"k1": F.xxhash64("label", plain), "k2": F.xxhash64(F.lit(7919), plain, "label")}
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & fit, F.lit(False))
     classes = rows.where(usable).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
     classes = written(classes, "vector-classes")
@@ -155,17 +159,17 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, miss: float =
     links = written(placed.join(coded.select("rep", "embedding", "m", "codes"), "rep").groupBy("part").applyInArrow(test, "a long, b long, linked long"), "cosine-links")
     others = links.groupBy("a").agg(F.sum("linked").alias("others"))
     groups_of = components(links.select("a", "b"), "vectors")
+    classed = classes.withColumns(name).select("k1", "k2", "rep", F.col("m").alias("n"))
     found = (
-        classes.join(others, F.col("rep") == F.col("a"), "left")
+        classed.join(others, F.col("rep") == F.col("a"), "left")
         .join(groups_of, F.col("rep") == F.col("id"), "left")
-        .select("label", "embedding", (F.col("m") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
-    )
-    return (
-        rows.withColumn("usable", usable)
-        .join(found.withColumn("usable", F.lit(True)), ["usable", "label", "embedding"], "left")
-        .select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
+        .select("k1", "k2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
     )
+    # copies of a frequent vector are split, rows that link with nothing are not joined at all
+    linked = spread_join(rows.where(usable).withColumns(name).select("vec_id", "k1", "k2"), found, ["k1", "k2"], "vec_id", counts=classed, total=classed.agg(F.sum("n")).first()[0] or 0)
+    alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id")).unionByName(alone)
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 ORACLE_SQL = """

@@ -659,6 +659,27 @@ def test_embeddings_against_brute_force(spark, monkeypatch, tile):
     assert 1 - (1 - (1 - math.acos(0.93) / math.pi) ** bits) ** tables > 0.999
 
 
+def test_embedding_recall_at_the_threshold(spark):
+    from lorewell.llm.embedding_dedup import embedding_dedup, tables_for
+
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((600, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    side = rng.standard_normal((600, 32))
+    side -= (side * base).sum(axis=1, keepdims=True) * base
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9301, 0.95, (600, 1))
+    vectors = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * side, np.float32([[-0.0, 1.0] + [0.0] * 30, [0.0, 1.0] + [0.0] * 30])]).astype(np.float32)
+    v = vectors.astype(np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near = (v @ v.T >= 0.93).sum(axis=1) - 1
+    assert tables_for(100_000)[1] < 40
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(k, x, 1) for k, x in enumerate(vectors.tolist())], f"vec_id long, embedding array<{kind}>, label int")
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup(df).collect()}
+        assert sum(min(got[k], int(n)) for k, n in enumerate(near)) >= 0.995 * near.sum() and all(got[k] <= n for k, n in enumerate(near)) and got[1200] == got[1201] == 1
+
+
 # ---- shared
 def test_components_of_a_long_path(spark):
     from lorewell.llm._shared import components
