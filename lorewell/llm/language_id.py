@@ -152,8 +152,9 @@ def training_spans(documents: DataFrame, docs_per_language: int = DOCS_PER_LANGU
     Of each language the `docs_per_language` labelled training documents first in a hash order of
     doc_id; of each of these SPANS_PER_DOC spans at places drawn from its content."""
     rows = documents.where((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_per_language).select("doc_id").distinct()
+    rows = rows.select("doc_id", "lang", F.col(text).alias("text"), F.xxhash64("doc_id").alias("place"), F.xxhash64(F.lit(1), F.col(text)).alias("own"))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "own")
+    picked = rows.select("lang", "place", "doc_id", "own").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_per_language).drop("nth").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +168,8 @@ def training_spans(documents: DataFrame, docs_per_language: int = DOCS_PER_LANGU
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["lang", "part"])
 
     # the sample is at most docs_per_language rows of each language, so it may be broadcast
-    own = rows.select("doc_id", "lang", F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
+    # (a repeated row is drawn once)
+    own = rows.join(F.broadcast(picked.drop("place")), ["lang", "doc_id", "own"]).dropDuplicates(["lang", "doc_id", "own"])
     found = own.select("lang", "text").mapInArrow(cut, "lang string, part binary").orderBy("lang", "part").collect()
     languages = sorted({r["lang"] for r in found})
     spans = np.zeros((len(found), SPAN), np.uint8)

@@ -143,7 +143,7 @@ def token_count(documents: DataFrame, path: str | None = None, limit: int = LIMI
     Pre-tokens are held as ragged numpy arrays and merged rank-synchronously; each
     distinct chunk of text is merged once per worker.  Texts that hold a special
     token's string are counted by the library itself.  Null and empty texts have 0
-    bytes and 0 tokens.  Returns doc_id, n_bytes (UTF-8), n_tokens, over_limit
+    bytes and 0 tokens, repeated rows are counted alike, an empty table gives no rows.  Returns doc_id, n_bytes (UTF-8), n_tokens, over_limit
     (n_tokens > limit).  A narrow map: no shuffle, memory bounded by a slice of
     text (a longer text is taken alone) and the chunk cache.
     """

@@ -4,7 +4,8 @@ A file is zstandard frames one after the other, a skippable frame with the first
 and last doc_id of each, and a skippable frame with the seek table: compressed and
 decompressed size and the low half of the XXH64 of each frame's content, then the
 number of frames, a descriptor and a magic number (the public seekable format).  A
-frame's content is, little-endian: u32 n, n i64 doc_id, n u32 lengths, all u32 ids.
+frame's content is, little-endian: u32 n, u32 k, n i64 doc_id (the first k stand for null), n u32
+lengths, all u32 ids.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from lorewell.llm._tokens import encoded, tokenizer_path
 TOKENIZER, END_ID, LEVEL, FRAME_IDS = "word_bpe_49k.json", 1, 3, 1 << 18
 # Magic numbers of the seekable format and its descriptor (checksums present).
 SEEK_FRAME, SEEK_MAGIC, WITH_CHECKSUMS, RANGE_FRAME = 0x184D2A5E, 0x8F92EAB1, 0x80, 0x184D2A50
-#: Stands for a null doc_id in a file.
+#: Written in the place of a null doc_id (nulls come first, so their number tells them from this id).
 NULL_ID = -(1 << 63)
 
 
@@ -41,12 +42,13 @@ class FrameWriter:
         self.press = zstandard.ZstdCompressor(level=level)
         self.table: list[tuple[int, int, int]] = []
         self.ranges: list[tuple[int, int]] = []
-        self.n_docs = self.n_tokens = self.held = 0
+        self.n_docs = self.n_tokens = self.held = self.nulls = 0
         self.docs: list[int] = []
         self.ids: list[np.ndarray] = []
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        self.nulls += doc_id is None
+        self.docs.append(NULL_ID if doc_id is None else doc_id)
         self.ids.append(ids)
         self.held += len(ids)
         self.n_docs += 1
@@ -60,12 +62,12 @@ class FrameWriter:
         if not self.docs:
             return
         lengths = np.fromiter(map(len, self.ids), np.uint32, len(self.ids))
-        plain = struct.pack("<I", len(self.docs)) + np.array(self.docs, "<i8").tobytes() + lengths.astype("<u4").tobytes() + np.concatenate(self.ids).astype("<u4").tobytes()
+        plain = struct.pack("<II", len(self.docs), self.nulls) + np.array(self.docs, "<i8").tobytes() + lengths.astype("<u4").tobytes() + np.concatenate(self.ids).astype("<u4").tobytes()
         frame = self.press.compress(plain)
         self.out.write(frame)
         self.table.append((len(frame), len(plain), xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF))
         self.ranges.append((self.docs[0], self.docs[-1]))
-        self.docs, self.ids, self.held = [], [], 0
+        self.docs, self.ids, self.held, self.nulls = [], [], 0, 0
 
     def close(self) -> None:
         self.flush()
@@ -76,7 +78,7 @@ class FrameWriter:
 
 
 def read_frames(source, wanted: Iterable[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_ids, lengths and ids of each frame of a random-access file; with `wanted`, only of frames that may hold one of these."""
+    """doc_ids (null ones masked), lengths and ids of each frame of a random-access file; with `wanted`, only of frames that may hold one of these."""
     import xxhash
     import zstandard
 
@@ -99,8 +101,8 @@ def read_frames(source, wanted: Iterable[int] | None = None) -> Iterator[tuple[n
         plain = zstandard.ZstdDecompressor().decompress(source.read(int(table[k, 0])), max_output_size=int(table[k, 1]))
         if len(plain) != table[k, 1] or xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF != table[k, 2]:
             raise ValueError(f"frame {k} is damaged")
-        n = struct.unpack_from("<I", plain)[0]
-        yield np.frombuffer(plain, "<i8", n, 4), np.frombuffer(plain, "<u4", n, 4 + 8 * n), np.frombuffer(plain, "<u4", offset=4 + 12 * n)
+        n, nulls = struct.unpack_from("<II", plain)
+        yield np.ma.array(np.frombuffer(plain, "<i8", n, 8), mask=np.arange(n) < nulls), np.frombuffer(plain, "<u4", n, 8 + 8 * n), np.frombuffer(plain, "<u4", offset=8 + 12 * n)
 
 
 def _open_folder(folder: str):
@@ -115,8 +117,9 @@ def write_token_files(documents: DataFrame, folder: str | None = None, path: str
     Documents are dealt by range of doc_id (equal ids: by a hash of the text), each
     task writes one file under a name of its own, so a repeated task does no harm,
     and only files named in the returned manifest count.  Returns the manifest:
-    ordinal (files in order), file, n_docs, n_tokens.  Null text is empty; a null
-    doc_id comes first; repeated rows are repeated documents.
+    ordinal (files in order), file, n_docs, n_tokens.  Null and empty texts have the
+    end id alone; a null doc_id comes first; repeated rows are repeated documents; a
+    very long text is a frame of its own; an empty table gives no files.
     """
     spark, path = documents.sparkSession, path or tokenizer_path(TOKENIZER)
     folder = folder or scratch_path(spark, "token-files")
@@ -131,7 +134,7 @@ def write_token_files(documents: DataFrame, folder: str | None = None, path: str
                 system.create_dir(base, recursive=True)
                 out = system.open_output_stream(f"{base}/{name}", compression=None)
                 writer = FrameWriter(out)
-            docs = batch.column("doc_id").fill_null(NULL_ID).to_pylist()
+            docs = batch.column("doc_id").to_pylist()
             for i, flat, lengths in encoded(batch.column("text"), path):
                 stops = np.cumsum(lengths)
                 for k, stop in enumerate(stops.tolist()):
@@ -169,7 +172,7 @@ def read_token_files(manifest: DataFrame, wanted: Iterable[int] | None = None) -
                         stops = np.cumsum(lengths, dtype=np.int64)
                         begins = stops - lengths
                         crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins.tolist(), stops.tolist(), strict=True)]
-                        own = pa.array(docs, mask=docs == NULL_ID)
+                        own = pa.array(docs.data, mask=np.ma.getmaskarray(docs))
                         out = pa.RecordBatch.from_arrays([own, pa.array(start + begins), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                         start += int(lengths.sum())
                         yield out if wish is None else out.filter(pc.is_in(own, pa.array(wish, pa.int64())))
@@ -179,5 +182,11 @@ def read_token_files(manifest: DataFrame, wanted: Iterable[int] | None = None) -
 
 
 def token_output(documents: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes the files and reads them back: the digest of each document as it stands in them."""
+    """Writes the files and reads them back: the digest of each document as it stands in them.
+
+    Null and empty texts have the end id alone; documents without an id come first;
+    equal ids follow one another in the order of a hash of the text; repeated rows are
+    repeated documents; an empty table gives no rows.  Returns doc_id, start,
+    n_tokens, ids_crc32.
+    """
     return read_token_files(write_token_files(documents, path=path))

@@ -610,6 +610,66 @@ def test_token_files_round_trip(spark, tokenizer):
     assert read_token_files(write_token_files(df.limit(0))).count() == 0
 
 
+def test_token_files_tell_null_from_the_least_id(spark):
+    from lorewell.llm.token_output import token_output
+
+    df = spark.createDataFrame([(-(1 << 63), "one"), (None, "two"), (None, None), (5, "three")], "doc_id long, text string")
+    assert [r["doc_id"] for r in token_output(df).orderBy("start").collect()] == [None, None, -(1 << 63), 5]
+
+
+def test_training_sample_is_bounded_with_repeated_rows(spark):
+    from lorewell.llm.language_id import training_spans
+
+    k0 = next(k for k in range(200, 300) if zlib.crc32(str(k).encode()) % 4 != 2)
+    df = spark.createDataFrame([(k0, "kala talo", "aa")] * 500 + [(k0, "vesi puu", "aa")] * 20 + [(k, f"zrnx {k}", "bb") for k in range(100)], "doc_id long, text string, lang string")
+    languages, spans, lengths, labels = training_spans(df, 10)
+    assert languages == ["aa", "bb"] and (labels == 0).sum() <= 2 and (labels == 1).sum() <= 10 and len(spans) == len(lengths) == len(labels)
+
+
+def test_probabilities_against_a_plain_network():
+    from lorewell.llm.language_id import SPAN, UNITS, ByteTagger
+
+    rng = np.random.default_rng(3)
+    m = ByteTagger(["a", "b", "c"])
+    soft = lambda x: x / (1 + abs(x))
+
+    def run(layer, data):
+        h, out = np.zeros(UNITS), []
+        for x in data:
+            g, u = layer.w[x].astype(float), layer.u.astype(float) @ h
+            z, r = (soft(g[k * UNITS : (k + 1) * UNITS] + u[k * UNITS : (k + 1) * UNITS]) / 2 + 0.5 for k in (0, 1))
+            n = soft(g[2 * UNITS :] + r * u[2 * UNITS :])
+            h = n + z * (h - n)
+            out.append(h)
+        return np.array(out)
+
+    texts = [bytes(rng.integers(0, 256, n).tolist()) for n in (1, 95, 96, 97, 500)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = m.pooled(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    for t, p in zip(texts, got, strict=True):
+        each = []
+        for a in range(0, len(t), SPAN):
+            part = list(t[a : a + SPAN])
+            padded = part + [0] * (SPAN - len(part))  # the state from the right starts at the span's end
+            logits = np.concatenate([run(m.ahead, padded), run(m.back, padded[::-1])[::-1]], axis=1)[: len(part)] @ m.v.T.astype(float) + m.b[:, 0]
+            e = np.exp(logits - logits.max(axis=1, keepdims=True))
+            each.append(e / e.sum(axis=1, keepdims=True))
+        assert p == pytest.approx(np.concatenate(each).mean(axis=0), abs=1e-4)
+
+
+def test_training_lowers_the_loss_and_splits_languages():
+    from lorewell.llm.language_id import ByteTagger
+
+    rng = np.random.default_rng(4)
+    spans = np.concatenate([rng.integers(97, 107, (60, 96)), rng.integers(107, 117, (60, 96))]).astype(np.uint8)
+    labels, lengths = np.repeat([0, 1], 60), np.full(120, 96)
+    m = ByteTagger(["a", "b"])
+    before = m.probabilities(np.ascontiguousarray(spans.T))[:, labels, np.arange(120)].mean()
+    m.train(spans, lengths, labels)
+    after = m.probabilities(np.ascontiguousarray(spans.T))[:, labels, np.arange(120)].mean()
+    assert before < 0.7 < 0.9 < after
+
+
 def test_frames_are_independent_and_checked():
     import pyarrow as pa
 
