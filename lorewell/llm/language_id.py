@@ -16,6 +16,8 @@ from lorewell.llm._shared import small_batches, text_slices
 UNITS, SPAN = 8, 96
 #: The bounded training sample: documents of each language, and spans of each document.
 DOCS_PER_LANGUAGE, SPANS_PER_DOC = 256, 8
+#: Parts in which the documents of a language are first compared for the sample.
+PARTS = 16
 #: Training: passes over the sample, spans of a batch, step size.
 PASSES, BATCH, STEP = 4, 128, 0.02
 #: Spans that are labelled at a time.
@@ -153,8 +155,10 @@ def training_spans(documents: DataFrame, docs_per_language: int = DOCS_PER_LANGU
     doc_id; of each of these SPANS_PER_DOC spans at places drawn from its content."""
     rows = documents.where((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
     rows = rows.select("doc_id", "lang", F.col(text).alias("text"), F.xxhash64("doc_id").alias("place"), F.xxhash64(F.lit(1), F.col(text)).alias("own"))
-    order = Window.partitionBy("lang").orderBy("place", "doc_id", "own")
-    picked = rows.select("lang", "place", "doc_id", "own").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_per_language).drop("nth").distinct()
+    picked = rows.select("lang", "place", "doc_id", "own")
+    for part in (F.pmod("place", F.lit(PARTS)), F.lit(0)):  # first the first ones of each part, so that no task meets more than PARTS times the sample of a language
+        order = Window.partitionBy("lang", "part").orderBy("place", "doc_id", "own")
+        picked = picked.withColumn("part", part).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_per_language).drop("part", "nth").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -661,12 +661,12 @@ def test_training_lowers_the_loss_and_splits_languages():
     from lorewell.llm.language_id import ByteTagger
 
     rng = np.random.default_rng(4)
-    spans = np.concatenate([rng.integers(97, 107, (60, 96)), rng.integers(107, 117, (60, 96))]).astype(np.uint8)
-    labels, lengths = np.repeat([0, 1], 60), np.full(120, 96)
+    spans = np.concatenate([rng.integers(97, 107, (1000, 96)), rng.integers(107, 117, (1000, 96))]).astype(np.uint8)
+    labels, lengths = np.repeat([0, 1], 1000), np.full(2000, 96)
     m = ByteTagger(["a", "b"])
-    before = m.probabilities(np.ascontiguousarray(spans.T))[:, labels, np.arange(120)].mean()
+    before = m.probabilities(np.ascontiguousarray(spans.T))[:, labels, np.arange(2000)].mean()
     m.train(spans, lengths, labels)
-    after = m.probabilities(np.ascontiguousarray(spans.T))[:, labels, np.arange(120)].mean()
+    after = m.probabilities(np.ascontiguousarray(spans.T))[:, labels, np.arange(2000)].mean()
     assert before < 0.7 < 0.9 < after
 
 
