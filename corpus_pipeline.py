@@ -17,7 +17,7 @@ from lorewell.llm.language_id import UNKNOWN, keep_languages
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those with no text or no letter go."""
+    """Documents in one of the learned languages; those with no text or no letter go.  Repeated rows stay repeated; without a labelled row nothing stays; an empty table stays empty."""
     return keep_languages(docs, lambda language, score: language != UNKNOWN)
 
 
@@ -31,13 +31,13 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.  Texts without words and rows without a doc_id stay, all rows of a doc_id go with one of them; an empty benchmark removes nothing."""
     hit = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated")
     return without_ids(docs, written(hit.select("doc_id").distinct(), "contaminated"), "doc_id")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences of all documents that are left."""
+    """The sequences of all documents that are left: a piece of the end id alone for an empty text, repeated rows packed as often; no rows for an empty table."""
     return best_fit_packing(docs)
 
 

@@ -32,9 +32,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """The vector at length 1; a zero vector stays zero."""
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(v, lambda x: over(x, length))
+    """The vector at length 1; a zero vector stays zero.  (The length is bound once, not worked out for each component.)"""
+    one = F.array(F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)).alias("n")))
+    return F.transform(one, lambda s: F.transform(s["v"], lambda x: over(x, s["n"])))[0]
 
 
 def cut(text: Column, n: int, always: bool = False) -> Column:

@@ -21,7 +21,7 @@ def dense_gram(values: DataFrame, ids: np.ndarray) -> np.ndarray:
     """The Gram matrix as an array, for at most MOST_ITEMS items."""
     if len(ids) > MOST_ITEMS:
         raise ValueError(f"{len(ids)} items: more than {MOST_ITEMS} need range_finder")
-    i, j, g = collected(gram(values), "i", "j", "g", limit=1 << 34)
+    i, j, g = collected(gram(values), "i", "j", "g", limit=1 << 30)
     out = np.zeros((len(ids), len(ids)))
     out[np.searchsorted(ids, i), np.searchsorted(ids, j)] = g
     return out
@@ -63,9 +63,9 @@ def _gram_times(by_user: DataFrame, ids: np.ndarray, q: np.ndarray) -> np.ndarra
     return sum((np.frombuffer(p["part"]).reshape(q.shape) for p in parts), np.zeros_like(q))
 
 
-def truncated_svd(values: DataFrame, ids: np.ndarray, k: int, n_users: int) -> tuple[np.ndarray, np.ndarray]:
+def truncated_svd(values: DataFrame, ids: np.ndarray, k: int, n_users: int, n_items: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Item factors V (items x k) and singular values of (u, i, x), largest first; k is kept below both dimensions."""
-    k = max(1, min(k, len(ids) - 1, n_users - 1))
+    k = max(1, min(k, (len(ids) if n_items is None else n_items) - 1, n_users - 1, len(ids)))
     if len(ids) > MOST_ITEMS:
         return range_finder(values, ids, k)
     val, vec = np.linalg.eigh(dense_gram(values, ids))

@@ -1,23 +1,29 @@
 """Scores of every user for every item and their top k.
 
 Two ways with the same results.  The block scorer keeps the item side in arrays on
-every worker and scores blocks of users with numpy; it is used only while the
-measured item side fits BROADCAST_BYTES.  Beyond that, scores come from joins and
-aggregates of the long tables, whose padding touches only users with too few
-candidates."""
+every worker and scores users one after the other with numpy; it is used only while
+the measured item side fits BROADCAST_BYTES.  Beyond that, sparse terms come from
+joins and aggregates of the long tables, and dense ones (vectors of users and items)
+from blocks of items that fit, sent one after the other.  Padding touches only users
+with too few candidates."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Largest item side that is sent to the workers, and users of a block.
-BROADCAST_BYTES, BLOCK = 256 << 20, 128
+#: Largest item side, or block of items, that is sent to the workers.
+BROADCAST_BYTES = 256 << 20
+
+
+class TooLarge(ValueError):
+    """A table does not fit BROADCAST_BYTES."""
 
 
 @dataclass
@@ -94,14 +100,64 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return ids[order], rounded[order]
 
 
-def collected(df: DataFrame, *columns: str, limit: int = BROADCAST_BYTES) -> list[np.ndarray] | None:
-    """The columns of a long table as arrays, or None where it holds more than `limit` bytes."""
-    if df.count() * 8 * len(columns) > limit:
-        return None
-    table = df.select(*columns).toArrow()
+def collected(df: DataFrame, *columns: str, limit: int | None = None) -> list[np.ndarray]:
+    """The columns of a long table as arrays; TooLarge where it holds more than `limit` (BROADCAST_BYTES) bytes."""
+    limit, df = BROADCAST_BYTES if limit is None else limit, df.select(*columns).persist()
+    try:
+        if (n := df.count()) * 8 * len(columns) > limit:
+            raise TooLarge(f"{n} rows of {len(columns)} columns are more than {limit} bytes")
+        table = df.toArrow()
+    finally:
+        df.unpersist()
     return [table.column(c).to_numpy() for c in columns]
 
 
+def dense_blocks(vectors: DataFrame, d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All items' ids and vectors of d components, in blocks by hash of the id that each fit BROADCAST_BYTES."""
+    n = max(1, vectors.count())
+    blocks = -(-n * 8 * (d + 1) // max(1, BROADCAST_BYTES // 2))  # half full in the mean, so that no block is too large
+    for b in range(blocks):
+        table = vectors.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).select("i", "e").toArrow()
+        ids = table.column("i").to_numpy()
+        order = np.argsort(ids)
+        if len(ids):
+            yield ids[order], np.asarray(table.column("e").combine_chunks().flatten(), np.float64).reshape(len(ids), d)[order]
+
+
+def joined_top_k(users: DataFrame, sparse: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame, d: int, k: int) -> DataFrame:
+    """(u, i, rank, score): top k of every user by the sum of long sparse scores (u, i, score) and dense ones.
+
+    `user_vectors` (u, q) and `item_vectors` (i, e, every item) have d components; a
+    user without one has zeros.  Item blocks go to the workers one after the other,
+    each gives the users' best k of it, and the best of those are the result."""
+    own = sparse.groupBy("u").agg(F.collect_list(F.struct("i", "score")).alias("own"))
+    rows = users.select("u").distinct().join(user_vectors.select("u", "q"), "u", "left").join(own, "u", "left").persist()
+    tops = []
+    for block in dense_blocks(item_vectors, d):
+        shared = users.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            item_ids, e = shared.value
+            for batch in batches:
+                out: list[list] = [[], [], []]
+                for row in batch.to_pylist():
+                    scores = e @ np.asarray(row["q"]) if row["q"] is not None else np.zeros(len(item_ids))
+                    some = row["own"] or []
+                    i = np.fromiter((x["i"] for x in some), np.int64, len(some))
+                    s = np.fromiter((x["score"] for x in some), np.float64, len(some))
+                    at = np.minimum(np.searchsorted(item_ids, i), len(item_ids) - 1)
+                    here = item_ids[at] == i
+                    np.add.at(scores, at[here], s[here])
+                    found, values = best(item_ids, scores, k)
+                    out[0] += [row["u"]] * len(found)
+                    out[1] += found.tolist()
+                    out[2] += values.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["u", "i", "score"])
+
+        tops.append(rows.mapInArrow(run, "u long, i long, score double"))
+    return top_k(reduce(DataFrame.unionByName, tops), k) if tops else top_k(sparse.select("u", "i", "score").limit(0), k)
+
+
 def block_top_k(users: DataFrame, profiles: dict[str, DataFrame], side: ItemSide, k: int, seen: DataFrame | None = None) -> DataFrame:
     """(u, i, rank, score): top k of every user; with `seen`, items of (u, i) there come after all others."""
     spark = users.sparkSession
@@ -174,8 +230,9 @@ def join_scores(profile: DataFrame, links: DataFrame, score: str = "s") -> DataF
 
 def cosine_side(items: DataFrame, columns: DataFrame, name: str = "x", weight: float = 1.0) -> ItemSide | None:
     """The item side of profile x (item-column cosine), from (u, i, c); None where it is too large."""
-    ids, long = collected(items.select("i").distinct().orderBy("i"), "i"), collected(columns, "u", "i", "c")
-    if ids is None or long is None:
+    try:
+        ids, long = collected(items.select("i").distinct().orderBy("i"), "i"), collected(columns, "u", "i", "c")
+    except TooLarge:
         return None
     side = ItemSide(np.sort(ids[0]))
     side.cosine[name] = [(weight, *cosine_pair(side.ids, *long))]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewell.functions.scalar import epoch_timestamp
+
+# Weekday names and the bins of interaction counts.
 DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 BINS = ((0, 1, "1"), (1, 2, "2"), (2, 5, "3-5"), (5, 10, "6-10"), (10, 20, "11-20"), (20, 50, "21-50"), (50, 100, "51-100"), (100, None, "100+"))
 
@@ -190,10 +193,21 @@ def kpis(interactions: DataFrame) -> DataFrame:
     return a.withColumn("rows_per_user", F.col("n_rows") / F.col("n_users"))
 
 
-def gauges(interactions: DataFrame, items: DataFrame) -> DataFrame:
-    """Sparsity, item coverage and active users in percent (the last two are 100 by construction)."""
-    d = density(interactions)
-    return d.select((100 * F.col("sparsity")).alias("sparsity_pct"), F.lit(100.0).alias("coverage_pct"), F.lit(100.0).alias("active_pct"))
+def gauges(interactions: DataFrame, items: DataFrame, users: DataFrame) -> DataFrame:
+    """Sparsity over the users and items known, the share of items that anyone took, and of users who took any, in percent.
+
+    Known are those of the catalogue (i), of the user table (u) and of the interactions."""
+    known = lambda table, c: table.select(c).union(interactions.select(c)).agg(F.count_distinct(c).alias(f"known_{c}"))
+    one = density(interactions).join(F.broadcast(known(items, "i"))).join(F.broadcast(known(users, "u")))
+    cells = F.col("known_u") * F.col("known_i")
+    return one.select((100 * (1 - F.col("n_rows") / cells)).alias("sparsity_pct"), (100 * F.col("n_items") / F.col("known_i")).alias("coverage_pct"), (100 * F.col("n_users") / F.col("known_u")).alias("active_pct"))
+
+
+def days(interactions: DataFrame) -> DataFrame:
+    """(_t_dt, count): rows by day of epoch times whose unit the largest tells; rows without a time are left out."""
+    largest = interactions.agg(F.max("t").alias("largest"))
+    at = interactions.join(F.broadcast(largest)).select(epoch_timestamp(F.col("t"), F.col("largest")).cast("date").alias("_t_dt"))
+    return at.where("_t_dt IS NOT NULL").groupBy("_t_dt").agg(F.count("*").alias("count"))
 
 
 def time_coverage(interactions: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.functions.scalar import dot, unit
+from lorewell.functions.encoder import encode
+from lorewell.functions.scalar import dot
 from lorewell.functions.text import reasons
 
 # Words in an item's subjects, and what they are taken to show.
@@ -40,12 +43,22 @@ def catalogue_tail(items: DataFrame, n: int = 10) -> DataFrame:
 
 def nearest(vectors: DataFrame, query: list[float], k: int = 10, without: int | None = None) -> DataFrame:
     """(i, rank, score): the k items whose unit vectors have the largest cosine with the query."""
-    q = unit(F.array(*[F.lit(float(x)) for x in query]))
+    length = sum(float(x) ** 2 for x in query) ** 0.5
+    q = F.array(*[F.lit(float(x) / length if length else 0.0) for x in query])
     rows = vectors if without is None else vectors.where(F.col("i") != without)
     best = rows.select("i", (F.round(dot(F.col("e"), q), 6) + F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "i").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "i")))
 
 
+def search_by_meaning(items: DataFrame, text: Column, query: str, k: int = 10, vectors: DataFrame | None = None, model: Callable | None = None) -> DataFrame:
+    """(i, rank, score): the k items nearest to a free text, which goes through the encoder that made (or makes) the items' vectors; nothing for a blank one."""
+    spark = items.sparkSession
+    own = encode(spark.createDataFrame([(0, query)], "i long, query string").where("trim(query) <> ''"), F.col("query"), model).select(F.col("e").alias("q"))
+    vectors = encode(items, text, model) if vectors is None else vectors
+    best = vectors.join(F.broadcast(own)).select("i", (F.round(dot(F.col("e"), F.col("q")), 6) + F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "i").limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "i"))).select("i", "rank", "score")
+
+
 def similar_items(vectors: DataFrame, i: int, k: int = 10) -> DataFrame:
     """The items nearest to one item, itself left out; its vector joins as a single row."""
     own = vectors.where(F.col("i") == i).select(F.col("e").alias("q")).limit(1)

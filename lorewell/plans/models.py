@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.functions.scalar import over
+from lorewell.functions.scalar import over, unit
 from lorewell.functions.text import enriched_soup, soup, stop_words, tokens, weighted_soup
 from lorewell.operators import latent, scoring
 from lorewell.operators.loading import at_least
-from lorewell.operators.profiles import bm25, decayed, item_columns, popularity, tfidf, transitions
-from lorewell.operators.scoring import ItemSide, Sparse, block_top_k, collected, cosine_pair
+from lorewell.operators.profiles import bm25, decayed, item_columns, item_similarity, popularity, tfidf, transitions
+from lorewell.operators.scoring import ItemSide, Sparse, TooLarge, block_top_k, collected, cosine_pair
 from lorewell.sources.interactions import with_columns
 
 
@@ -149,14 +151,23 @@ class PopularityRecommender(Recommender):
 
 
 def _ids(items: DataFrame) -> np.ndarray:
-    return np.sort(items.select("i").distinct().toArrow().column("i").to_numpy())
+    return np.sort(collected(items.select("i").distinct(), "i")[0])
+
+
+def _width(vectors: DataFrame) -> int:
+    first = vectors.where("e IS NOT NULL").select(F.size("e").alias("d")).first()
+    return first["d"] if first else 0
 
 
 def _vectors(ids: np.ndarray, vectors: DataFrame) -> np.ndarray:
     """Unit vectors by item position; items without one are zero."""
+    vectors = vectors.persist()
+    if vectors.count() * 8 * _width(vectors) > scoring.BROADCAST_BYTES:
+        raise TooLarge("the items' vectors")
     table = vectors.select("i", "e").toArrow()
     e = table.column("e").combine_chunks()
     m = np.asarray(e.flatten()).reshape(len(e), -1) if len(e) else np.zeros((0, 1))
+    vectors.unpersist()
     out = np.zeros((len(ids), m.shape[1]))
     at = np.searchsorted(ids, table.column("i").to_numpy())
     ok = (at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == table.column("i").to_numpy())
@@ -174,10 +185,16 @@ def keyword_tfidf(metadata: DataFrame, text, least: int = 2, bigrams: bool = Fal
 
 
 def _keyword_pair(ids: np.ndarray, terms: DataFrame) -> tuple[Sparse, Sparse]:
-    i, t, x = collected(terms.select("i", F.xxhash64("term").alias("t"), "x"), "i", "t", "x", limit=1 << 31)
+    i, t, x = collected(terms.select("i", F.xxhash64("term").alias("t"), "x"), "i", "t", "x")
     return cosine_pair(ids, t, i, x)
 
 
+def _term_links(terms: DataFrame) -> DataFrame:
+    """(i, j, s): keyword cosine of items, by their common terms."""
+    other = terms.select("term", F.col("i").alias("j"), F.col("x").alias("y"))
+    return terms.join(other, "term").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+
+
 class EnsembleRecommender(Recommender):
     """Half-lives mixed: for each, alpha x item cosine + (1 - alpha) x content; plus SVD, re-buy, popularity, keyword and sequence terms.
 
@@ -192,29 +209,41 @@ class EnsembleRecommender(Recommender):
         self.factors, self.diagonal, self.ease_lambda, self.content, self.pop_from = factors, diagonal, ease_lambda, content, pop_from
 
     def fit(self, data: Data) -> EnsembleRecommender:
-        self.data = data
-        ids = _ids(data.items)
-        metadata = None if data.metadata is None else with_columns(data.metadata).join(data.items, "i", "left_semi")
-        side, self.profiles = ItemSide(ids), {}
-        for k, (hl, w) in enumerate(zip(self.half_lives, self.weights, strict=True)):
+        """Fits in arrays on the workers where the item side is small enough, else for joins and blocks of items (not with EASE, whose matrix is dense)."""
+        self.data, self.side = data, None
+        self.profiles = {f"x{k}": tfidf(decayed(data.train, hl), data.n_users).persist() for k, hl in enumerate(self.half_lives)}
+        self.longest, self.shortest = f"x{int(np.argmax(self.half_lives))}", f"x{int(np.argmin(self.half_lives))}"
+        try:
+            return self._fit_arrays(data)
+        except TooLarge:
+            if self.ease_lambda is not None and self.alpha:
+                raise
+            self.side = None
+            return self
+
+    def _metadata(self, data: Data) -> DataFrame | None:
+        return None if data.metadata is None else with_columns(data.metadata).join(data.items, "i", "left_semi")
+
+    def _fit_arrays(self, data: Data) -> EnsembleRecommender:
+        ids, metadata = _ids(data.items), self._metadata(data)
+        side, vectors = ItemSide(ids), None
+        if self.content == "vectors" and data.vectors is not None and self.alpha < 1:
+            vectors = _vectors(ids, data.vectors)
+        for k, w in enumerate(self.weights):
             name = f"x{k}"
-            x = self.profiles[name] = tfidf(decayed(data.train, hl), data.n_users).persist()
+            x = self.profiles[name]
             if self.alpha and self.ease_lambda is None:
-                long = collected(item_columns(x), "u", "i", "c")
-                if long is None:
-                    raise ValueError(f"the item side is larger than {scoring.BROADCAST_BYTES} bytes; score the cosine term with CosineRecommender's joins")
-                side.cosine[name] = [(w * self.alpha, *cosine_pair(ids, *long))]
+                side.cosine[name] = [(w * self.alpha, *cosine_pair(ids, *collected(item_columns(x), "u", "i", "c")))]
             elif self.alpha:
                 b = latent.ease(x, ids, self.ease_lambda)
                 side.matrix[name] = [(w * self.alpha, b / max(np.abs(b).max(), 1e-12))]
-            if self.content == "vectors" and data.vectors is not None and self.alpha < 1:
-                side.dense[name] = [(w * (1 - self.alpha), _vectors(ids, data.vectors))]
+            if vectors is not None:
+                side.dense[name] = [(w * (1 - self.alpha), vectors)]
             elif self.content == "soup" and self.alpha < 1:
                 side.cosine.setdefault(name, []).append((w * (1 - self.alpha), *_keyword_pair(ids, keyword_tfidf(metadata, weighted_soup(), least=1, bigrams=True))))
             if self.diagonal:
                 side.own[name] = side.own.get(name, 0.0) + w * self.diagonal
-        longest = f"x{int(np.argmax(self.half_lives))}"
-        shortest = f"x{int(np.argmin(self.half_lives))}"
+        longest, shortest = self.longest, self.shortest
         if self.rebuy:
             side.own[longest] = side.own.get(longest, 0.0) + self.rebuy
         plus = np.zeros(len(ids))
@@ -239,7 +268,65 @@ class EnsembleRecommender(Recommender):
         return self
 
     def predict(self, k: int = 10) -> DataFrame:
-        return block_top_k(self.data.users, self.profiles, self.side, k)
+        return self._joined(k) if self.side is None else block_top_k(self.data.users, self.profiles, self.side, k)
+
+    def _joined(self, k: int) -> DataFrame:
+        """The same scores from joins (sparse terms) and blocks of items (dense terms)."""
+        data, metadata = self.data, self._metadata(self.data)
+        items, sparse, user_parts, item_parts = data.items, [], [], []
+
+        def add(weight: float, scores: DataFrame) -> None:
+            sparse.append(scores.select("u", "i", (F.col("score") * weight).alias("score")))
+
+        own = {f"x{n}": w * self.diagonal for n, w in enumerate(self.weights)}
+        own[self.longest] += self.rebuy
+        d = _width(data.vectors) if self.content == "vectors" and data.vectors is not None and self.alpha < 1 else 0
+        for n, w in enumerate(self.weights):
+            x = self.profiles[f"x{n}"]
+            if self.alpha:
+                add(w * self.alpha, scoring.join_scores(x, item_similarity(x)))
+            if self.content == "soup" and self.alpha < 1:
+                add(w * (1 - self.alpha), scoring.join_scores(x, _term_links(keyword_tfidf(metadata, weighted_soup(), least=1, bigrams=True))))
+            if own[f"x{n}"]:
+                add(own[f"x{n}"], x.withColumnRenamed("x", "score"))
+        if d:
+            mixed = [self.profiles[f"x{n}"].select("u", "i", (F.col("x") * w * (1 - self.alpha)).alias("x")) for n, w in enumerate(self.weights)]
+            user_parts.append((d, _profile_vectors(reduce(DataFrame.unionByName, mixed), data.vectors, d)))
+            item_parts.append((d, data.vectors.select("i", "e")))
+        if self.keyword and metadata is not None:
+            add(self.keyword, scoring.join_scores(self.profiles[self.longest], _term_links(keyword_tfidf(metadata, soup(F.col("Title"), F.col("Author"), F.col("Subjects"))))))
+        if self.sequence:
+            links = transitions(data.train).select("i", F.col("next_i").alias("j"), F.col("score").alias("s"))
+            add(self.sequence, scoring.join_scores(self.profiles[self.shortest], links))
+        plus = items.withColumn("plus", F.lit(0.0))
+        if self.pop:
+            pop = popularity(self.profiles[self.longest if self.pop_from == "longest" else f"x{len(self.half_lives) - 1}"])
+            plus = items.join(pop, "i", "left").select("i", (self.pop * F.coalesce("pop", F.lit(0.0))).alias("plus"))
+        if self.svd:
+            counts = data.train.groupBy("u", "i").agg(F.log1p(F.count("*")).alias("x"))
+            found = counts.select("i").distinct().toArrow().column("i").to_numpy()
+            ids = np.sort(found)
+            v, s = latent.truncated_svd(counts, ids, self.factors, data.n_users, items.count())
+            table = items.sparkSession.createDataFrame(pa.table({"i": ids, "v": list(v)}))
+            root = F.array(*[F.lit(float(x)) for x in np.sqrt(np.maximum(s, 1e-12))])
+            to_user = table.select("i", F.zip_with("v", root, lambda a, b: a / b).alias("e"))
+            k_svd = len(s)
+            user_parts.append((k_svd, _profile_vectors(counts, to_user, k_svd).select("u", F.transform(unit(F.col("q")), lambda a: a * (self.svd / 2)).alias("q"))))
+            item_parts.append((k_svd, table.select("i", unit(F.zip_with("v", root, lambda a, b: a * b)).alias("e"))))
+            plus = plus.withColumn("plus", F.col("plus") + self.svd / 2)
+        q, e = data.users.withColumn("q", F.array(F.lit(1.0))), plus.select("i", F.array("plus").alias("e"))
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+        for (n, users), (_, vectors) in zip(user_parts, item_parts, strict=True):
+            q = q.join(users.withColumnRenamed("q", "more"), "u", "left").select("u", F.concat("q", F.coalesce("more", zeros(n))).alias("q"))
+            e = e.join(vectors.withColumnRenamed("e", "more"), "i", "left").select("i", F.concat("e", F.coalesce("more", zeros(n))).alias("e"))
+        long = reduce(DataFrame.unionByName, sparse) if sparse else data.train.select("u", "i", F.lit(0.0).alias("score"))
+        return scoring.joined_top_k(data.users, long.groupBy("u", "i").agg(F.sum("score").alias("score")), q, e.persist(), 1 + sum(n for n, _ in item_parts), k)
+
+
+def _profile_vectors(profile: DataFrame, vectors: DataFrame, d: int) -> DataFrame:
+    """(u, q): each user's items' vectors, summed with the profile's weights, component by component with partial sums."""
+    own = profile.join(vectors.select("i", "e"), "i")
+    return own.groupBy("u").agg(F.array(*[F.sum(F.col("x") * F.col("e")[n]) for n in range(d)]).alias("q"))
 
 
 @dataclass
@@ -302,9 +389,12 @@ class SVDRecommender(Recommender):
     def __init__(self, factors: int = 20):
         self.factors = factors
 
+    def weights(self, data: Data) -> DataFrame:
+        return data.train.groupBy("u", "i").agg(F.count("*").cast("double").alias("x"))
+
     def fit(self, data: Data) -> SVDRecommender:
         self.data, ids = data, _ids(data.items)
-        self.x = data.train.groupBy("u", "i").agg(F.count("*").cast("double").alias("x")).persist()
+        self.x = self.weights(data).persist()
         v, self.singular = latent.truncated_svd(self.x, ids, self.factors, data.n_users)
         self.side = ItemSide(ids, dense={"x": [(1.0, v)]})
         return self
@@ -313,6 +403,16 @@ class SVDRecommender(Recommender):
         return block_top_k(self.data.users, {"x": self.x}, self.side, k)
 
 
+class LogSVDRecommender(SVDRecommender):
+    """ln(1 + count) in place of counts; user factors U sqrt(s) times item factors V sqrt(s), which is R V V' again."""
+
+    def __init__(self, factors: int = 50):
+        super().__init__(factors)
+
+    def weights(self, data: Data) -> DataFrame:
+        return data.train.groupBy("u", "i").agg(F.log1p(F.count("*")).alias("x"))
+
+
 MODELS = {
     "semantic_hybrid": semantic_hybrid, "coupled_semantic": coupled_semantic, "enriched_semantic": enriched_semantic, "ensemble_hybrid": ensemble_hybrid,
     "bm25": lambda: BM25Recommender(k1=1.5), "diversified": DiversifiedRecommender, "low_interaction": LowInteractionRecommender, "history_filter": HistoryFilterRecommender,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorewell.functions import encoder
 from lorewell.functions import text as T
 from lorewell.functions.scalar import cut
 from lorewell.operators import evaluation, latent, loading, profiles, scoring
@@ -184,6 +185,11 @@ def topk_semantic(spark, d):
     return model.fit(_data(spark, d, I.event_interactions, vectors=True)).predict(10)
 
 
+@query()
+def topk_log_svd(spark, d):
+    return models.LogSVDRecommender(50).fit(_data(spark, d, I.event_interactions)).predict(10)
+
+
 @query()
 def topk_svd(spark, d):
     return models.SVDRecommender(20).fit(_data(spark, d, I.event_interactions)).predict(10)
@@ -211,14 +217,32 @@ def topk_ensemble(spark, d):
     return models.ensemble_hybrid().fit(_data(spark, d, I.event_interactions)).predict(10)
 
 
-@query()
+def _profile_sql(name: str, hl: float) -> str:
+    """A profile and its cosine and content scores under names of their own."""
+    own = f"x AS (SELECT u, i, x FROM {name})"
+    return f"{name} AS (WITH {weights_sql(hl)}, {TFIDF} SELECT u, i, x FROM x), {name}_cos AS (WITH {own}, {COSINE}, {SCORES} SELECT u, i, score FROM scores), {name}_dense AS (WITH {own}, {SEMANTIC} SELECT u, i, score FROM scores)"
+
+
+_COUPLED = "SELECT u, i, 0.25 * score AS score FROM a_cos UNION ALL SELECT u, i, 0.25 * score FROM a_dense UNION ALL SELECT u, i, 0.75 * x FROM a UNION ALL SELECT u, i, 0.25 * score FROM b_cos UNION ALL SELECT u, i, 0.25 * score FROM b_dense UNION ALL SELECT u, i, 0.75 * x FROM b UNION ALL SELECT u, i, 0.1 * p / (SELECT max(p) FROM pop) FROM users CROSS JOIN pop"
+
+
+@query(f"WITH {EV}, {SPLIT}, {USERS}, {VECS}, {_profile_sql('a', 30)}, {_profile_sql('b', 150)}, pop AS (SELECT i, sum(x) AS p FROM b GROUP BY i), scores AS (SELECT u, i, sum(score) AS score FROM ({_COUPLED}) GROUP BY u, i), {dense_top()} SELECT * FROM top")
 def topk_coupled_semantic(spark, d):
     return models.coupled_semantic().fit(_data(spark, d, I.event_interactions, vectors=True)).predict(10)
 
 
+def _enriched(spark: SparkSession, d: str) -> DataFrame:
+    """The parts with their enriched columns, in place of a text model's answers."""
+    size = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("i"), F.concat(F.lit("size "), "p_size").alias("description"))
+    return I.with_columns(I.part_items(spark, d).withColumns({"clean_author": F.col("Author"), "category": F.lower("Subjects")}).join(size, "i"), (*I.TEXT_COLUMNS, *I.ENRICHED_COLUMNS))
+
+
 @query()
 def topk_enriched_semantic(spark, d):
-    return models.enriched_semantic().fit(_data(spark, d, I.event_interactions, vectors=True)).predict(10)
+    """On vectors of the enriched text."""
+    data = _data(spark, d, I.event_interactions)
+    data.vectors = encoder.encode(_enriched(spark, d), T.enriched_soup())
+    return models.enriched_semantic().fit(data).predict(10)
 
 
 # ---- evaluation and tuning
@@ -356,9 +380,9 @@ def null_counts(spark, d):
     return S.null_counts(spark.read.parquet(f"{d}/documents.parquet"))
 
 
-@query("SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events)))::BIGINT AS duplicates FROM events")
+@query("SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM documents)))::BIGINT AS duplicates FROM documents")
 def duplicate_count(spark, d):
-    return S.duplicate_count(spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_type"))
+    return S.duplicate_count(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 @query(f"WITH {IX} SELECT count(*) AS n_rows, count(DISTINCT u) AS n_users, count(DISTINCT i) AS n_items, round(count(*) / (count(DISTINCT u) * count(DISTINCT i)), 9) AS density, round(1 - count(*) / (count(DISTINCT u) * count(DISTINCT i)), 9) AS sparsity FROM ix")
@@ -381,9 +405,10 @@ def metadata_coverage(spark, d):
     return S.metadata_coverage(I.event_interactions(spark, d), I.part_items(spark, d)).withColumn("coverage", F.round("coverage", 9))
 
 
-@query(f"WITH {EV} SELECT i, u, t FROM ix WHERE i NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0)")
+@query(f"WITH {EV} SELECT i, u, t FROM ix WHERE i NOT IN (SELECT vec_id FROM embeddings)")
 def without_metadata(spark, d):
-    return S.without_metadata(I.event_interactions(spark, d), I.part_items(spark, d).where("i % 2 = 0"))
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("i"))
+    return S.without_metadata(I.event_interactions(spark, d), vectors)
 
 
 @query(f"WITH {IX}, {SPLIT} SELECT count(*) AS n_targets, count(w.u) AS n_warm, count(*) - count(w.u) AS n_cold FROM (SELECT DISTINCT c_custkey AS u FROM customer) a LEFT JOIN (SELECT DISTINCT u FROM train) w USING (u)")
@@ -403,9 +428,17 @@ def kpis(spark, d):
     return S.kpis(I.order_interactions(spark, d)).withColumn("rows_per_user", F.round("rows_per_user", 9))
 
 
-@query(f"WITH {IX} SELECT round(100 * (1 - count(*) / (count(DISTINCT u) * count(DISTINCT i))), 6) AS sparsity_pct, 100.0::DOUBLE AS coverage_pct, 100.0::DOUBLE AS active_pct FROM ix")
+@query(f"WITH {EV}, ki AS (SELECT count(*) AS n FROM (SELECT p_partkey FROM part UNION SELECT i FROM ix)), ku AS (SELECT count(*) AS n FROM (SELECT c_custkey FROM customer UNION SELECT u FROM ix)) SELECT round(100 * (1 - count(*) / (any_value(ku.n) * any_value(ki.n))), 6) AS sparsity_pct, round(100 * count(DISTINCT i) / any_value(ki.n), 6) AS coverage_pct, round(100 * count(DISTINCT u) / any_value(ku.n), 6) AS active_pct FROM ix, ki, ku")
 def sparsity_gauges(spark, d):
-    return S.gauges(I.order_interactions(spark, d), I.part_items(spark, d)).withColumn("sparsity_pct", F.round("sparsity_pct", 6))
+    users = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("u"))
+    found = S.gauges(I.event_interactions(spark, d), I.part_items(spark, d), users)
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+@query(f"WITH {IX}, scaled AS (SELECT t * 1000 AS t FROM ix), top AS (SELECT max(t) AS largest FROM scaled) SELECT strftime(make_timestamp((CASE WHEN largest > 1e12 THEN t WHEN largest > 1e10 THEN t * 1000 ELSE t * 1000000 END)::BIGINT), '%Y-%m-%d') AS day, count(*) AS count FROM scaled, top GROUP BY 1")
+def epoch_days(spark, d):
+    """Times in milliseconds: the unit is told by the largest."""
+    return S.days(I.order_interactions(spark, d).withColumn("t", F.col("t") * 1000)).select(F.col("_t_dt").cast("string").alias("day"), "count")
 
 
 @query(f"WITH {IX}, {ITEMS} SELECT coalesce(Author, 'Inconnu') AS Author, count(*) AS count FROM ix LEFT JOIN items USING (i) GROUP BY 1 ORDER BY count DESC, Author LIMIT 15")
@@ -460,6 +493,12 @@ def semantic_search(spark, d):
     return app.nearest(I.item_vectors(spark, d), _QUERY)
 
 
+@query()
+def free_text_search(spark, d):
+    """Free text for a user without a history, through the encoder of the items' vectors."""
+    return app.search_by_meaning(I.part_items(spark, d), T.soup(F.col("Title"), F.col("Author"), F.col("Subjects")), "a small red ring, polished brass")
+
+
 @query(f"WITH {IX}, {SPLIT}, {USERS}, {ITEMS}, {weights_sql(250)}, {TFIDF}, {COSINE}, {SCORES}, {dense_top()}, lists AS (SELECT u, string_agg(i::VARCHAR, ' ' ORDER BY rank) AS own FROM top GROUP BY u), pop AS (SELECT i, count(*) AS c FROM ix GROUP BY i ORDER BY c DESC, i LIMIT 10), fb AS (SELECT string_agg(i::VARCHAR, ' ' ORDER BY c DESC, i) AS fb FROM pop) SELECT c_custkey AS user_id, coalesce(own, fb) AS recommendation FROM customer LEFT JOIN lists ON u = c_custkey, fb")
 def submission(spark, d):
     data = _data(spark, d)
@@ -482,7 +521,10 @@ def recommendation_list(spark, d):
     return models.CosineRecommender(250).fit(one).predict(10).join(data.metadata, "i", "left").select("i", "Title", "Author", "rank")
 
 
-@query()
+_REASON = " || ".join(["CASE WHEN Author <> '' AND len(list_filter(t, lambda x: contains(x, lower(Author)))) > 0 THEN ' • You have read ' || Author ELSE '' END", *(f"CASE WHEN {' OR '.join(f"contains(lower(Subjects), '{w}')" for w in words)} THEN ' • {label}' ELSE '' END" for words, label in app.GENRES)])
+
+
+@query(f"WITH {IX}, {SPLIT}, {USERS}, {ITEMS}, {weights_sql(250)}, {TFIDF}, {COSINE}, {SCORES}, {dense_top(20)}, read AS (SELECT DISTINCT i FROM ix WHERE u = 7), titles AS (SELECT coalesce(list(lower(Title)), []) AS t FROM read JOIN items USING (i)), own AS (SELECT top.i, rank, score, Title, Author, Subjects, row_number() OVER (PARTITION BY Author ORDER BY rank) AS nth FROM top JOIN items ON top.i = items.i WHERE u = 7 AND top.i NOT IN (SELECT i FROM read)), best AS (SELECT *, row_number() OVER (ORDER BY rank) AS place, {_REASON} AS why FROM own, titles WHERE nth <= 2) SELECT place::INT AS rank, i, score, Title, Author, CASE WHEN why = '' THEN 'Recommended for you' ELSE substr(why, 4) END AS reason FROM best WHERE place <= 10")
 def recommend_user(spark, d):
     data = _data(spark, d)
     one = Data(data.train, data.users.where("u = 7"), data.items, data.metadata)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INTERACTIONS_SCHEMA = "u long, i long, t double"
+from lorewell.functions.scalar import unit
+
 TEXT_COLUMNS = ("Title", "Author", "Subjects", "Publisher")
 ENRICHED_COLUMNS = ("description", "clean_author", "category")
 
@@ -21,8 +22,18 @@ def read_csv_safely(spark: SparkSession, path: str, schema: str | None = None) -
 
 
 def read_interactions(spark: SparkSession, path: str) -> DataFrame:
-    """Interactions (u, i, t); ids are cast strictly, exact duplicates go before the cast."""
-    return spark.read.option("header", True).schema(INTERACTIONS_SCHEMA).csv(path).distinct()
+    """Interactions (u, i, t) of a CSV table with these columns, in any order and beside others.
+
+    Exact duplicates go before the cast, as text; a value that is no number of its
+    kind fails the read, an empty one is null."""
+    rows = spark.read.option("header", True).csv(path).select("u", "i", "t").distinct()
+    return rows.select(*[strict(c, kind).alias(c) for c, kind in (("u", "bigint"), ("i", "bigint"), ("t", "double"))])
+
+
+def strict(column: str, kind: str) -> Column:
+    """A text column cast to a kind; text that cannot be cast is an error, in any SQL mode."""
+    value = F.expr(f"try_cast({column} AS {kind})")
+    return F.when(F.col(column).isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit(f"{column} is no {kind}: "), F.col(column))).cast(kind)).otherwise(value)
 
 
 def with_columns(items: DataFrame, columns=TEXT_COLUMNS) -> DataFrame:
@@ -68,5 +79,4 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     n = vectors.agg(F.count("*").alias("n"))
     items = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i")).join(F.broadcast(n)).select("i", (F.col("i") % F.col("n")).alias("vec_id"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return items.join(vectors, "vec_id").select("i", F.transform("v", lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0))).alias("e"))
+    return items.join(vectors.select("vec_id", unit(F.col("v")).alias("e")), "vec_id").select("i", "e")

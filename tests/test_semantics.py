@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,91 @@ def test_tuning_queries_run_the_whole_grid_and_all_models(spark, monkeypatch):
     queries.topk_hybrid(spark, "")
     assert calls == [{}, models.MODELS, 100]
     assert len(tuning.ALPHAS) * len(tuning.WEIGHTS) * len(tuning.REBUYS) * len(tuning.POPS) == 192
+
+
+@pytest.mark.parametrize("name", ["semantic_hybrid", "coupled_semantic", "enriched_semantic", "soup"])
+def test_ensembles_in_arrays_and_by_joins_agree(spark, monkeypatch, name):
+    from lorewell.operators import scoring
+    from lorewell.plans import models
+
+    rng = np.random.default_rng(5)
+    ix = spark.createDataFrame([(int(u), int(i), float(t)) for u, i, t in zip(rng.integers(0, 25, 400), rng.integers(0, 40, 400), rng.integers(0, 4_000_000, 400), strict=True)], "u long, i long, t double").distinct()
+    words = ["red", "blue", "ring", "bolt", "steel", "brass"]
+    items = spark.createDataFrame([(k, " ".join(rng.choice(words, 3)), f"A{k % 7}", "tools", "P") for k in range(45)], "i long, Title string, Author string, Subjects string, Publisher string")
+    e = rng.standard_normal((44, 8))
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(k, v) for k, v in enumerate(e.tolist())], "i long, e array<double>")
+    users = ix.select("u").union(spark.createDataFrame([(99,)], "u long"))
+
+    def model():
+        return models.EnsembleRecommender(content="soup", half_lives=(7, 90), diagonal=1.0, svd=0) if name == "soup" else getattr(models, name)(**({"factors": 6} if name == "semantic_hybrid" else {}))
+
+    arrays = model().fit(models.Data(ix, users, items, items, vectors))
+    assert arrays.side is not None
+    want = {(r["u"], r["rank"]): (r["i"], r["score"]) for r in arrays.predict(6).collect()}
+    monkeypatch.setattr(scoring, "BROADCAST_BYTES", 600)
+    joins = model().fit(models.Data(ix, users, items, items, vectors))
+    assert joins.side is None
+    got = {(r["u"], r["rank"]): (r["i"], r["score"]) for r in joins.predict(6).collect()}
+    assert got.keys() == want.keys() and len(got) == 26 * 6
+    for key, (i, score) in want.items():
+        assert got[key][1] == pytest.approx(score, abs=3e-6)
+    assert sum(got[key][0] == i for key, (i, _) in want.items()) >= 0.98 * len(want)
+
+
+def test_strict_cast(spark, tmp_path):
+    from lorewell.sources.interactions import read_interactions
+
+    (tmp_path / "good.csv").write_text("x,t,i,u\na,1.5,2,1\nb,1.5,2,1\na,,2,\n")
+    assert sorted(map(str, read_interactions(spark, str(tmp_path / "good.csv")).collect())) == ["Row(u=1, i=2, t=1.5)", "Row(u=None, i=2, t=None)"]
+    for bad in ("abc", "1.5"):
+        (tmp_path / f"{bad}.csv").write_text(f"u,i,t\n1,{bad},3\n")
+        with pytest.raises(Exception, match="is no bigint"):
+            read_interactions(spark, str(tmp_path / f"{bad}.csv")).collect()
+
+
+def test_exports_and_epoch_units(spark, tmp_path):
+    from lorewell.sources.sinks import write_eda
+
+    day = 86400
+    for unit in (1, 1000, 1_000_000):
+        rows = [(1, 5, 9e8 * unit), (1, 6, (9e8 + day) * unit), (2, 5, 9e8 * unit), (3, 5, None)]
+        names = write_eda(spark.createDataFrame(rows, "u long, i long, t double"), f"{tmp_path}/{unit}")
+        tables = [spark.read.option("header", True).csv(f"{tmp_path}/{unit}/{n}.csv").collect() for n in names]
+        assert [[tuple(r) for r in t] for t in tables] == [[("1", "2"), ("2", "1"), ("3", "1")], [("5", "3"), ("6", "1")], [("1998-07-09", "2"), ("1998-07-10", "1")]]
+
+
+def test_free_text_search(spark):
+    from pyspark.sql import functions as F
+
+    from lorewell.plans.app import search_by_meaning
+
+    items = spark.createDataFrame([(1, "red ring"), (2, "blue bolt"), (3, "red bolt ring")], "i long, text string")
+    got = search_by_meaning(items, F.col("text"), "Ring, red!", 2).collect()
+    assert [(r["i"], r["rank"]) for r in got] == [(1, 1), (3, 2)] and got[0]["score"] == 1.0
+    assert search_by_meaning(items, F.col("text"), "  ").count() == 0
+    model = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    assert search_by_meaning(items, F.col("text"), "12345678", 1, model=model).first()["i"] == 1
+
+
+def test_ease_and_log_svd_against_dense_arithmetic(spark):
+    from lorewell.operators.profiles import decayed, tfidf
+    from lorewell.plans import models
+
+    rng = np.random.default_rng(6)
+    ix = spark.createDataFrame([(int(u), int(i), float(t)) for u, i, t in zip(rng.integers(0, 12, 150), rng.integers(0, 15, 150), rng.integers(0, 2_000_000, 150), strict=True)], "u long, i long, t double").distinct()
+    data = models.Data(ix, ix, ix)
+    x = np.zeros((12, 15))
+    for r in tfidf(decayed(ix, 30), 12).collect():
+        x[r["u"], r["i"]] = r["x"]
+    p = np.linalg.inv(x.T @ x + 500 * np.eye(15))
+    b = -p / np.diag(p)[None, :]
+    np.fill_diagonal(b, 0)
+    counts = np.zeros((12, 15))
+    for r in ix.groupBy("u", "i").count().collect():
+        counts[r["u"], r["i"]] = math.log1p(r["count"])
+    u, s, vt = np.linalg.svd(counts)
+    low = (u[:, :4] * np.sqrt(s[:4])) @ (np.sqrt(s[:4])[:, None] * vt[:4])
+    for model, scores in ((models.EASERecommender(500.0, 30), x @ b), (models.LogSVDRecommender(4), low)):
+        for r in model.fit(data).predict(5).collect():
+            assert r["score"] == pytest.approx(np.sort(np.round(scores[r["u"]], 6))[::-1][r["rank"] - 1], abs=3e-6)
