@@ -405,10 +405,10 @@ def metadata_coverage(spark, d):
     return S.metadata_coverage(I.event_interactions(spark, d), I.part_items(spark, d)).withColumn("coverage", F.round("coverage", 9))
 
 
-@query(f"WITH {EV} SELECT i, u, t FROM ix WHERE i NOT IN (SELECT vec_id FROM embeddings)")
+@query(f"WITH {IX} SELECT i, u, t FROM ix WHERE i NOT IN (SELECT vec_id FROM embeddings)")
 def without_metadata(spark, d):
     vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("i"))
-    return S.without_metadata(I.event_interactions(spark, d), vectors)
+    return S.without_metadata(I.order_interactions(spark, d), vectors)
 
 
 @query(f"WITH {IX}, {SPLIT} SELECT count(*) AS n_targets, count(w.u) AS n_warm, count(*) - count(w.u) AS n_cold FROM (SELECT DISTINCT c_custkey AS u FROM customer) a LEFT JOIN (SELECT DISTINCT u FROM train) w USING (u)")
