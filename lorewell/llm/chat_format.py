@@ -21,45 +21,44 @@ def chat_format(conversations: DataFrame, template: str = TURN_TEMPLATE) -> Data
     whole hash is a shorter prefix of another goes by an anti-join, and of equal
     conversations the one with the smallest conv_id stays (null after all others).
     A null conv_id is a conversation of its own; a null role is rendered as
-    'unknown', a null text as empty.  An empty table gives no rows.
+    'unknown', a null text as empty; long texts and conversations are rendered whole
+    (a conversation is one row in the end, so its turns meet in one task).  An empty
+    table gives no rows.
 
     Returns conv_id, n_turns (long), rendered (string).  Prefix hashes are
     deduplicated before the shuffle, so a first turn shared by a third of the log
     is sent once per task, not once per conversation.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    # a null conv_id has a key of its own, so that every step shares one partitioning
+    kind = dict(conversations.dtypes)["conv_id"]
+    key = [F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", F.lit("0").cast(kind)).alias("id")]
+    order = Window.partitionBy("none", "id").orderBy("turn", "role", "text")
+    rolling = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before, between, after = template.split("%s")
+    piece = F.concat(F.lit(before), F.coalesce("role", F.lit(NO_ROLE)), F.lit(between), F.coalesce("text", F.lit("")), F.lit(after))
+    shape = [F.col("pos"), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
     turns = (
-        conversations.select("conv_id", "turn", "role", "text")
+        conversations.select(*key, "turn", "role", "text")
         .withColumn("this", F.struct("turn", "role", "text"))
         .withColumn("again", F.lag("this").over(order).eqNullSafe(F.col("this")))
         .where("not again")
         .withColumn("pos", F.row_number().over(order).cast("long"))
-        .select("conv_id", "turn", "role", "text", "pos")
-    )
-    shape = [F.col("pos"), F.col("role").isNull(), F.coalesce("role", F.lit("")), F.col("text").isNull(), F.coalesce("text", F.lit(""))]
-    rolling = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hashed = (
-        turns.withColumn("h1", F.bit_xor(F.xxhash64(F.lit(17), *shape)).over(rolling))
+        .withColumn("h1", F.bit_xor(F.xxhash64(F.lit(17), *shape)).over(rolling))
         .withColumn("h2", F.bit_xor(F.xxhash64(F.lit(7919), F.lit("second"), *shape)).over(rolling))
-        .withColumn("n_turns", F.count("*").over(Window.partitionBy("conv_id")))
-        .select("conv_id", "pos", "n_turns", "h1", "h2")
     )
-    whole = hashed.where("pos = n_turns")
-    shorter = hashed.where("pos < n_turns").select(F.col("pos").alias("n_turns"), "h1", "h2").distinct()
+    # rows of a conversation are together already: its last prefix and its rendered turns come without another shuffle
+    whole = turns.groupBy("none", "id").agg(F.max(F.struct("pos", "h1", "h2")).alias("last"), F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("pieces"))
+    prefixes = turns.withColumn("n_turns", F.count("*").over(Window.partitionBy("none", "id")))
+    shorter = prefixes.where("pos < n_turns").select(F.col("pos").alias("n_turns"), "h1", "h2").distinct()
     kept = (
-        whole.groupBy("n_turns", "h1", "h2")
-        .agg(F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id")).alias("first"))
+        prefixes.where("pos = n_turns")
+        .groupBy("n_turns", "h1", "h2")
+        .agg(F.min(F.struct("none", "id")).alias("first"))
         .join(shorter, ["n_turns", "h1", "h2"], "left_anti")
-        .select(F.col("first.conv_id").alias("kept_id"), F.col("n_turns").alias("kept_turns"))
-    )
-    before, between, after = template.split("%s")
-    piece = F.concat(F.lit(before), F.coalesce("role", F.lit(NO_ROLE)), F.lit(between), F.coalesce("text", F.lit("")), F.lit(after))
-    return (
-        turns.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
-        .groupBy("conv_id")
-        .agg(F.first("kept_turns").alias("n_turns"), F.array_sort(F.collect_list(F.struct("pos", piece.alias("piece")))).alias("pieces"))
-        .select("conv_id", "n_turns", F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("rendered"))
+        .select("first.none", "first.id")
     )
+    shown = F.array_join(F.transform("pieces", lambda x: x["piece"]), "")
+    return whole.join(kept, ["none", "id"], "left_semi").select(F.when(~F.col("none"), F.col("id")).alias("conv_id"), F.col("last.pos").alias("n_turns"), shown.alias("rendered"))
 
 
 ORACLE_SQL = """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,12 +138,35 @@ def chunk_counter(path: str):
     return encode
 
 
+def _merged(raw: np.ndarray, offsets: np.ndarray, cache, path: str) -> np.ndarray:
+    """Tokens of each row of bytes that holds no special string."""
+    starts, ends, first = chunks(raw, offsets)
+    rows = cache.lookup(folded(raw, path), starts, ends)
+    each = cache.flat[cache.starts[rows]].astype(np.int64)
+    return np.diff(np.concatenate([[0], np.cumsum(each)])[first])
+
+
+def _around_special(raw: np.ndarray, offsets: np.ndarray, special: re.Pattern, cache, path: str) -> np.ndarray:
+    """Tokens of each row: one for each special string, and those of the text between them."""
+    out = np.zeros(len(offsets) - 1, np.int64)
+    parts: list[bytes] = []
+    owner: list[int] = []
+    for k in range(len(out)):
+        found = special.split(raw[offsets[k] : offsets[k + 1]].tobytes())
+        out[k] = len(found) - 1
+        parts += found
+        owner += [k] * len(found)
+    counts = _merged(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64), cache, path)
+    np.add.at(out, owner, counts)
+    return out
+
+
 def token_count(documents: DataFrame, path: str | None = None, limit: int = LIMIT, text: str = "text") -> DataFrame:
     """Tokens of every whole text, as the tokenizer's library counts them without special tokens.
 
     Pre-tokens are held as ragged numpy arrays and merged rank-synchronously; each
-    distinct chunk of text is merged once per worker.  Texts that hold a special
-    token's string are counted by the library itself.  Null and empty texts have 0
+    distinct chunk of text is merged once per worker.  A special token's string is one
+    token, as the library takes it, and parts the text around it.  Null and empty texts have 0
     bytes and 0 tokens, repeated rows are counted alike, an empty table gives no rows.  Returns doc_id, n_bytes (UTF-8), n_tokens, over_limit
     (n_tokens > limit).  A narrow map: no shuffle, memory bounded by a slice of
     text (a longer text is taken alone) and the chunk cache.
@@ -150,21 +174,15 @@ def token_count(documents: DataFrame, path: str | None = None, limit: int = LIMI
     path = path or tokenizer_path(TOKENIZER)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, special = cache_for("count", path, chunk_counter), special_strings(path)
+        cache, strings = cache_for("count", path, chunk_counter), special_strings(path)
+        special = re.compile(b"|".join(re.escape(x) for x in sorted(strings, key=len, reverse=True))) if strings else None
         for batch in batches:
             n_bytes, n_tokens = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             for i, j, raw, offsets in text_slices(batch.column("text")):
-                starts, ends, first = chunks(raw, offsets)
-                rows = cache.lookup(folded(raw, path), starts, ends)
-                each = cache.flat[cache.starts[rows]].astype(np.int64)
-                n_tokens[i:j] = np.diff(np.concatenate([[0], np.cumsum(each)])[first])
+                n_tokens[i:j] = _merged(raw, offsets, cache, path)
                 n_bytes[i:j] = np.diff(offsets)
-                data = raw.tobytes()
-                if any(s in data for s in special):
-                    for k in range(j - i):
-                        own = data[offsets[k] : offsets[k + 1]]
-                        if any(s in own for s in special):
-                            n_tokens[i + k] = len(load(path).encode(own.decode("utf-8", "replace"), add_special_tokens=False).ids)
+                if special and special.search(raw.tobytes()):
+                    n_tokens[i:j] += _around_special(raw, offsets, special, cache, path) - n_tokens[i:j]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = small_batches(documents).select("doc_id", documents[text].alias("text"))

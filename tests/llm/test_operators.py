@@ -44,6 +44,8 @@ def test_chat_keeps_maximal_conversations(spark):
     assert got[2] == (2, "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n")
     assert got[4] == (1, "<|im_start|>unknown\n<|im_end|>\n") and got[6][1].index("\na<") < got[6][1].index("\nb<")
     assert chat_format(df.limit(0)).count() == 0
+    long = spark.createDataFrame([("a", k, "user", "x" * 50_000) for k in range(40)] + [("b", k, "user", "x" * 50_000) for k in range(39)] + [(None, 0, "user", "x" * 50_000)], "conv_id string, turn long, role string, text string")
+    assert [(r["conv_id"], r["n_turns"], len(r["rendered"]) > 2_000_000) for r in chat_format(long.union(long)).collect()] == [("a", 40, True)]
 
 
 # ---- 2
@@ -421,6 +423,8 @@ def test_decontamination_against_brute_force(spark):
     assert got == brute_decontamination(texts, items)
     assert decontaminate(df.limit(0), bench).count() == 0
     assert not any(r["n_hit"] for r in decontaminate(df, bench.limit(0)).collect())
+    long = decontaminate(docs(spark, ["the cat " * 300_000 + items[0][1]]), bench.where("item_id = 1")).first()
+    assert (long["n_words"], long["n_items"]) == (600_014, 1) and long["n_hit"] >= 14
     near = [r["near_items"] for r in decontaminate(docs(spark, ["one two three four", "four x one", "one", None, "x four " + "y " * 9 + "one"]), spark.createDataFrame([(7, "One four"), (8, "four")], "item_id long, text string"), within=3).orderBy("doc_id").collect()]
     assert near == [["7", "8"], ["7", "8"], [], [], ["8"]]
 
@@ -583,6 +587,16 @@ def test_token_counts(spark, tokenizer):
     assert token_count(docs(spark, []).limit(0)).count() == 0
 
 
+def test_token_counts_around_special_strings(spark, tokenizer):
+    from lorewell.llm.token_count import token_count
+
+    rng = np.random.default_rng(12)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", " ", "Word", "İ", "'s", "\n", "e\u0301", "<|ENDOFTEXT|>", "12"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(1, 12)))) for _ in range(200)]
+    got = token_count(docs(spark, texts).union(docs(spark, texts[:3]))).collect()
+    assert len(got) == 203 and all(r["n_tokens"] == len(ids_of(tokenizer, texts[r["doc_id"]])) for r in got)
+
+
 def test_merger_on_random_words(tokenizer):
     from lorewell.llm._tokens import tokenizer_path
     from lorewell.llm.token_count import chunk_counter
@@ -787,3 +801,17 @@ def test_pipeline_stages(spark, tmp_path, tokenizer):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted({r["doc_id"] for r in packed}) == kept["benchmark decontamination"]
     assert len({r["sequence_id"] for r in packed}) == -(-sum(r["length"] for r in packed) // 4096)
+
+
+def test_pipeline_stages_without_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, "item one two")], "item_id long, text string").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty = spark.createDataFrame([], schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    rows = spark.createDataFrame([(1, "a b", "aa", "s", 0), (1, "a b", "aa", "s", 0), (None, None, None, None, None), (None, "c d e f g h", "aa", "s", 0)], schema)
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        assert stage(spark, rows, str(tmp_path)).count() == (3 if name == "n-gram Jaccard join" else 4)
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 1
