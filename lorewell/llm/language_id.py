@@ -16,8 +16,8 @@ from lorewell.llm._shared import small_batches, text_slices
 UNITS, SPAN = 8, 96
 #: The bounded training sample: documents of each language, and spans of each document.
 DOCS_PER_LANGUAGE, SPANS_PER_DOC = 256, 8
-#: Parts in which the documents of a language are first compared for the sample.
-PARTS = 16
+#: Places of the hash order from which the sample is drawn, and how many times the sample is looked at.
+PLACES, MARGIN = 1 << 24, 8
 #: Training: passes over the sample, spans of a batch, step size.
 PASSES, BATCH, STEP = 4, 128, 0.02
 #: Spans that are labelled at a time.
@@ -154,11 +154,12 @@ def training_spans(documents: DataFrame, docs_per_language: int = DOCS_PER_LANGU
     Of each language the `docs_per_language` labelled training documents first in a hash order of
     doc_id; of each of these SPANS_PER_DOC spans at places drawn from its content."""
     rows = documents.where((fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
-    rows = rows.select("doc_id", "lang", F.col(text).alias("text"), F.xxhash64("doc_id").alias("place"), F.xxhash64(F.lit(1), F.col(text)).alias("own"))
-    picked = rows.select("lang", "place", "doc_id", "own")
-    for part in (F.pmod("place", F.lit(PARTS)), F.lit(0)):  # first the first ones of each part, so that no task meets more than PARTS times the sample of a language
-        order = Window.partitionBy("lang", "part").orderBy("place", "doc_id", "own")
-        picked = picked.withColumn("part", part).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_per_language).drop("part", "nth").distinct()
+    rows = rows.select("doc_id", "lang", F.col(text).alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(PLACES)).alias("place"), F.xxhash64(F.lit(1), F.col(text)).alias("own"))
+    # only places so low that about MARGIN times the sample lies below them are compared, so that no task meets all of a language
+    sizes = F.broadcast(rows.groupBy("lang").agg(F.count("*").alias("size")))
+    low = rows.select("lang", "place", "doc_id", "own").join(sizes, "lang").where(F.col("place") * F.col("size") < MARGIN * docs_per_language * PLACES)
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", "own")
+    picked = low.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= docs_per_language).select("lang", "doc_id", "own").distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +174,7 @@ def training_spans(documents: DataFrame, docs_per_language: int = DOCS_PER_LANGU
 
     # the sample is at most docs_per_language rows of each language, so it may be broadcast
     # (a repeated row is drawn once)
-    own = rows.join(F.broadcast(picked.drop("place")), ["lang", "doc_id", "own"]).dropDuplicates(["lang", "doc_id", "own"])
+    own = rows.join(F.broadcast(picked), ["lang", "doc_id", "own"]).dropDuplicates(["lang", "doc_id", "own"])
     found = own.select("lang", "text").mapInArrow(cut, "lang string, part binary").orderBy("lang", "part").collect()
     languages = sorted({r["lang"] for r in found})
     spans = np.zeros((len(found), SPAN), np.uint8)
