@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import ragged, small_batches, written
+from lorewell.llm._shared import drop_written, ragged, small_batches, written
 from lorewell.llm._tokens import encoded, tokenizer_path
 
 #: Production tokenizer, end id and capacity.
@@ -218,7 +218,8 @@ def _pack_level(open_pieces: DataFrame, n: int, level: int, capacity: int) -> Da
         .agg(F.sort_array(F.collect_list(F.struct("length", "uid")), asc=False).alias("items"))
         .select("block", F.col("items.length").alias("lengths"), F.col("items.uid").alias("uids"))
     )
-    state = written(grouped.withColumn("island", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ISLANDS - 1).cast("long")))).withColumn("population", F.lit(b"")), "islands")
+    islands = written(grouped.withColumn("island", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ISLANDS - 1).cast("long")))), "islands")
+    state = islands.withColumn("population", F.lit(b""))
     tasks = max(1, min(blocks * ISLANDS, 4096))
 
     def evolve(epoch: int):
@@ -230,17 +231,20 @@ def _pack_level(open_pieces: DataFrame, n: int, level: int, capacity: int) -> Da
                     known = np.frombuffer(row["population"], "<i4").astype(np.int64).reshape(-1, len(lengths))
                     best = packer.evolve([*known], GENERATIONS, POPULATION)
                     n_bins, fullness = packer.worth(best[0])
-                    yield pa.RecordBatch.from_pydict({"block": [row["block"]], "island": [row["island"]], "n_bins": [-n_bins], "fullness": [fullness], "population": [_packed(best)], "elite": [_packed(best[:1])]})
+                    yield pa.RecordBatch.from_pydict({"block": [row["block"]], "island": [row["island"]], "n_bins": [-n_bins], "fullness": [fullness], "done": [packer.done(best[0])], "population": [_packed(best)], "elite": [_packed(best[:1])]})
 
         return run
 
     evolved = None
     for epoch in range(EPOCHS):
-        evolved = written(state.repartition(tasks, "block", "island").mapInArrow(evolve(epoch), "block long, island long, n_bins long, fullness double, population binary, elite binary"), "islands")
-        if epoch < EPOCHS - 1:
-            # each island's elite moves to the next one in the ring
-            moving = evolved.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("long").alias("island"), F.col("elite").alias("guest"))
-            state = state.drop("population").join(evolved.select("block", "island", "population").join(moving, ["block", "island"]).select("block", "island", F.concat("population", "guest").alias("population")), ["block", "island"])
+        before, evolved = evolved, written(state.repartition(tasks, "block", "island").mapInArrow(evolve(epoch), "block long, island long, n_bins long, fullness double, done boolean, population binary, elite binary"), "evolved")
+        if before is not None:
+            drop_written(before)
+        if not evolved.groupBy("block").agg(F.max("done").alias("done")).where("not done").limit(1).count():
+            break
+        # each island's elite moves to the next one in the ring
+        moving = evolved.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("long").alias("island"), F.col("elite").alias("guest"))
+        state = islands.join(evolved.select("block", "island", "population").join(moving, ["block", "island"]).select("block", "island", F.concat("population", "guest").alias("population")), ["block", "island"])
     best = evolved.groupBy("block").agg(F.max_by("elite", F.struct(-F.col("n_bins"), "fullness", -F.col("island"))).alias("elite"))
 
     def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,8 +260,11 @@ def _pack_level(open_pieces: DataFrame, n: int, level: int, capacity: int) -> Da
                     ["uid", "block", "bin", "fill", "length", "offset"],
                 )
 
-    whole = state.where("island = 0").select("block", "lengths", "uids").join(best, "block")
-    return written(whole.mapInArrow(laid_out, "uid long, block long, bin long, fill long, length long, offset long"), "packed")
+    whole = islands.where("island = 0").select("block", "lengths", "uids").join(best, "block")
+    packed = written(whole.mapInArrow(laid_out, "uid long, block long, bin long, fill long, length long, offset long"), "packed")
+    drop_written(evolved)
+    drop_written(islands)
+    return packed
 
 
 def best_fit_packing(documents: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text") -> DataFrame:

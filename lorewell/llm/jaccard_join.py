@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import components, gram_hashes, lower_ascii, mixed, small_batches, span_hashes, spans, spread_join, sum_arrays, text_slices, with_ids, written
+from lorewell.llm._shared import components, drop_written, gram_hashes, lower_ascii, mixed, small_batches, span_hashes, spans, spread_join, sum_arrays, text_slices, with_ids, written
 
 #: Words of a shingle, and the threshold in hundredths.
 SHINGLE, PERCENT = 5, 80
@@ -281,7 +281,10 @@ def _inverted_lists(sets: DataFrame, most: int, sketch: np.ndarray, percent: int
 
     postings = written(sets.where(F.col("n") >= least).select("rep", "shingles").mapInArrow(run, "h long, rep long"), "postings")
     heads = written(postings.groupBy("h").agg(F.min("rep").alias("a"), F.count("*").alias("c")).where("c > 1"), "list-heads")
-    return written(spread_join(postings, heads, ["h"], "rep", counts=heads.withColumnRenamed("c", "n")), "inverted-lists")
+    lists = written(spread_join(postings, heads, ["h"], "rep", counts=heads.withColumnRenamed("c", "n")), "inverted-lists")
+    drop_written(postings)
+    drop_written(heads)
+    return lists
 
 
 def _words(bits: list[bytes]) -> np.ndarray:
@@ -338,6 +341,7 @@ def _large_links(sets: DataFrame, lists: DataFrame, most: int, percent: int) ->
     labelled = lists.join(labels, F.col("rep") == F.col("id"), "left").select("h", "rep", "c", F.coalesce("component", "rep").alias("label"))
     mixed_lists = written(labelled.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y"), "mixed-lists")
     open_lists = written(spread_join(labelled, mixed_lists.select("h"), ["h"], "rep", "left_semi", counts=mixed_lists, total=lists.count()), "open-lists")
+    drop_written(mixed_lists)
     groups = max(1, -(-open_lists.count() // 8192))
     placed = (
         open_lists.withColumn("g", F.ceil(F.col("c") / TILE))
@@ -393,6 +397,7 @@ def jaccard_join(documents: DataFrame, k: int = SHINGLE, percent: int = PERCENT,
     several = written(classes.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1"), "equal-sets")
     copies = spread_join(classes, several.select("hi", "lo", "rep"), ["hi", "lo"], "doc_id", "left", counts=several.withColumnRenamed("c", "n"), total=n_docs)
     members = written(copies.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "members")
+    drop_written(classes)
     shared = _with_shared_shingles(rows, n_shingles, k, percent)
     reps = written(shared.join(members, "doc_id").select(F.col("rep").alias("doc_id")).distinct(), "candidates")
     kept = with_ids(rows, reps, "doc_id")
