@@ -18,8 +18,8 @@ from lorewell.llm._shared import small_batches
 
 #: Pages of a host that are aligned together (up to twice as many, so that no small rest is left); constant text must stand in so many different pages, and in this share of them.
 GROUP, LEAST_PAGES, CONSTANT_SHARE = 32, 4, 0.9
-#: Pages of a task.
-TASK = 2048
+#: Pages of a task, and the most tasks (a task streams its pages, so more of them need no more memory).
+TASK, MOST_TASKS = 2048, 100_000
 #: Largest table (product of the lengths of two child lists) of the dynamic programme; beyond it the lists are halved first (Hirschberg), with the same sum.
 MOST_CELLS = 1 << 20
 #: Share of a slot's varying text that one child must hold to be the content; share of link text that makes a recurring slot a menu.
@@ -484,7 +484,7 @@ def html_extraction(pages: DataFrame) -> DataFrame:
 
     The pages of a host are one group, those of a host with 2 GROUP pages or more are
     dealt into groups of GROUP to 2 GROUP in the mean by a hash of the page, and groups
-    are dealt by range of (host, group), so a hot host spreads over many tasks and a
+    are dealt by a hash of (host, group), so a hot host spreads over many tasks and a
     group stays whole whatever the number of tasks.  In a group the DOM trees of the
     different pages are aligned by simple tree matching into a wrapper.  Slots whose
     text is the same in nearly all of at least LEAST_PAGES different pages are template
@@ -504,8 +504,8 @@ def html_extraction(pages: DataFrame) -> DataFrame:
     large = pages.groupBy(host.alias("host")).count().where(F.col("count") >= 2 * GROUP).select("host", F.floor(F.col("count") / GROUP).alias("parts"))
     rows = small_batches(pages).select("page_id", "url", "html").withColumn("host", host).withColumn("tie", F.xxhash64("page_id", "url"))
     rows = rows.join(F.broadcast(large), "host", "left").withColumn("part", F.pmod("tie", F.coalesce("parts", F.lit(1))))
-    tasks = max(1, -(-pages.count() // TASK))
-    dealt = rows.repartitionByRange(tasks, "host", "part").sortWithinPartitions("host", "part", "tie").select("page_id", "url", "html", "host", "part")
+    tasks = max(1, min(MOST_TASKS, -(-pages.count() // TASK)))
+    dealt = rows.repartition(tasks, "host", "part").sortWithinPartitions("host", "part", "tie").select("page_id", "url", "html", "host", "part")
     kind = dict(pages.dtypes)["page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
