@@ -75,7 +75,16 @@ def truncated_svd(values: DataFrame, ids: np.ndarray, k: int, n_users: int, n_it
 
 def ease(values: DataFrame, ids: np.ndarray, lam: float = 500.0) -> np.ndarray:
     """EASE weights B: -P[i, j] / P[j, j] with P the inverse of the Gram matrix plus lambda, the diagonal 0."""
-    p = np.linalg.inv(dense_gram(values, ids) + lam * np.eye(len(ids)))
+    return ease_weights(dense_gram(values, ids), lam)
+
+
+def ease_weights(gram: np.ndarray, lam: float) -> np.ndarray:
+    """B of a symmetric Gram matrix, inverted by its eigenvalues.
+
+    Not by np.linalg.inv: OpenBLAS's LU waits for ever when it is the first of its
+    calls after a fork, and starting a Spark session forks."""
+    val, vec = np.linalg.eigh(gram)
+    p = (vec / (val + lam)) @ vec.T
     b = -p / np.diag(p)[None, :]
     np.fill_diagonal(b, 0.0)
     return b

@@ -1,6 +1,9 @@
 """Hand-computed fixtures of the loading, profile, ranking and evaluation rules."""
 
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -337,3 +340,19 @@ def test_ease_and_log_svd_against_dense_arithmetic(spark):
     for model, scores in ((models.EASERecommender(500.0, 30), x @ b), (models.LogSVDRecommender(4), low)):
         for r in model.fit(data).predict(5).collect():
             assert r["score"] == pytest.approx(np.sort(np.round(scores[r["u"]], 6))[::-1][r["rank"] - 1], abs=3e-6)
+
+
+def test_ease_after_fork_ends():
+    """In a process that has forked before its first linear algebra, as each has that starts a session."""
+    code = (
+        "import os, numpy as np\n"
+        "from lorewell.operators.latent import ease_weights\n"
+        "if (child := os.fork()) == 0: os._exit(0)\n"
+        "os.waitpid(child, 0)\n"
+        "x = np.random.default_rng(3).random((50, 1500))\n"
+        "b = ease_weights(x.T @ x, 500.0)\n"
+        "p = np.linalg.inv(x.T @ x + 500.0 * np.eye(1500))\n"
+        "want = -p / np.diag(p); np.fill_diagonal(want, 0)\n"
+        "assert np.allclose(b, want, atol=1e-9)\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=Path(__file__).parents[1])
