@@ -158,14 +158,29 @@ def joined_top_k(users: DataFrame, sparse: DataFrame, user_vectors: DataFrame, i
     return top_k(reduce(DataFrame.unionByName, tops), k) if tops else top_k(sparse.select("u", "i", "score").limit(0), k)
 
 
+def _user_rows(users: DataFrame, profiles: dict[str, DataFrame]) -> DataFrame:
+    """A row for each user, with its (i, x) of each profile as a sorted list."""
+    rows = users.select("u").distinct()
+    for name, p in profiles.items():
+        rows = rows.join(p.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("i", F.col("x").cast("double").alias("x")))).alias(name)), "u", "left")
+    return rows
+
+
+def _own(row: dict, names: list[str], ids: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(item positions, weights) of each profile of such a row."""
+    own = {}
+    for name in names:
+        pairs = row[name] or []
+        items = np.fromiter((x["i"] for x in pairs), np.int64, len(pairs))
+        own[name] = (np.searchsorted(ids, items), np.fromiter((x["x"] for x in pairs), np.float64, len(pairs)))
+    return own
+
+
 def block_top_k(users: DataFrame, profiles: dict[str, DataFrame], side: ItemSide, k: int, seen: DataFrame | None = None) -> DataFrame:
     """(u, i, rank, score): top k of every user; with `seen`, items of (u, i) there come after all others."""
-    spark = users.sparkSession
-    shared = spark.sparkContext.broadcast(side)
+    shared = users.sparkSession.sparkContext.broadcast(side)
     names = list(profiles)
-    rows, hidden = users.select("u").distinct(), seen is not None
-    for name, p in profiles.items():
-        rows = rows.join(p.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("i", F.col("x").cast("double").alias("x")))).alias(name)), "u", "left")
+    rows, hidden = _user_rows(users, profiles), seen is not None
     if seen is not None:
         rows = rows.join(seen.groupBy("u").agg(F.collect_set("i").alias("_seen")), "u", "left")
 
@@ -174,14 +189,7 @@ def block_top_k(users: DataFrame, profiles: dict[str, DataFrame], side: ItemSide
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for row in batch.to_pylist():
-                own = {}
-                for name in names:
-                    pairs = row[name] or []
-                    items = np.fromiter((x["i"] for x in pairs), np.int64, len(pairs))
-                    weights = np.fromiter((x["x"] for x in pairs), np.float64, len(pairs))
-                    at = np.searchsorted(side.ids, items)
-                    own[name] = (at, weights)
-                scores = side.score(own)
+                scores = side.score(_own(row, names, side.ids))
                 if hidden and row["_seen"]:
                     scores = scores.copy()
                     scores[np.searchsorted(side.ids, np.asarray(row["_seen"]))] = -np.inf
@@ -195,6 +203,28 @@ def block_top_k(users: DataFrame, profiles: dict[str, DataFrame], side: ItemSide
     return rows.mapInArrow(run, "u long, i long, rank int, score double")
 
 
+def mixed_top_k(users: DataFrame, profiles: dict[str, DataFrame], sides: list[ItemSide], mixes: np.ndarray, k: int) -> DataFrame:
+    """(mix, u, i, rank): top k of every user for each row of `mixes`, by the sum of the sides' scores times its numbers.
+
+    A user's scores of each side are computed once, whatever the number of mixes."""
+    shared = users.sparkSession.sparkContext.broadcast((sides, np.asarray(mixes, np.float64)))
+    names = list(profiles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides, mixes = shared.value
+        ids = sides[0].ids
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = _own(row, names, ids)
+                terms = np.stack([side.score(own) for side in sides])
+                found = [best(ids, mix @ terms, k)[0] for mix in mixes]
+                n = len(found[0]) if found else 0
+                columns = [np.repeat(np.arange(len(found), dtype=np.int32), n), np.full(len(found) * n, row["u"], np.int64), np.concatenate([*found, ids[:0]]), np.tile(np.arange(1, n + 1, dtype=np.int32), len(found))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["mix", "u", "i", "rank"])
+
+    return _user_rows(users, profiles).mapInArrow(run, "mix int, u long, i long, rank int")
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """(u, i, rank, score) of long scores: per user the k best by (rounded score descending, i)."""
     order = Window.partitionBy("u").orderBy(F.desc("score"), "i")

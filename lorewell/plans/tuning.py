@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 from itertools import product
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.operators.evaluation import map_at_k
+from lorewell.operators.evaluation import map_at_k, map_at_k_by
+from lorewell.operators.scoring import ItemSide, mixed_top_k
 from lorewell.plans.models import Data, EnsembleRecommender, Recommender
 
 # The grid that is searched by default.
@@ -17,28 +20,55 @@ REBUYS, POPS = (0.5, 1.0, 1.5, 2.0), (0.0, 0.05, 0.1, 0.2)
 
 
 def grid_search(data: Data, truth: DataFrame, alphas: Iterable[float] = ALPHAS, weights: Iterable[tuple] = WEIGHTS, rebuys: Iterable[float] = REBUYS, pops: Iterable[float] = POPS, k: int = 10, **fixed) -> DataFrame:
-    """(alpha, weights, rebuy, pop, map_at_k, best): every setting; of equal ones the first is best.
-
-    The score is linear in all of these, so one fit serves the whole grid: only the
-    weights of its terms change."""
-    model = EnsembleRecommender(alpha=0.5, rebuy=1.0, pop=1.0, **fixed)
-    model.fit(data)
-    side, rows = model.side, []
-    inner = getattr(side, "side", side)
-    base_cos, base_dense, base_own, base_plus = dict(inner.cosine), dict(inner.dense), dict(inner.own), inner.plus
-    longest = f"x{max(range(len(model.half_lives)), key=lambda n: (model.half_lives[n], -n))}"
-    keyword = base_cos[longest][1:] if model.keyword and len(base_cos.get(longest, [])) > 1 else []
+    """(alpha, weights, rebuy, pop, map_at_k, best): every setting; of equal ones the first is best, map_at_k is null where no user has truth.
+
+    The score is linear in all of these: where the item side fits the workers, one fit
+    and one pass over the users with truth score its terms once and rank every mix of
+    them.  Otherwise, and for models with EASE, a soup or a diagonal term, each setting
+    is a model of its own."""
+    settings = list(product(alphas, weights, rebuys, pops))
+    if not settings or truth.isEmpty():
+        scores = [None] * len(settings)
+    else:
+        scores = _mixed_scores(data, truth, settings, k, fixed)
+        if scores is None:
+            scores = [map_at_k(EnsembleRecommender(alpha=alpha, weights=w, rebuy=rebuy, pop=pop, **fixed).fit(data).predict(k), truth, k).first()["map_at_k"] for alpha, w, rebuy, pop in settings]
+    top = max(range(len(settings)), key=lambda n: (scores[n] or 0.0, -n), default=-1)
+    rows = [(alpha, str(list(w)), rebuy, pop, scores[n], n == top) for n, (alpha, w, rebuy, pop) in enumerate(settings)]
+    return data.train.sparkSession.createDataFrame(rows, "alpha double, weights string, rebuy double, pop double, map_at_k double, best boolean")
+
+
+def _mixed_scores(data: Data, truth: DataFrame, settings: list[tuple], k: int, fixed: dict) -> list[float] | None:
+    """The settings' MAP from one pass; None where the model is not a mix of fixed terms on the workers."""
+    model = EnsembleRecommender(alpha=0.5, weights=None, rebuy=1.0, pop=1.0, **fixed)
+    if model.ease_lambda is not None or model.content != "vectors" or model.diagonal:
+        return None
+    side = model.fit(data).side
+    if side is None:
+        return None
+    inner, names = getattr(side, "side", side), [f"x{n}" for n in range(len(model.half_lives))]
     constant = model.svd / 2 if model.svd else 0.0
-    for alpha, w, rebuy, pop in product(alphas, weights, rebuys, pops):
-        inner.cosine = {f"x{n}": [(wn * alpha, *base_cos[f"x{n}"][0][1:])] for n, wn in enumerate(w) if f"x{n}" in base_cos}
-        inner.cosine.setdefault(longest, []).extend(keyword)
-        inner.dense = {f"x{n}": [(wn * (1 - alpha), base_dense[f"x{n}"][0][1])] for n, wn in enumerate(w) if f"x{n}" in base_dense}
-        inner.own = {name: v - (1.0 if name == longest else 0.0) + (rebuy if name == longest else 0.0) for name, v in base_own.items()}
-        inner.plus = (base_plus - constant) * pop + constant
-        rows.append((alpha, str(list(w)), rebuy, pop, map_at_k(model.predict(k), truth, k).first()["map_at_k"]))
-    inner.cosine, inner.dense, inner.own, inner.plus = base_cos, base_dense, base_own, base_plus
-    top = max(range(len(rows)), key=lambda n: (rows[n][4] or 0.0, -n)) if rows else -1
-    return data.train.sparkSession.createDataFrame([(*r, n == top) for n, r in enumerate(rows)], "alpha double, weights string, rebuy double, pop double, map_at_k double, best boolean")
+    sides, columns = [], []
+
+    def add(part, column) -> None:
+        sides.append(part)
+        columns.append([column(*setting) for setting in settings])
+
+    def share(w: tuple, n: int) -> float:
+        return w[n] if len(w) == len(names) else 1 / len(names)
+
+    for n, name in enumerate(names):
+        add(ItemSide(inner.ids, cosine={name: [(1.0, *inner.cosine[name][0][1:])]}), lambda alpha, w, rebuy, pop, n=n: share(w, n) * alpha)
+        if name in inner.dense:
+            add(ItemSide(inner.ids, dense={name: [(1.0, inner.dense[name][0][1])]}), lambda alpha, w, rebuy, pop, n=n: share(w, n) * (1 - alpha))
+    add(ItemSide(inner.ids, own={model.longest: 1.0}), lambda alpha, w, rebuy, pop: rebuy)
+    add(ItemSide(inner.ids, plus=inner.plus - constant), lambda alpha, w, rebuy, pop: pop)
+    rest = ItemSide(inner.ids, cosine={name: inner.cosine[name][1:] for name in names}, links=inner.links, plus=np.full(len(inner.ids), constant))
+    add(rest if side is inner else replace(side, side=rest), lambda *setting: 1.0)
+    asked = data.users.join(truth.select("u").distinct(), "u", "left_semi")
+    found = map_at_k_by(mixed_top_k(asked, model.profiles, sides, np.array(columns).T, k), truth, "mix", k)
+    by_mix = {r["mix"]: r["map_at_k"] for r in found.collect()}  # a row for each setting
+    return [by_mix.get(n, 0.0) for n in range(len(settings))]
 
 
 def run_experiments(models: dict[str, Callable[[], Recommender]], data: Data, truth: DataFrame, k: int = 10, threshold: float = 0.207) -> DataFrame:

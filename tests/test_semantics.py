@@ -356,3 +356,25 @@ def test_ease_after_fork_ends():
         "assert np.allclose(b, want, atol=1e-9)\n"
     )
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=Path(__file__).parents[1])
+
+
+def test_grid_from_one_pass_agrees_with_a_model_for_each_setting(spark, monkeypatch):
+    from lorewell.plans import tuning
+
+    rng = np.random.default_rng(8)
+    rows = {(int(u), int(i), float(t)) for u, i, t in zip(rng.integers(0, 20, 300), rng.integers(0, 30, 300), rng.integers(0, 4_000_000, 300), strict=True)}
+    train = spark.createDataFrame([r for r in rows if r[2] < 3_000_000], "u long, i long, t double")
+    truth = spark.createDataFrame([r for r in rows if r[2] >= 3_000_000] + [(77, 3, 1.0), (77, 3, 2.0)], "u long, i long, t double")
+    e = rng.standard_normal((28, 6))
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(k, v) for k, v in enumerate(e.tolist())], "i long, e array<double>")
+    data = models.Data(train, train, train.unionByName(truth), None, vectors)
+    grid = {"alphas": (0.4, 0.7), "weights": ((0.8, 0.2),), "rebuys": (2.0,), "pops": (0.0, 0.2), "factors": 5}
+    got = tuning.grid_search(data, truth, **grid).collect()
+    monkeypatch.setattr(tuning, "_mixed_scores", lambda *a: None)
+    want = tuning.grid_search(data, truth, **grid).collect()
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    assert [r["map_at_k"] for r in got] == pytest.approx([r["map_at_k"] for r in want])
+    assert len(got) == 4 and [r["best"] for r in got].count(True) == 1 and len({r["map_at_k"] for r in got}) > 1
+    none = tuning.grid_search(data, truth.limit(0), **grid).collect()
+    assert len(none) == 4 and {r["map_at_k"] for r in none} == {None} and none[0]["best"]
