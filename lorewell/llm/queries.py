@@ -69,17 +69,29 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_read(spark, sf_dir, "embeddings"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.periodic_runs import digests, periodic_runs, planted
+
+    return digests(periodic_runs(_read(spark, sf_dir, "documents"), places=planted))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.filter_audit import filter_audit
+
+    return filter_audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_html_extraction, op4_best_fit_packing, op5_decontamination, op6_jaccard_join, op7_language_id, op8_token_count, op9_token_output, op10_embedding_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_html_extraction, op4_best_fit_packing, op5_decontamination, op6_jaccard_join, op7_language_id, op8_token_count, op9_token_output, op10_embedding_dedup, op12_periodic_runs, op13_filter_audit, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from lorewell.llm import chat_format, decontamination, embedding_dedup, jaccard_join, license_scan
+    from lorewell.llm import chat_format, decontamination, embedding_dedup, filter_audit, jaccard_join, license_scan
 
     return {
         "op1_chat_format": chat_format.ORACLE_SQL,
@@ -87,4 +99,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": decontamination.ORACLE_SQL,
         "op6_jaccard_join": jaccard_join.ORACLE_SQL,
         "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
+        "op13_filter_audit": filter_audit.ORACLE_SQL,
     }
