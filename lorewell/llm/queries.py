@@ -69,6 +69,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(_read(spark, sf_dir, "embeddings"))
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lorewell.llm.bpe_codec import round_trip
+
+    return round_trip(_read(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lorewell.llm.periodic_runs import digests, periodic_runs, planted
 
@@ -87,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_html_extraction, op4_best_fit_packing, op5_decontamination, op6_jaccard_join, op7_language_id, op8_token_count, op9_token_output, op10_embedding_dedup, op12_periodic_runs, op13_filter_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_html_extraction, op4_best_fit_packing, op5_decontamination, op6_jaccard_join, op7_language_id, op8_token_count, op9_token_output, op10_embedding_dedup, op11_bpe_codec, op12_periodic_runs, op13_filter_audit, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
