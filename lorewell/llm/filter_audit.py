@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorewell.llm._shared import distinct_spans, small_batches, spans, text_slices, written
+from lorewell.llm._shared import distinct_spans, small_batches, spans, spread_join, text_slices, written
 
 #: Filters by the letter of their bit, the last one compares texts of the whole table.
 FILTERS = "ABCDE"
@@ -107,10 +107,9 @@ def filter_facts(documents: DataFrame, text: str = "text", part: str = "source")
 def interaction_counts(facts: DataFrame, labels: DataFrame) -> DataFrame:
     """(part, s, f, removed, good_lost, toxic_lost, kept): `counted` of facts with filter E and the labels, summed over all partitions."""
     facts = written(facts, "audit-facts")
-    first = facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    copies = facts.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("q"), F.max((F.col("toxic") == 1).cast("int")).alias("t"))
-    # both joins are plain left joins from the facts, whose frequent keys Spark splits by itself
-    marked = facts.join(first, "digest", "left").withColumn("e", F.coalesce((F.col("doc_id") > F.col("first")).cast("int"), F.lit(0))).drop("digest", "first")
+    marked = spread_join(facts, copies.drop("n"), ["digest"], "doc_id", "left", copies).withColumn("e", F.coalesce((F.col("doc_id") > F.col("first")).cast("int"), F.lit(0))).drop("digest", "first")
     shift = lambda c, k: F.shiftleft(F.coalesce(F.col(c), F.lit(0)), k)
     n = len(FILTERS)
     rows = marked.join(known, "doc_id", "left").select("part", F.col("bits").bitwiseOR(shift("e", n - 1)).bitwiseOR(shift("q", n)).bitwiseOR(shift("t", n + 1)).alias("bits"))
