@@ -1,90 +1,350 @@
-"""Truncated SVD and EASE from item Gram matrices."""
+"""Truncated SVD by block Lanczos, and EASE by blocked inversion of the item Gram matrix."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorewell.operators.scoring import collected
+from lorewell.operators import scoring
+from lorewell.operators.pairs import pair_sums
+from lorewell.sources.scratch import discard, stored
+
+#: Rows of a slice of a thin matrix that is summed on the executors, and cells of a dense piece of the profile.
+SLICE, PIECE = 1 << 14, 1 << 21
 
-#: Items up to which a dense item-by-item matrix is solved on the driver (8 bytes a cell).
-MOST_ITEMS = 6000
 
+# ---- truncated SVD
+def gram_times(by_user: DataFrame, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """R'R times a thin matrix, for R as rows of (i, x) lists, one for each user.
+
+    Every task multiplies pieces of some users and their items and gives what it has for
+    ranges of items; the ranges are summed on the executors, so the driver gets one
+    thin matrix, whatever the number of tasks."""
+    shared = by_user.sparkSession.sparkContext.broadcast((ids, q))
 
-def gram(values: DataFrame) -> DataFrame:
-    """(i, j, g): the item Gram matrix of (u, i, x), as a self-join on users with partial sums."""
-    return values.join(values.select("u", F.col("i").alias("j"), F.col("x").alias("y")), "u").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("g"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        out, met = np.zeros_like(q), np.zeros(len(ids), bool)
+        for batch in batches:
+            rows = batch.column("row")
+            flat = rows.flatten()
+            at, x = np.searchsorted(ids, flat.field("i").to_numpy()), flat.field("x").to_numpy()
+            begin = np.concatenate([[0], np.cumsum(rows.value_lengths().to_numpy())])
+            k = 0
+            while k < len(rows):  # users whose dense piece stays small, one at least
+                n = k + 1
+                while n < len(rows) and (n + 1 - k) * min(int(begin[n + 1] - begin[k]), len(ids)) <= PIECE:
+                    n += 1
+                own = slice(int(begin[k]), int(begin[n]))
+                items, place = np.unique(at[own], return_inverse=True)
+                piece = np.zeros((n - k, len(items)))
+                piece[np.repeat(np.arange(n - k), np.diff(begin[k : n + 1])), place] = x[own]
+                out[items] += piece.T @ (piece @ q[items])
+                met[items] = True
+                k = n
+        for a in range(0, len(ids), SLICE):
+            if met[a : a + SLICE].any():
+                yield pa.RecordBatch.from_pydict({"at": [a], "part": [out[a : a + SLICE].tobytes()]})
 
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(p) for p in table.column("part").to_pylist())
+        return pa.table({"at": table.column("at").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
-def dense_gram(values: DataFrame, ids: np.ndarray) -> np.ndarray:
-    """The Gram matrix as an array, for at most MOST_ITEMS items."""
-    if len(ids) > MOST_ITEMS:
-        raise ValueError(f"{len(ids)} items: more than {MOST_ITEMS} need range_finder")
-    i, j, g = collected(gram(values), "i", "j", "g", limit=1 << 30)
-    out = np.zeros((len(ids), len(ids)))
-    out[np.searchsorted(ids, i), np.searchsorted(ids, j)] = g
+    out = np.zeros_like(q)
+    for r in by_user.select("row").mapInArrow(run, "at long, part binary").groupBy("at").applyInArrow(add, "at long, part binary").toLocalIterator():
+        own = np.frombuffer(r["part"]).reshape(-1, q.shape[1])
+        out[r["at"] : r["at"] + len(own)] = own
+    shared.unpersist()
     return out
 
 
-def range_finder(values: DataFrame, ids: np.ndarray, k: int, rounds: int = 4, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Item factors and singular values by randomised subspace iteration: R'R times a thin matrix, summed over users on the executors.
+def largest_eigenpairs(times: Callable[[np.ndarray], np.ndarray], n: int, k: int, width: int, tolerance: float = 1e-9, seed: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
+    """The k largest eigenvalues of a symmetric matrix with their vectors, by block Lanczos with restarts, and the largest residual.
 
-    The thin matrix (items x (k + 10)) is the only dense object; R stays distributed."""
+    `times` multiplies a block of at most `width` columns.  The basis grows by the residuals of the pairs
+    that have not converged, made orthogonal to it; beyond k + 3 blocks it is cut down
+    to the best k pairs and a block.  It ends when ||A v - theta v|| is at most `tolerance` times the
+    largest eigenvalue for each of the k pairs, or when the basis is the whole space."""
     rng = np.random.default_rng(seed)
-    q = np.linalg.qr(rng.standard_normal((len(ids), min(len(ids), k + 10))))[0]
-    by_user = values.groupBy("u").agg(F.collect_list(F.struct("i", "x")).alias("row")).persist()
-    for _ in range(rounds):
-        y = _gram_times(by_user, ids, q)
-        q = np.linalg.qr(y)[0]
-    small = q.T @ _gram_times(by_user, ids, q)
-    by_user.unpersist()
-    val, vec = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(-val)[:k]
-    return q @ vec[:, order], np.sqrt(np.maximum(val[order], 0))
+    width = max(1, min(width, n))
+    basis, image = np.zeros((n, 0)), np.zeros((n, 0))
+    block = rng.standard_normal((n, width))
+    while True:
+        for _ in range(2):
+            block -= basis @ (basis.T @ block)
+            block = np.linalg.qr(block)[0]
+        block = block[:, np.abs(basis.T @ block).max(axis=0) < 1e-8] if basis.shape[1] else block
+        basis, image = np.hstack([basis, block]), np.hstack([image, times(block)])
+        small = basis.T @ image
+        theta, turn = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-theta)[: k + width]
+        theta, turn = theta[order], turn[:, order]
+        rest = image @ turn - (basis @ turn) * theta
+        error = np.linalg.norm(rest, axis=0)
+        top = max(float(theta[0]), 1e-300)
+        open_pairs = np.flatnonzero(error[:k] > tolerance * top)
+        if not len(open_pairs) or basis.shape[1] >= n or not block.shape[1]:
+            return theta[:k], (basis @ turn)[:, :k], float(error[:k].max() / top)
+        wanted = np.flatnonzero(error > tolerance * top)[: min(width, n - basis.shape[1])]
+        block = rest[:, wanted] / error[wanted]
+        if basis.shape[1] + width > k + 3 * width:
+            basis, image = basis @ turn, image @ turn
 
 
-def _gram_times(by_user: DataFrame, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
-    import pyarrow as pa
+def truncated_svd(values: DataFrame, ids: np.ndarray, k: int, n_users: int, n_items: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Item factors V (items x k) and singular values of (u, i, x), largest first; k is kept below both dimensions.
 
-    shared = by_user.sparkSession.sparkContext.broadcast((ids, q))
+    The driver holds the thin basis (items x (k + 3 blocks)), a task one block of it; a
+    block is as wide as k, and at most a quarter of what may be broadcast."""
+    k = max(1, min(k, (len(ids) if n_items is None else n_items) - 1, n_users - 1, len(ids)))
+    if values.isEmpty():
+        return np.zeros((len(ids), 0)), np.zeros(0)
+    width = max(1, min(max(k, 32), 128, scoring.BROADCAST_BYTES // 4 // (8 * len(ids))))
+    by_user = values.groupBy("u").agg(F.collect_list(F.struct("i", F.col("x").cast("double").alias("x"))).alias("row")).persist()
+    try:
+        theta, vectors, _ = largest_eigenpairs(lambda q: gram_times(by_user, ids, q), len(ids), k, width)
+    finally:
+        by_user.unpersist()
+    return vectors, np.sqrt(np.maximum(theta, 0))
 
-    def run(batches):
-        ids, q = shared.value
-        out = np.zeros_like(q)
-        for batch in batches:
-            for row in batch.column("row").to_pylist():
-                at = np.searchsorted(ids, [x["i"] for x in row])
-                w = np.array([x["x"] for x in row])
-                out[at] += w[:, None] * (w @ q[at])
-        yield pa.RecordBatch.from_pydict({"part": [out.tobytes()]})
 
-    parts = by_user.select("row").mapInArrow(run, "part binary").toLocalIterator()
-    return sum((np.frombuffer(p["part"]).reshape(q.shape) for p in parts), np.zeros_like(q))
+# ---- EASE
+#: Rows and columns of a block of the Gram matrix (8 MB of doubles).
+BLOCK = 1024
+#: Blocks are written as they are, two to a file: readers hold a file's rows at once.
+RAW = {"compression": "none", "parquet.enable.dictionary": "false", "maxRecordsPerFile": "2"}
 
 
-def truncated_svd(values: DataFrame, ids: np.ndarray, k: int, n_users: int, n_items: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Item factors V (items x k) and singular values of (u, i, x), largest first; k is kept below both dimensions."""
-    k = max(1, min(k, (len(ids) if n_items is None else n_items) - 1, n_users - 1, len(ids)))
-    if len(ids) > MOST_ITEMS:
-        return range_finder(values, ids, k)
-    val, vec = np.linalg.eigh(dense_gram(values, ids))
-    order = np.argsort(-val)[:k]
-    return vec[:, order], np.sqrt(np.maximum(val[order], 0))
+def inverse(a: np.ndarray) -> np.ndarray:
+    """The inverse of a symmetric positive definite matrix, by halves and matrix products.
 
+    Not by np.linalg.inv: OpenBLAS's LU waits for ever when it is the first of its
+    calls after a fork, and starting a Spark session forks."""
+    n = len(a)
+    if n <= 64:
+        val, vec = np.linalg.eigh(a)
+        return (vec / val) @ vec.T
+    h = n // 2
+    p = inverse(a[:h, :h])
+    w = a[h:, :h] @ p
+    s = inverse(a[h:, h:] - w @ a[:h, h:])
+    low = -s @ w
+    return np.block([[p - w.T @ low, low.T], [low, s]])
 
-def ease(values: DataFrame, ids: np.ndarray, lam: float = 500.0) -> np.ndarray:
-    """EASE weights B: -P[i, j] / P[j, j] with P the inverse of the Gram matrix plus lambda, the diagonal 0."""
-    return ease_weights(dense_gram(values, ids), lam)
 
+def _bytes(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a).tobytes()
 
-def ease_weights(gram: np.ndarray, lam: float) -> np.ndarray:
-    """B of a symmetric Gram matrix, inverted by its eigenvalues.
 
-    Not by np.linalg.inv: OpenBLAS's LU waits for ever when it is the first of its
-    calls after a fork, and starting a Spark session forks."""
-    val, vec = np.linalg.eigh(gram)
-    p = (vec / (val + lam)) @ vec.T
+@dataclass
+class Blocks:
+    """A symmetric matrix over sorted ids as rows (r, c, a): block (r, c) with r >= c, as doubles by row."""
+
+    table: DataFrame
+    ids: np.ndarray
+    size: int
+
+    @property
+    def n(self) -> int:
+        return len(self.ids)
+
+    @property
+    def count(self) -> int:
+        return -(-self.n // self.size)
+
+    @classmethod
+    def gram(cls, values: DataFrame, ids: np.ndarray, diagonal: float = 0.0, size: int = BLOCK) -> Blocks:
+        """X'X of (u, i, x), with `diagonal` added to its diagonal."""
+        spark = values.sparkSession
+        shared, n, count = spark.sparkContext.broadcast(ids), len(ids), -(-len(ids) // size)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                i, j = (np.searchsorted(shared.value, b.column(c).to_numpy()) for c in ("i", "j"))
+                own = i // size >= j // size
+                i, j = i[own], j[own]
+                yield pa.RecordBatch.from_arrays([pa.array(i // size), pa.array(j // size), pa.array(i % size * size + j % size), pa.array(b.column("g").to_numpy()[own])], ["r", "c", "at", "g"])
+
+        def fill(table: pa.Table) -> pa.Table:
+            r, c = table.column("r")[0].as_py(), table.column("c")[0].as_py()
+            a = np.bincount(table.column("at").to_numpy(), weights=table.column("g").to_numpy(), minlength=size * size).reshape(size, size)
+            a = a[: min(size, n - r * size), : min(size, n - c * size)]
+            if r == c:
+                a[np.arange(len(a)), np.arange(len(a))] += diagonal
+            return pa.table({"r": [r], "c": [c], "a": pa.array([_bytes(a)], pa.binary())})
+
+        every = spark.range(count * count).select((F.col("id") / count).cast("long").alias("r"), F.pmod("id", F.lit(count)).alias("c")).where("r >= c").select("r", "c", F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("g"))
+        cells = pair_sums(values).mapInArrow(place, "r long, c long, at long, g double").unionByName(every)
+        return cls(stored(cells.groupBy("r", "c").applyInArrow(fill, "r long, c long, a binary"), "gram", **RAW), ids, size)
+
+    def swept(self) -> Blocks:
+        """Minus the inverse of a positive definite matrix, by a symmetric sweep of one block after the other.
+
+        For block k with inverse D and column C, every block (r, c) outside loses C_r D C_c',
+        the column becomes C D and the block -D.  A step sends each column block to the
+        blocks of its row and column; no task holds more than three blocks, the driver
+        none but D."""
+        spark, now = self.table.sparkSession, self
+        size, n, count, schema = self.size, self.n, self.count, "r long, c long, kind string, a binary"
+
+        def shaped(a: bytes, r: int, c: int) -> np.ndarray:
+            return np.frombuffer(a).reshape(min(size, n - r * size), min(size, n - c * size))
+
+        def update(table: pa.Table) -> pa.Table:
+            r, c = table.column("r")[0].as_py(), table.column("c")[0].as_py()
+            own = dict(zip(table.column("kind").to_pylist(), table.column("a").to_pylist(), strict=True))
+            k = min(size, n - r * size), min(size, n - c * size)
+            a = np.frombuffer(own["a"]).reshape(k)
+            if "w" in own:
+                a = a - np.frombuffer(own["w"]).reshape(k[0], -1) @ np.frombuffer(own["c"]).reshape(k[1], -1).T
+            return pa.table({"r": [r], "c": [c], "a": pa.array([_bytes(a)], pa.binary())})
+
+        for k in range(count):
+            pivot = inverse(shaped(now.table.where((F.col("r") == k) & (F.col("c") == k)).first()["a"], k, k))
+            shared = spark.sparkContext.broadcast(pivot)
+
+            def column(batches: Iterator[pa.RecordBatch], k=k, shared=shared) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    for r, c, a in zip(*(b.column(x).to_pylist() for x in ("r", "c", "a")), strict=True):
+                        if r == c:
+                            yield pa.RecordBatch.from_pydict({"p": [k], "c": pa.array([None], pa.binary()), "w": pa.array([None], pa.binary()), "new": [_bytes(-shared.value)]})
+                            continue
+                        own = shaped(a, r, c) if c == k else shaped(a, r, c).T
+                        w = own @ shared.value
+                        yield pa.RecordBatch.from_pydict({"p": [r if c == k else c], "c": [_bytes(own)], "w": [_bytes(w)], "new": [_bytes(w if c == k else w.T)]})
+
+            touched = (F.col("r") == k) | (F.col("c") == k)
+            panel = stored(now.table.where(touched).mapInArrow(column, "p long, c binary, w binary, new binary"), "gram-column", **RAW)
+            others = panel.where(F.col("p") != k)
+            along = others.select(F.col("p").alias("r"), F.explode(F.sequence(F.lit(0), F.col("p"))).alias("c"), F.lit("w").alias("kind"), F.col("w").alias("a"))
+            across = others.select(F.explode(F.sequence(F.col("p"), F.lit(count - 1))).alias("r"), F.col("p").alias("c"), F.lit("c").alias("kind"), F.col("c").alias("a"))
+            rest = now.table.where(~touched).select("r", "c", F.lit("a").alias("kind"), "a")
+            sent = along.unionByName(across).where((F.col("r") != k) & (F.col("c") != k))
+            new = panel.select(F.greatest("p", F.lit(k)).alias("r"), F.least("p", F.lit(k)).alias("c"), F.col("new").alias("a"))
+            moved = rest.unionByName(sent).groupBy("r", "c").applyInArrow(update, "r long, c long, a binary").unionByName(new)
+            after = Blocks(stored(moved, "gram", **RAW), self.ids, size)
+            discard(panel)
+            if now is not self:
+                discard(now.table)
+            now = after
+        return now
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """The product with a thin matrix, summed on the executors."""
+        shared, size, n = self.table.sparkSession.sparkContext.broadcast(v), self.size, self.n
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r, c, a in zip(*(b.column(x).to_pylist() for x in ("r", "c", "a")), strict=True):
+                    m = np.frombuffer(a).reshape(min(size, n - r * size), -1)
+                    some = [(r, m @ shared.value[c * size : c * size + m.shape[1]])]
+                    if r != c:
+                        some.append((c, m.T @ shared.value[r * size : r * size + len(m)]))
+                    yield pa.RecordBatch.from_pydict({"r": [x for x, _ in some], "part": [_bytes(x) for _, x in some]})
+
+        def add(table: pa.Table) -> pa.Table:
+            return pa.table({"r": table.column("r").slice(0, 1), "part": pa.array([_bytes(sum(np.frombuffer(p) for p in table.column("part").to_pylist()))], pa.binary())})
+
+        out = np.zeros_like(v)
+        for r in self.table.mapInArrow(run, "r long, part binary").groupBy("r").applyInArrow(add, "r long, part binary").toLocalIterator():
+            own = np.frombuffer(r["part"]).reshape(-1, v.shape[1])
+            out[r["r"] * size : r["r"] * size + len(own)] = own
+        return out
+
+    def diagonal(self) -> np.ndarray:
+        out, size, n = np.zeros(self.n), self.size, self.n
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r, a in zip(b.column("r").to_pylist(), b.column("a").to_pylist(), strict=True):
+                    yield pa.RecordBatch.from_pydict({"r": [r], "d": [_bytes(np.diag(np.frombuffer(a).reshape(min(size, n - r * size), -1)))]})
+
+        for row in self.table.where("r = c").mapInArrow(run, "r long, d binary").toLocalIterator():
+            own = np.frombuffer(row["d"])
+            out[row["r"] * size : row["r"] * size + len(own)] = own
+        return out
+
+    def columns(self, lo: int, hi: int) -> np.ndarray:
+        """All rows of columns [lo, hi), cut out on the executors."""
+        out, size, n = np.zeros((self.n, hi - lo)), self.size, self.n
+        first, last = lo // size, (hi - 1) // size
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r, c, a in zip(*(b.column(x).to_pylist() for x in ("r", "c", "a")), strict=True):
+                    m = np.frombuffer(a).reshape(min(size, n - r * size), -1)
+                    for row, column, part in [(r, c, m)] + ([(c, r, m.T)] if r != c else []):
+                        if first <= column <= last:
+                            begin, end = max(lo - column * size, 0), min(hi - column * size, part.shape[1])
+                            yield pa.RecordBatch.from_pydict({"r": [row], "at": [column * size + begin - lo], "n": [end - begin], "part": [_bytes(part[:, begin:end])]})
+
+        some = self.table.where(F.col("r").between(first, last) | F.col("c").between(first, last))
+        for x in some.mapInArrow(run, "r long, at long, n long, part binary").toLocalIterator():
+            own = np.frombuffer(x["part"]).reshape(-1, x["n"])
+            out[x["r"] * size : x["r"] * size + len(own), x["at"] : x["at"] + x["n"]] = own
+        return out
+
+
+@dataclass
+class Ease:
+    """EASE weights B[i, j] = -P[i, j] / P[j, j], the diagonal 0, over the blocks of -P; `scale` divides them."""
+
+    negative: Blocks
+    gram: Blocks
+    scale: float = 1.0
+
+    def __post_init__(self):
+        self.own = -self.negative.diagonal()
+
+    @property
+    def ids(self) -> np.ndarray:
+        return self.negative.ids
+
+    def columns(self, lo: int, hi: int) -> np.ndarray:
+        """B[:, lo:hi]."""
+        b = self.negative.columns(lo, hi) / (self.own[lo:hi] * self.scale)
+        b[np.arange(lo, hi), np.arange(hi - lo)] = 0.0
+        return b
+
+    def largest(self) -> float:
+        """The largest absolute weight."""
+        own, size = self.negative.table.sparkSession.sparkContext.broadcast(self.own), self.negative.size
+        n = self.negative.n
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r, c, a in zip(*(b.column(x).to_pylist() for x in ("r", "c", "a")), strict=True):
+                    m = np.abs(np.frombuffer(a).reshape(min(size, n - r * size), -1))
+                    if r == c:
+                        np.fill_diagonal(m, 0.0)
+                    by_row, by_column = own.value[r * size : r * size + len(m)], own.value[c * size : c * size + m.shape[1]]
+                    yield pa.RecordBatch.from_pydict({"most": [float(max((m / by_column).max(), (m / by_row[:, None]).max()))]})
+
+        return self.negative.table.mapInArrow(run, "most double").agg(F.max("most")).first()[0] or 0.0
+
+    def residual(self, probes: int = 4, seed: int = 7) -> float:
+        """The largest |A P z - z| over random probes z of unit variance: how far P is from the inverse of the Gram matrix with lambda."""
+        z = np.random.default_rng(seed).standard_normal((len(self.ids), probes))
+        return float(np.abs(self.gram.times(-self.negative.times(z)) - z).max()) if len(z) else 0.0
+
+
+def ease(values: DataFrame, ids: np.ndarray, lam: float = 500.0, size: int = BLOCK) -> Ease:
+    """EASE of (u, i, x): the inverse of the item Gram matrix plus lambda, for any number of items.
+
+    Steps are n / size, each a shuffle of about three times the lower half of the matrix
+    (8 n^2 / 2 bytes); nothing item by item comes to the driver or into one task."""
+    gram = Blocks.gram(values, ids, lam, size)
+    return Ease(gram.swept(), gram)
+
+
+def ease_weights(gram: np.ndarray, lam: float) -> np.ndarray:
+    """B of a symmetric Gram matrix in one piece (for comparison)."""
+    p = inverse(gram + lam * np.eye(len(gram)))
     b = -p / np.diag(p)[None, :]
     np.fill_diagonal(b, 0.0)
     return b

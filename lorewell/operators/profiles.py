@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions.scalar import bm25_idf, decay, over, smooth_idf
+from lorewell.operators.pairs import pair_sums
 
 
 def decayed(train: DataFrame, half_life: float) -> DataFrame:
@@ -42,8 +43,7 @@ def item_columns(profile: DataFrame) -> DataFrame:
 
 def item_similarity(profile: DataFrame) -> DataFrame:
     """(i, j, s): cosine of item columns, the diagonal kept; only pairs with a common user."""
-    c = item_columns(profile)
-    return c.join(c.select("u", F.col("i").alias("j"), F.col("c").alias("d")), "u").groupBy("i", "j").agg(F.sum(F.col("c") * F.col("d")).alias("s"))
+    return pair_sums(item_columns(profile), x="c").withColumnRenamed("g", "s")
 
 
 def popularity(profile: DataFrame) -> DataFrame:

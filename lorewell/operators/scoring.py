@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorewell.operators.pairs import pair_sums
+
 #: Largest item side, or block of items, that is sent to the workers.
 BROADCAST_BYTES = 256 << 20
 
@@ -124,24 +126,40 @@ def dense_blocks(vectors: DataFrame, d: int) -> Iterator[tuple[np.ndarray, np.nd
             yield ids[order], np.asarray(table.column("e").combine_chunks().flatten(), np.float64).reshape(len(ids), d)[order]
 
 
-def joined_top_k(users: DataFrame, sparse: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame, d: int, k: int) -> DataFrame:
+def matrix_blocks(vectors: DataFrame, d: int, ids: np.ndarray, matrices: list) -> Iterator[tuple]:
+    """As `dense_blocks`, by ranges of the sorted ids, with these columns of each matrix (all items x block)."""
+    width = max(1, BROADCAST_BYTES // 2 // (8 * (d + 1 + len(ids) * len(matrices))))
+    for lo in range(0, len(ids), width):
+        hi = min(lo + width, len(ids))
+        table = vectors.where(F.col("i").between(int(ids[lo]), int(ids[hi - 1]))).select("i", "e").orderBy("i").toArrow()
+        yield ids[lo:hi], np.asarray(table.column("e").combine_chunks().flatten(), np.float64).reshape(hi - lo, d), [m.columns(lo, hi) for m in matrices]
+
+
+def joined_top_k(users: DataFrame, sparse: DataFrame, user_vectors: DataFrame, item_vectors: DataFrame, d: int, k: int, weighted: list[tuple] = ()) -> DataFrame:
     """(u, i, rank, score): top k of every user by the sum of long sparse scores (u, i, score) and dense ones.
 
     `user_vectors` (u, q) and `item_vectors` (i, e, every item) have d components; a
-    user without one has zeros.  Item blocks go to the workers one after the other,
+    user without one has zeros.  `weighted` are (profile (u, i, x), factor, matrix), whose
+    scores are the profile times the matrix's columns.  Item blocks go to the workers one after the other,
     each gives the users' best k of it, and the best of those are the result."""
     own = sparse.groupBy("u").agg(F.collect_list(F.struct("i", "score")).alias("own"))
-    rows = users.select("u").distinct().join(user_vectors.select("u", "q"), "u", "left").join(own, "u", "left").persist()
-    tops = []
-    for block in dense_blocks(item_vectors, d):
-        shared = users.sparkSession.sparkContext.broadcast(block)
+    names = [f"p{n}" for n in range(len(weighted))]
+    rows = _user_rows(users, {n: x for n, (x, _, _) in zip(names, weighted, strict=True)}).join(user_vectors.select("u", "q"), "u", "left").join(own, "u", "left").persist()
+    factors, tops = [f for _, f, _ in weighted], []
+    all_ids = weighted[0][2].ids if weighted else None
+    blocks = matrix_blocks(item_vectors, d, all_ids, [m for _, _, m in weighted]) if weighted else ((*b, []) for b in dense_blocks(item_vectors, d))
+    for block in blocks:
+        shared = users.sparkSession.sparkContext.broadcast((all_ids, *block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            item_ids, e = shared.value
+            all_ids, item_ids, e, columns = shared.value
             for batch in batches:
                 out: list[list] = [[], [], []]
                 for row in batch.to_pylist():
                     scores = e @ np.asarray(row["q"]) if row["q"] is not None else np.zeros(len(item_ids))
+                    if names:
+                        for (at, x), f, m in zip(_own(row, names, all_ids).values(), factors, columns, strict=True):
+                            scores += f * (x @ m[at])
                     some = row["own"] or []
                     i = np.fromiter((x["i"] for x in some), np.int64, len(some))
                     s = np.fromiter((x["score"] for x in some), np.float64, len(some))
@@ -280,8 +298,7 @@ def collaborative_top_k(users: DataFrame, items: DataFrame, profile: DataFrame,
     side = cosine_side(items, columns)
     if side is not None:
         return block_top_k(users, {"x": profile}, side, k, seen)
-    similar = columns.join(columns.select("u", F.col("i").alias("j"), F.col("c").alias("d")), "u").groupBy("i", "j").agg(F.sum(F.col("c") * F.col("d")).alias("s"))
-    scores = join_scores(profile, similar)
+    scores = join_scores(profile, pair_sums(columns, x="c"), "g")
     if seen is not None:
         scores = scores.join(seen.select("u", "i").distinct(), ["u", "i"], "left_anti")
     return padded(top_k(scores, k), users, items, k, seen)

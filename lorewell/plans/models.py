@@ -15,6 +15,7 @@ from lorewell.functions.scalar import over, unit
 from lorewell.functions.text import enriched_soup, soup, stop_words, tokens, weighted_soup
 from lorewell.operators import latent, scoring
 from lorewell.operators.loading import at_least
+from lorewell.operators.pairs import pair_sums
 from lorewell.operators.profiles import bm25, decayed, item_columns, item_similarity, popularity, tfidf, transitions
 from lorewell.operators.scoring import ItemSide, Sparse, TooLarge, block_top_k, collected, cosine_pair
 from lorewell.sources.interactions import with_columns
@@ -175,6 +176,13 @@ def _vectors(ids: np.ndarray, vectors: DataFrame) -> np.ndarray:
     return out
 
 
+def _whole(weights: latent.Ease) -> np.ndarray:
+    """All EASE weights as one array for the workers."""
+    if 8 * len(weights.ids) ** 2 > scoring.BROADCAST_BYTES:
+        raise TooLarge("the items' EASE weights")
+    return weights.columns(0, len(weights.ids))
+
+
 def keyword_tfidf(metadata: DataFrame, text, least: int = 2, bigrams: bool = False, n_items: int | None = None) -> DataFrame:
     """(i, term, x): smooth TF-IDF of words (terms in at least `least` items), unit length for each item."""
     counts = metadata.select("i", F.explode(tokens(text, stop_words(), bigrams)).alias("term")).groupBy("i", "term").agg(F.count("*").alias("tf"))
@@ -191,8 +199,7 @@ def _keyword_pair(ids: np.ndarray, terms: DataFrame) -> tuple[Sparse, Sparse]:
 
 def _term_links(terms: DataFrame) -> DataFrame:
     """(i, j, s): keyword cosine of items, by their common terms."""
-    other = terms.select("term", F.col("i").alias("j"), F.col("x").alias("y"))
-    return terms.join(other, "term").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
+    return pair_sums(terms, key="term").withColumnRenamed("g", "s")
 
 
 class EnsembleRecommender(Recommender):
@@ -209,15 +216,20 @@ class EnsembleRecommender(Recommender):
         self.factors, self.diagonal, self.ease_lambda, self.content, self.pop_from = factors, diagonal, ease_lambda, content, pop_from
 
     def fit(self, data: Data) -> EnsembleRecommender:
-        """Fits in arrays on the workers where the item side is small enough, else for joins and blocks of items (not with EASE, whose matrix is dense)."""
+        """Fits in arrays on the workers where the item side is small enough, else for joins and blocks of items."""
         self.data, self.side = data, None
         self.profiles = {f"x{k}": tfidf(decayed(data.train, hl), data.n_users).persist() for k, hl in enumerate(self.half_lives)}
         self.longest, self.shortest = f"x{int(np.argmax(self.half_lives))}", f"x{int(np.argmin(self.half_lives))}"
+        self.ease: dict[str, latent.Ease] = {}
+        if self.ease_lambda is not None and self.alpha:
+            ids = _ids(data.items)
+            for name in list(self.profiles):
+                found = latent.ease(self.profiles[name], ids, self.ease_lambda)
+                found.scale = max(found.largest(), 1e-12)
+                self.ease[name] = found
         try:
             return self._fit_arrays(data)
         except TooLarge:
-            if self.ease_lambda is not None and self.alpha:
-                raise
             self.side = None
             return self
 
@@ -235,8 +247,7 @@ class EnsembleRecommender(Recommender):
             if self.alpha and self.ease_lambda is None:
                 side.cosine[name] = [(w * self.alpha, *cosine_pair(ids, *collected(item_columns(x), "u", "i", "c")))]
             elif self.alpha:
-                b = latent.ease(x, ids, self.ease_lambda)
-                side.matrix[name] = [(w * self.alpha, b / max(np.abs(b).max(), 1e-12))]
+                side.matrix[name] = [(w * self.alpha, _whole(self.ease[name]))]
             if vectors is not None:
                 side.dense[name] = [(w * (1 - self.alpha), vectors)]
             elif self.content == "soup" and self.alpha < 1:
@@ -283,7 +294,7 @@ class EnsembleRecommender(Recommender):
         d = _width(data.vectors) if self.content == "vectors" and data.vectors is not None and self.alpha < 1 else 0
         for n, w in enumerate(self.weights):
             x = self.profiles[f"x{n}"]
-            if self.alpha:
+            if self.alpha and self.ease_lambda is None:
                 add(w * self.alpha, scoring.join_scores(x, item_similarity(x)))
             if self.content == "soup" and self.alpha < 1:
                 add(w * (1 - self.alpha), scoring.join_scores(x, _term_links(keyword_tfidf(metadata, weighted_soup(), least=1, bigrams=True))))
@@ -320,7 +331,8 @@ class EnsembleRecommender(Recommender):
             q = q.join(users.withColumnRenamed("q", "more"), "u", "left").select("u", F.concat("q", F.coalesce("more", zeros(n))).alias("q"))
             e = e.join(vectors.withColumnRenamed("e", "more"), "i", "left").select("i", F.concat("e", F.coalesce("more", zeros(n))).alias("e"))
         long = reduce(DataFrame.unionByName, sparse) if sparse else data.train.select("u", "i", F.lit(0.0).alias("score"))
-        return scoring.joined_top_k(data.users, long.groupBy("u", "i").agg(F.sum("score").alias("score")), q, e.persist(), 1 + sum(n for n, _ in item_parts), k)
+        weighted = [(self.profiles[f"x{n}"], w * self.alpha, self.ease[f"x{n}"]) for n, w in enumerate(self.weights) if f"x{n}" in self.ease]
+        return scoring.joined_top_k(data.users, long.groupBy("u", "i").agg(F.sum("score").alias("score")), q, e.persist(), 1 + sum(n for n, _ in item_parts), k, weighted)
 
 
 def _profile_vectors(profile: DataFrame, vectors: DataFrame, d: int) -> DataFrame:
@@ -370,17 +382,24 @@ def enriched_semantic(**changes) -> EnsembleRecommender:
 
 
 class EASERecommender(Recommender):
+    """EASE weights times the profile; the inverse stays in blocks, of which the workers get what fits at a time."""
+
     def __init__(self, lam: float = 500.0, half_life: float = 30):
         self.lam, self.half_life = lam, half_life
 
     def fit(self, data: Data) -> EASERecommender:
-        self.data, ids = data, _ids(data.items)
+        self.data = data
         self.x = tfidf(decayed(data.train, self.half_life), data.n_users).persist()
-        self.side = ItemSide(ids, matrix={"x": [(1.0, latent.ease(self.x, ids, self.lam))]})
+        self.weights = latent.ease(self.x, _ids(data.items), self.lam)
         return self
 
     def predict(self, k: int = 10) -> DataFrame:
-        return block_top_k(self.data.users, {"x": self.x}, self.side, k)
+        try:
+            return block_top_k(self.data.users, {"x": self.x}, ItemSide(self.weights.ids, matrix={"x": [(1.0, _whole(self.weights))]}), k)
+        except TooLarge:
+            none = self.x.select("u", "i", F.lit(0.0).alias("score")).limit(0)
+            flat = self.data.items.select("i", F.array(F.lit(0.0)).alias("e"))
+            return scoring.joined_top_k(self.data.users, none, self.data.users.select("u", F.array(F.lit(0.0)).alias("q")), flat, 1, k, [(self.x, 1.0, self.weights)])
 
 
 class SVDRecommender(Recommender):

@@ -145,19 +145,6 @@ def test_production_score_against_dense_arithmetic(spark):
     assert max(abs(got[uu, i] - total[a, i]) for a, uu in enumerate(users) for i in items) < 2e-6
 
 
-def test_svd_range_finder_agrees_with_dense(spark):
-    import numpy as np
-
-    from lorewell.operators import latent
-
-    data, _ = _data(spark)
-    counts = data.train.groupBy("u", "i").agg(F.log1p(F.count("*")).alias("x"))
-    ids = np.arange(11)
-    v, s = latent.truncated_svd(counts, ids, 3, data.n_users)
-    w, t = latent.range_finder(counts, ids, 3, rounds=12)
-    assert np.allclose(s, t, atol=1e-6) and np.allclose(v @ v.T, w @ w.T, atol=1e-4)
-
-
 def test_every_model_gives_k_rows(spark):
     data, full = _data(spark)
     for name, make in models.MODELS.items():
@@ -254,7 +241,7 @@ def test_tuning_queries_run_the_whole_grid_and_all_models(spark, monkeypatch):
     assert len(tuning.ALPHAS) * len(tuning.WEIGHTS) * len(tuning.REBUYS) * len(tuning.POPS) == 192
 
 
-@pytest.mark.parametrize("name", ["semantic_hybrid", "coupled_semantic", "enriched_semantic", "soup"])
+@pytest.mark.parametrize("name", ["semantic_hybrid", "coupled_semantic", "enriched_semantic", "ensemble_hybrid", "soup"])
 def test_ensembles_in_arrays_and_by_joins_agree(spark, monkeypatch, name):
     from lorewell.operators import scoring
     from lorewell.plans import models
