@@ -44,7 +44,8 @@ def _coded(classes: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
                 packed[rows] = (signs @ (1 << np.arange(bits, dtype=np.int64))).astype(kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in packed], pa.binary())], ["rep", "label", "embedding", "m", "codes"])
 
-    return classes.select("rep", "label", "embedding", "m").mapInArrow(run, f"rep long, label long, embedding {dict(classes.dtypes)['embedding']}, m long, codes binary")
+    types = dict(classes.dtypes)
+    return classes.select("rep", "label", "embedding", "m").mapInArrow(run, f"rep long, label {types['label']}, embedding {types['embedding']}, m long, codes binary")
 
 
 def code_type(bits: int) -> type:
@@ -61,9 +62,11 @@ def _keys(coded: DataFrame, bits: int, tables: int) -> DataFrame:
             if batch.num_rows:
                 codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), kind).astype(np.int64)
                 again = lambda c: pa.array(np.repeat(batch.column(c).to_numpy().astype(np.int64), tables))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables), batch.num_rows)), again("label"), again("d"), pa.array(codes), again("rep")], ["tab", "label", "d", "code", "rep"])
+                label = batch.column("label").take(pa.array(np.repeat(np.arange(batch.num_rows), tables)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables), batch.num_rows)), label, again("d"), pa.array(codes), again("rep")], ["tab", "label", "d", "code", "rep"])
 
-    return coded.select("rep", "label", F.size("embedding").cast("long").alias("d"), "codes").mapInArrow(run, "tab long, label long, d long, code long, rep long")
+    label = dict(coded.dtypes)["label"]
+    return coded.select("rep", "label", F.size("embedding").cast("long").alias("d"), "codes").mapInArrow(run, f"tab long, label {label}, d long, code long, rep long")
 
 
 def near_pairs(unit: np.ndarray, second: np.ndarray | None, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -99,13 +102,15 @@ def embedding_dedup(embeddings: DataFrame, cosine: float = COSINE, miss: float =
     in the first table where it meets, so tasks return sums of links and a spanning
     forest (a row for each vector at most), never the pairs themselves.
 
-    A null label, and a vector that is null, empty, zero or holds null or non-finite
+    Labels of any type that can be grouped are compared as they are (of floating ones, 0.0
+    equals -0.0 and NaN itself).  A null label, and a vector that is null, empty, zero or holds null or non-finite
     components, links with nothing; vectors of different dimension do not link;
     repeated rows are linked copies; an empty table gives no rows.  Returns vec_id,
     n_links, component_id, kept.
     """
     kept = "array<float>" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "array<double>"  # compared in double precision either way
-    rows = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), embeddings["embedding"].cast(kept).alias("embedding"), embeddings["label"].cast("long").alias("label"))
+    own = embeddings["label"] + F.lit(0.0).cast(dict(embeddings.dtypes)["label"]) if dict(embeddings.dtypes)["label"] in ("float", "double") else embeddings["label"]
+    rows = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), embeddings["embedding"].cast(kept).alias("embedding"), own.alias("label"))
     fit = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0.0)
     # -0.0 equals 0.0, and so must its hash
     plain = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0).cast(kept[6:-1])).otherwise(x))

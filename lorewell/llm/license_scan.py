@@ -63,6 +63,12 @@ SENTENCES = {
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-terms",
     "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-copy",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-library",
+    "this work is licensed under a creative commons attribution 3 0 unported license": "cc-by3-ref",
+    "this work is licensed under the creative commons attribution 3 0 unported license": "cc-by3-ref",
+    "this work is licensed under a creative commons attribution sharealike 3 0 unported license": "cc-by-sa3-ref",
+    "this work is licensed under the creative commons attribution sharealike 3 0 unported license": "cc-by-sa3-ref",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "rights-reserved",
 }
@@ -105,15 +111,38 @@ RULES = (
     ("Proprietary", ("rights-reserved",)),
 )
 
+RULES += (("LGPL-3.0-or-later", ("lgpl3-library", "lgpl-warranty", "lgpl-details")), ("CC-BY-3.0", ("cc-by3-ref",)), ("CC-BY-SA-3.0", ("cc-by-sa3-ref",)))
+
+# Sentences with a gap of some words (a holder's name, a file's name) between a beginning and an end.
+GAPPED = (
+    ("neither the name of", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse"),
+    ("neither the names of", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse"),
+    ("neither the name of", "nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse"),
+    ("this project is licensed under the mit license see the", "for details", "mit-ref"),
+    ("this project is licensed under the apache license 2 0 see the", "for details", "apache2-ref"),
+)
+#: Words of a gap at most.
+GAP = 16
+# Tag lines name a licence by its identifier, alone in its sentence.
+TAGGED = {"spdx license identifier " + name.lower().replace("-", " ").replace(".", " "): f"spdx-{name}" for name in dict(RULES) if name not in ("Proprietary", "BSD")}
+SENTENCES |= TAGGED
+RULES += tuple((name, (f"spdx-{name}",)) for name in dict(RULES) if f"spdx-{name}" in TAGGED.values())
+
+#: Words that mark comments at the start of a line.
+COMMENT = r"(?m)^[ \t]*(?:dnl|DNL|rem|REM|Rem)[ \t]+"
+#: A tag line ends where its line ends, whatever follows.
+TAG_LINE = r"(?im)(spdx-license-identifier:[^\r\n]*)"
 #: A sentence ends after . ! ? : or ; and white space, and at a line end unless the next line goes on in lower case; END marks it (texts are lower case by then).
 UNWRAP, ENDS, NOISE, END = r"\r?\n[ \t]*(?=[a-z(\"])", r"[.!?:;]\s+|[\r\n]+", r"[^a-z0-9X]+", "X"
 #: A known sentence starts and ends at marks and may run over others (wrapped lines, comment marks, colons, "v. 2.0"); of those from one start the shortest.
-KNOWN = f"(?<={END} )(?:" + "|".join(s.replace(" ", f"(?: {END})* ") for s in sorted(SENTENCES, key=len)) + f")(?= {END})"
+_JOINT = f"(?: {END})* "
+_SHORTEST_FIRST = sorted([(len(k), k.replace(" ", _JOINT)) for k in SENTENCES] + [(len(a) + len(b), f"{a.replace(' ', _JOINT)}{_JOINT}(?:[a-z0-9]+{_JOINT}){{1,{GAP}}}?{b.replace(' ', _JOINT)}") for a, b, _ in GAPPED])
+KNOWN = f"(?<={END} )(?:" + "|".join(x for _, x in _SHORTEST_FIRST) + f")(?= {END})"
 
 
 def marked(text: Column) -> Column:
     """Lower case, END between the sentences and around all, every run of other characters than a-z and 0-9 one space."""
-    ended = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), UNWRAP, " ")), ENDS, f" {END} ")
+    ended = F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), COMMENT, " "), TAG_LINE, "$1."), UNWRAP, " ")), ENDS, f" {END} ")
     return F.regexp_replace(F.concat(F.lit(f"{END} "), ended, F.lit(f" {END}")), NOISE, " ")
 
 
@@ -123,20 +152,28 @@ def license_scan(documents: DataFrame, text: str = "text") -> DataFrame:
     Each text is normalised with the ends of its sentences marked, the known licence
     sentences are sought from mark to mark, and the identifiers found, in text order,
     are matched against the ordered rules (a rule's identifiers must stand next to one
-    another).  A known sentence may be wrapped in any way, over comment marks and
+    another).  A gap of up to 16 words stands for a holder's or a file's name; a tag line
+    names its licence.  A known sentence may be wrapped in any way, over comment marks (also dnl and REM) and
     blank lines too; the SQL knows only those within one of its sentences.
     Where a longer rule matches, the shorter rules it contains still count as the
     same licence; BSD-2-Clause is dropped where BSD-3-Clause matches, Proprietary where
     any other licence does (open notices reserve all other rights too).  Null and
     empty texts have no sentences and no licence, an empty table gives no rows;
-    repeated sentences repeat their identifier, repeated rows are scanned alike; a
+    repeated sentences repeat their identifier, rules that match in the same place all
+    count, repeated rows are scanned alike, further columns are ignored; a
     text of any length is scanned whole.  Returns doc_id, sentence_ids (space-joined identifiers, in order),
     licenses (distinct names, sorted, comma-joined), n_sentences (long, known ones).
     One narrow pass, no shuffle: whole rows are kept and nothing is broadcast.
     """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     sentences = F.regexp_extract_all(marked(F.col(text)), F.lit(KNOWN), F.lit(0))
-    found = documents.select("doc_id", F.transform(sentences, lambda s: F.try_element_at(known, F.replace(s, F.lit(f" {END}"), F.lit("")))).alias("ids"))
+
+    def identifier(s: Column) -> Column:
+        s = F.replace(s, F.lit(f" {END}"), F.lit(""))
+        gapped = [F.when(s.startswith(a + " ") & s.endswith(" " + b), F.lit(name)) for a, b, name in GAPPED]
+        return F.coalesce(F.try_element_at(known, s), *gapped)
+
+    found = documents.select("doc_id", F.transform(sentences, identifier).alias("ids"))
     line = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
     hit = [F.when(line.contains(" " + " ".join(ids) + " "), F.lit(name)) for name, ids in RULES]
     names = F.array_sort(F.array_distinct(F.filter(F.array(*hit), lambda x: x.isNotNull())))

@@ -815,3 +815,51 @@ def test_pipeline_stages_without_rows(spark, tmp_path):
         assert stage(spark, rows, str(tmp_path)).count() == (3 if name == "n-gram Jaccard join" else 4)
     rows.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 1
+
+
+BSD_TWO = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+"""
+
+
+@pytest.mark.parametrize("holder", ["the copyright holder", "Google Inc.", "The Regents of the University of Somewhere, Inc.", "the <organization>", "Foo S.A., its parent,"])
+def test_bsd_with_any_holder(spark, holder):
+    from lorewell.llm.license_scan import license_scan
+
+    third = f"   * Neither the name of {holder} nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"
+    got = [r["licenses"] for r in license_scan(docs(spark, [BSD_TWO + third, BSD_TWO, BSD_TWO + third + BSD_TWO, third])).orderBy("doc_id").collect()]
+    assert got == ["BSD-3-Clause", "BSD-2-Clause", "BSD-3-Clause", ""]
+
+
+def test_licence_tags_gaps_and_comment_words(spark):
+    from lorewell.llm.license_scan import license_scan
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy"
+    commented = "\n".join(f"dnl {line}" for line in BSD_TWO.splitlines())
+    texts = [
+        "// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: GPL-3.0-or-later\n", "SPDX-License-Identifier: NotALicence\n", commented,
+        "This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details.", "Not licensed under the MIT License or so. " + mit,
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "neither the name of " + "x " * 17 + "nor the names of its contributors",
+    ]
+    got = [r["licenses"] for r in license_scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["MIT", "GPL-3.0-or-later", "", "BSD-2-Clause", "MIT", "", "CC-BY-SA-3.0", ""]
+
+
+@pytest.mark.parametrize(("kind", "labels"), [("double", [1.2, 1.2, 1.4, None, 0.0, -0.0]), ("string", ["a", "a", "b", None, "", ""]), ("long", [2**53, 2**53, 2**53 + 1, None, 7, 7]), ("date", ["d1", "d1", "d2", None, "d3", "d3"])])
+def test_embedding_labels_as_they_are(spark, kind, labels):
+    import datetime
+
+    from lorewell.llm.embedding_dedup import embedding_dedup
+
+    if kind == "date":
+        labels = [None if x is None else datetime.date(2020, 1, int(x[1])) for x in labels]
+    df = spark.createDataFrame([(k, [1.0, 0.5 + 0.01 * k], x) for k, x in enumerate(labels)], f"vec_id long, embedding array<double>, label {kind}")
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup(df).collect()} == {0: (1, 0), 1: (1, 0), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4)}
