@@ -28,6 +28,10 @@ HOLDS, LINKS = 0.7, 0.6
 DEPTH = 512
 #: Texts of a block that are kept as they are; a longer one is kept by its digest.
 SHORT_TEXT = 64
+#: Longest line that may name the writer of a reader comment; share of a page's running text that names must leave, else they count for nothing.
+SHORT_LINE, LEFT = 60, 0.1
+#: Characters of html of pages that are aligned together (their trees take some fifty times as much memory).
+GROUP_CHARS = 12 << 20
 
 # HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,9 +42,9 @@ CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Where the search for an open element to close stops.
 SCOPE = frozenset("html body article section div main ul ol dl table td th blockquote aside nav header footer form".split())
-# Words of class, id and role that mark page furniture, and words that mark the main text.
+# Words of class, id and role that usually mark page furniture, and words that may stand beside them in such a name.
 FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav aside footer cookie cookies consent gdpr notice notices popup modal overlay alert comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe subscription signup login search pagination pager toolbar masthead copyright contentinfo complementary dialog form skip tracking widget".split())
-MAIN = frozenset("article main content post entry story body text page".split())
+BESIDE = frozenset("area bar block bottom box button buttons container group inner items item left link links list outer panel pane post posts right row section the top wrap wrapper".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("html body main article section div center table tbody tr td ul ol dl blockquote".split())
 
@@ -74,7 +78,11 @@ def _marks(tag: str, attributes: str) -> frozenset:
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
-            words.update(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+            for token in value.split():
+                own = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+                words.update(own)
+                if own and FURNITURE.issuperset(w for w in own if w not in BESIDE) and not FURNITURE.isdisjoint(own):
+                    words.add("*furniture")  # the name says nothing else: not related-work, with-sidebar, search-methods
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             words.add("*hidden")
     return frozenset(words)
@@ -165,12 +173,12 @@ def _tag_end(page: str, at: int, last_end: int) -> int:
 class Slot:
     """A node of the wrapper: how many pages have it, the texts seen there, and the varying running text and all link text and text below it."""
 
-    __slots__ = ("tag", "marks", "kids", "seen", "texts", "running", "linked", "total", "shape")
+    __slots__ = ("tag", "marks", "kids", "seen", "texts", "running", "linked", "total", "shape", "replies")
 
     def __init__(self, tag: str, marks: frozenset):
         self.tag, self.marks = tag, marks
         self.kids: list[Slot] = []
-        self.seen, self.texts, self.shape = 0, {}, -1
+        self.seen, self.texts, self.shape, self.replies = 0, {}, -1, 0
         self.running = self.linked = self.total = 0
 
     def constant(self, pages: int) -> bool:
@@ -190,30 +198,41 @@ class Matcher:
 
     def __init__(self):
         self.numbers: dict[tuple, int] = {}
-        self.shapes: list[tuple] = []
+        self.bodies: dict[tuple, int] = {}
+        self.names: dict[frozenset, int] = {}
+        self.inner: list[tuple] = []  # of each body: tag and children's numbers
+        self.body: list[int] = []  # of each shape
+        self.name: list[int] = []
         self.gains: dict[tuple[int, int], int] = {}
 
     def number(self, node) -> int:
         """The number of a subtree's shape (kept until a slot grows)."""
         if node.shape < 0:
-            key = (node.tag, node.marks, *(self.number(k) for k in node.kids if k.tag))
-            node.shape = self.numbers.setdefault(key, len(self.shapes))
-            if node.shape == len(self.shapes):
-                self.shapes.append(key)
+            inner = (node.tag, *(self.number(k) for k in node.kids if k.tag))
+            body = self.bodies.setdefault(inner, len(self.inner))
+            if body == len(self.inner):
+                self.inner.append(inner)
+            name = self.names.setdefault(node.marks, len(self.names))
+            node.shape = self.numbers.setdefault((body, name), len(self.body))
+            if node.shape == len(self.body):
+                self.body.append(body)
+                self.name.append(name)
         return node.shape
 
-    def gain(self, a: int, b: int) -> int:
-        """The points of two subtrees matched at their roots; 0 for different tags."""
+    def inner_gain(self, a: int, b: int) -> int:
+        """The points of two bodies without their names; 0 for different tags."""
         found = self.gains.get((a, b))
         if found is None:
-            x, y = self.shapes[a], self.shapes[b]
-            if x[0] != y[0]:
-                found = 0
-            else:
-                found = 1 + (x[1] == y[1]) + sum(self.gain(x[2 + i], y[2 + j]) for i, j in self.align(x[2:], y[2:]))
+            x, y = self.inner[a], self.inner[b]
+            found = 0 if x[0] != y[0] else 1 + sum(self.gain(x[1 + i], y[1 + j]) for i, j in self.align(x[1:], y[1:]))
             self.gains[a, b] = found
         return found
 
+    def gain(self, a: int, b: int) -> int:
+        """The points of two subtrees matched at their roots; 0 for different tags."""
+        found = self.inner_gain(self.body[a], self.body[b])
+        return found + (self.name[a] == self.name[b]) if found else 0
+
     def align(self, left, right) -> list[tuple[int, int]]:
         """Pairs of children (numbers of shapes) in order with the most points; equal ends cannot do better than with each other."""
         if not left or not right:
@@ -226,13 +245,36 @@ class Matcher:
             tail += 1
         pairs = [(k, k) for k in range(a)]
         if n - tail > a and m - tail > a:
-            (kinds, x), (others, y) = _kinds(left[a : n - tail]), _kinds(right[a : m - tail])
-            table = np.array([[self.gain(p, q) for q in others] for p in kinds], np.int64)
-            if table.any():
-                pairs += [(a + i, a + j) for i, j in _best_pairs(table, x, y)]
+            points = Points(self, left[a : n - tail], right[a : m - tail])
+            if points.inner.any():
+                pairs += [(a + i, a + j) for i, j in _best_pairs(points)]
         return pairs + [(n - k, m - k) for k in range(tail, 0, -1)]
 
 
+class Points:
+    """The points of all pairs of two lists of shapes, kept by their distinct bodies; a row is made when it is asked for."""
+
+    def __init__(self, matcher: Matcher | None, left=(), right=()):
+        if matcher is not None:
+            (kinds, self.x), (others, self.y) = (_kinds([matcher.body[k] for k in some]) for some in (left, right))
+            self.inner = np.array([[matcher.inner_gain(p, q) for q in others] for p in kinds], np.int64)
+            self.names = np.array([matcher.name[k] for k in left]), np.array([matcher.name[k] for k in right])
+
+    def part(self, x: slice, y: slice) -> Points:
+        """The points of parts of both lists."""
+        out = Points(None)
+        out.x, out.y, out.inner, out.names = self.x[x], self.y[y], self.inner, (self.names[0][x], self.names[1][y])
+        return out
+
+    def row(self, i: int) -> np.ndarray:
+        own = self.inner[self.x[i]][self.y]
+        return own + ((self.names[1] == self.names[0][i]) & (own > 0))
+
+    def at(self, i: int, j: int) -> int:
+        own = self.inner[self.x[i], self.y[j]]
+        return own + (self.names[0][i] == self.names[1][j]) if own else 0
+
+
 def _kinds(numbers) -> tuple[list[int], np.ndarray]:
     """The distinct numbers of a list, and the place of each of its numbers among them."""
     places: dict[int, int] = {}
@@ -240,29 +282,30 @@ def _kinds(numbers) -> tuple[list[int], np.ndarray]:
     return list(places), np.array(at)
 
 
-def _rows(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[np.ndarray]:
-    """For each end of x, from none on, the most points with every end of y."""
-    row = np.zeros(len(y) + 1, np.int64)
+def _rows(points: Points) -> Iterator[np.ndarray]:
+    """For each end of the left list, from none on, the most points with every end of the right one."""
+    row = np.zeros(len(points.y) + 1, np.int64)
     yield row
-    for k in x:
+    for i in range(len(points.x)):
         new = np.zeros_like(row)
-        new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + table[k][y]))
+        new[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + points.row(i)))
         row = new
         yield row
 
 
-def _best_pairs(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs in order of two lists of kinds with the most points, which are in a table; a long left list is halved where both halves gain most."""
-    if len(x) > 1 and len(x) * len(y) > MOST_CELLS:
-        i = len(x) // 2
-        *_, ahead = _rows(table, x[:i], y)
-        *_, back = _rows(table, x[i:][::-1], y[::-1])
+def _best_pairs(points: Points) -> list[tuple[int, int]]:
+    """Pairs in order of two lists with the most points; a long left list is halved where both halves gain most."""
+    n, m = len(points.x), len(points.y)
+    if n > 1 and n * m > MOST_CELLS:
+        i = n // 2
+        *_, ahead = _rows(points.part(slice(0, i), slice(None)))
+        *_, back = _rows(points.part(slice(n, i - 1 if i else None, -1), slice(None, None, -1)))
         j = int(np.argmax(ahead + back[::-1]))
-        return _best_pairs(table, x[:i], y[:j]) + [(i + p, j + q) for p, q in _best_pairs(table, x[i:], y[j:])]
-    rows = list(_rows(table, x, y))
-    pairs, i, j = [], len(x), len(y)
+        return _best_pairs(points.part(slice(0, i), slice(0, j))) + [(i + p, j + q) for p, q in _best_pairs(points.part(slice(i, n), slice(j, m)))]
+    rows = list(_rows(points))
+    pairs, i, j = [], n, m
     while i and j:
-        gain = table[x[i - 1], y[j - 1]]
+        gain = points.at(i - 1, j - 1)
         if gain and rows[i][j] == rows[i - 1][j - 1] + gain:
             pairs.append((i - 1, j - 1))
             i, j = i - 1, j - 1
@@ -325,6 +368,7 @@ class Wrapper:
         own = [self.measure(k, linked or k.tag == "a", constant or slot.constant(self.pages)) for k in node.kids]
         running, links, total = (sum(x) for x in zip(*own, strict=True)) if own else (0, 0, 0)
         slot.running, slot.linked, slot.total = slot.running + running, slot.linked + links, slot.total + total
+        slot.replies += running > 0 and replies(node)
         return running, links, total
 
     def induce(self) -> None:
@@ -336,7 +380,10 @@ class Wrapper:
         while self.pages >= LEAST_PAGES:
             kids = [k for k in at.kids if k.tag not in NEVER and "*hidden" not in k.marks]
             plain = [k for k in kids if not _named_furniture(k) and k.running > 0]
-            rest = sum(k.running for k in kids if k not in plain and _named_furniture(k)) if plain else 0
+            # reader comments stand after what they comment on
+            heard = [k for n, k in enumerate(plain) if n and 2 * k.replies > k.seen]
+            plain = [k for k in plain if k not in heard] or plain
+            rest = sum(k.running for k in kids if k not in plain and (_named_furniture(k) or k in heard)) if plain else 0
             best = max(plain or kids, key=lambda k: k.running, default=None)
             if best is None or best.tag not in CONTAINERS or best.running <= 0 or best.running < HOLDS * (at.running - rest):
                 return
@@ -355,27 +402,59 @@ class Wrapper:
 
 
 def _named_furniture(node) -> bool:
-    return bool(node.marks & FURNITURE) and node.tag not in ("html", "body", "article", "main") and not {"article", "main"} & node.marks
+    return "*furniture" in node.marks and node.tag not in ("html", "body", "article", "main") and not {"article", "main"} & node.marks
 
 
-def _furniture(node: Node) -> bool:
-    return node.tag in NEVER or "*hidden" in node.marks or _named_furniture(node)
+def _furniture(node: Node, names: bool = True) -> bool:
+    return node.tag in NEVER or "*hidden" in node.marks or (names and _named_furniture(node))
 
 
-def _weight(node: Node, linked: bool = False) -> tuple[int, int]:
+def _weight(node: Node, linked: bool = False, names: bool = True) -> tuple[int, int]:
     """Characters of running text outside furniture, and of these in links."""
     if not node.tag:
         n = len(node.text.strip())
         return n, n if linked else 0
-    if _furniture(node):
+    if _furniture(node, names):
         return 0, 0
     total = in_links = 0
     for k in node.kids:
-        a, b = _weight(k, linked or node.tag == "a")
+        a, b = _weight(k, linked or node.tag == "a", names)
         total, in_links = total + a, in_links + b
     return total, in_links
 
 
+def _unnamed(node: Node) -> None:
+    """Takes back what names say below a node: they would leave next to nothing of its running text."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if "*furniture" in x.marks:
+            x.marks -= {"*furniture"}
+        todo += x.kids
+
+
+def replies(node: Node) -> bool:
+    """Whether an element is a list of reader comments by its form: at least two groups of one shape and nothing else with text.
+
+    A group has a short line that ends no sentence (who, when) before its text, in blocks of its own, and no heading."""
+    groups = [k for k in node.kids if k.tag and k.tag not in NEVER and _weight(k)[0]]
+    if len(groups) < 2 or any(not k.tag and k.text.strip() for k in node.kids):
+        return False
+    first = (groups[0].tag, groups[0].marks)
+    if groups[0].tag not in ("div", "section", "article", "li", "dd") or any((k.tag, k.marks) != first for k in groups):
+        return False
+    for g in groups:
+        parts = [k for k in g.kids if k.tag and _weight(k)[0]]
+        while len(parts) == 1 and parts[0].tag in ("div", "section", "article"):
+            parts = [k for k in parts[0].kids if k.tag and _weight(k)[0]]
+        if len(parts) < 2 or any(k.tag in HEADINGS or any(x.tag in HEADINGS for x in _below(k)) for k in parts):
+            return False
+        head = _SPACE.sub(" ", parts[0].content()).strip()
+        if len(head) > SHORT_LINE or head[-1:] in ".!?:;…" or any(k.tag in ("table", "tr", "td") for k in parts):
+            return False
+    return True
+
+
 def _main(node: Node) -> Node:
     """Where no wrapper tells: article or main if there is one with text, else down the elements that hold nearly all running text."""
     best, most = None, 0
@@ -397,7 +476,7 @@ def _main(node: Node) -> Node:
         return best
     at = node
     while True:
-        kids = [(k, *_weight(k)) for k in at.kids if k.tag and not _furniture(k)]
+        kids = [(k, *_weight(k)) for n, k in enumerate(at.kids) if k.tag and not _furniture(k) and not (any(_weight(x)[0] for x in at.kids[:n]) and replies(k))]
         total = sum(t - 2 * link for _, t, link in kids) + sum(len(k.text.strip()) for k in at.kids if not k.tag)
         inside = [(k, t - 2 * link) for k, t, link in kids if k.tag in ("html", "body", "div", "section", "table", "tbody", "tr", "td", "center")]
         best = max(inside, key=lambda x: x[1], default=(None, 0))
@@ -446,7 +525,10 @@ def _blocks(node: Node, pages: int, out: list[str], held: list[str], top: bool =
     if block:
         close()
     for k in node.kids:
-        _blocks(k, pages, out, held, False)
+        if k.tag in CONTAINERS and out and replies(k):
+            close()
+        else:
+            _blocks(k, pages, out, held, False)
     if block:
         close()
 
@@ -455,6 +537,9 @@ def main_text(page: Node, wrapper: Wrapper | None = None) -> str:
     """The main text of a parsed page, by the wrapper that was learned from it and others."""
     out: list[str] = []
     held: list[str] = []
+    (named, links), (all_text, all_links) = _weight(page), _weight(page, names=False)
+    if named - links < LEFT * (all_text - all_links):
+        _unnamed(page)
     top, decided = (page, False) if wrapper is None else wrapper.content_of(page)
     _blocks(top if decided else _main(top), 0 if wrapper is None else wrapper.pages, out, held)
     if held:
@@ -485,15 +570,19 @@ def html_extraction(pages: DataFrame) -> DataFrame:
     The pages of a host are one group, those of a host with 2 GROUP pages or more are
     dealt into groups of GROUP to 2 GROUP in the mean by a hash of the page, and groups
     are dealt by a hash of (host, group), so a hot host spreads over many tasks and a
-    group stays whole whatever the number of tasks.  In a group the DOM trees of the
+    group stays whole whatever the number of tasks; a group of more than GROUP_CHARS of
+    html is aligned in several runs of pages (of at least LEAST_PAGES, however long these are).
+    In a group the DOM trees of the
     different pages are aligned by simple tree matching into a wrapper.  Slots whose
     text is the same in nearly all of at least LEAST_PAGES different pages are template
     and go; so do recurring slots of links; the content is the slot on whose way down
     nearly all varying running text lies.  Elements that HTML itself sets apart (nav,
-    header, footer, aside, form, script, ...) and hidden ones go.  Class, id and role
-    words only break ties between slots that vary (adverts, reader comments), and
-    where too few pages of a host are at hand, article and main elements and the
-    share of link text take the wrapper's place.
+    header, footer, aside, form, script, ...) and hidden ones go, and so do reader
+    comments: groups of one shape after the content, each a short line and then text.
+    An element whose class, id or role is nothing but words of furniture goes too,
+    unless the page would then keep less than a tenth of its running text; a name that says more
+    (related-work, with-sidebar) says nothing here.  Where too few pages of a host are
+    at hand, article and main elements and the share of link text take the wrapper's place.
 
     Null and empty html gives an empty text; a null url is a host of its own; repeated
     rows are repeated pages; an empty table gives no rows.  Returns page_id, url, text,
@@ -524,6 +613,8 @@ def html_extraction(pages: DataFrame) -> DataFrame:
                     yield finished(len(held))
                 elif len(held) == 2 * GROUP:
                     yield finished(GROUP)
+                elif len(held) >= LEAST_PAGES and sum(len(r[2] or "") for r in held) + len(row[2] or "") > GROUP_CHARS:
+                    yield finished(len(held))
                 held.append(row)
         if held:
             yield finished(len(held))
