@@ -17,8 +17,9 @@ DIMENSIONS = 384
 def hashed(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """A unit vector of signed word counts in hashed places: deterministic, JVM-side, no model."""
     words = tokens(F.coalesce(text, F.lit("")))
-    place = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int").alias("p"), F.when(F.crc32(w) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    return unit(F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(F.filter(place, lambda x: x["p"] == d), F.lit(0.0), lambda a, x: a + x["s"])))
+    places = F.transform(words, lambda w: F.struct(F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int").alias("p"), F.when(F.crc32(w) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
+    dense = lambda own: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.aggregate(F.filter(own, lambda x: x["p"] == d), F.lit(0.0), lambda a, x: a + x["s"]))
+    return unit(F.transform(F.array(places), dense)[0])  # the words are bound once, not found again for each dimension
 
 
 def encode(items: DataFrame, text: Column, model: Callable[[list[str]], list[list[float]]] | None = None) -> DataFrame:

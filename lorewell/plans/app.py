@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lorewell.functions.encoder import encode
 from lorewell.functions.scalar import dot
 from lorewell.functions.text import reasons
+from lorewell.operators.word_vectors import WordVectors
 
 # Words in an item's subjects, and what they are taken to show.
 GENRES = ((("fiction",), "Matches your taste for fiction"), (("science",), "A science subject you like"), (("history", "histoire"), "A historical subject you follow"))
@@ -50,11 +51,12 @@ def nearest(vectors: DataFrame, query: list[float], k: int = 10, without: int |
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "i")))
 
 
-def search_by_meaning(items: DataFrame, text: Column, query: str, k: int = 10, vectors: DataFrame | None = None, model: Callable | None = None) -> DataFrame:
-    """(i, rank, score): the k items nearest to a free text, which goes through the encoder that made (or makes) the items' vectors; nothing for a blank one."""
+def search_by_meaning(items: DataFrame, text: Column, query: str, k: int = 10, vectors: DataFrame | None = None, model: Callable | WordVectors | None = None) -> DataFrame:
+    """(i, rank, score): the k items nearest to a free text, which goes through the encoder that made (or makes) the items' vectors; nothing for a blank one, or one without a known word."""
     spark = items.sparkSession
-    own = encode(spark.createDataFrame([(0, query)], "i long, query string").where("trim(query) <> ''"), F.col("query"), model).select(F.col("e").alias("q"))
-    vectors = encode(items, text, model) if vectors is None else vectors
+    made = model.encode if isinstance(model, WordVectors) else lambda rows, column: encode(rows, column, model)
+    own = made(spark.createDataFrame([(0, query)], "i long, query string").where("trim(query) <> ''"), F.col("query")).select(F.col("e").alias("q")).where(F.exists("q", lambda x: x != 0))
+    vectors = made(items, text) if vectors is None else vectors
     best = vectors.join(F.broadcast(own)).select("i", (F.round(dot(F.col("e"), F.col("q")), 6) + F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "i").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "i"))).select("i", "rank", "score")
 

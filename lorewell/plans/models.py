@@ -433,7 +433,7 @@ class LogSVDRecommender(SVDRecommender):
 
 
 MODELS = {
-    "semantic_hybrid": semantic_hybrid, "coupled_semantic": coupled_semantic, "enriched_semantic": enriched_semantic, "ensemble_hybrid": ensemble_hybrid,
+    "semantic_hybrid": semantic_hybrid, "coupled_semantic": lambda: coupled_semantic(weights=(0.7, 0.3)), "enriched_semantic": enriched_semantic, "ensemble_hybrid": ensemble_hybrid,
     "bm25": lambda: BM25Recommender(k1=1.5), "diversified": DiversifiedRecommender, "low_interaction": LowInteractionRecommender, "history_filter": HistoryFilterRecommender,
     "sequential": SequentialRecommender, "ease": EASERecommender, "svd": lambda: SVDRecommender(30), "cosine": CosineRecommender, "popularity": PopularityRecommender,
 }

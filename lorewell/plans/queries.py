@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorewell.functions import encoder
 from lorewell.functions import text as T
 from lorewell.functions.scalar import cut
 from lorewell.operators import evaluation, latent, loading, profiles, scoring
 from lorewell.operators import statistics as S
+from lorewell.operators.word_vectors import WordVectors
 from lorewell.plans import app, enrichment, models, tuning
 from lorewell.plans.models import Data
 from lorewell.sources import interactions as I
@@ -237,12 +237,17 @@ def _enriched(spark: SparkSession, d: str) -> DataFrame:
     return I.with_columns(I.part_items(spark, d).withColumns({"clean_author": F.col("Author"), "category": F.lower("Subjects")}).join(size, "i"), (*I.TEXT_COLUMNS, *I.ENRICHED_COLUMNS))
 
 
+def _enriched_data(spark: SparkSession, d: str) -> Data:
+    """The interactions with vectors of the enriched text."""
+    data, items = _data(spark, d, I.event_interactions), _enriched(spark, d)
+    data.vectors = WordVectors.fit(items, T.enriched_soup()).encode(items, T.enriched_soup())
+    return data
+
+
 @query()
 def topk_enriched_semantic(spark, d):
     """On vectors of the enriched text."""
-    data = _data(spark, d, I.event_interactions)
-    data.vectors = encoder.encode(_enriched(spark, d), T.enriched_soup())
-    return models.enriched_semantic().fit(data).predict(10)
+    return models.enriched_semantic().fit(_enriched_data(spark, d)).predict(10)
 
 
 # ---- evaluation and tuning
@@ -267,7 +272,7 @@ def grid_search(spark, d):
 def experiments(spark, d):
     data = _data(spark, d, I.event_interactions, vectors=True)
     truth = loading.validation_part(I.event_interactions(spark, d)).persist()
-    return tuning.run_experiments(models.MODELS, data, truth)
+    return tuning.run_experiments(models.MODELS, data, truth, own={"enriched_semantic": _enriched_data(spark, d)})
 
 
 # ---- statistics
@@ -495,8 +500,9 @@ def semantic_search(spark, d):
 
 @query()
 def free_text_search(spark, d):
-    """Free text for a user without a history, through the encoder of the items' vectors."""
-    return app.search_by_meaning(I.part_items(spark, d), T.soup(F.col("Title"), F.col("Author"), F.col("Subjects")), "a small red ring, polished brass")
+    """Free text for a user without a history, through word vectors learned from the catalogue."""
+    items, text = I.part_items(spark, d), T.soup(F.col("Title"), F.col("Author"), F.col("Subjects"))
+    return app.search_by_meaning(items, text, "a small red ring, polished brass", model=WordVectors.fit(items, text))
 
 
 @query(f"WITH {IX}, {SPLIT}, {USERS}, {ITEMS}, {weights_sql(250)}, {TFIDF}, {COSINE}, {SCORES}, {dense_top()}, lists AS (SELECT u, string_agg(i::VARCHAR, ' ' ORDER BY rank) AS own FROM top GROUP BY u), pop AS (SELECT i, count(*) AS c FROM ix GROUP BY i ORDER BY c DESC, i LIMIT 10), fb AS (SELECT string_agg(i::VARCHAR, ' ' ORDER BY c DESC, i) AS fb FROM pop) SELECT c_custkey AS user_id, coalesce(own, fb) AS recommendation FROM customer LEFT JOIN lists ON u = c_custkey, fb")

@@ -71,12 +71,12 @@ def _mixed_scores(data: Data, truth: DataFrame, settings: list[tuple], k: int, f
     return [by_mix.get(n, 0.0) for n in range(len(settings))]
 
 
-def run_experiments(models: dict[str, Callable[[], Recommender]], data: Data, truth: DataFrame, k: int = 10, threshold: float = 0.207) -> DataFrame:
-    """(model, map_at_k, status), best first; a model that fails counts as 0."""
+def run_experiments(models: dict[str, Callable[[], Recommender]], data: Data, truth: DataFrame, k: int = 10, threshold: float = 0.207, own: dict[str, Data] | None = None) -> DataFrame:
+    """(model, map_at_k, status), best first; `own` has the data of models that do not run on `data`; a model that fails counts as 0 and its status says so."""
     rows = []
     for name, make in models.items():
         try:
-            score = map_at_k(make().fit(data).predict(k), truth, k).first()["map_at_k"] or 0.0
+            score = map_at_k(make().fit((own or {}).get(name, data)).predict(k), truth, k).first()["map_at_k"] or 0.0
             rows.append((name, float(score), "above threshold" if score > threshold else "below threshold"))
         except Exception as e:
             rows.append((name, 0.0, f"error: {type(e).__name__}"))

@@ -231,7 +231,8 @@ def test_tuning_queries_run_the_whole_grid_and_all_models(spark, monkeypatch):
     monkeypatch.setattr(queries.loading, "validation_part", lambda ix: spark.range(0))
     monkeypatch.setattr(queries.I, "event_interactions", lambda *a: None)
     monkeypatch.setattr(queries.tuning, "grid_search", lambda data, truth, **changes: calls.append(changes))
-    monkeypatch.setattr(queries.tuning, "run_experiments", lambda chosen, data, truth: calls.append(chosen))
+    monkeypatch.setattr(queries.tuning, "run_experiments", lambda chosen, data, truth, own: calls.append(chosen))
+    monkeypatch.setattr(queries, "_enriched_data", lambda *a: None)
     monkeypatch.setattr(models.EnsembleRecommender, "fit", lambda self, data: calls.append(self.factors) or self)
     monkeypatch.setattr(models.EnsembleRecommender, "predict", lambda self, k=10: None)
     queries.grid_search(spark, "")
