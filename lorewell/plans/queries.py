@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,10 +12,12 @@ from lorewell.functions import text as T
 from lorewell.functions.scalar import cut
 from lorewell.operators import evaluation, latent, loading, profiles, scoring
 from lorewell.operators import statistics as S
+from lorewell.operators.vector_index import VectorIndex
 from lorewell.operators.word_vectors import WordVectors
 from lorewell.plans import app, enrichment, models, tuning
 from lorewell.plans.models import Data
 from lorewell.sources import interactions as I
+from lorewell.sources.scratch import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -498,6 +501,27 @@ def semantic_search(spark, d):
     return app.nearest(I.item_vectors(spark, d), _QUERY)
 
 
+def _index(spark: SparkSession, d: str) -> VectorIndex:
+    """The items' vectors, indexed anew in the shared folder (an application opens one that is kept)."""
+    return VectorIndex.build(I.item_vectors(spark, d), f"{shared_folder(spark)}/lorewell/vector-index-{uuid.uuid4().hex}")
+
+
+@query(SQL["semantic_search"])
+def indexed_search(spark, d):
+    """As `semantic_search`, from the stored index."""
+    length = sum(x * x for x in _QUERY) ** 0.5
+    one = spark.createDataFrame([(0, [x / length for x in _QUERY])], "q_id long, q array<double>")
+    return _index(spark, d).search(one)[0].select("i", "rank", "score")
+
+
+@query(f"WITH {VECS}, pairs AS (SELECT a.i AS q_id, b.i, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])), 6) + 0.0 AS score FROM vecs a, vecs b WHERE a.i % 100 = 5 AND b.i <> a.i), best AS (SELECT q_id, i, score, (row_number() OVER (PARTITION BY q_id ORDER BY score DESC, i))::INT AS rank FROM pairs) SELECT q_id, i, rank, score FROM best WHERE rank <= 10")
+def indexed_similar_items(spark, d):
+    """Items most similar to each of a shelf of items (every hundredth), from the stored index."""
+    vectors = I.item_vectors(spark, d)
+    shelf = vectors.where("i % 100 = 5").select(F.col("i").alias("q_id"), F.col("e").alias("q"), F.col("i").alias("own"))
+    return _index(spark, d).search(shelf, without="own")[0]
+
+
 @query()
 def free_text_search(spark, d):
     """Free text for a user without a history, through word vectors learned from the catalogue."""
