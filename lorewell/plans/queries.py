@@ -14,7 +14,7 @@ from lorewell.operators import evaluation, latent, loading, profiles, scoring
 from lorewell.operators import statistics as S
 from lorewell.operators.vector_index import VectorIndex
 from lorewell.operators.word_vectors import WordVectors
-from lorewell.plans import app, enrichment, models, tuning
+from lorewell.plans import app, enrichment, models, persist, tuning
 from lorewell.plans.models import Data
 from lorewell.sources import interactions as I
 from lorewell.sources.scratch import shared_folder
@@ -140,6 +140,14 @@ def topk_collab(spark, d):
     return models.CosineRecommender(250).fit(_data(spark, d)).predict(10)
 
 
+@query(SQL["topk_collab"])
+def topk_from_saved_model(spark, d):
+    """As `topk_collab`, from a model that was fitted, saved and loaded."""
+    folder = f"{shared_folder(spark)}/lorewell/model-{uuid.uuid4().hex}"
+    persist.save(models.CosineRecommender(250).fit(_data(spark, d)), folder)
+    return persist.load(spark, folder).predict(10)
+
+
 @query(f"WITH {EV}, {SPLIT}, {USERS}, {weights_sql(30)}, {TFIDF}, {COSINE}, {SCORES}, {dense_top()} SELECT * FROM top")
 def topk_collab_events(spark, d):
     """The same by joins and aggregates (the way taken where the item side is too large to send)."""
@@ -465,9 +473,10 @@ def search_items(spark, d):
     return app.search_items(I.part_items(spark, d), "red.*widget|brand#2").select("i", "Title", "Author", "Subjects")
 
 
-@query(f"WITH {ITEMS} SELECT i, Title, Author, Subjects FROM items WHERE contains(lower(Title), 'ring') ORDER BY i LIMIT 20")
+@query(f"WITH {ITEMS} SELECT i, Title, Author, Subjects FROM items WHERE regexp_matches(lower(Title), '^(hot|blue) .*ring$') ORDER BY i LIMIT 20")
 def search_titles(spark, d):
-    return app.search_items(I.part_items(spark, d), "ring", literal=True, columns=("Title",)).select("i", "Title", "Author", "Subjects")
+    """Titles by pattern; the first 20 are what the page shows."""
+    return app.search_items(I.part_items(spark, d), "^(Hot|blue) .*ring$", columns=("Title",)).select("i", "Title", "Author", "Subjects")
 
 
 @query(f"WITH {IX} SELECT DISTINCT u FROM ix WHERE contains(u::VARCHAR, '12') ORDER BY u LIMIT 100")
