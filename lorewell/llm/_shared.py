@@ -27,7 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, which only a local session may leave unset (its one machine shares everything)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # not local-cluster, whose executors have folders of their own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "lorewell-checkpoints")
     return at.rstrip("/")
