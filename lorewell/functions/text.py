@@ -1,9 +1,9 @@
-"""Text of items: soups, tokens, prompts, explanations, content hash."""
+"""Text of items: soups, tokens, prompts, explanations."""
 
 from __future__ import annotations
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -38,12 +38,6 @@ def tokens(text: Column, stop: list[str] | None = None, bigrams: bool = False) -
     return F.concat(kept, F.when(F.size(kept) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
-def content_hash(items: DataFrame, text: Column) -> DataFrame:
-    """One row: md5 over the md5 of every item's text in id order, so that no task holds all texts."""
-    parts = items.select("i", F.md5(text).alias("h"))
-    return parts.agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), "")).alias("content_hash"))
-
-
 def prompt_line() -> Column:
     """ID:..|T:..|A:.. of an item, its author 'Unknown' where null."""
     return F.concat(F.lit("ID:"), F.col("i").cast("string"), F.lit("|T:"), F.coalesce(F.col("Title"), F.lit("")), F.lit("|A:"), F.coalesce(F.col("Author"), F.lit("Unknown")))

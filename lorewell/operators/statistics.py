@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions.scalar import epoch_timestamp
+from lorewell.operators.quantiles import exact_quantiles, order_statistics
 
 # Weekday names and the bins of interaction counts.
 DAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -29,10 +30,11 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 
 
 def describe_counts(counts: DataFrame) -> DataFrame:
-    """Count, mean, standard deviation, extremes and linearly interpolated percentiles of a count column."""
-    c = F.col("count")
-    quantiles = {f"p{int(p * 100)}": F.percentile(c, F.lit(p)) for p in (0.5, 0.75, 0.9, 0.95, 0.99)}
-    return counts.agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *[q.alias(a) for a, q in quantiles.items()], F.max(c).alias("max"))
+    """Count, mean, standard deviation, extremes and linearly interpolated percentiles of a count column, no task or driver with more than a histogram."""
+    c, shares = F.col("count"), (0.5, 0.75, 0.9, 0.95, 0.99)
+    found = exact_quantiles(counts, "count", shares)
+    quantiles = [F.lit(q).cast("double").alias(f"p{int(p * 100)}") for p, q in zip(shares, found, strict=True)]
+    return counts.agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max")).select("n", "mean", "std", "min", *quantiles, "max")
 
 
 def density(interactions: DataFrame) -> DataFrame:
@@ -71,17 +73,31 @@ def clipped(counts: DataFrame, upper: int = 10) -> DataFrame:
     return counts.groupBy(F.least(F.col("count"), F.lit(upper)).alias("n_clipped")).agg(F.count("*").alias("pairs"))
 
 
-def cumulative_share(counts: DataFrame, key: str) -> DataFrame:
+#: Keys of one count that are put in order together, and the most parts that a longer list is cut into.
+TOGETHER, PARTS = 1_000_000, 256
+
+
+def cumulative_share(counts: DataFrame, key: str, together: int = TOGETHER) -> DataFrame:
     """(key, count, position, cum_share, cdf), most frequent first.
 
     The running total is first taken over distinct counts (few), then within equal
-    counts, so no task sees all keys."""
-    levels = counts.groupBy("count").agg(F.count("*").alias("m"))
+    counts.  A count that many numeric keys share is cut at exact quantiles of the key, and
+    its parts' sizes are summed ahead, so no task puts more than a part in order."""
+    levels = counts.groupBy("count").agg(F.count("*").alias("m")).persist()
+    numeric = dict(counts.dtypes)[key] in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    part = F.lit(0)
+    for row in levels.where(F.col("m") > together).collect() if numeric else ():  # fewer than n / together
+        n = min(PARTS, -(-row["m"] // together))
+        edges = sorted(set(order_statistics(counts.where(F.col("count") == row["count"]), key, {row["m"] * k // n for k in range(1, n)}).values()))
+        part = F.when(F.col("count") == row["count"], sum(((F.col(key) >= x).cast("int") for x in edges), F.lit(0))).otherwise(part)
+    parted = counts.withColumn("part", part)
+    sizes = parted.groupBy("count", "part").agg(F.count("*").alias("c"))
+    ahead = sizes.select("count", "part", F.coalesce(F.sum("c").over(Window.partitionBy("count").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     above = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     ranked = levels.select("count", F.coalesce(F.sum("m").over(above), F.lit(0)).alias("before"), F.coalesce(F.sum(F.col("m") * F.col("count")).over(above), F.lit(0)).alias("sum_before"), F.sum(F.col("m") * F.col("count")).over(everything).alias("total"), F.sum("m").over(everything).alias("n"))
-    own = F.row_number().over(Window.partitionBy("count").orderBy(key))
-    placed = counts.withColumn("own", own).join(F.broadcast(ranked), "count")
+    own = F.row_number().over(Window.partitionBy("count", "part").orderBy(key))
+    placed = parted.withColumn("own", own).join(F.broadcast(ahead), ["count", "part"]).join(F.broadcast(ranked), "count").withColumn("own", F.col("own") + F.col("ahead"))
     position = F.col("before") + F.col("own")
     return placed.select(key, "count", position.alias("position"), ((F.col("sum_before") + F.col("own") * F.col("count")) / F.col("total")).alias("cum_share"), (position / F.col("n")).alias("cdf"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorewell.functions import text as T
@@ -17,6 +17,7 @@ from lorewell.operators.word_vectors import WordVectors
 from lorewell.plans import app, enrichment, models, persist, tuning
 from lorewell.plans.models import Data
 from lorewell.sources import interactions as I
+from lorewell.sources.embedding_cache import EmbeddingCache, item_digests, leaf_digests, tree_hash
 from lorewell.sources.scratch import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -583,9 +584,29 @@ def enriched_soup(spark, d):
     return items.select("i", T.enriched_soup().alias("soup"))
 
 
-@query(f"WITH {ITEMS} SELECT md5(string_agg(md5(Title || '. ' || Author || '. ' || Subjects), '' ORDER BY i)) AS content_hash FROM items")
+def _soup() -> Column:
+    return T.soup(F.col("Title"), F.col("Author"), F.col("Subjects"))
+
+
+def _level(n: int) -> str:
+    """A level of the tree of hashes over the one below."""
+    return f"l{n} AS (SELECT leaf >> 10 AS leaf, md5(string_agg(leaf || ':' || digest, ',' ORDER BY leaf)) AS digest FROM l{n - 1} GROUP BY leaf >> 10)"
+
+
+@query(f"WITH {ITEMS}, l1 AS (SELECT i >> 10 AS leaf, md5(string_agg(i || ':' || md5(Title || '. ' || Author || '. ' || Subjects), ',' ORDER BY i)) AS digest FROM items GROUP BY i >> 10), {', '.join(_level(n) for n in range(2, 7))} SELECT md5(string_agg(leaf || ':' || digest, ',' ORDER BY leaf)) AS content_hash FROM l6")
 def content_hash(spark, d):
-    return T.content_hash(I.part_items(spark, d), T.soup(F.col("Title"), F.col("Author"), F.col("Subjects")))
+    """The root of the tree of hashes over the items' texts."""
+    return tree_hash(leaf_digests(item_digests(I.part_items(spark, d), _soup())))
+
+
+@query(f"WITH {VECS} SELECT i, round(e[1], 9) AS first, round(list_sum(e), 6) + 0.0 AS total, 0::BIGINT AS encoded_again FROM vecs")
+def embedding_cache(spark, d):
+    """The items' vectors through the cache: filled once, then found unchanged."""
+    cache, items = EmbeddingCache(spark, f"{shared_folder(spark)}/lorewell/cache-{uuid.uuid4().hex}", "given"), I.part_items(spark, d)
+    fill = lambda some, text: I.item_vectors(spark, d).join(some.select("i"), "i", "left_semi")
+    cache.update(items, _soup(), fill)
+    again = cache.update(items, _soup(), fill)
+    return cache.read().select("i", F.round(F.col("e")[0], 9).alias("first"), (F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 6) + F.lit(0.0)).alias("total"), F.lit(again).cast("long").alias("encoded_again"))
 
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ("i", "me", "my", "myself", "we", "our", "ours", "the", "a", "an", "and", "of", "in", "on"))

@@ -1,8 +1,7 @@
-"""Writing results: submissions, exports, feedback, enriched items, cached embeddings."""
+"""Writing results: submissions, exports, feedback, enriched items."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,17 +39,3 @@ def append_feedback(spark: SparkSession, path: str, user_id: int, item_id: int,
         return True
     except Exception:
         return False
-
-
-def write_embeddings(vectors: DataFrame, path: str, model: str, content_hash: str) -> None:
-    """Caches (i, e) under its model and content hash."""
-    vectors.withColumns({"model": F.lit(model), "hash": F.lit(content_hash)}).write.mode("append").partitionBy("model", "hash").parquet(path)
-
-
-def read_embeddings(spark: SparkSession, path: str, model: str, content_hash: str, n_items: int) -> DataFrame | None:
-    """The cached vectors of this model and hash, if there are as many as items; else None."""
-    try:
-        found = spark.read.parquet(path).where((F.col("model") == model) & (F.col("hash") == content_hash)).select("i", "e")
-    except AnalysisException:
-        return None
-    return found if found.count() == n_items else None

@@ -13,7 +13,7 @@ from lorewell.operators import evaluation, loading, profiles, scoring
 from lorewell.operators import statistics as S
 from lorewell.plans import app, enrichment, models
 from lorewell.sources.interactions import read_csv_safely, read_interactions, read_items, read_targets, with_columns
-from lorewell.sources.sinks import append_feedback, read_embeddings, write_embeddings, write_submission
+from lorewell.sources.sinks import append_feedback, write_submission
 
 DAY = 86400
 
@@ -191,10 +191,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/sub").count() == 2
     assert append_feedback(spark, f"{tmp_path}/fb", 1, 2, True) and append_feedback(spark, f"{tmp_path}/fb", 1, 3, False)
     assert spark.read.option("header", True).csv(f"{tmp_path}/fb").count() == 2
-    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "i long, e array<double>")
-    write_embeddings(vectors, f"{tmp_path}/emb", "m", "h")
-    assert read_embeddings(spark, f"{tmp_path}/emb", "m", "h", 1).count() == 1
-    assert read_embeddings(spark, f"{tmp_path}/emb", "m", "h", 2) is None and read_embeddings(spark, f"{tmp_path}/no", "m", "h", 1) is None
 
 
 def test_statistics_edges(spark):
