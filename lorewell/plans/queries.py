@@ -19,6 +19,7 @@ from lorewell.plans.models import Data
 from lorewell.sources import interactions as I
 from lorewell.sources.embedding_cache import EmbeddingCache, item_digests, leaf_digests, tree_hash
 from lorewell.sources.scratch import shared_folder
+from lorewell.streaming import profiles as streamed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,6 +136,17 @@ def transitions(spark, d):
     return profiles.transitions(loading.train_part(I.event_interactions(spark, d))).withColumn("score", F.round("score", 9))
 
 
+@query(f"WITH {EV}, {weights_sql(30, 'ix')} SELECT u, i, round(w, 6) AS w FROM w")
+def streamed_profiles(spark, d):
+    """The decayed weights of all interactions, from a stream in four micro-batches."""
+    return streamed.current_profiles(streamed.replayed(I.event_interactions(spark, d), 30), 30).withColumn("w", F.round("w", 6))
+
+
+@query(f"WITH {EV}, train AS (SELECT * FROM ix), {TRANS} SELECT i, next_i, n, round(score, 9) AS score FROM trans")
+def streamed_transitions(spark, d):
+    return streamed.current_transitions(streamed.replayed(I.event_interactions(spark, d), 30)).withColumn("score", F.round("score", 9))
+
+
 # ---- top k
 @query(f"WITH {IX}, {SPLIT}, {USERS}, {weights_sql(250)}, {TFIDF}, {COSINE}, {SCORES}, {dense_top()} SELECT * FROM top")
 def topk_collab(spark, d):
