@@ -26,8 +26,8 @@ FAMILIAR = r"[^\x00-ԯ‐-⁤₠-₿ぁ-ヿ一-鿯가-힣]"
 LEAF, WINDOW = 32, 4
 #: Characters of a text from which it is cut into parts for several tasks.
 PART = 1 << 16
-#: Bytes of text encoded at a time, and pieces and bytes of them that a worker keeps.
-SLICE, KEPT_PIECES, KEPT_BYTES = 4 << 20, 400_000, 8 << 20
+#: Bytes of text encoded at a time, bytes of new pieces merged at a time, and pieces and bytes of them that a worker keeps.
+SLICE, MERGED, KEPT_PIECES, KEPT_BYTES = 1 << 20, 1 << 18, 250_000, 8 << 20
 
 
 class TreeEncoder(RankMerger):
@@ -198,7 +198,7 @@ class Codec:
     """A worker's encoder with the pieces that it has met."""
 
     def __init__(self, path: str):
-        self.tree = TreeEncoder(path)
+        self.tree = tree_encoder(path)
         self.splitter = Splitter(path, self.tree.special)
         self.clear()
 
@@ -209,8 +209,9 @@ class Codec:
 
     def rows(self, pieces: list[str]) -> np.ndarray:
         """The place of each piece among those met; new ones are encoded first, all at once."""
-        new = [p for p in set(pieces) if p not in self.place]
-        if new:
+        unseen = [p for p in set(pieces) if p not in self.place]
+        bounds = np.cumsum(np.fromiter(map(len, unseen), np.int64, len(unseen))) // MERGED
+        for new in ([unseen[k] for k in some] for some in np.split(np.arange(len(unseen)), np.flatnonzero(np.diff(bounds)) + 1) if len(some)):
             data = [p.encode() for p in new]
             flat, counts = self.tree.pieces(data)
             if self.used + len(flat) > len(self.flat):
@@ -257,9 +258,17 @@ class Codec:
         return flat.astype(np.uint32), int(counts[0]), int(counts[-1])
 
 
+_trees: dict[str, TreeEncoder] = {}
 _codecs: dict[str, Codec] = {}
 
 
+def tree_encoder(path: str) -> TreeEncoder:
+    """The worker's tables of a tokenizer file; all that decoding needs."""
+    if path not in _trees:
+        _trees[path] = TreeEncoder(path)
+    return _trees[path]
+
+
 def codec(path: str) -> Codec:
     """The worker's codec for a tokenizer file; it outlives tasks where workers are used again."""
     if path not in _codecs:
@@ -276,7 +285,7 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def bpe_encode(documents: DataFrame, path: str | None = None, text: str = "text", part: int = PART) -> DataFrame:
+def bpe_encode(documents: DataFrame, path: str | None = None, text: str = "text", part: int = PART, decoded: bool = False) -> DataFrame:
     """(doc_id, ids) of every whole text: the tokenizer's ids without special tokens added, as little-endian unsigned 32-bit integers in a binary.
 
     Texts are split into pre-tokens; each distinct one is encoded by `TreeEncoder`, in
@@ -286,7 +295,8 @@ def bpe_encode(documents: DataFrame, path: str | None = None, text: str = "text"
     special token's string is its id, as the library takes it.
 
     Null and empty texts have no ids; repeated rows, also those with one doc_id, keep
-    a row each; an empty table gives no rows; further columns are ignored.  Texts up to
+    a row each; an empty table gives no rows; further columns are ignored.  With
+    `decoded` the same tasks decode the ids again (column text, as `bpe_decode`).  Texts up to
     `part` characters are a narrow map; of longer ones the text is shuffled by part, and
     the ids by document.  The file must be a byte-level BPE without a normalizer.
     """
@@ -294,6 +304,11 @@ def bpe_encode(documents: DataFrame, path: str | None = None, text: str = "text"
     kind = documents.schema["doc_id"].dataType.simpleString()
     rows = small_batches(documents).select("doc_id", F.coalesce(documents[text].cast("string"), F.lit("")).alias("text"))
 
+    schema = f"doc_id {kind}, ids binary" + ", text string" * decoded
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoded(batches, path) if decoded else batches
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
@@ -302,7 +317,7 @@ def bpe_encode(documents: DataFrame, path: str | None = None, text: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(ids, pa.binary())], ["doc_id", "ids"])
             give_back()
 
-    short = rows.where(F.length("text") <= part).mapInArrow(encode, f"doc_id {kind}, ids binary")
+    short = rows.where(F.length("text") <= part).mapInArrow(lambda batches: finished(encode(batches)), schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = codec(path).splitter
@@ -322,14 +337,15 @@ def bpe_encode(documents: DataFrame, path: str | None = None, text: str = "text"
 
     def join(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
-        flat = concatenated(codec(path).tree, *(table.column(c).to_pylist() for c in ("ids", "how", "head", "tail")))
-        return pa.table({"doc_id": table.column("doc_id").slice(0, 1), "ids": pa.array([flat.astype("<u4").tobytes()], pa.binary())})
+        flat = concatenated(tree_encoder(path), *(table.column(c).to_pylist() for c in ("ids", "how", "head", "tail")))
+        one = pa.table({"doc_id": table.column("doc_id").slice(0, 1), "ids": pa.array([flat.astype("<u4").tobytes()], pa.binary())})
+        return pa.Table.from_batches(finished(iter(one.to_batches())))
 
     # the number names a row of a fixed scan: the same one when a lost task is run again
     long = rows.where(F.length("text") > part).withColumn("row", F.monotonically_increasing_id())
     parts = long.mapInArrow(cut, f"row long, doc_id {kind}, part int, text string, how string").repartition("row", "part")
     ids = parts.mapInArrow(encode_parts, f"row long, doc_id {kind}, part int, how string, ids binary, head long, tail long")
-    return short.unionByName(ids.groupBy("row").applyInArrow(join, f"doc_id {kind}, ids binary"))
+    return short.unionByName(ids.groupBy("row").applyInArrow(join, schema))
 
 
 def concatenated(tree: TreeEncoder, ids: list[bytes], how: list[str], head: list[int], tail: list[int]) -> np.ndarray:
@@ -357,25 +373,28 @@ def concatenated(tree: TreeEncoder, ids: list[bytes], how: list[str], head: list
     return tree.joined(np.concatenate(sequences), np.fromiter(map(len, sequences), np.int64, len(sequences)), np.asarray(owners))[0]
 
 
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id and ids with the text of the ids."""
+    tree = tree_encoder(path)
+    for batch in batches:
+        texts = [tree.decode(np.frombuffer(x or b"", "<u4")).tobytes() for x in batch.column("ids").to_pylist()]
+        try:
+            column = pa.array(texts, pa.binary()).cast(pa.string())
+        except pa.ArrowInvalid:
+            column = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), column], ["doc_id", "ids", "text"])
+        del texts, column
+        give_back()
+
+
 def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, text): the text of ids as the library decodes them, special tokens kept; bytes that are no UTF-8 become U+FFFD.  Null ids give an empty text."""
     path = path or tokenizer_path(TOKENIZER)
     kind = encoded.schema["doc_id"].dataType.simpleString()
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = codec(path).tree
-        for batch in batches:
-            texts = [tree.decode(np.frombuffer(x or b"", "<u4")).tobytes() for x in batch.column("ids").to_pylist()]
-            try:
-                column = pa.array(texts, pa.binary()).cast(pa.string())
-            except pa.ArrowInvalid:
-                column = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), column], ["doc_id", "ids", "text"])
-
-    return small_batches(encoded).select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, ids binary, text string")
+    return small_batches(encoded).select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, path), f"doc_id {kind}, ids binary, text string")
 
 
 def round_trip(documents: DataFrame, path: str | None = None, text: str = "text", part: int = PART) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded."""
-    decoded = bpe_decode(bpe_encode(documents, path, text, part), path)
+    decoded = bpe_encode(documents, path, text, part, decoded=True)
     return decoded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
