@@ -68,6 +68,14 @@ class ItemSide:
     matrix: dict[str, list[tuple[float, np.ndarray]]] = field(default_factory=dict)
     plus: np.ndarray | None = None
 
+    @property
+    def nbytes(self) -> int:
+        """Bytes of all arrays, each counted once."""
+        own = [self.ids, self.plus] if self.plus is not None else [self.ids]
+        for parts in (*self.cosine.values(), *self.links.values(), *self.dense.values(), *self.matrix.values()):
+            own += [x for part in parts for x in part[1:]]
+        return sum(x.nbytes for x in {id(x): x for x in own}.values())
+
     def score(self, profiles: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """One user's scores of all items; a profile is (item positions, weights)."""
         n = len(self.ids)
@@ -265,7 +273,8 @@ def padded(top: DataFrame, users: DataFrame, items: DataFrame, k: int, seen: Dat
     need = short.join(own.groupBy("u").agg(F.count("*").alias("hidden")), "u", "left").select("u", F.coalesce("hidden", F.lit(0)).alias("hidden"))
     most = need.agg(F.max("hidden")).first()[0] or 0
     first = items.orderBy("i").limit(2 * k + most).withColumn("place", F.row_number().over(Window.orderBy("i")))
-    zeros = need.join(F.broadcast(first), F.col("place") <= F.col("hidden") + 2 * k).select("u", "i", F.lit(0.0).alias("score"))
+    places = need.select("u", F.explode(F.sequence(F.lit(1), (F.col("hidden") + 2 * k).cast("int"))).alias("place"))
+    zeros = places.join(first, "place").select("u", "i", F.lit(0.0).alias("score"))
     zeros = zeros.join(top.select("u", "i"), ["u", "i"], "left_anti").join(own, ["u", "i"], "left_anti")
     last = own.join(need.where(F.col("hidden") > items.count() - k), "u", "left_semi").select("u", "i", F.lit(float("-inf")).alias("score"))
     return top_k(top.select("u", "i", "score").unionByName(zeros).unionByName(last), k)

@@ -275,6 +275,8 @@ class EnsembleRecommender(Recommender):
             side = SvdSide(side, v / np.sqrt(np.maximum(s, 1e-12)), np.divide(q, norm, out=np.zeros_like(q), where=norm > 0), self.svd / 2)
             plus += self.svd / 2
         (side.side if isinstance(side, SvdSide) else side).plus = plus
+        if side.nbytes > scoring.BROADCAST_BYTES:
+            raise TooLarge("the pieces of the item side together")
         self.side = side
         return self
 
@@ -354,6 +356,10 @@ class SvdSide:
     def ids(self) -> np.ndarray:
         return self.side.ids
 
+    @property
+    def nbytes(self) -> int:
+        return self.side.nbytes + self.to_user.nbytes + self.unit_items.nbytes
+
     def score(self, profiles) -> np.ndarray:
         items, weights = profiles["svd"]
         total = self.side.score({n: p for n, p in profiles.items() if n != "svd"})

@@ -110,3 +110,16 @@ def test_gram_product_in_pieces(spark, monkeypatch):
         monkeypatch.setattr(latent, "PIECE", piece)
         monkeypatch.setattr(latent, "SLICE", part)
         assert np.allclose(latent.gram_times(by_user, ids, q), x.T @ (x @ q))
+
+
+def test_pieces_of_the_item_side_count_together(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    ix = spark.createDataFrame([(int(u), int(i), float(t)) for u, i, t in zip(rng.integers(0, 20, 300), rng.integers(0, 30, 300), rng.integers(0, 4_000_000, 300), strict=True)], "u long, i long, t double").distinct()
+    data = models.Data(ix, ix, ix)
+    model = models.EnsembleRecommender(keyword=0, svd=0).fit(data)
+    assert model.side.nbytes > 10_000
+    want = {(r["u"], r["rank"]): r["score"] for r in model.predict(3).collect()}
+    monkeypatch.setattr(scoring, "BROADCAST_BYTES", model.side.nbytes - 1)  # each piece fits, all together do not
+    joined = models.EnsembleRecommender(keyword=0, svd=0).fit(data)
+    assert joined.side is None
+    assert {(r["u"], r["rank"]): pytest.approx(r["score"], abs=3e-6) for r in joined.predict(3).collect()} == want
