@@ -17,6 +17,7 @@ from lorewell.operators.word_vectors import WordVectors
 from lorewell.plans import app, enrichment, models, persist, tuning
 from lorewell.plans.models import Data
 from lorewell.sources import interactions as I
+from lorewell.sources import sinks
 from lorewell.sources.embedding_cache import EmbeddingCache, item_digests, leaf_digests, tree_hash
 from lorewell.sources.scratch import shared_folder
 from lorewell.streaming import profiles as streamed
@@ -95,6 +96,39 @@ def soft_cast(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("u"), F.expr("try_cast(get_json_object(props, '$.k') AS bigint)").alias("i"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"))
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/lorewell/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {EV} SELECT u, i, t FROM ix")
+def interactions_from_csv(spark, d):
+    """Interactions through a CSV table that holds each row twice."""
+    folder, rows = _folder(spark, "interactions"), I.event_interactions(spark, d)
+    rows.unionByName(rows).select("t", F.lit("x").alias("other"), "i", "u").write.option("header", True).csv(folder)
+    return I.read_interactions(spark, folder)
+
+
+@query(f"WITH {ITEMS} SELECT i, Title, Author, Subjects, '' AS Publisher FROM items")
+def items_from_csv(spark, d):
+    folder = _folder(spark, "items")
+    I.part_items(spark, d).select("i", "Title", "Author", "Subjects").write.option("header", True).csv(folder)
+    return I.read_items(spark, folder).select("i", *I.TEXT_COLUMNS)
+
+
+@query(f"WITH {EV} SELECT u, count(*) AS count FROM ix GROUP BY u")
+def exported_user_counts(spark, d):
+    """One of the exports of the exploration, read back."""
+    folder = _folder(spark, "exports")
+    sinks.write_eda(I.event_interactions(spark, d), folder)
+    return I.read_csv_safely(spark, f"{folder}/user_interaction_counts.csv", "u long, count long")
+
+
+@query("SELECT p_partkey AS i FROM part WHERE p_partkey % 3 <> 0")
+def items_to_enrich(spark, d):
+    parts = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("i"), F.when(F.col("p_partkey") % 3 == 0, F.lit("kept")).alias("description"))
+    return enrichment.to_enrich(parts).select("i")
+
+
 # ---- profiles and similarity
 @query(f"WITH {IX}, {SPLIT}, {weights_sql(30)} SELECT u, i, round(w, 9) AS w FROM w")
 def decay_weight(spark, d):
@@ -156,7 +190,7 @@ def topk_collab(spark, d):
 @query(SQL["topk_collab"])
 def topk_from_saved_model(spark, d):
     """As `topk_collab`, from a model that was fitted, saved and loaded."""
-    folder = f"{shared_folder(spark)}/lorewell/model-{uuid.uuid4().hex}"
+    folder = _folder(spark, "model")
     persist.save(models.CosineRecommender(250).fit(_data(spark, d)), folder)
     return persist.load(spark, folder).predict(10)
 
@@ -209,6 +243,20 @@ def topk_semantic(spark, d):
     return model.fit(_data(spark, d, I.event_interactions, vectors=True)).predict(10)
 
 
+def _profile_sql(name: str, hl: float) -> str:
+    """A profile and its cosine and content scores under names of their own."""
+    own = f"x AS (SELECT u, i, x FROM {name})"
+    return f"{name} AS (WITH {weights_sql(hl)}, {TFIDF} SELECT u, i, x FROM x), {name}_cos AS (WITH {own}, {COSINE}, {SCORES} SELECT u, i, score FROM scores), {name}_dense AS (WITH {own}, {SEMANTIC} SELECT u, i, score FROM scores)"
+
+
+_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ("i", "me", "my", "myself", "we", "our", "ours", "the", "a", "an", "and", "of", "in", "on"))
+_KEYWORDS = f"known AS (SELECT * FROM items WHERE i IN (SELECT i FROM all_items)), tok AS (SELECT i, unnest(regexp_extract_all(lower(Title || '. ' || Author || '. ' || Subjects), '[a-z0-9_]{{2,}}')) AS term FROM known), tf AS (SELECT i, term, count(*) AS tf FROM tok WHERE term NOT IN ({_STOP}) GROUP BY i, term), dft AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), kv AS (SELECT i, term, tf * (ln((1 + (SELECT count(*) FROM known)) / (1 + df)) + 1) AS v FROM tf JOIN dft USING (term)), kw AS (SELECT i, term, v / sqrt(sum(v * v) OVER (PARTITION BY i)) AS k FROM kv), kq AS (SELECT u, term, sum(x * k) AS q FROM b JOIN kw ON b.i = kw.i GROUP BY u, term)"
+_HYBRID = " UNION ALL ".join([
+    *(f"SELECT u, i, 0.25 * score AS score FROM {name}" for name in ("a_cos", "a_dense", "b_cos", "b_dense")), "SELECT u, i, 0.5 * x FROM b", "SELECT u, i, 0.2 * p / (SELECT max(p) FROM pop) FROM users CROSS JOIN pop",
+    "SELECT u, kw.i, 0.15 * q * k FROM kq JOIN kw ON kq.term = kw.term", "SELECT u, next_i, 0.3 * x * trans.score FROM a JOIN trans ON a.i = trans.i",
+])
+
+
 @query()
 def topk_log_svd(spark, d):
     return models.LogSVDRecommender(50).fit(_data(spark, d, I.event_interactions)).predict(10)
@@ -236,17 +284,17 @@ def topk_hybrid(spark, d):
     return models.semantic_hybrid().fit(_data(spark, d, I.event_interactions, vectors=True)).predict(10)
 
 
+@query(f"WITH {EV}, {SPLIT}, {USERS}, {ITEMS}, {VECS}, {_profile_sql('a', 1)}, {_profile_sql('b', 250)}, {TRANS}, {_KEYWORDS}, pop AS (SELECT i, sum(x) AS p FROM b GROUP BY i), scores AS (SELECT u, i, sum(score) AS score FROM ({_HYBRID}) GROUP BY u, i), {dense_top()} SELECT * FROM top")
+def topk_hybrid_without_svd(spark, d):
+    """The production ensemble but for its latent term, which SQL cannot express."""
+    return models.semantic_hybrid(svd=0).fit(_data(spark, d, I.event_interactions, vectors=True)).predict(10)
+
+
 @query()
 def topk_ensemble(spark, d):
     return models.ensemble_hybrid().fit(_data(spark, d, I.event_interactions)).predict(10)
 
 
-def _profile_sql(name: str, hl: float) -> str:
-    """A profile and its cosine and content scores under names of their own."""
-    own = f"x AS (SELECT u, i, x FROM {name})"
-    return f"{name} AS (WITH {weights_sql(hl)}, {TFIDF} SELECT u, i, x FROM x), {name}_cos AS (WITH {own}, {COSINE}, {SCORES} SELECT u, i, score FROM scores), {name}_dense AS (WITH {own}, {SEMANTIC} SELECT u, i, score FROM scores)"
-
-
 _COUPLED = "SELECT u, i, 0.25 * score AS score FROM a_cos UNION ALL SELECT u, i, 0.25 * score FROM a_dense UNION ALL SELECT u, i, 0.75 * x FROM a UNION ALL SELECT u, i, 0.25 * score FROM b_cos UNION ALL SELECT u, i, 0.25 * score FROM b_dense UNION ALL SELECT u, i, 0.75 * x FROM b UNION ALL SELECT u, i, 0.1 * p / (SELECT max(p) FROM pop) FROM users CROSS JOIN pop"
 
 
@@ -525,7 +573,7 @@ def semantic_search(spark, d):
 
 def _index(spark: SparkSession, d: str) -> VectorIndex:
     """The items' vectors, indexed anew in the shared folder (an application opens one that is kept)."""
-    return VectorIndex.build(I.item_vectors(spark, d), f"{shared_folder(spark)}/lorewell/vector-index-{uuid.uuid4().hex}")
+    return VectorIndex.build(I.item_vectors(spark, d), _folder(spark, "vector-index"))
 
 
 @query(SQL["semantic_search"])
@@ -614,16 +662,13 @@ def content_hash(spark, d):
 @query(f"WITH {VECS} SELECT i, round(e[1], 9) AS first, round(list_sum(e), 6) + 0.0 AS total, 0::BIGINT AS encoded_again FROM vecs")
 def embedding_cache(spark, d):
     """The items' vectors through the cache: filled once, then found unchanged."""
-    cache, items = EmbeddingCache(spark, f"{shared_folder(spark)}/lorewell/cache-{uuid.uuid4().hex}", "given"), I.part_items(spark, d)
+    cache, items = EmbeddingCache(spark, _folder(spark, "cache"), "given"), I.part_items(spark, d)
     fill = lambda some, text: I.item_vectors(spark, d).join(some.select("i"), "i", "left_semi")
     cache.update(items, _soup(), fill)
     again = cache.update(items, _soup(), fill)
     return cache.read().select("i", F.round(F.col("e")[0], 9).alias("first"), (F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 6) + F.lit(0.0)).alias("total"), F.lit(again).cast("long").alias("encoded_again"))
 
 
-_STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ("i", "me", "my", "myself", "we", "our", "ours", "the", "a", "an", "and", "of", "in", "on"))
-
-
 @query(f"WITH {ITEMS}, tok AS (SELECT i, unnest(regexp_extract_all(lower(Title || '. ' || Author || '. ' || Subjects), '[a-z0-9_]{{2,}}')) AS term FROM items), tf AS (SELECT i, term, count(*) AS tf FROM tok WHERE term NOT IN ({_STOP}) GROUP BY i, term), dft AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), v AS (SELECT i, term, tf * (ln((1 + (SELECT count(*) FROM items)) / (1 + df)) + 1) AS v FROM tf JOIN dft USING (term)) SELECT i, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY i)), 6) AS x FROM v")
 def keyword_tfidf(spark, d):
     return models.keyword_tfidf(I.part_items(spark, d), T.soup(F.col("Title"), F.col("Author"), F.col("Subjects"))).withColumn("x", F.round("x", 6))
