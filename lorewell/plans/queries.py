@@ -376,9 +376,12 @@ def ratio_leq(spark, d):
     return users.withColumnRenamed("ratio", "ratio_users").join(items.withColumnRenamed("ratio", "ratio_items"), "k")
 
 
-@query("SELECT 'item_id' AS \"column\", count(*) AS n_rows, count(item_id) AS n_filled FROM benchmark UNION ALL SELECT 'text', count(*), count(text) FROM benchmark")
+_FRAME = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{kind}' AS type, count(*) AS n_rows, count({c}) AS n_filled FROM documents" for c, kind in (("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")))
+
+
+@query(_FRAME)
 def frame_profile(spark, d):
-    return S.frame_profile(spark.read.parquet(f"{d}/benchmark.parquet")).select("column", "n_rows", "n_filled")
+    return S.frame_profile(spark.read.parquet(f"{d}/documents.parquet"))
 
 
 _BINS = " UNION ALL ".join(f"SELECT {k}::INT AS ordinal, '{label}' AS label, {lo} AS lo, {'NULL' if hi is None else hi}::BIGINT AS hi" for k, (lo, hi, label) in enumerate(S.BINS, 1))
@@ -512,10 +515,15 @@ def sparsity_gauges(spark, d):
     return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
 
 
-@query(f"WITH {IX}, scaled AS (SELECT t * 1000 AS t FROM ix), top AS (SELECT max(t) AS largest FROM scaled) SELECT strftime(make_timestamp((CASE WHEN largest > 1e12 THEN t WHEN largest > 1e10 THEN t * 1000 ELSE t * 1000000 END)::BIGINT), '%Y-%m-%d') AS day, count(*) AS count FROM scaled, top GROUP BY 1")
+_UNITS = " UNION ALL ".join(f"SELECT {m} AS scale, t * {m} AS t FROM ix" for m in (1, 1000, 1_000_000))
+
+
+@query(f"WITH {IX}, scaled AS ({_UNITS}), top AS (SELECT scale, max(t) AS largest FROM scaled GROUP BY scale) SELECT scale, strftime(make_timestamp((CASE WHEN largest > 1e12 THEN t WHEN largest > 1e10 THEN t * 1000 ELSE t * 1000000 END)::BIGINT), '%Y-%m-%d') AS day, count(*) AS count FROM scaled JOIN top USING (scale) GROUP BY 1, 2")
 def epoch_days(spark, d):
-    """Times in milliseconds: the unit is told by the largest."""
-    return S.days(I.order_interactions(spark, d).withColumn("t", F.col("t") * 1000)).select(F.col("_t_dt").cast("string").alias("day"), "count")
+    """Times in seconds, milliseconds and microseconds: the unit is told by the largest."""
+    ix = I.order_interactions(spark, d)
+    parts = [S.days(ix.withColumn("t", F.col("t") * m)).select(F.lit(m).alias("scale"), F.col("_t_dt").cast("string").alias("day"), "count") for m in (1, 1000, 1_000_000)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(f"WITH {IX}, {ITEMS} SELECT coalesce(Author, 'Inconnu') AS Author, count(*) AS count FROM ix LEFT JOIN items USING (i) GROUP BY 1 ORDER BY count DESC, Author LIMIT 15")
