@@ -13,7 +13,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorewell.operators.latent import Blocks, Ease
+from lorewell.operators.latent import RAW, Blocks, Ease
 from lorewell.operators.scoring import ItemSide, Sparse
 from lorewell.plans import models
 
@@ -96,7 +96,7 @@ def save(model: models.Recommender, folder: str) -> None:
     description = json.dumps(packer.pack(model))
     spark = (packer.frames[0] if packer.frames else model.data.train).sparkSession
     for n, frame in enumerate(packer.frames):
-        frame.write.parquet(f"{folder}/frames/{n}")
+        frame.write.options(**(RAW if ("a", "binary") in frame.dtypes else {})).parquet(f"{folder}/frames/{n}")  # blocks of a matrix: few to a file
     columns = list(zip(*_chunks(packer.arrays), strict=True)) or [[]] * 5
     kinds = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.binary())
     table = pa.table({c: pa.array(list(x), k) for c, x, k in zip(("n", "k", "dtype", "shape", "data"), columns, kinds, strict=True)})
