@@ -62,7 +62,7 @@ def query(sql: str | None = None):
 
 def _data(spark: SparkSession, d: str, source=I.order_interactions, vectors: bool = False) -> Data:
     ix = source(spark, d).persist()
-    return Data(loading.train_part(ix), ix, ix, I.part_items(spark, d), I.item_vectors(spark, d) if vectors else None)
+    return Data(loading.train_part(ix).persist(), ix, ix, I.part_items(spark, d), I.item_vectors(spark, d) if vectors else None)
 
 
 # ---- loading
@@ -153,7 +153,7 @@ def bm25_profile(spark, d):
 @query(f"WITH {IX}, {SPLIT}, {USERS}, {weights_sql(250)}, {TFIDF}, {COSINE} SELECT i, j, round(s, 6) + 0.0 AS s FROM s")
 def collab_similarity(spark, d):
     data = _data(spark, d)
-    return profiles.item_similarity(profiles.tfidf(profiles.decayed(data.train, 250), data.n_users)).withColumn("s", F.round("s", 6) + F.lit(0.0))
+    return profiles.item_similarity(profiles.tfidf(profiles.decayed(data.train, 250), data.n_users).persist()).withColumn("s", F.round("s", 6) + F.lit(0.0))
 
 
 @query(f"WITH {IX}, {SPLIT}, {USERS}, {weights_sql(250)}, {TFIDF} SELECT i, round(CASE WHEN max(p) OVER () = 0 THEN 0 ELSE p / max(p) OVER () END, 6) AS pop FROM (SELECT i, sum(x) AS p FROM x GROUP BY i)")
