@@ -258,7 +258,7 @@ def test_ensembles_in_arrays_and_by_joins_agree(spark, monkeypatch, name):
     arrays = model().fit(models.Data(ix, users, items, items, vectors))
     assert arrays.side is not None
     want = {(r["u"], r["rank"]): (r["i"], r["score"]) for r in arrays.predict(6).collect()}
-    monkeypatch.setattr(scoring, "BROADCAST_BYTES", 600)
+    monkeypatch.setattr(scoring, "BROADCAST_BYTES", 8000 if name == "ensemble_hybrid" else 600)
     joins = model().fit(models.Data(ix, users, items, items, vectors))
     assert joins.side is None
     got = {(r["u"], r["rank"]): (r["i"], r["score"]) for r in joins.predict(6).collect()}
