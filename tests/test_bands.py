@@ -51,3 +51,18 @@ def test_few_items_of_many_users_are_scored_by_item_pairs(spark):
     assert not side.cosine and side.matrix["x"][0][1].shape == (14, 14)
     joins = scoring.padded(scoring.top_k(scoring.join_scores(m.x, scoring.pair_sums(m.columns, x="c").withColumnRenamed("g", "s")), 4), m.data.users, m.data.items, 4)
     assert listed(scoring.block_top_k(m.data.users, {"x": m.x}, side, 4)) == listed(joins)
+
+
+def test_grid_of_few_items_is_as_each_setting_by_itself(spark, monkeypatch):
+    from lorewell.plans import tuning
+
+    data = data_of(spark, n_users=40, n_items=8, rows=900)
+    far = spark.createDataFrame([(10_000 + k, [1.0, 0.0]) for k in range(50)] + [(k * k, [float(k % 2), float((k + 1) % 2)]) for k in range(8)], "i long, e array<double>")
+    data.vectors = far
+    truth = data.train.where("i % 2 = 0")
+    grid = {"alphas": (0.4,), "weights": ((0.6, 0.4),), "rebuys": (0.5,), "pops": (0.1,), "svd": 0, "keyword": 0}
+    monkeypatch.setattr(scoring, "BROADCAST_BYTES", 3000)  # too little for the vectors of items that are never recommended
+    one = tuning.grid_search(data, truth, k=3, **grid).first()["map_at_k"]
+    model = models.EnsembleRecommender(alpha=0.4, weights=(0.6, 0.4), rebuy=0.5, pop=0.1, svd=0, keyword=0).fit(data)
+    assert model.side is not None and model.side.matrix["x0"] and not model.side.cosine
+    assert one == pytest.approx(tuning.map_at_k(model.predict(3), truth, 3).first()["map_at_k"]) and one > 0
