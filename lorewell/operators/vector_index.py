@@ -87,11 +87,41 @@ class VectorIndex:
         most = F.when(F.col("part") < 0, 0.0).otherwise(F.cos(F.greatest(to_centre - F.col("radius"), F.lit(0.0))))
         return queries.join(F.broadcast(self.parts)).select("q_id", "part", most.alias("most"), "n")
 
-    def _scored(self, queries: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(q_id, i, score) of the wanted (q_id, part); the scan reads their partitions only."""
-        parts = [r["part"] for r in wanted.select("part").distinct().collect()]  # numbers of partitions, as many as there are at most
-        own = self.vectors.where(F.col("part").isin(parts)).join(F.broadcast(wanted.select("q_id", "part").join(queries, "q_id")), "part")
-        return own.select("q_id", "i", (F.round(dot(F.col("e"), F.col("q")), 6) + F.lit(0.0)).alias("score"))
+    def _scored(self, queries: DataFrame, wanted: DataFrame, keep: int) -> DataFrame:
+        """(q_id, i, score) of the wanted (q_id, part), of each batch the best `keep` of a query; the scan reads their partitions only.
+
+        A query's vector is sent once, with the numbers of its partitions, and meets a partition's vectors in a matrix product."""
+        table, pairs = queries.where("q IS NOT NULL").select("q_id", "q").orderBy("q_id").toArrow(), wanted.select("q_id", "part").toArrow()
+        ids = table.column("q_id").to_numpy()
+        if not len(ids) or not len(pairs):
+            return self.vectors.select(F.lit(0).cast("long").alias("q_id"), "i", F.lit(0.0).alias("score")).limit(0)
+        q = np.asarray(pa.concat_arrays(table.column("q").chunks).flatten(), np.float64).reshape(len(ids), -1)
+        part = pairs.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")
+        place, (parts, begin) = np.searchsorted(ids, pairs.column("q_id").to_numpy())[order].astype(np.int32), np.unique(part[order], return_index=True)
+        asked = dict(zip(parts.tolist(), np.split(place, begin[1:]), strict=True))
+        shared = queries.sparkSession.sparkContext.broadcast((ids, q, asked))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q, asked = shared.value
+            for batch in batches:
+                own, i = batch.column("part").to_numpy(), batch.column("i").to_numpy()
+                e = np.asarray(batch.column("e").flatten(), np.float64).reshape(batch.num_rows, -1)
+                for p in np.unique(own).tolist():
+                    rows = np.flatnonzero(own == p)
+                    step = max(1, (4 << 20) // len(rows))
+                    for at in range(0, len(asked[p]), step):
+                        some = asked[p][at : at + step]
+                        scores = np.round(q[some] @ e[rows].T, 6) + 0.0
+                        edge = np.partition(scores, len(rows) - keep, axis=1)[:, len(rows) - keep] if keep < len(rows) else np.full(len(some), -np.inf)
+                        a, b = np.nonzero(scores >= edge[:, None])
+                        order = np.lexsort((i[rows[b]], -scores[a, b], a))
+                        a, b = a[order], b[order]
+                        best = np.arange(len(a)) - np.searchsorted(a, a) < keep
+                        a, b = a[best], b[best]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[some[a]], pa.int64()), pa.array(i[rows[b]], pa.int64()), pa.array(scores[a, b], pa.float64())], ["q_id", "i", "score"])
+
+        return self.vectors.where(F.col("part").isin(list(asked))).mapInArrow(run, "q_id long, i long, score double")
 
     def search(self, queries: DataFrame, k: int = 10, without: str | None = None) -> tuple[DataFrame, DataFrame]:
         """(q_id, i, rank, score): the k vectors of the largest cosine with each query (q_id, q of length 1), ties by i; and (q_id, read, parts): partitions read.
@@ -111,11 +141,11 @@ class VectorIndex:
             place = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "i"))
             return scored.withColumn("rank", place).where(F.col("rank") <= k)
 
-        early = top(self._scored(own.select("q_id", "q"), ranked.where("first"))).select("q_id", "i", "rank", "score").persist()
+        early = top(self._scored(own.select("q_id", "q"), ranked.where("first"), k + len(extra))).select("q_id", "i", "rank", "score").persist()
         least = early.groupBy("q_id").agg(F.count("*").alias("found"), F.min("score").alias("least"))
         late = ranked.where("NOT first").join(F.broadcast(least), "q_id", "left").where((F.coalesce("found", F.lit(0)) < k) | (F.col("most") >= F.col("least") - MARGIN))
         late = late.select("q_id", "part").persist()
-        found = top(early.select("q_id", "i", "score").unionByName(self._scored(own.select("q_id", "q"), late)))
+        found = top(early.select("q_id", "i", "score").unionByName(self._scored(own.select("q_id", "q"), late, k + len(extra))))
         read = ranked.where("first").select("q_id", "part").unionByName(late).groupBy("q_id").agg(F.count("*").alias("read"))
         total = ranked.groupBy("q_id").agg(F.count("*").alias("parts"))
         return found.select("q_id", "i", "rank", "score"), total.join(read, "q_id", "left").select("q_id", F.coalesce("read", F.lit(0)).alias("read"), "parts")

@@ -54,3 +54,12 @@ def test_own_item_is_left_out_and_empty_tables(spark, tmp_path):
     assert index.search(shelf.limit(0), 3, without="own")[0].count() == 0
     empty = VectorIndex.build(vectors.limit(0), str(tmp_path / "b"))
     assert empty.search(shelf, 3)[0].count() == 0
+
+
+def test_queries_are_sent_once_and_give_their_best_only(spark, tmp_path):
+    e = clustered(400)
+    vectors = spark.createDataFrame([(j, x.tolist()) for j, x in enumerate(e)], "i long, e array<double>")
+    index = VectorIndex.build(vectors, str(tmp_path / "index"), wished=200)
+    queries = vectors.where("i < 20").selectExpr("i AS q_id", "e AS q")
+    scored = index._scored(queries, index.bounds(queries), 3)
+    assert "Join" not in scored._jdf.queryExecution().toString() and 60 <= scored.count() < 20 * 400
