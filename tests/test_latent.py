@@ -123,3 +123,22 @@ def test_pieces_of_the_item_side_count_together(spark, monkeypatch):
     joined = models.EnsembleRecommender(keyword=0, svd=0).fit(data)
     assert joined.side is None
     assert {(r["u"], r["rank"]): pytest.approx(r["score"], abs=3e-6) for r in joined.predict(3).collect()} == want
+
+
+def test_pair_sums_by_bands(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    a = np.where(rng.random((60, 40)) < 0.3, rng.standard_normal((60, 40)), 0)
+    a[3] = 1.0  # a heavy key
+    a[:, 7] += 1.0  # and an item of all
+    values = spark.createDataFrame([(int(u), int(i) * 5, float(a[u, i])) for u, i in zip(*np.nonzero(a), strict=True)], "u long, i long, x double")
+    held = (a != 0).astype(float)
+    want = {(int(i) * 5, int(j) * 5): (a.T @ a)[i, j] for i, j in zip(*np.nonzero(held.T @ held), strict=True)}
+    for cell, band, split in ((1000, 10**6, 10**6), (1000, 300, 10**6), (16, 300, 10**6), (16, 100, 150)):
+        got = pairs.band_sums(values, 5000, cell=cell, band=band, split=split).collect()
+        assert len(got) == len(want) and {(r["i"], r["j"]): pytest.approx(r["g"], abs=1e-9) for r in got} == want
+    # many pairs of many items take this way, and no row of a pair is shuffled
+    monkeypatch.setattr(pairs, "MANY", 100)
+    spread = spark.range(400).selectExpr("id div 4 AS u", "id AS i", "1.0D AS x")
+    plan = pairs.pair_sums(spread)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "least(" not in plan
+    assert pairs.pair_sums(spread).count() == 1600
