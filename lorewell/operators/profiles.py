@@ -21,13 +21,17 @@ def item_frequency(weights: DataFrame) -> DataFrame:
 
 
 def tfidf(weights: DataFrame, n_users: int) -> DataFrame:
-    """(u, i, x): weights by smooth idf, unit length for each user; n_users counts users without weights too."""
+    """(u, i, x): weights by smooth idf, unit length for each user; n_users counts users without weights too.
+
+    The weights are kept, as they are read for the items' frequencies and again for the values."""
+    weights = weights.persist()
     v = weights.join(item_frequency(weights), "i").select("u", "i", (F.col("w") * smooth_idf(F.lit(float(n_users)), F.col("df"))).alias("v"))
     return v.withColumn("x", over(F.col("v"), F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("u"))))).select("u", "i", "x")
 
 
 def bm25(weights: DataFrame, n_users: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(u, i, x): BM25 of the user-by-item weights; the mean length is over all users."""
+    weights = weights.persist()
     total = weights.agg(F.sum("w").alias("total"))
     length = F.sum("w").over(Window.partitionBy("u"))
     w = F.col("w")
@@ -47,8 +51,8 @@ def item_similarity(profile: DataFrame) -> DataFrame:
 
 
 def popularity(profile: DataFrame) -> DataFrame:
-    """(i, pop): column sums over their largest (0 where that is 0)."""
-    sums = profile.groupBy("i").agg(F.sum("x").alias("s"))
+    """(i, pop): column sums over their largest (0 where that is 0); the sums, a row for each item, are kept."""
+    sums = profile.groupBy("i").agg(F.sum("x").alias("s")).persist()
     return sums.join(F.broadcast(sums.agg(F.max("s").alias("m")))).select("i", over(F.col("s"), F.col("m")).alias("pop"))
 
 

@@ -1,5 +1,8 @@
 """What a step reads several times is worked out once."""
 
+from pyspark.sql import functions as F
+
+from lorewell.operators import profiles
 from lorewell.operators import statistics as S
 
 
@@ -21,3 +24,11 @@ def test_counts_are_made_once(spark):
         step(S.value_counts(rows, "i")).collect()
         assert seen.value == 200
         spark.catalog.clearCache()
+
+
+def test_weights_and_sums_are_made_once(spark):
+    for step in (lambda w: profiles.popularity(profiles.tfidf(w, 10)), lambda w: profiles.bm25(w, 10)):
+        rows, seen = counted(spark)
+        step(rows.groupBy("u", "i").agg(F.sum("t").cast("double").alias("w"))).collect()
+        assert seen.value == 200
+        spark.catalog.clearCache()
