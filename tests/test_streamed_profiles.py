@@ -42,3 +42,36 @@ def test_replay_in_batches(spark):
     assert changes.where("u = 1").agg({"seq": "max"}).first()[0] > 1
     want = {(r["u"], r["i"]): r["w"] for r in profiles.decayed(table, 5).collect()}
     assert {(r["u"], r["i"]): pytest.approx(r["w"]) for r in streamed.current_profiles(changes, 5).collect()} == want
+
+
+def test_state_is_asked_a_few_times_for_a_user_and_batch():
+    import pandas as pd
+
+    calls = []
+
+    class State(dict):
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name in ("get", "exists", "iterator"):
+                    return iter(()) if name == "iterator" else None
+                return self.__setitem__(*args) if name == "updateValue" else self.get(*args) if name == "getValue" else False
+
+            return call
+
+    class Handle:
+        def __getattr__(self, name):
+            return lambda *_: State()
+
+    processor = streamed.ProfileProcessor(10)
+    processor.init(Handle())
+    steps = {}
+    for batch in ([(t, t % 7) for t in range(1000, 1500)], [(t, t % 7) for t in range(0, 500)], [(t, t % 7) for t in range(1500, 1600)]):
+        calls.clear()
+        frame = pd.DataFrame({"u": 3, "t": [float(t) for t, _ in batch], "i": [i for _, i in batch]})
+        for out in processor.handleInputRows((0,), iter([frame]), None):
+            for r in out[out.kind == "step"].itertuples():
+                steps[r.i, r.next_i] = steps.get((r.i, r.next_i), 0) + r.value
+        assert len(calls) <= 4
+    path = [t % 7 for t in (*range(500), *range(1000, 1600))]
+    assert {k: v for k, v in steps.items() if v} == {(a, b): sum((x, y) == (a, b) for x, y in zip(path, path[1:], strict=False)) for a, b in zip(path, path[1:], strict=False)}
