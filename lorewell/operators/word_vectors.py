@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorewell.functions.scalar import unit
 from lorewell.functions.text import stop_words, tokens
-from lorewell.operators import latent
+from lorewell.operators import latent, scoring
 from lorewell.operators.scoring import collected
 
+#: Items that are encoded together.
+ROWS = 1024
+
 
 def cooccurrence(words: DataFrame, window: int = 5) -> DataFrame:
     """(a, b, n): how often b stands within `window` words of a, both ways, for rows with a list of words in order."""
@@ -66,7 +71,12 @@ class WordVectors:
         return cls(df.join(table, F.xxhash64("term") == F.col("id")).select("term", idf.alias("idf"), unit(F.col("v")).alias("v")).persist(), dimensions)
 
     def encode(self, items: DataFrame, text: Column) -> DataFrame:
-        """(i, e): the idf-weighted mean of a text's known words at length 1; zeros where it has none."""
+        """(i, e): the idf-weighted mean of a text's known words at length 1; zeros where it has none.
+
+        While the words' vectors fit what may be broadcast, each item is encoded where it is read; beyond that, by joins."""
+        n, size = self.terms.agg(F.count("*"), F.max(F.size("v"))).first()
+        if n and n * 8 * (size + 4) <= scoring.BROADCAST_BYTES:
+            return self._encode_rows(items, text, size)
         counts = items.select("i", F.explode(tokens(F.coalesce(text, F.lit("")), stop_words())).alias("term")).groupBy("i", "term").agg(F.count("*").alias("tf"))
         own = counts.join(self.terms, "term").select("i", (F.col("tf") * F.col("idf")).alias("w"), "v")
         d = self.terms.select(F.size("v").alias("d")).first()
@@ -74,6 +84,29 @@ class WordVectors:
         sums = own.groupBy("i").agg(F.array(*[F.sum(F.col("w") * F.col("v")[k]) for k in range(d)]).alias("e")) if d else own.select("i", F.array().cast("array<double>").alias("e")).limit(0)
         return items.select("i").join(sums, "i", "left").select("i", unit(F.coalesce("e", F.array_repeat(F.lit(0.0), d))).alias("e"))
 
+    def _encode_rows(self, items: DataFrame, text: Column, d: int) -> DataFrame:
+        table = self.terms.select("term", "idf", "v").toArrow().combine_chunks()
+        v = np.asarray(table.column("v").combine_chunks().flatten(), np.float64).reshape(-1, d) * table.column("idf").to_numpy()[:, None]
+        shared = items.sparkSession.sparkContext.broadcast((table.column("term").combine_chunks(), v))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms, v = shared.value
+            for batch in batches:
+                for begin in range(0, len(batch), ROWS):
+                    part = batch.slice(begin, ROWS)
+                    words = part.column("words")
+                    at = pc.fill_null(pc.index_in(words.flatten(), value_set=terms), -1).to_numpy()
+                    rows = np.repeat(np.arange(len(part)), words.value_lengths().to_numpy())[at >= 0]
+                    e, first = np.zeros((len(part), d)), np.flatnonzero(np.diff(rows, prepend=-1))
+                    if len(first):
+                        e[rows[first]] = np.add.reduceat(v[at[at >= 0]], first, axis=0)
+                    norm = np.sqrt((e * e).sum(axis=1, keepdims=True))
+                    e = np.divide(e, norm, out=np.zeros_like(e), where=norm > 0)
+                    yield pa.RecordBatch.from_arrays([part.column("i"), pa.ListArray.from_arrays(pa.array(np.arange(0, e.size + 1, d, dtype=np.int32)), pa.array(e.ravel()))], ["i", "e"])
+
+        words = items.select("i", tokens(F.coalesce(text, F.lit("")), stop_words()).alias("words"))
+        return words.mapInArrow(run, f"i {dict(words.dtypes)['i']}, e array<double>")
+
     def nearest_words(self, word: str, k: int = 10) -> DataFrame:
         """(term, score): the words whose vectors have the largest cosine with a known word's."""
         own = self.terms.where(F.col("term") == word).select(F.col("v").alias("q"))

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lorewell.operators import scoring
 from lorewell.operators.word_vectors import WordVectors, cooccurrence, shifted_pmi
 from lorewell.plans.app import search_by_meaning
 
@@ -90,6 +91,17 @@ def test_encoder_edges(spark):
     assert [r["e"] for r in empty.encode(items, F.col("text")).collect()] == [[]] * 4
 
 
+def test_items_are_encoded_where_they_are_read(spark, monkeypatch):
+    items = spark.createDataFrame([(k, t) for k, t in enumerate([*texts(30), None, "nowhere", ""])], "i long, text string")
+    model = WordVectors.fit(items, F.col("text"), dimensions=6)
+    near = model.encode(items, F.col("text"))
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: r["e"] for r in near.collect()}
+    monkeypatch.setattr(scoring, "BROADCAST_BYTES", 0)
+    joined = {r["i"]: r["e"] for r in model.encode(items, F.col("text")).collect()}
+    assert len(got) == 33 and got == {i: pytest.approx(e, abs=1e-12) for i, e in joined.items()}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_experiments_run_without_an_error(spark):
     from lorewell.plans import models, queries
