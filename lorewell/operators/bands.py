@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +16,14 @@ from lorewell.sources.scratch import discard, stored
 
 #: Bytes of a band (12 for each entry), and entries of (user, neighbour) that a task holds at once.
 BAND_BYTES, NEAR = 32 << 20, 2 << 20
+#: Bands are written as they are, one to a file.
+ALONE = {"compression": "none", "parquet.enable.dictionary": "false", "maxRecordsPerFile": "1"}
 
 
-def bands_of(columns: DataFrame, rows: str, band: str, n: int) -> tuple[list[tuple[int, int]], list[Broadcast]]:
-    """The entries (u, i, c) by ranges of the ids in `band`: the least and largest id in `rows` of each, and its entries by rows.
+def bands_of(columns: DataFrame, rows: str, band: str, n: int) -> tuple[DataFrame, list[tuple[int, int, str]]]:
+    """The entries (u, i, c) by ranges of the ids in `band`, stored, and of each band the least and largest id in `rows` and its file.
 
-    Tasks pack the bands; the driver sees one after the other."""
+    Tasks pack the bands and read them from the shared folder; the driver sees only where they are."""
     count = max(1, -(-n * 12 // BAND_BYTES))
     edges = sorted(set(columns.approxQuantile(band, [k / count for k in range(1, count)], 0.2 / count))) if count > 1 else []
     number = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(band))) if edges else F.lit(0)
@@ -33,21 +36,17 @@ def bands_of(columns: DataFrame, rows: str, band: str, n: int) -> tuple[list[tup
         data = pickle.dumps((ids, np.append(begin, len(row)), others, place[order].astype(np.int32), c[order]), protocol=5)
         return pa.table({"band": table.column("band")[:1], "lo": pa.array([ids[0]], pa.int64()), "hi": pa.array([ids[-1]], pa.int64()), "data": pa.array([data], pa.binary())})
 
-    packed = stored(columns.withColumn("band", number).groupBy("band").applyInArrow(pack, "band int, lo long, hi long, data binary"), "bands")
-    spans, shared = [], []
-    for r in packed.select("band", "lo", "hi").orderBy("band").collect():  # a row for each band
-        spans.append((r["lo"], r["hi"]))
-        shared.append(packed.sparkSession.sparkContext.broadcast(bytes(packed.where(F.col("band") == r["band"]).first()["data"])))
-    discard(packed)
-    return spans, shared
+    packed = stored(columns.withColumn("band", number).groupBy("band").applyInArrow(pack, "band int, lo long, hi long, data binary"), "bands", **ALONE)
+    found = packed.select("band", "lo", "hi", F.input_file_name().alias("file")).orderBy("band").collect()  # a row for each band
+    return packed, [(r["lo"], r["hi"], r["file"]) for r in found]
 
 
-def _loaded(spans: list, shared: list[Broadcast], least: int, most: int) -> Iterator[tuple]:
+def _loaded(bands: list[tuple[int, int, str]], least: int, most: int) -> Iterator[tuple]:
     """The bands with rows between two ids, one at a time: none stays in the worker."""
-    for (lo, hi), b in zip(spans, shared, strict=True):
+    for lo, hi, file in bands:
         if lo <= most and hi >= least:
-            yield pickle.loads(b.value)
-            vars(b).pop("_value", None)
+            system, path = fs.FileSystem.from_uri(file)
+            yield pickle.loads(pq.read_table(path, columns=["data"], filesystem=system).column("data")[0].as_buffer())
 
 
 def _entries(ids: np.ndarray, begin: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,10 +73,10 @@ def _summed(columns: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
     return found, np.bincount(place, weights=values)
 
 
-def _neighbours(users: np.ndarray, items: np.ndarray, weights: np.ndarray, n: int, bands: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _neighbours(users: np.ndarray, items: np.ndarray, weights: np.ndarray, n: int, bands: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(user position, other user, weight) of users that share an item, by user position."""
     parts: list[tuple] = []
-    for ids, begin, others, columns, values in _loaded(*bands, items.min(), items.max()):
+    for ids, begin, others, columns, values in _loaded(bands, items.min(), items.max()):
         some, starts, lengths = _entries(ids, begin, items)
         at = _ragged(starts, lengths)
         who, near, w = np.repeat(users[some], lengths), columns[at], values[at] * np.repeat(weights[some], lengths)
@@ -93,12 +92,12 @@ def _neighbours(users: np.ndarray, items: np.ndarray, weights: np.ndarray, n: in
     return who[order], near[order], w[order]
 
 
-def _top(n: int, own: tuple, seen: list, k: int, by_item: tuple, by_user: tuple) -> tuple[np.ndarray, ...]:
+def _top(n: int, own: tuple, seen: list, k: int, by_item: list, by_user: list) -> tuple[np.ndarray, ...]:
     """(user position, item, rank, score): the k best items with a score of n users."""
     users, items, weights = own
     found: list[tuple] = []
     who, near, w = _neighbours(users, items, weights, n, by_item) if len(items) else own
-    for ids, begin, others, columns, values in _loaded(*by_user, near.min(), near.max()) if len(near) else ():
+    for ids, begin, others, columns, values in _loaded(by_user, near.min(), near.max()) if len(near) else ():
         some, starts, lengths = _entries(ids, begin, near)
         edges = np.searchsorted(who[some], np.arange(n + 1))
         for u in np.flatnonzero(np.diff(edges)):
@@ -131,7 +130,7 @@ def banded_top_k(rows: DataFrame, columns: DataFrame, n: int, k: int) -> DataFra
     users, goes through C by ranges of users for their neighbours and by ranges of items
     for the scores, and keeps the k best: only users' rows are shuffled, no scores.
     Bands without any of their items or neighbours are not loaded."""
-    by_item, by_user = bands_of(columns, "i", "u", n), bands_of(columns, "u", "i", n)
+    (users, by_item), (items, by_user) = bands_of(columns, "i", "u", n), bands_of(columns, "u", "i", n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,6 +148,6 @@ def banded_top_k(rows: DataFrame, columns: DataFrame, n: int, k: int) -> DataFra
                 a = b
 
     top = stored(rows.select("u", "x", "seen", "cost").mapInArrow(run, "u long, i long, rank int, score double"), "top")
-    for b in (*by_item[1], *by_user[1]):
-        b.destroy()
+    discard(users)
+    discard(items)
     return top

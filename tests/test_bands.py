@@ -66,3 +66,16 @@ def test_grid_of_few_items_is_as_each_setting_by_itself(spark, monkeypatch):
     model = models.EnsembleRecommender(alpha=0.4, weights=(0.6, 0.4), rebuy=0.5, pop=0.1, svd=0, keyword=0).fit(data)
     assert model.side is not None and model.side.matrix["x0"] and not model.side.cosine
     assert one == pytest.approx(tuning.map_at_k(model.predict(3), truth, 3).first()["map_at_k"]) and one > 0
+
+
+def test_bands_do_not_pass_through_the_driver(spark, monkeypatch):
+    m = models.CosineRecommender().fit(data_of(spark))
+    want = [r[:2] for r in listed(m.predict(5))]
+    monkeypatch.setattr(scoring, "BROADCAST_BYTES", 100)
+    monkeypatch.setattr(bands, "BAND_BYTES", 1000)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", None)
+    columns = m.columns.persist()
+    packed, found = bands.bands_of(columns, "i", "u", columns.count())
+    assert len(found) > 3 and len({f for _, _, f in found}) == packed.count() == len(found)
+    assert sum(len(values) for *_, values in bands._loaded(found, 0, 1 << 40)) == columns.count()
+    assert [r[:2] for r in listed(m.predict(5))] == want
