@@ -63,3 +63,16 @@ def test_queries_are_sent_once_and_give_their_best_only(spark, tmp_path):
     queries = vectors.where("i < 20").selectExpr("i AS q_id", "e AS q")
     scored = index._scored(queries, index.bounds(queries), 3)
     assert "Join" not in scored._jdf.queryExecution().toString() and 60 <= scored.count() < 20 * 400
+
+
+def test_files_follow_the_vectors_and_the_driver_sees_no_query(spark, tmp_path, monkeypatch):
+    e = clustered(1500)
+    vectors = spark.createDataFrame([(j, x.tolist()) for j, x in enumerate(e)], "i long, e array<double>")
+    index = VectorIndex.build(vectors, str(tmp_path / "index"), wished=4)  # 375 partitions
+    assert len(index.vectors.inputFiles()) < 20 and index.parts.count() > 200
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", None)
+    shelf = vectors.where("i % 10 = 5").selectExpr("i AS q_id", "e AS q", "i AS own")
+    found = index.search(shelf, 3, without="own")[0]
+    rows = found.orderBy("q_id", "rank").collect()
+    for own in (5, 15, 995):
+        assert [(r["i"], r["rank"]) for r in rows if r["q_id"] == own] == [x[:2] for x in brute(e, e[own], 3, own)]
