@@ -142,3 +142,13 @@ def test_pair_sums_by_bands(spark, monkeypatch):
     plan = pairs.pair_sums(spread)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "least(" not in plan
     assert pairs.pair_sums(spread).count() == 1600
+
+
+def test_a_band_gets_a_list_once():
+    import pyarrow as pa
+
+    ids, values = pa.list_(pa.int64()), pa.list_(pa.float64())
+    light = {"i": pa.array([[]], ids), "x": pa.array([[]], values), "n": pa.array([2], pa.int32()), "j": pa.array([[1, 2, 3]], ids), "y": pa.array([[1.0, 2.0, 3.0]], values)}
+    heavy = {"i": pa.array([[2]], ids), "x": pa.array([[5.0]], values), "n": pa.array([0], pa.int32()), "j": pa.array([[1, 3]], ids), "y": pa.array([[7.0, 11.0]], values)}
+    got = pairs._band_pairs(pa.concat_tables([pa.table(light), pa.table(heavy)])).to_pylist()
+    assert [(r["i"], r["j"], r["g"]) for r in got] == [(1, 1, 1.0), (1, 2, 2.0), (1, 3, 3.0), (2, 2, 4.0), (2, 3, 6.0 + 55.0)]
